@@ -22,6 +22,12 @@ def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans", "n_confirmed")
 
 
+def op3_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from folio.llm.jaccard import join
+
+    return join(_table(spark, sf_dir, "documents"))
+
+
 def trusted_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ids that the labels call of good quality and not toxic."""
     return _table(spark, sf_dir, "labels").where("quality = 1 AND toxic = 0").select("doc_id")
@@ -60,7 +66,7 @@ def op10_pareto_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(_table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
-QUERIES = {f.__name__: f for f in (op1_secret_scan, op2_power_of_two_packing, op4_kneser_ney_quality, op8_exact_dedup, op9_token_files, op10_pareto_mix)}
+QUERIES = {f.__name__: f for f in (op1_secret_scan, op2_power_of_two_packing, op3_jaccard_join, op4_kneser_ney_quality, op8_exact_dedup, op9_token_files, op10_pareto_mix)}
 
 SQL = {
     "op8_exact_dedup": r"""
