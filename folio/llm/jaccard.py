@@ -235,8 +235,8 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width:
     pairs = scratch.keep(gatherings(classes, percent, parts), "pairs")
     members = scratch.keep(blocks(pairs, classes.select("node", "n"), percent, scratch), "members")
     wanted = members.select("node").distinct().join(classes.select("node", "hi", "lo", "least_id"), "node")
-    texts = rows.select(F.coalesce("doc_id", F.lit(NO_ID)).alias("least_id"), "text").join(wanted, "least_id").select("node", "hi", "lo", "text")
-    found = scratch.keep(links(members.join(texts, "node"), width, percent, parts), "links")
+    texts = rows.select(F.coalesce("doc_id", F.lit(NO_ID)).alias("least_id"), "text").join(wanted.hint("merge"), "least_id").select("node", "hi", "lo", "text")
+    found = scratch.keep(links(members.join(texts.hint("merge"), "node"), width, percent, parts), "links")
     reached = components(found, scratch)
     ids = classes.drop("prefix").join(reached, "node", "left").withColumn("component", F.coalesce("component", "node"))
     least = ids.groupBy("component").agg(F.min("least_id").alias("component_id"))
