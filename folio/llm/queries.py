@@ -46,6 +46,12 @@ def op2_power_of_two_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
+def op6_vector_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from folio.llm.vectors import near_dedup
+
+    return near_dedup(_table(spark, sf_dir, "embeddings"))
+
+
 def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from folio.llm.dedup import dedup
 
@@ -66,7 +72,7 @@ def op10_pareto_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(_table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
-QUERIES = {f.__name__: f for f in (op1_secret_scan, op2_power_of_two_packing, op3_jaccard_join, op4_kneser_ney_quality, op8_exact_dedup, op9_token_files, op10_pareto_mix)}
+QUERIES = {f.__name__: f for f in (op1_secret_scan, op2_power_of_two_packing, op3_jaccard_join, op4_kneser_ney_quality, op6_vector_near_dedup, op8_exact_dedup, op9_token_files, op10_pareto_mix)}
 
 SQL = {
     "op8_exact_dedup": r"""
