@@ -46,12 +46,61 @@ def op2_power_of_two_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
+#: Schemas of the tools in the view below.
+TOOLS = {
+    "lookup": {"properties": {"limit": {"type": "integer", "minimum": 0, "maximum": 5}, "query": {"type": "string"}, "step": {"type": "integer"}}, "required": ["limit", "query", "step"], "additional": False},
+    "rewrite": {"properties": {"query": {"type": "string"}, "style": {"type": "string", "enum": ["plain", "formal"]}}, "required": ["query", "style"], "additional": True},
+}
+
+
+def tool_events(conversations: DataFrame) -> DataFrame:
+    """A view of plain conversations with tool calls: a user's turn is a call, the assistant's turn after it its result.
+
+    Calls of four turns in a row depend on each other; tools alternate, and some arguments break their schema.
+    """
+    role, turn = F.lower(F.trim("role")), F.col("turn")
+    name = lambda t: F.concat_ws(":", F.coalesce(F.col("conv_id").cast("string"), F.lit("-")), t.cast("string"))
+    is_call, is_result = F.coalesce(role == "user", F.lit(False)), F.coalesce(role == "assistant", F.lit(False))
+    size = F.octet_length(F.coalesce("text", F.lit("")))
+    lookup = F.to_json(F.struct(F.col("text").alias("query"), F.col("turn").alias("step"), (size % 7).alias("limit")))
+    rewrite = F.to_json(F.struct(F.when(size % 5 > 0, "plain").otherwise("odd").alias("style"), F.col("text").alias("query"), turn.alias("order")))
+    second = F.coalesce(turn % 4 >= 2, F.lit(False))
+    return conversations.select(
+        "conv_id", "turn",
+        F.when(is_call, "call").when(is_result, "result").otherwise("message").alias("kind"),
+        "role", F.col("text").alias("content"),
+        F.when(turn.isNotNull(), F.when(is_call, name(turn)).when(is_result, name(turn - 1))).alias("call_id"),
+        F.when(is_call, F.when(second, "rewrite").otherwise("lookup")).alias("tool"),
+        F.when(is_call, F.when(second, rewrite).otherwise(lookup)).alias("arguments"),
+        F.when(is_call & (turn % 8 >= 2), F.array(name(turn - 2))).alias("depends"),
+    )
+
+
+def op5_tool_call_linking(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from folio.llm.chat import link_tool_calls
+
+    return link_tool_calls(tool_events(_table(spark, sf_dir, "conversations")), TOOLS)
+
+
 def op6_vector_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from folio.llm.vectors import near_dedup
 
     return near_dedup(_table(spark, sf_dir, "embeddings"))
 
 
+def op7_token_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Totals after the documents came in two batches, the first of them twice."""
+    from folio.llm.rollup import TokenRollup, inserts, token_counts
+
+    docs, rollup = _table(spark, sf_dir, "documents"), TokenRollup(spark, Scratch(spark, "rollup").root)
+    half = F.pmod(F.xxhash64("doc_id"), F.lit(2))
+    for name, b in (("b0", 0), ("b1", 1), ("b0", 0)):
+        own = docs.where(half == b)
+        rollup.apply(name, inserts(token_counts(own).unionByName(token_counts(own, "words", "words-1"))))
+    rollup.compact()
+    return rollup.totals()
+
+
 def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from folio.llm.dedup import dedup
 
@@ -72,7 +121,7 @@ def op10_pareto_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(_table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
-QUERIES = {f.__name__: f for f in (op1_secret_scan, op2_power_of_two_packing, op3_jaccard_join, op4_kneser_ney_quality, op6_vector_near_dedup, op8_exact_dedup, op9_token_files, op10_pareto_mix)}
+QUERIES = {f.__name__: f for f in (op1_secret_scan, op2_power_of_two_packing, op3_jaccard_join, op4_kneser_ney_quality, op5_tool_call_linking, op6_vector_near_dedup, op7_token_rollup, op8_exact_dedup, op9_token_files, op10_pareto_mix)}
 
 SQL = {
     "op8_exact_dedup": r"""
