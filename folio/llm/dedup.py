@@ -165,7 +165,8 @@ class Index:
         wanted = hits.select(*KEY, F.explode(F.array("keep_id", "old_id")).alias("wanted_id")).distinct()
         key = [F.col(k) == F.col(f"w_{k}") for k in KEY]
         wanted = wanted.select(*[F.col(k).alias(f"w_{k}") for k in KEY], "wanted_id")
-        texts = docs.join(wanted, [F.coalesce(F.col("doc_id"), F.lit(NO_ID)) == F.col("wanted_id"), *key], "inner")
+        # a shuffled join at every size: a join that is broadcast while small would change its plan as the batch grows
+        texts = docs.join(wanted.hint("merge"), [F.coalesce(F.col("doc_id"), F.lit(NO_ID)) == F.col("wanted_id"), *key], "inner")
         return texts.groupBy(*KEY).agg((F.min("norm") == F.max("norm")).alias("same")).where("same").select(*KEY)
 
     def entries(self) -> DataFrame:
