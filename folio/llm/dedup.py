@@ -196,3 +196,11 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", batch
     out = digests.join(groups, KEY, "left")
     keep = F.when(F.col("keep_id") < NO_ID, F.col("keep_id"))
     return out.select("doc_id", keep.alias("keep_id"), "group_size", F.col("doc_id").eqNullSafe(keep).alias("kept"), F.lower(F.hex("digest")).alias("text_sha256"))
+
+
+def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", batches: int = 2, scratch: Scratch | None = None) -> DataFrame:
+    """``docs`` with one row of each text, that of the least id."""
+    found = dedup(docs, id_col, text_col, batches, scratch).where("kept").select(F.coalesce("doc_id", F.lit(NO_ID)).alias("stay_id"), F.unhex("text_sha256").alias("stay_digest")).distinct()
+    named = docs.withColumn("own_id", F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID))).withColumn("own_digest", F.unhex(F.sha2(normalised(F.col(text_col).cast("string")).cast("binary"), 256)))
+    stay = named.join(found.hint("merge"), [F.col("own_id") == F.col("stay_id"), F.col("own_digest") == F.col("stay_digest")], "left_semi")
+    return stay.dropDuplicates(["own_id", "own_digest"]).select(*docs.columns)

@@ -71,9 +71,10 @@ def frequent_shingles(docs: DataFrame, width: int) -> tuple[np.ndarray, np.ndarr
 SIGNED = "doc_id long, n long, hi long, lo long, prefix array<long>"
 
 
-def signatures(docs: DataFrame, width: int, percent: int, frequent=None) -> DataFrame:
-    """Per row its set's size and keys and, given the frequent shingles, those it is listed under."""
+def signatures(docs: DataFrame, width: int, percent: int, frequent=None, carry: tuple[str, ...] = ()) -> DataFrame:
+    """Per row its set's size and keys and, given the frequent shingles, those it is listed under; ``carry``: columns that follow."""
     sent = docs.sparkSession.sparkContext.broadcast(frequent)
+    kinds = ", ".join([SIGNED, *(f"`{c}` {t}" for c, t in docs.select(*carry).dtypes)])
 
     def run(batches):
         import pyarrow as pa
@@ -97,11 +98,11 @@ def signatures(docs: DataFrame, width: int, percent: int, frequent=None) -> Data
                     ends.append(ends[-1] + first)
                 values = np.concatenate(flat).view(np.int64) if flat else np.empty(0, np.int64)
                 yield pa.RecordBatch.from_arrays(
-                    [part.column(0), pa.array(sizes, pa.int64()), pa.array(his, pa.int64()), pa.array(los, pa.int64()), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(values))],
-                    names=["doc_id", "n", "hi", "lo", "prefix"],
+                    [part.column(0), pa.array(sizes, pa.int64()), pa.array(his, pa.int64()), pa.array(los, pa.int64()), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(values)), *part.columns[2:]],
+                    names=["doc_id", "n", "hi", "lo", "prefix", *carry],
                 )
 
-    return docs.select("doc_id", "text").mapInArrow(run, SIGNED)
+    return docs.select("doc_id", "text", *carry).mapInArrow(run, kinds)
 
 
 def gatherings(classes: DataFrame, percent: int, parts: int) -> DataFrame:
@@ -223,14 +224,14 @@ def blocks(pairs: DataFrame, sized: DataFrame, percent: int, scratch: Scratch) -
     return placed.join(meet, ["leader", "block"]).select("leader", "i", "j", "block", "node", "n")
 
 
-def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 80, scratch: Scratch | None = None) -> DataFrame:
-    """``doc_id, n_shingles, component_id`` for each row; links are ``100 * common >= percent * union``."""
-    spark: SparkSession = docs.sparkSession
-    scratch, parts = scratch or Scratch(spark, "jaccard"), partitions(spark)
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+KEYS = ["hi", "lo", "n"]
+
+
+def _classes(rows: DataFrame, width: int, percent: int, scratch: Scratch) -> DataFrame:
+    """``hi, lo, n, component_id, stays``: a row for each distinct set; one set of each component ``stays``."""
+    parts = partitions(rows.sparkSession)
     signed = signatures(rows, width, percent, frequent_shingles(rows, width))
-    keys = ["hi", "lo", "n"]
-    classes = signed.groupBy(*keys).agg(F.min(F.coalesce("doc_id", F.lit(NO_ID))).alias("least_id"), F.first("prefix").alias("prefix"))
+    classes = signed.groupBy(*KEYS).agg(F.min(F.coalesce("doc_id", F.lit(NO_ID))).alias("least_id"), F.first("prefix").alias("prefix"))
     classes = scratch.keep(classes.withColumn("node", F.monotonically_increasing_id()), "classes")
     pairs = scratch.keep(gatherings(classes, percent, parts), "pairs")
     members = scratch.keep(blocks(pairs, classes.select("node", "n"), percent, scratch), "members")
@@ -239,8 +240,31 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width:
     found = scratch.keep(links(members.join(texts.hint("merge"), "node"), width, percent, parts), "links")
     reached = components(found, scratch)
     ids = classes.drop("prefix").join(reached, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    least = ids.groupBy("component").agg(F.min("least_id").alias("component_id"))
-    final = scratch.keep(ids.join(least, "component").select(*keys, "component_id"), "final")
+    least = ids.groupBy("component").agg(F.min(F.struct("least_id", "node")).alias("first"))
+    return scratch.keep(ids.join(least, "component").select(*KEYS, "least_id", F.col("first.least_id").alias("component_id"), (F.col("node") == F.col("first.node")).alias("stays")), "final")
+
+
+def _rows(docs: DataFrame, id_col: str, text_col: str, *more) -> DataFrame:
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), *more)
+
+
+def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 80, scratch: Scratch | None = None) -> DataFrame:
+    """``doc_id, n_shingles, component_id`` for each row; links are ``100 * common >= percent * union``."""
+    rows = _rows(docs, id_col, text_col)
+    final = _classes(rows, width, percent, scratch or Scratch(docs.sparkSession, "jaccard"))
     own = signatures(rows, width, percent).drop("prefix")
     component = F.when(F.col("n") == 0, F.col("doc_id")).otherwise(F.when(F.col("component_id") < NO_ID, F.col("component_id")))
-    return own.join(final, keys, "left").select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"))
+    return own.join(final.drop("least_id", "stays"), KEYS, "left").select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"))
+
+
+def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 80, scratch: Scratch | None = None) -> DataFrame:
+    """``docs`` with one row of each component, that of the least id; rows without words all stay."""
+    carried = [f"carried_{c}" for c in docs.columns]
+    final = _classes(_rows(docs, id_col, text_col), width, percent, scratch or Scratch(docs.sparkSession, "jaccard"))
+    rows = _rows(docs, id_col, text_col, *[F.col(c).alias(f"carried_{c}") for c in docs.columns])
+    own = signatures(rows, width, percent, carry=tuple(carried)).drop("prefix")
+    stay = own.join(final.where("stays").hint("merge"), KEYS).where((F.col("n") == 0) | (F.coalesce("doc_id", F.lit(NO_ID)) == F.col("least_id")))
+    # rows alike in id and set are one document; those without words stay apart
+    alone = F.when(F.col("n") == 0, F.monotonically_increasing_id()).otherwise(0)
+    one = stay.withColumn("alone", alone).dropDuplicates([*KEYS, "alone"])
+    return one.select(*[F.col(f"carried_{c}").alias(c) for c in docs.columns])

@@ -62,7 +62,7 @@ def source_targets(sources: DataFrame, weights=WEIGHTS, ceiling: float = 3.0) ->
 
 
 def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weight_col: str | None = None, weights=WEIGHTS, ceiling: int = 3, seed: str = "mix", bins: int = BINS, scratch: Scratch | None = None) -> DataFrame:
-    """``doc_id, source, size, source_size, target, copies, taken``, a row for each document.
+    """``doc_id, source, size, copy_no, source_size, target, copies, taken``, a row for each document.
 
     With ``weight_col`` (null or negative: 0) expected copies are ``min(ceiling, c * weight)``, one ``c`` for a source from two
     rounds of rescaling; a source whose weights cannot reach its target takes what they allow.
@@ -121,4 +121,15 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     done = of_source(ranked, closer)
     is_close = F.coalesce(F.col("closing").isNotNull() & F.col("place").eqNullSafe(F.col("closing")), F.lit(False))
     copies = F.col("whole") + F.when(chosen | is_close, 1).otherwise(0)
-    return done.select("doc_id", "source", "size", "source_size", "target", copies.cast("long").alias("copies"), (copies * F.col("size")).cast("long").alias("taken"))
+    return done.select("doc_id", "source", "size", "copy_no", "source_size", "target", copies.cast("long").alias("copies"), (copies * F.col("size")).cast("long").alias("taken"))
+
+
+def mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", scratch: Scratch | None = None, **options) -> DataFrame:
+    """``docs`` with each row as often as the mix takes it."""
+    plan = mix(docs, id_col, text_col, source_col, scratch=scratch, **options).where("copies > 0")
+    plan = plan.select(*[F.col(c).alias(f"mix_{c}") for c in ("doc_id", "source", "size", "copy_no", "copies")])
+    own = docs.withColumn("own_id", F.col(id_col).cast("long")).withColumn("own_source", F.col(source_col).cast("string")).withColumn("own_size", word_count(F.col(text_col)))
+    # rows alike in id, source and size are told apart by their order, as in the plan
+    own = own.withColumn("own_no", (F.row_number().over(Window.partitionBy("own_id", "own_source", "own_size").orderBy(text_col)) - 1).cast("long"))
+    same = [F.col(f"own_{a}").eqNullSafe(F.col(f"mix_{b}")) for a, b in (("id", "doc_id"), ("source", "source"), ("size", "size"), ("no", "copy_no"))]
+    return own.join(plan.hint("merge"), same).withColumn("again", F.explode(F.sequence(F.lit(1).cast("long"), F.col("mix_copies")))).select(*docs.columns)
