@@ -22,6 +22,11 @@ def trim(c: Column) -> Column:
     return F.trim(c, F.lit(WHITE_SPACE))
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of ``value``, which is evaluated once however often ``body`` uses it (a lambda's variable isn't inlined)."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def lines(c: Column) -> Column:
     """Parts between line feeds; the empty text has one empty line, a final line feed gives a last empty one."""
     return F.split(c, "\n", -1)
@@ -49,27 +54,29 @@ def replace_first(text: Column, old: Column, new: Column) -> Column:
 
 def replace_matches(text: Column, pattern: str, groups: int, build: Callable[..., Column]) -> Column:
     """``text`` with each match replaced by ``build(group 1, ...)``, which may compute on the groups."""
-    between = F.split(text, pattern, -1)
-    found = [F.regexp_extract_all(text, F.lit(pattern), F.lit(g)) for g in range(1, groups + 1)]
-    last = F.size(between) - 1
-    return F.array_join(F.transform(between, lambda part, i: F.when(i < last, F.concat(part, build(*[at(f, i) for f in found]))).otherwise(part)), "")
+    found = F.struct(F.split(text, pattern, -1).alias("between"), *[F.regexp_extract_all(text, F.lit(pattern), F.lit(g)).alias(f"g{g}") for g in range(1, groups + 1)])
+
+    def joined(m: Column) -> Column:
+        last = F.size(m["between"]) - 1
+        return F.array_join(F.transform(m["between"], lambda part, i: F.when(i < last, F.concat(part, build(*[at(m[f"g{g}"], i) for g in range(1, groups + 1)]))).otherwise(part)), "")
+
+    return let(found, joined)
 
 
 def between_matches(text: Column, pattern: str, change: Callable[[Column], Column]) -> Column:
     """``text`` with ``change`` applied to what lies between matches, the matches kept."""
-    parts, kept = F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    return F.array_join(F.transform(parts, lambda part, i: F.concat(change(part), F.coalesce(at(kept, i), F.lit("")))), "")
+    found = F.struct(F.split(text, pattern, -1).alias("parts"), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("kept"))
+    return let(found, lambda m: F.array_join(F.transform(m["parts"], lambda part, i: F.concat(change(part), F.coalesce(at(m["kept"], i), F.lit("")))), ""))
 
 
 def title_case(c: Column) -> Column:
-    """First letter of each word upper-cased, the rest kept; a word starts after anything but letters, digits, ``_`` and ``'``-less ASCII.
+    """First letter of each word upper-cased, the rest kept.
 
-    In ASCII every character but letters, digits and underscore separates; beyond ASCII only white space does.
+    In ASCII every character but letters, digits and underscore separates words; beyond ASCII only white space does.
     """
     separator = r"[\x00-/:-@\[-^`{-\x7F" + WHITE_SPACE[6:] + "]"
-    parts, kept = F.split(c, separator, -1), F.regexp_extract_all(c, F.lit(separator), F.lit(0))
     upper = lambda w: F.concat(F.upper(F.left(w, F.lit(1))), F.substring(w, F.lit(2), F.char_length(w)))
-    return F.array_join(F.transform(parts, lambda w, i: F.concat(F.when(w == "", w).otherwise(upper(w)), F.coalesce(at(kept, i), F.lit("")))), "")
+    return between_matches(c, separator, lambda w: F.when(w == "", w).otherwise(upper(w)))
 
 
 def capitalise(c: Column) -> Column:

@@ -11,7 +11,7 @@ from collections.abc import Callable, Iterable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from folio.functions.text import WS, at, join_lines, lines, trim
+from folio.functions.text import WS, at, join_lines, let, lines, trim
 from folio.operators import fmt
 from folio.operators.lint import RULES, issues_of_lines
 
@@ -21,17 +21,8 @@ def _changed(before: Column, after: Column) -> Column:
     return F.size(F.filter(F.zip_with(before, after, lambda a, b: a != b), lambda x: x))
 
 
-def _each(change: Callable[[Column], Column]) -> Callable[[Column], tuple[Column, Column]]:
-    def fix(ls: Column) -> tuple[Column, Column]:
-        new = F.transform(ls, change)
-        return new, _changed(ls, new)
-
-    return fix
-
-
-def _blank_runs(ls: Column) -> tuple[Column, Column]:
-    kept = F.filter(ls, lambda s, i: ~((i > 0) & (trim(s) == "") & (trim(at(ls, i - 1)) == "")) | (i == 0))
-    return kept, F.size(ls) - F.size(kept)
+def _each(change: Callable[[Column], Column]):
+    return lambda ls: F.transform(ls, change), _changed
 
 
 def _no_space(s: Column) -> Column:
@@ -44,36 +35,48 @@ def _wide_space(s: Column) -> Column:
     return F.when(t.rlike(rf"\A#+[{WS}]{{2,}}"), F.regexp_replace(t, rf"\A(#+)[{WS}]{{2,}}", "$1 ")).otherwise(s)
 
 
-def _list_spacing(ls: Column) -> tuple[Column, Column]:
+def _list_spacing(ls: Column) -> Column:
     item = rf"\A[{WS}]*[*+-] "
-    new = F.flatten(F.transform(ls, lambda s, i: F.when((i > 0) & s.rlike(item) & (trim(at(ls, i - 1)) != ""), F.array(F.lit(""), s)).otherwise(F.array(s))))
-    return new, F.size(new) - F.size(ls)
+    return F.flatten(F.transform(ls, lambda s, i: F.when((i > 0) & s.rlike(item) & (trim(at(ls, i - 1)) != ""), F.array(F.lit(""), s)).otherwise(F.array(s))))
 
 
-def _file_end(ls: Column) -> tuple[Column, Column]:
+def _file_end(ls: Column) -> Column:
     solid = F.filter(F.transform(ls, lambda s, i: F.when(trim(s) != "", i + 1)), lambda x: x.isNotNull())
     n = F.coalesce(F.try_element_at(solid, F.lit(-1)), F.lit(0))
-    return F.concat(F.slice(ls, F.lit(1), n), F.array(F.lit(""))), F.lit(1)
+    return F.concat(F.slice(ls, F.lit(1), n), F.array(F.lit("")))
 
 
-FIXERS: dict[str, Callable[[Column], tuple[Column, Column]]] = {
+#: Per rule: lines to lines, and the count from lines before and after.
+FIXERS: dict[str, tuple[Callable[[Column], Column], Callable[[Column, Column], Column]]] = {
     "MD009": _each(lambda s: F.rtrim(s, F.lit(" \t"))),
     "MD010": _each(lambda s: F.replace(s, F.lit("\t"), F.lit("    "))),
-    "MD012": _blank_runs,
+    "MD012": (fmt.collapse_blanks, lambda old, new: F.size(old) - F.size(new)),
     "MD018": _each(_no_space),
     "MD019": _each(_wide_space),
     "MD023": _each(lambda s: F.regexp_replace(s, r"\A +#", "#")),
-    "MD032": _list_spacing,
-    "MD047": _file_end,
+    "MD032": (_list_spacing, lambda old, new: F.size(new) - F.size(old)),
+    "MD047": (_file_end, lambda old, new: F.lit(1)),
 }
+
+
+def _step(state: Column, rule: str) -> Column:
+    """The state ``ls, n`` after one fixer."""
+    change, count = FIXERS[rule]
+    return let(change(state["ls"]), lambda new: F.struct(new.alias("ls"), (state["n"] + count(state["ls"], new)).cast("int").alias("n")))
+
+
 #: Rules whose issues are counted when only the formatter has changed the text.
 COUNTED = ["MD009", "MD010", "MD012", "MD018", "MD019", "MD023", "MD047"]
 
 
+def _start(content: str) -> Column:
+    return F.struct(lines(F.col(content)).alias("ls"), F.lit(0).alias("n"))
+
+
 def fix_one(docs: DataFrame, rule: str, content: str = "content") -> DataFrame:
     """``docs`` with ``fixed`` and ``n_fixed`` of one fixer, run whether or not its rule has an issue."""
-    new, n = FIXERS[rule](F.col("_lines"))
-    return docs.withColumn("_lines", lines(F.col(content))).withColumn("fixed", join_lines(new)).withColumn("n_fixed", n.cast("long")).drop("_lines")
+    done = docs.withColumn("_s", let(_start(content), lambda s: _step(s, rule)))
+    return done.withColumn("fixed", join_lines(F.col("_s.ls"))).withColumn("n_fixed", F.col("_s.n").cast("long")).drop("_s")
 
 
 def fix(docs: DataFrame, rules: Iterable[str] | None = None, content: str = "content") -> DataFrame:
@@ -82,23 +85,29 @@ def fix(docs: DataFrame, rules: Iterable[str] | None = None, content: str = "con
     Nothing is written in place: ``content_before`` is the backup.  A document whose count is 0 keeps its text.
     """
     chosen = sorted(set(RULES) if rules is None else set(rules) & set(RULES))
-    df = docs.withColumn("content_before", F.col(content)).withColumn("_lines", lines(F.col(content)))
-    df = df.withColumn("_issues", issues_of_lines(F.col("_lines"), chosen)).withColumn("_hit", F.array_distinct(F.transform("_issues", lambda x: x["rule"])))
-    df = df.withColumn("_now", F.col("_lines")).withColumn("_n", F.lit(0))
-    for rule in [r for r in FIXERS if r in chosen]:
-        hit = F.array_contains("_hit", rule)
-        new, n = FIXERS[rule](F.col("_now"))
-        df = df.withColumn("_step", F.when(hit, F.struct(new.alias("ls"), n.alias("n"))))
-        df = df.withColumn("_now", F.coalesce("_step.ls", "_now")).withColumn("_n", F.col("_n") + F.coalesce("_step.n", F.lit(0)))
-    df = df.withColumn("_final", fmt.format_lines(F.col("_now")))
-    moved = join_lines(F.col("_final")) != join_lines(F.col("_now"))
-    counted = F.size(F.filter("_issues", lambda x: x["rule"].isin(*COUNTED)))
-    count = F.when(F.size("_issues") == 0, 0).when((F.col("_n") == 0) & moved, counted).otherwise(F.col("_n"))
-    df = df.withColumn("fixed_count", count.cast("long"))
-    written = F.col("fixed_count") > 0
-    marks = F.transform("_issues", lambda x: F.struct(x["line"].alias("line"), x["rule"].alias("rule"), x["message"].alias("message"), x["context"].alias("context"), _mark(x, written, chosen).alias("fixed")))
-    df = df.withColumn("issues", marks).withColumn(content, F.when(written, join_lines(F.col("_final"))).otherwise(F.col("content_before")))
-    return df.drop("_lines", "_issues", "_hit", "_now", "_n", "_step", "_final")
+
+    def document(issues: Column) -> Column:
+        hit = F.transform(issues, lambda x: x["rule"])
+
+        def run(state: Column, todo: list[str]) -> Column:
+            """Fixers one after another, then the formatter: each state is a variable, so the expression stays as long as the list."""
+            if not todo:
+                return let(fmt.format_lines(state["ls"]), lambda final: finish(state, final))
+            now = F.when(F.array_contains(hit, todo[0]), _step(state, todo[0])).otherwise(state)
+            return let(now, lambda s: run(s, todo[1:]))
+
+        def finish(state: Column, final: Column) -> Column:
+            counted = F.size(F.filter(issues, lambda x: x["rule"].isin(*COUNTED)))
+            count = F.when(F.size(issues) == 0, 0).when((state["n"] == 0) & (final != state["ls"]), counted).otherwise(state["n"])
+            return F.struct(join_lines(final).alias("text"), count.cast("long").alias("count"), issues.alias("issues"))
+
+        return let(_start(content), lambda s: run(s, [r for r in FIXERS if r in chosen]))
+
+    df = docs.withColumn("content_before", F.col(content)).withColumn("_d", let(let(lines(F.col(content)), lambda ls: issues_of_lines(ls, chosen)), document))
+    written = F.col("_d.count") > 0
+    marks = F.transform("_d.issues", lambda x: F.struct(x["line"].alias("line"), x["rule"].alias("rule"), x["message"].alias("message"), x["context"].alias("context"), _mark(x, written, chosen).alias("fixed")))
+    df = df.withColumn("fixed_count", F.col("_d.count")).withColumn("issues", marks)
+    return df.withColumn(content, F.when(written, F.col("_d.text")).otherwise(F.col("content_before"))).drop("_d")
 
 
 def _mark(issue: Column, written: Column, chosen: list[str]) -> Column:

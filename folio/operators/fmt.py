@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from folio.functions.text import WS, at, between_matches, join_lines, lines, replace_matches, squeeze, trim
+from folio.functions.text import WS, at, between_matches, join_lines, let, lines, replace_matches, squeeze, trim
 
 LINK = rf"(?d)\[(.*?)\]\([{WS}]*(.*?)[{WS}]*\)"
 ANCHOR = r"(?d)\]\(#(.*?)\)"
@@ -55,7 +55,7 @@ def format_lines(ls: Column) -> Column:
         plain = F.when(F.contains(s, F.lit("(")), parentheses(plain)).otherwise(plain)
         return F.when(is_heading(s), F.concat(before, F.array(heading(s)), after)).otherwise(F.array(cjk_spacing(plain)))
 
-    return collapse_blanks(F.flatten(F.transform(ls, one)))
+    return let(F.flatten(F.transform(ls, one)), collapse_blanks)
 
 
 def format_document(docs: DataFrame, content: str = "content", enabled: bool = True) -> DataFrame:

@@ -8,6 +8,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from folio.functions.text import clean_path, extension, file_dir, replace_first
 
@@ -57,7 +58,7 @@ def image_dir(path: Column, explicit: str | None = None, source_dir: str | None
     return clean_path(F.concat(file_dir(path), F.lit("/images")))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def relative_path(parts: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
     """POSIX path of the first column as seen from the folder in the second."""
     for target, start in parts:

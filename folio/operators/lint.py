@@ -15,7 +15,7 @@ from collections.abc import Callable, Iterable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from folio.functions.text import at, lines, trim
+from folio.functions.text import at, let, lines, trim
 
 ISSUE = "array<struct<line:int,rule:string,message:string,context:string>>"
 #: Identifiers and descriptions of the rules.
@@ -61,20 +61,23 @@ def _md001(ls: Column) -> Column:
     marked = F.transform(ls, lambda s, i: F.struct(i.alias("i"), trim(s).alias("t")))
     heads = F.filter(marked, lambda h: F.startswith(h["t"], F.lit("#")))
     level = lambda h: F.char_length(h["t"]) - F.char_length(F.ltrim(h["t"], F.lit("#")))
-    found = F.transform(heads, lambda h, k: F.when((k > 0) & (level(h) > level(at(heads, k - 1)) + 1), _issue(h["i"], "MD001", h["t"])))
-    return F.filter(found, lambda x: x.isNotNull())
+    found = lambda hs: F.transform(hs, lambda h, k: F.when((k > 0) & (level(h) > level(at(hs, k - 1)) + 1), _issue(h["i"], "MD001", h["t"])))
+    return F.filter(let(heads, found), lambda x: x.isNotNull())
 
 
 def _md032(ls: Column) -> Column:
-    ts = F.transform(ls, trim)
+    none = F.array().cast(ISSUE)
+
+    def around(ts: Column) -> Column:
+        def one(t: Column, i: Column) -> Column:
+            prev, after = at(ts, i - 1), at(ts, i + 1)
+            before = F.when((i > 0) & (prev != "") & ~_is_item(prev), _issue(i, "MD032", t, BEFORE_LIST))
+            behind = F.when((after != "") & ~_is_item(after), _issue(i + 1, "MD032", after, AFTER_LIST))
+            return F.when(_is_item(t), F.array(before, behind)).otherwise(none)
 
-    def around(t: Column, i: Column) -> Column:
-        prev, after = at(ts, i - 1), at(ts, i + 1)
-        before = F.when((i > 0) & (prev != "") & ~_is_item(prev), _issue(i, "MD032", t, BEFORE_LIST))
-        behind = F.when((after != "") & ~_is_item(after), _issue(i + 1, "MD032", after, AFTER_LIST))
-        return F.when(_is_item(t), F.array(before, behind)).otherwise(F.array().cast(ISSUE))
+        return F.flatten(F.transform(ts, one))
 
-    return F.filter(F.flatten(F.transform(ts, around)), lambda x: x.isNotNull())
+    return F.filter(let(F.transform(ls, trim), around), lambda x: x.isNotNull())
 
 
 def _md047(ls: Column) -> Column:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from folio.functions.text import WS, at, base_name, file_dir, join_lines, lines, title_case
+from folio.functions.text import WS, at, base_name, file_dir, join_lines, let, lines, title_case
 
 FRONT_MATTER = rf"(?s)\A---[{WS}]*\n(.*?)\n---[{WS}]*\n"
 ATX = rf"(?d)\A(#{{1,6}})[{WS}]+(.+)\z"
@@ -36,7 +36,7 @@ def shift_lines(ls: Column, by: int) -> Column:
     taken = F.transform(ls, lambda s, i: is_under(s) & (i > 0) & F.coalesce(is_under(at(ls, i - 1)) | (at(ls, i - 1) != ""), F.lit(False)))
     own = F.filter(F.transform(taken, lambda t, i: F.when(~t, i)), lambda x: x.isNotNull())
 
-    def one(i: Column, k: Column) -> Column:
+    def one(own: Column, i: Column, k: Column) -> Column:
         s = at(ls, i)
         end = F.coalesce(at(own, k + 1), F.size(ls))
         atx = F.regexp_extract(s, ATX, 1)
@@ -44,7 +44,7 @@ def shift_lines(ls: Column, by: int) -> Column:
         under = F.when(at(ls, end - 1).rlike(UNDER_1), 1).otherwise(2)
         return F.when(end > i + 1, _at_level(under + by, s)).otherwise(plain)
 
-    return F.transform(own, one)
+    return let(own, lambda o: F.transform(o, lambda i, k: one(o, i, k)))
 
 
 def shift_headings(docs: DataFrame, by: int, content: str = "content") -> DataFrame:
@@ -54,7 +54,7 @@ def shift_headings(docs: DataFrame, by: int, content: str = "content") -> DataFr
     if by < -1:
         low = F.exists(_scanned(F.col(content)), lambda s: (F.char_length(F.regexp_extract(s, ATX, 1)) > 0) & (F.char_length(F.regexp_extract(s, ATX, 1)) < -by) | s.rlike(UNDER_1) & F.lit(by < -1) | s.rlike(UNDER_2) & F.lit(by < -2))
         docs = docs.withColumn(content, F.when(low, F.raise_error(F.lit("heading level below 0"))).otherwise(F.col(content)))
-    return docs.withColumn("_lines", _scanned(F.col(content))).withColumn(content, join_lines(shift_lines(F.col("_lines"), by))).drop("_lines")
+    return docs.withColumn(content, let(_scanned(F.col(content)), lambda ls: join_lines(shift_lines(ls, by))))
 
 
 def file_title(path: Column) -> Column:

@@ -11,6 +11,7 @@ from functools import reduce
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from folio.functions.text import at, replace_first, trim
 from folio.operators.fmt import format_document
@@ -63,7 +64,7 @@ def second_removal(text: Column) -> Column:
     return F.when(F.startswith(trim(text), F.lit("---")) & (F.size(parts) >= 3), trim(at(parts, 2))).otherwise(text)
 
 
-@F.pandas_udf("boolean")
+@F.pandas_udf(T.BooleanType())
 def says_translated(yaml: pd.Series) -> pd.Series:
     """Whether front matter holds ``translated: true`` as a boolean."""
     import yaml as lib
@@ -78,7 +79,7 @@ def says_translated(yaml: pd.Series) -> pd.Series:
     return yaml.map(one).astype(bool)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def marked_yaml(yaml: pd.Series) -> pd.Series:
     """Front matter with ``translated: true`` added, keys sorted."""
     import yaml as lib

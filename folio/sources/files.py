@@ -7,6 +7,7 @@ from collections.abc import Iterable, Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.utils import AnalysisException
 
 #: Which paths each kind of scan takes: lint and export fold case, download and upload do not, translation takes ``.md`` only.
@@ -23,7 +24,7 @@ def takes(path: Column, kind: str) -> Column:
     return path.rlike(PREDICATES[kind])
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def decode_gbk(raw: Iterator[pd.Series]) -> Iterator[pd.Series]:
     for s in raw:
         yield s.map(lambda b: None if b is None else bytes(b).decode("gbk", "replace"))
