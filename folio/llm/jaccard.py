@@ -36,7 +36,7 @@ NO_ID = (1 << 63) - 1
 #: A shingle seen this often in a batch is reported, and those reported this often in all are put last; at most so many.
 IN_BATCH, IN_ALL, FREQUENT = 3, 20, 1 << 20
 #: Shingles of a block, and the least a set counts, which bounds the sets of a block.
-BLOCK, LEAST = 1 << 20, 1 << 9
+BLOCK, LEAST = 1 << 19, 1 << 8
 PIVOTS = 12
 
 
@@ -56,7 +56,7 @@ def frequent_shingles(docs: DataFrame, width: int) -> tuple[np.ndarray, np.ndarr
         import pyarrow as pa
 
         for batch in batches:
-            sets = [s for lo in range(0, batch.num_rows, 2_000) for s in shingle_sets(*arrow_bytes(batch.column(0).slice(lo, 2_000)), width)]
+            sets = [s for lo in range(0, batch.num_rows, 500) for s in shingle_sets(*arrow_bytes(batch.column(0).slice(lo, 500)), width)]
             got, n = np.unique(np.concatenate(sets) if sets else np.empty(0, np.uint64), return_counts=True)
             got, n = got[n >= IN_BATCH], n[n >= IN_BATCH]
             yield pa.RecordBatch.from_arrays([pa.array(got.view(np.int64)), pa.array(n.astype(np.int64))], names=["h", "n"])
@@ -81,8 +81,8 @@ def signatures(docs: DataFrame, width: int, percent: int, frequent=None, carry:
 
         often, counts = sent.value or (None, None)
         for batch in batches:
-            for lo in range(0, batch.num_rows, 2_000):
-                part = batch.slice(lo, 2_000)
+            for lo in range(0, batch.num_rows, 500):
+                part = batch.slice(lo, 500)
                 sizes, his, los, flat, ends = [], [], [], [], [0]
                 for s in shingle_sets(*arrow_bytes(part.column(1)), width):
                     n = len(s)
@@ -190,8 +190,8 @@ def links(members: DataFrame, width: int, percent: int, parts: int) -> DataFrame
 
         for batch in batches:
             got: list[tuple[int, int]] = []
-            for lo in range(0, batch.num_rows, 1_000):
-                part = batch.slice(lo, 1_000)
+            for lo in range(0, batch.num_rows, 500):
+                part = batch.slice(lo, 500)
                 own = shingle_sets(*arrow_bytes(part.column(8)), width)
                 for leader, i, j, block, node, hi, lo_, s in zip(*(part.column(c).to_pylist() for c in (0, 1, 2, 3, 5, 6, 7)), own, strict=True):
                     if (leader, i, j) != key:
@@ -234,12 +234,14 @@ def _classes(rows: DataFrame, width: int, percent: int, scratch: Scratch) -> Dat
     classes = signed.groupBy(*KEYS).agg(F.min(F.coalesce("doc_id", F.lit(NO_ID))).alias("least_id"), F.first("prefix").alias("prefix"))
     classes = scratch.keep(classes.withColumn("node", F.monotonically_increasing_id()), "classes")
     pairs = scratch.keep(gatherings(classes, percent, parts), "pairs")
-    members = scratch.keep(blocks(pairs, classes.select("node", "n"), percent, scratch), "members")
-    wanted = members.select("node").distinct().join(classes.select("node", "hi", "lo", "least_id"), "node")
-    texts = rows.select(F.coalesce("doc_id", F.lit(NO_ID)).alias("least_id"), "text").join(wanted.hint("merge"), "least_id").select("node", "hi", "lo", "text")
-    found = scratch.keep(links(members.join(texts.hint("merge"), "node"), width, percent, parts), "links")
+    slim = scratch.keep(classes.drop("prefix"), "slim")
+    scratch.drop("classes")
+    classes = slim
+    members = scratch.keep(blocks(pairs, classes.select("node", "n"), percent, scratch).join(classes.select("node", "hi", "lo", "least_id"), "node"), "members")
+    texts = rows.select(F.coalesce("doc_id", F.lit(NO_ID)).alias("least_id"), "text")
+    found = scratch.keep(links(texts.join(members.hint("merge"), "least_id"), width, percent, parts), "links")
     reached = components(found, scratch)
-    ids = classes.drop("prefix").join(reached, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    ids = classes.join(reached, "node", "left").withColumn("component", F.coalesce("component", "node"))
     least = ids.groupBy("component").agg(F.min(F.struct("least_id", "node")).alias("first"))
     return scratch.keep(ids.join(least, "component").select(*KEYS, "least_id", F.col("first.least_id").alias("component_id"), (F.col("node") == F.col("first.node")).alias("stays")), "final")
 

@@ -19,7 +19,7 @@ _INVERSE = np.uint64(pow(int(_BASE), -1, 1 << 64))
 _M1 = np.uint64(0xBF58476D1CE4E5B9)
 _M2 = np.uint64(0x94D049BB133111EB)
 _STEP = np.uint64(0xD1342543DE82EF95)
-_BLOCK = 1 << 22
+_BLOCK = 1 << 19
 
 
 def mix(x: np.ndarray) -> np.ndarray:
