@@ -71,7 +71,7 @@ def link_tool_calls(events: DataFrame, schemas: dict, scratch: Scratch | None =
     rows = events.select("conv_id", key.alias("conv"), F.col("turn").cast("long").alias("turn"), "kind", F.lower(F.trim("role")).alias("role"), "content", "call_id", "tool", "arguments", "depends")
     first = rows.where("kind = 'call' AND call_id IS NOT NULL").groupBy("conv", "call_id").agg(F.min(F.struct("turn", "tool", "arguments", "depends")).alias("c"))
     calls = scratch.keep(first.select("conv", "call_id", "c.*"), "calls")
-    answers = scratch.keep(rows.where("kind = 'result' AND call_id IS NOT NULL").groupBy("conv", "call_id").agg(F.max("turn").alias("last_result")).join(calls.select("conv", "call_id"), ["conv", "call_id"]), "answers")
+    answers = scratch.keep(rows.where("kind = 'result' AND call_id IS NOT NULL").groupBy("conv", "call_id").agg(F.max("turn").alias("last_result"), F.lit(True).alias("answered")).join(calls.select("conv", "call_id"), ["conv", "call_id"]), "answers")
     levels = _levels(calls, answers, scratch)
     of_call = calls.select("conv", "call_id", F.struct("turn", "tool", "arguments").alias("c_first")).join(answers, ["conv", "call_id"], "left").join(levels, ["conv", "call_id"], "left")
     joined = rows.join(of_call, ["conv", "call_id"], "left")
@@ -80,7 +80,7 @@ def link_tool_calls(events: DataFrame, schemas: dict, scratch: Scratch | None =
     link = (
         F.when(is_call & known & ~same, "duplicate")
         .when(is_call & known & F.col("c_level").isNull(), "cyclic")
-        .when(is_call & F.col("last_result").isNotNull(), "linked")
+        .when(is_call & F.col("answered").isNotNull(), "linked")
         .when(is_call, "unanswered")
         .when(is_result & known, "linked")
         .when(is_result, "orphan")

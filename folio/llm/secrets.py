@@ -99,7 +99,8 @@ def is_der_key(raw: bytes | None) -> bool:
         return False
     if tags[1] == 0x30:  # version, algorithm, octets
         first = _items(raw, parts[1][1], parts[1][2])
-        return len(tags) >= 3 and tags[2] == 0x04 and bool(first) and first[0][0] == 0x06
+        inner = _items(raw, parts[2][1], parts[2][2]) if len(tags) >= 3 and tags[2] == 0x04 else None
+        return bool(first) and first[0][0] == 0x06 and inner is not None and len(inner) == 1
     if tags[1] == 0x04:  # version 1, octets, optional tagged parts
         return raw[parts[0][1]] == 1 and all(t in (0xA0, 0xA1) for t in tags[2:])
     return len(tags) >= 9 and all(t == 0x02 for t in tags[:9])
@@ -185,7 +186,7 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     def run(batches):
         import pyarrow as pa
 
-        for batch in batches:
+        for batch in (b.slice(lo, 500) for b in batches for lo in range(0, b.num_rows, 500)):
             rows = []
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 base, more = base_spans(text or ""), confirmed_spans(text or "")
