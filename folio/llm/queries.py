@@ -2,16 +2,14 @@
 
 from __future__ import annotations
 
-import os
-from pathlib import Path
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folio.llm.scratch import Scratch
+from folio.llm.scratch import Scratch, bounded_batches
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    bounded_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -124,6 +122,28 @@ def op10_pareto_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {f.__name__: f for f in (op1_secret_scan, op2_power_of_two_packing, op3_jaccard_join, op4_kneser_ney_quality, op5_tool_call_linking, op6_vector_near_dedup, op7_token_rollup, op8_exact_dedup, op9_token_files, op10_pareto_mix)}
 
 SQL = {
+    "op5_tool_call_linking": r"""
+WITH RECURSIVE c AS (SELECT conv_id, turn, text, lower(trim(role)) AS r, strlen(coalesce(text, '')) AS size FROM conversations),
+k AS (SELECT *, CASE r WHEN 'user' THEN 'call' WHEN 'assistant' THEN 'result' ELSE 'message' END AS kind,
+        CASE r WHEN 'user' THEN conv_id || ':' || turn WHEN 'assistant' THEN conv_id || ':' || (turn - 1) END AS call_id, turn % 4 >= 2 AS second FROM c),
+calls AS (SELECT DISTINCT conv_id, turn FROM k WHERE kind = 'call'),
+ans AS (SELECT conv_id, turn - 1 AS turn FROM k WHERE kind = 'result'),
+lv AS (SELECT conv_id, turn, 0::BIGINT AS level FROM calls a WHERE turn % 8 < 2 OR NOT EXISTS (SELECT 1 FROM calls b WHERE b.conv_id = a.conv_id AND b.turn = a.turn - 2)
+       UNION ALL SELECT a.conv_id, a.turn, lv.level + 2 FROM lv JOIN calls a ON a.conv_id = lv.conv_id AND a.turn = lv.turn + 2 AND a.turn % 8 >= 2),
+j AS (SELECT k.*, lv.level AS own_level, ans.turn IS NOT NULL AS answered,
+        CASE WHEN kind = 'call' AND second THEN {'order': k.turn, 'query': text, 'style': CASE WHEN size % 5 > 0 THEN 'plain' ELSE 'odd' END}::JSON::VARCHAR
+             WHEN kind = 'call' THEN {'limit': size % 7, 'query': text, 'step': k.turn}::JSON::VARCHAR END AS args
+      FROM k LEFT JOIN lv ON lv.conv_id = k.conv_id AND lv.turn = CASE WHEN kind = 'call' THEN k.turn WHEN kind = 'result' THEN k.turn - 1 END
+      LEFT JOIN (SELECT DISTINCT * FROM ans) ans ON ans.conv_id = k.conv_id AND ans.turn = k.turn AND kind = 'call')
+SELECT conv_id, turn, kind, call_id,
+  CASE kind WHEN 'call' THEN CASE WHEN answered THEN 'linked' ELSE 'unanswered' END WHEN 'result' THEN CASE WHEN own_level IS NOT NULL THEN 'linked' ELSE 'orphan' END END AS link,
+  CASE kind WHEN 'call' THEN CASE WHEN second THEN size % 5 > 0 ELSE size % 7 <= 5 END END AS valid,
+  CASE kind WHEN 'call' THEN CASE WHEN second AND size % 5 = 0 THEN 'style: not allowed' WHEN NOT second AND size % 7 > 5 THEN 'limit: too large' ELSE '' END END AS problems,
+  turn AS after, CASE kind WHEN 'call' THEN own_level WHEN 'result' THEN coalesce(own_level + 1, 0) ELSE 0 END AS level,
+  CASE kind WHEN 'call' THEN '{"role":"assistant","tool_calls":[{"arguments":' || args || ',"id":' || to_json(call_id) || ',"name":"' || CASE WHEN second THEN 'rewrite' ELSE 'lookup' END || '"}]}'
+            WHEN 'result' THEN {'content': text, 'role': 'tool', 'tool_call_id': call_id}::JSON::VARCHAR
+            ELSE {'content': text, 'role': r}::JSON::VARCHAR END AS json
+FROM j""",
     "op8_exact_dedup": r"""
 WITH d AS (SELECT doc_id, sha256(regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g')) AS h FROM documents),
 g AS (SELECT h, min(doc_id) AS keep_id, count(*) AS group_size FROM d GROUP BY h)
