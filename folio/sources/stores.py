@@ -15,13 +15,12 @@ CACHE = "local_path string, remote_path string, url string, hash string, upload_
 
 def read_cache(spark: SparkSession, path: str) -> DataFrame:
     """The cache at ``path``, empty if it is missing or corrupt."""
-    empty = spark.createDataFrame([], CACHE)
     try:
-        raw = spark.read.schema(CACHE + ", _corrupt string").option("columnNameOfCorruptRecord", "_corrupt").json(path)
-        raw.limit(1).collect()
-    except Exception:
-        return empty
-    return raw.where("_corrupt IS NULL AND local_path IS NOT NULL").drop("_corrupt") if raw.where("_corrupt IS NOT NULL").isEmpty() else empty
+        raw = spark.read.schema(CACHE).option("mode", "FAILFAST").json(path)
+        raw.write.format("noop").mode("overwrite").save()
+    except Exception:  # whatever is wrong with the file, uploads go on without it
+        return spark.createDataFrame([], CACHE)
+    return raw.where("local_path IS NOT NULL")
 
 
 def write_cache(cache: DataFrame, path: str) -> None:
