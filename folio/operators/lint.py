@@ -11,6 +11,7 @@ Defined cases: null content gives a null issue array, hence no issue rows; the e
 from __future__ import annotations
 
 from collections.abc import Callable, Iterable
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -47,37 +48,55 @@ def _issue(i: Column, rule: str, context: Column | None, message: str | None = N
     return F.struct((i + 1).cast("int").alias("line"), F.lit(rule).alias("rule"), F.lit(message or RULES[rule]).alias("message"), ctx.alias("context"))
 
 
-def _where(ls: Column, rule: str, test: Callable[[Column, Column], Column], context: Callable[[Column], Column] | None, message: str | None = None) -> Column:
-    """Issues of the lines that pass ``test(line, index)``."""
-    found = F.transform(ls, lambda s, i: F.when(test(s, i), _issue(i, rule, context(s) if context else None, message)))
-    return F.filter(found, lambda x: x.isNotNull())
-
-
 def _is_item(t: Column) -> Column:
     return t.rlike(ITEM)
 
 
-def _md001(ls: Column) -> Column:
-    marked = F.transform(ls, lambda s, i: F.struct(i.alias("i"), trim(s).alias("t")))
-    heads = F.filter(marked, lambda h: F.startswith(h["t"], F.lit("#")))
-    level = lambda h: F.char_length(h["t"]) - F.char_length(F.ltrim(h["t"], F.lit("#")))
-    found = lambda hs: F.transform(hs, lambda h, k: F.when((k > 0) & (level(h) > level(at(hs, k - 1)) + 1), _issue(h["i"], "MD001", h["t"])))
-    return F.filter(let(heads, found), lambda x: x.isNotNull())
+@dataclass(frozen=True)
+class Line:
+    """What a rule sees of a line: itself, trimmed, its index from 0, and its neighbours trimmed (null at the ends)."""
+
+    raw: Column
+    t: Column
+    i: Column
+    prev: Column
+    next: Column
+
 
+def _md032(x: Line) -> list[Column]:
+    before = F.when(_is_item(x.t) & (x.prev != "") & ~_is_item(x.prev), _issue(x.i, "MD032", x.t, BEFORE_LIST))
+    behind = F.when(_is_item(x.t) & (x.next != "") & ~_is_item(x.next), _issue(x.i + 1, "MD032", x.next, AFTER_LIST))
+    return [before, behind]
+
+
+#: Rules on single lines and their neighbours: each gives issues that are null where it does not fire.
+LINE_RULES: dict[str, Callable[[Line], list[Column]]] = {
+    "MD003": lambda x: [],  # only one style is ever told apart, so nothing is inconsistent
+    "MD009": lambda x: [F.when(F.endswith(x.raw, F.lit(" ")) | F.endswith(x.raw, F.lit("\t")), _issue(x.i, "MD009", x.raw))],
+    "MD010": lambda x: [F.when(F.contains(x.raw, F.lit("\t")), _issue(x.i, "MD010", x.raw))],
+    "MD012": lambda x: [F.when((x.t == "") & (x.prev == ""), _issue(x.i, "MD012", None))],
+    "MD013": lambda x: [F.when(F.octet_length(x.raw) > MAX_LINE_BYTES, _issue(x.i, "MD013", x.raw, TOO_LONG))],
+    "MD018": lambda x: [F.when(F.startswith(x.t, F.lit("#")) & x.t.rlike(NO_SPACE), _issue(x.i, "MD018", x.t))],
+    "MD019": lambda x: [F.when(F.startswith(x.t, F.lit("#")) & x.t.rlike(WIDE_SPACE), _issue(x.i, "MD019", x.t))],
+    "MD023": lambda x: [F.when(F.startswith(x.raw, F.lit(" ")) & x.raw.rlike(INDENTED), _issue(x.i, "MD023", x.raw))],
+    "MD032": _md032,
+}
 
-def _md032(ls: Column) -> Column:
-    none = F.array().cast(ISSUE)
 
-    def around(ts: Column) -> Column:
-        def one(t: Column, i: Column) -> Column:
-            prev, after = at(ts, i - 1), at(ts, i + 1)
-            before = F.when((i > 0) & (prev != "") & ~_is_item(prev), _issue(i, "MD032", t, BEFORE_LIST))
-            behind = F.when((after != "") & ~_is_item(after), _issue(i + 1, "MD032", after, AFTER_LIST))
-            return F.when(_is_item(t), F.array(before, behind)).otherwise(none)
+def _line_issues(ls: Column, ts: Column, rules: list[str]) -> Column:
+    def one(s: Column, i: Column) -> Column:
+        x = Line(s, at(ts, i), i, at(ts, i - 1), at(ts, i + 1))
+        return F.array_compact(F.array(*[c for r in rules for c in LINE_RULES[r](x)]))
 
-        return F.flatten(F.transform(ts, one))
+    return F.flatten(F.transform(ls, one))
 
-    return F.filter(let(F.transform(ls, trim), around), lambda x: x.isNotNull())
+
+def _md001(ts: Column) -> Column:
+    """Headings that are more than one level below the heading before them."""
+    level = lambda t: F.char_length(t) - F.char_length(F.ltrim(t, F.lit("#")))
+    marked = F.transform(ts, lambda t, i: F.when(F.startswith(t, F.lit("#")), F.struct(i.alias("i"), t.alias("t"), level(t).alias("level"))))
+    found = lambda hs: F.transform(hs, lambda h, k: F.when(h["level"] > at(hs, k - 1)["level"] + 1, _issue(h["i"], "MD001", h["t"])))
+    return F.array_compact(let(F.array_compact(marked), found))
 
 
 def _md047(ls: Column) -> Column:
@@ -87,21 +106,6 @@ def _md047(ls: Column) -> Column:
     return F.coalesce(out, F.array().cast(ISSUE))
 
 
-CHECKS: dict[str, Callable[[Column], Column]] = {
-    "MD001": _md001,
-    "MD003": lambda ls: F.array().cast(ISSUE),  # only one style is ever told apart, so nothing is inconsistent
-    "MD009": lambda ls: _where(ls, "MD009", lambda s, i: s.rlike(r"[ \t]\z"), lambda s: s),
-    "MD010": lambda ls: _where(ls, "MD010", lambda s, i: F.contains(s, F.lit("\t")), lambda s: s),
-    "MD012": lambda ls: _where(ls, "MD012", lambda s, i: (i > 0) & (trim(s) == "") & (trim(at(ls, i - 1)) == ""), None),
-    "MD013": lambda ls: _where(ls, "MD013", lambda s, i: F.octet_length(s) > MAX_LINE_BYTES, lambda s: s, TOO_LONG),
-    "MD018": lambda ls: _where(ls, "MD018", lambda s, i: trim(s).rlike(NO_SPACE), trim),
-    "MD019": lambda ls: _where(ls, "MD019", lambda s, i: trim(s).rlike(WIDE_SPACE), trim),
-    "MD023": lambda ls: _where(ls, "MD023", lambda s, i: s.rlike(INDENTED), lambda s: s),
-    "MD032": _md032,
-    "MD047": _md047,
-}
-
-
 def select_rules(enabled: Iterable[str] | None = None, disabled: Iterable[str] = (), config: dict[str, bool] | None = None) -> list[str]:
     """Rules that run: all, less what ``config`` turns off; ``enabled`` replaces that; ``disabled`` is subtracted. Unknown names count for nothing."""
     on = {r: True for r in RULES} | {r: v for r, v in (config or {}).items() if r in RULES and v is not None}
@@ -114,10 +118,15 @@ def select_rules(enabled: Iterable[str] | None = None, disabled: Iterable[str] =
 def issues_of_lines(ls: Column, rules: Iterable[str] | None = None) -> Column:
     """Issues of an array of lines under the given rules (all by default), by line, rule and message."""
     chosen = sorted(RULES if rules is None else set(rules) & set(RULES))
-    parts = [CHECKS[r](ls) for r in chosen]
-    if not parts:
+    single = [r for r in chosen if r in LINE_RULES and r != "MD003"]
+
+    def found(ts: Column) -> Column:
+        parts = [*([_line_issues(ls, ts, single)] if single else []), *([_md001(ts)] if "MD001" in chosen else []), *([_md047(ls)] if "MD047" in chosen else [])]
+        return F.concat(*parts) if len(parts) > 1 else parts[0]
+
+    if not set(chosen) - {"MD003"}:
         return F.when(ls.isNotNull(), F.array().cast(ISSUE))
-    return F.array_sort(F.concat(*parts)) if len(parts) > 1 else parts[0]
+    return F.array_sort(let(F.transform(ls, trim), found))
 
 
 def issues(docs: DataFrame, rules: Iterable[str] | None = None, content: str = "content") -> DataFrame:
