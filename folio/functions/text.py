@@ -18,8 +18,12 @@ WS = r"\t\n\f\r "
 
 
 def trim(c: Column) -> Column:
-    """Without Unicode white space at both ends."""
-    return F.trim(c, F.lit(WHITE_SPACE))
+    """Without Unicode white space at both ends.
+
+    The engine's trimming by a set of characters measures the whole text first, so it runs only where an end is white.
+    """
+    white = lambda end: F.contains(F.lit(WHITE_SPACE), end)
+    return F.when(white(F.left(c, F.lit(1))) | white(F.right(c, F.lit(1))), F.trim(c, F.lit(WHITE_SPACE))).otherwise(c)
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:

@@ -48,7 +48,7 @@ def _file_end(ls: Column) -> Column:
 
 #: Per rule: lines to lines, and the count from lines before and after.
 FIXERS: dict[str, tuple[Callable[[Column], Column], Callable[[Column, Column], Column]]] = {
-    "MD009": _each(lambda s: F.rtrim(s, F.lit(" \t"))),
+    "MD009": _each(lambda s: F.when(F.endswith(s, F.lit(" ")) | F.endswith(s, F.lit("\t")), F.rtrim(s, F.lit(" \t"))).otherwise(s)),
     "MD010": _each(lambda s: F.replace(s, F.lit("\t"), F.lit("    "))),
     "MD012": (fmt.collapse_blanks, lambda old, new: F.size(old) - F.size(new)),
     "MD018": _each(_no_space),

@@ -53,7 +53,8 @@ def format_lines(ls: Column) -> Column:
         after = F.when(i < last, F.array(F.lit(""))).otherwise(F.array().cast("array<string>"))
         plain = F.when(F.contains(s, F.lit("](")), links(s)).otherwise(s)
         plain = F.when(F.contains(s, F.lit("(")), parentheses(plain)).otherwise(plain)
-        return F.when(is_heading(s), F.concat(before, F.array(heading(s)), after)).otherwise(F.array(cjk_spacing(plain)))
+        spaced = F.when(F.octet_length(s) == F.char_length(s), plain).otherwise(cjk_spacing(plain))  # ASCII holds no Han
+        return F.when(is_heading(s), F.concat(before, F.array(heading(s)), after)).otherwise(F.array(spaced))
 
     return let(F.flatten(F.transform(ls, one)), collapse_blanks)
 
