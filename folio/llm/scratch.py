@@ -45,3 +45,10 @@ class Scratch:
 
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def bounded_batches(spark: SparkSession, rows: int = 1_000) -> None:
+    """Hand at most so many rows at once to Python in this session: whole texts are long, and a batch is held on both sides."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key)) <= rows:
+        spark.conf.set(key, rows)

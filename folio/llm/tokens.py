@@ -80,6 +80,11 @@ def encoder(path: str, end_id: int | None = None) -> Encoder:
     return Encoder(path, end_id)
 
 
+def release() -> None:
+    """Give up this process's piece tables; tasks of other operators that run in it call this first."""
+    encoder.cache_clear()
+
+
 def public_path(name: str = "word_bpe_49k.json") -> str:
     import public_tokenizers
 
