@@ -31,12 +31,13 @@ from pyspark.sql import Window
 from folio.llm.components import Forest, components
 from folio.llm.scratch import Scratch, partitions
 from folio.llm.shingles import arrow_bytes, mix, shingle_sets
+from folio.llm.tokens import release
 
 NO_ID = (1 << 63) - 1
-#: A shingle seen this often in a batch is reported, and those reported this often in all are put last; at most so many.
-IN_BATCH, IN_ALL, FREQUENT = 3, 20, 1 << 20
+#: A shingle seen this often in a stretch of so many shingles is reported, and those reported this often in all are put last; at most so many.
+IN_STRETCH, STRETCH, IN_ALL, FREQUENT = 2, 1 << 22, 3, 1 << 20
 #: Shingles of a block, and the least a set counts, which bounds the sets of a block.
-BLOCK, LEAST = 1 << 19, 1 << 8
+BLOCK, LEAST = 1 << 20, 1 << 9
 PIVOTS = 12
 
 
@@ -55,11 +56,25 @@ def frequent_shingles(docs: DataFrame, width: int) -> tuple[np.ndarray, np.ndarr
     def run(batches):
         import pyarrow as pa
 
+        release()
+        held, total = [], 0
+
+        def report():
+            got, n = np.unique(np.concatenate(held), return_counts=True)
+            held.clear()
+            got, n = got[n >= IN_STRETCH], n[n >= IN_STRETCH]
+            return pa.RecordBatch.from_arrays([pa.array(got.view(np.int64)), pa.array(n.astype(np.int64))], names=["h", "n"])
+
         for batch in batches:
-            sets = [s for lo in range(0, batch.num_rows, 500) for s in shingle_sets(*arrow_bytes(batch.column(0).slice(lo, 500)), width)]
-            got, n = np.unique(np.concatenate(sets) if sets else np.empty(0, np.uint64), return_counts=True)
-            got, n = got[n >= IN_BATCH], n[n >= IN_BATCH]
-            yield pa.RecordBatch.from_arrays([pa.array(got.view(np.int64)), pa.array(n.astype(np.int64))], names=["h", "n"])
+            for lo in range(0, batch.num_rows, 500):
+                for s in shingle_sets(*arrow_bytes(batch.column(0).slice(lo, 500)), width):
+                    held.append(s)
+                    total += len(s)
+                if total >= STRETCH:
+                    total = 0
+                    yield report()
+        if held:
+            yield report()
 
     found = docs.select("text").mapInArrow(run, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).where(F.col("n") >= IN_ALL)
     table = found.orderBy(F.col("n").desc(), "h").limit(FREQUENT).toArrow()
@@ -180,6 +195,7 @@ def links(members: DataFrame, width: int, percent: int, parts: int) -> DataFrame
     def run(batches):
         import pyarrow as pa
 
+        release()
         key, sets, nodes, left = None, [], [], 0
 
         def flush():
