@@ -16,7 +16,7 @@ from folio.llm.scratch import Scratch, bounded_batches
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the language model of trusted text does not reject."""
     bounded_batches(spark)
-    found = kneser_ney.classify(docs, trusted_ids(spark, sf_dir), carry=tuple(docs.columns))
+    found = kneser_ney.classify(docs, trusted_ids(spark, sf_dir), carry=tuple(docs.columns), unit="words")
     return found.where("kept").selectExpr(*[f"`carried_{c}` AS `{c}`" for c in docs.columns])
 
 

@@ -16,6 +16,11 @@ at most 2**24 + 2 * 2**16 + 2 * 2**8 entries for each language, so it is sent to
 that it has at most ``BROADCAST_ROWS``; else documents' gram counts are shuffled to the shards of the table
 and summed back by document.  Both ways give the same numbers.
 
+With ``unit="words"`` (which the query and the pipeline take) symbols are words instead, split at ASCII blanks, so the model grows with
+the trusted text.  Words and grams are 64-bit keys; all words that were not seen share one more kind of word, over which the lowest order
+falls back evenly.  The same sum holds with ``gamma / kinds`` for an unseen word in place of bytes.  Every count, the model and scoring are
+sharded joins by key; a document asks with one row for each distinct key.  The pooled model is made only where a document needs it.
+
 A document's level is its perplexity after ``prior`` symbols of its language's typical (median trusted) perplexity have been added, so
 that a few words do not decide.  It stays if its level is at most the threshold of its language: ``slack`` times the
 ``quantile`` of the levels of the trusted documents of that language.
@@ -28,6 +33,8 @@ result; other columns are ignored.
 
 from __future__ import annotations
 
+import re
+
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -36,6 +43,7 @@ from folio.llm.scratch import Scratch
 from folio.llm.tokens import release
 
 START, END = 0x02, 0x03
+BLANKS = re.compile(r"[\x20\x09-\x0D]+")
 #: Name of the pooled model; language names are led by ``=`` (``?`` for null), so that none equals it.
 POOLED = "*"
 BROADCAST_ROWS = 4_000_000
@@ -102,6 +110,112 @@ def _discounts(grams: DataFrame, order: int) -> DataFrame:
     return c.select("lang", *[o.alias(f"d{k}") for k, o in enumerate(out, 1)])
 
 
+def word_hashes(texts: list[str]) -> list[np.ndarray]:
+    """Of each text the 64-bit hashes of its words (split at ASCII blanks), led by two start symbols and closed by an end symbol."""
+    import pandas as pd
+
+    words = [[w for w in BLANKS.split(t) if w] for t in texts]
+    flat = np.array([w for ws in words for w in ws], dtype=object)
+    hashed = pd.util.hash_array(flat).view(np.int64) if len(flat) else np.zeros(0, np.int64)
+    return [np.concatenate([[START, START], h, [END]]).astype(np.int64) for h in np.split(hashed, np.cumsum([len(ws) for ws in words])[:-1])]
+
+
+def _turned(x: np.ndarray) -> np.ndarray:
+    u = x.view(np.uint64)
+    return (u << np.uint64(21) | u >> np.uint64(43)).view(np.int64)
+
+
+def word_keys(h: np.ndarray) -> np.ndarray:
+    """Keys of the words, pairs and triples of one text that its probability asks for."""
+    pairs = _turned(h[:-1]) ^ h[1:]
+    return np.concatenate([h[1:], pairs, _turned(pairs[:-1]) ^ h[2:]])
+
+
+def _key(*words):
+    """``word_keys`` of columns."""
+    out = F.col(words[0])
+    for w in words[1:]:
+        out = F.shiftleft(out, 21).bitwiseOR(F.shiftrightunsigned(out, 43)).bitwiseXOR(F.col(w))
+    return out
+
+
+def count_words(texts: DataFrame) -> DataFrame:
+    """``lang, u, v, w, n`` of word triples over ``lang, text``."""
+
+    def run(batches):
+        import pyarrow as pa
+
+        for batch in (b.slice(lo, 500) for b in batches for lo in range(0, b.num_rows, 500)):
+            rows = [(k, t) for k, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True) if t]
+            for (lang, _), h in zip(rows, word_hashes([t for _, t in rows]) if rows else [], strict=True):
+                yield pa.RecordBatch.from_arrays([pa.array([lang] * (len(h) - 2), pa.string()), *(pa.array(h[i : len(h) - 2 + i]) for i in range(3))], names=["lang", "u", "v", "w"])
+
+    return texts.mapInArrow(run, "lang string, u long, v long, w long").groupBy("lang", "u", "v", "w").agg(F.count(F.lit(1)).alias("n"))
+
+
+def word_model(c3: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
+    """``lang, gram, value`` with all gains and back-off weights by key, and ``lang, base``: the log probability of an unseen word before them."""
+    c2 = scratch.keep(c3.groupBy("lang", "v", "w").agg(F.count(F.lit(1)).alias("n")), "w2")
+    c1 = scratch.keep(c2.groupBy("lang", "w").agg(F.count(F.lit(1)).alias("n")), "w1")
+
+    def order(grams: DataFrame, k: int, gram, ctx, low) -> tuple[DataFrame, DataFrame]:
+        d = F.when(F.col("n") == 1, F.col("d1")).when(F.col("n") == 2, F.col("d2")).otherwise(F.col("d3"))
+        used = grams.join(F.broadcast(_discounts(grams, k)), "lang").select("lang", gram.alias("gram"), ctx.alias("ctx"), low.alias("low"), "n", d.alias("d"))
+        sums = used.groupBy("lang", "ctx").agg(F.sum("n").cast("double").alias("total"), F.sum("d").alias("left"))
+        gamma = (F.col("left") / F.col("total")).alias("gamma")
+        return used.join(sums, ["lang", "ctx"]).select("lang", "gram", "low", ((F.col("n") - F.col("d")) / F.col("total")).alias("high"), gamma), sums.select("lang", F.col("ctx").alias("gram"), F.log(gamma).alias("value"))
+
+    x1, _ = order(c1, 1, F.col("w"), F.lit(0), F.lit(0))
+    sizes = c1.groupBy("lang").agg((F.count(F.lit(1)) + 1).alias("kinds"))
+    # every word that was not seen is one more kind of word
+    x1 = x1.join(F.broadcast(sizes), "lang").withColumn("rest", F.col("gamma") / F.col("kinds"))
+    p1 = scratch.keep(x1.select("lang", "gram", (F.col("high") + F.col("rest")).alias("p"), F.log("rest").alias("base")).withColumn("value", F.log("p") - F.col("base")), "wp1")
+
+    def above(x: DataFrame, lower: DataFrame, name: str) -> DataFrame:
+        rest = F.col("gamma") * F.col("p_low")
+        found = x.join(lower.select("lang", F.col("gram").alias("low"), F.col("p").alias("p_low")), ["lang", "low"])
+        return scratch.keep(found.select("lang", "gram", (F.col("high") + rest).alias("p"), F.log((F.col("high") + rest) / rest).alias("value")), name)
+
+    x2, back2 = order(c2, 2, _key("v", "w"), F.col("v"), F.col("w"))
+    p2 = above(x2, p1, "wp2")
+    x3, back3 = order(c3, 3, _key("u", "v", "w"), _key("u", "v"), _key("v", "w"))
+    p3 = above(x3, p2, "wp3")
+    table = [p1, back2, p2, back3, p3]
+    out = table[0].select("lang", "gram", "value")
+    for t in table[1:]:
+        out = out.unionByName(t.select("lang", "gram", "value"))
+    out, base = scratch.keep(out, "words"), scratch.keep(p1.groupBy("lang").agg(F.first("base").alias("base")), "base")
+    scratch.drop("w1", "w2", "wp1", "wp2", "wp3")
+    return out, base
+
+
+def _score_words(named: DataFrame, model: DataFrame, base: DataFrame, scratch: Scratch):
+    """A function of the columns to carry, like ``_score_joined``; sums by model and text are made once, by a shuffled join of key counts."""
+    mark = F.xxhash64("model", F.coalesce("text", F.lit("")))
+
+    def keys(batches):
+        import pyarrow as pa
+
+        for batch in (b.slice(lo, 200) for b in batches for lo in range(0, b.num_rows, 200)):
+            cols = [c.to_pylist() for c in batch.columns]
+            for m, k, h in zip(cols[0], cols[1], word_hashes(cols[2]), strict=True):
+                key, n = np.unique(word_keys(h), return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(key), m)), pa.array([k] * len(key), pa.string()), pa.array(key), pa.array(n.astype(np.int32))], names=["mark", "model", "gram", "n"])
+
+    texts = named.where("text != ''").select(mark.alias("mark"), "model", "text")
+    asked = texts.mapInArrow(keys, "mark long, model string, gram long, n int")
+    found = asked.join(model.withColumnRenamed("lang", "model"), ["model", "gram"]).groupBy("mark").agg(F.sum(F.col("n") * F.col("value")).alias("sum"))
+    copies = texts.groupBy("mark").agg(F.count(F.lit(1)).alias("copies"))
+    sums = scratch.keep(copies.join(found, "mark", "left").select("mark", (F.coalesce("sum", F.lit(0.0)) / F.col("copies")).alias("sum")), "sums")
+
+    def score(columns: list[str]) -> DataFrame:
+        rows = named.select("doc_id", "lang", "model", mark.alias("mark"), F.when(F.col("text") != "", F.regexp_count("text", F.lit(r"[^\x20\x09-\x0D]+")) + 1).cast("long").alias("n_symbols"), *columns)
+        out = rows.join(sums, "mark", "left").join(F.broadcast(base.withColumnRenamed("lang", "model")), "model", "left")
+        return out.select("doc_id", "lang", "model", "n_symbols", (F.col("n_symbols") * F.col("base") + F.col("sum")).alias("log_p"), *columns)
+
+    return score
+
+
 def _order(grams: DataFrame, d: DataFrame, context) -> tuple[DataFrame, DataFrame]:
     """Per gram ``lang, gram, ctx, high`` (its discounted share) and per context ``lang, ctx, gamma``."""
     used = grams.withColumn("ctx", context).join(d, "lang").withColumn("d", F.when(F.col("n") == 1, F.col("d1")).when(F.col("n") == 2, F.col("d2")).otherwise(F.col("d3")))
@@ -235,12 +349,15 @@ def _quantiles(scores: DataFrame, col: str, q: float) -> DataFrame:
     return own.unionByName(scores.agg(of).select(F.lit(POOLED).alias("model"), "q"))
 
 
-def classify(docs: DataFrame, trusted: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", quantile: float = 0.985, slack: float = 1.05, prior: int = 40, held_out: int = 5, least_trusted: int = LEAST_TRUSTED, broadcast_rows: int = BROADCAST_ROWS, carry: tuple[str, ...] = (), scratch: Scratch | None = None) -> DataFrame:
+def classify(docs: DataFrame, trusted: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", quantile: float = 0.985, slack: float = 1.05, prior: int = 40, held_out: int = 5, least_trusted: int = LEAST_TRUSTED, broadcast_rows: int = BROADCAST_ROWS, carry: tuple[str, ...] = (), scratch: Scratch | None = None, unit: str = "bytes") -> DataFrame:
     """``doc_id, lang, n_symbols, perplexity, level, threshold, kept`` for each row of ``docs``; ``trusted`` names ids of trusted documents.
 
     Columns of ``docs`` named in ``carry`` follow, each under ``carried_`` and its name.  One in ``held_out`` trusted documents (by a hash of
     the id) is not counted but sets its language's typical value and threshold, where that leaves enough of them.
+    ``unit`` is ``bytes`` or ``words``.
     """
+    if unit not in ("bytes", "words"):
+        raise ValueError(f"unknown unit {unit}")
     spark = docs.sparkSession
     scratch = scratch or Scratch(spark, "kneser-ney")
     own_text = [c for c in carry if c == text_col and docs.schema[c].dataType.typeName() == "string"]
@@ -248,18 +365,27 @@ def classify(docs: DataFrame, trusted: DataFrame, id_col: str = "doc_id", text_c
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(lang_col).cast("string").alias("lang"), _lang_key(lang_col).alias("key"), F.col(text_col).cast("string").alias("text"), *[F.col(c).alias(f"carried_{c}") for c in carry if c not in own_text])
     ids = scratch.keep(trusted.select(F.col(trusted.columns[0]).cast("long").alias("doc_id")).where("doc_id IS NOT NULL").distinct(), "trusted")
     held = F.pmod(F.xxhash64("doc_id"), F.lit(held_out)) == 0
-    counts = count_trigrams(rows.join(ids.where(~held).hint("merge"), "doc_id", "left_semi").select(F.col("key").alias("lang"), "text"))
-    counts = scratch.keep(counts, "counts")
+    texts = rows.join(ids.where(~held).hint("merge"), "doc_id", "left_semi").select(F.col("key").alias("lang"), "text")
     enough = rows.select("doc_id", "key").join(ids, "doc_id", "left_semi").groupBy("key").agg(F.count(F.lit(1)).alias("n"))
     enough = scratch.keep(enough.where(F.col("n") >= least_trusted).select(F.col("key").alias("has")), "enough")
-    pooled = counts.groupBy(F.lit(POOLED).alias("lang"), "gram").agg(F.sum("n").alias("n"))
-    own = counts.join(enough, F.col("lang") == F.col("has"), "left_semi")
-    model = model_table(scratch.keep(own.unionByName(pooled), "c3"), scratch)
     named = rows.join(enough, F.col("key") == F.col("has"), "left").select("doc_id", "lang", F.coalesce("has", F.lit(POOLED)).alias("model"), "text", *(c for c in carried.values() if c != "text"))
-    few = model.limit(broadcast_rows + 1).count() <= broadcast_rows
+    counts = scratch.keep(count_words(texts) if unit == "words" else count_trigrams(texts), "counts")
+    own = counts.join(enough, F.col("lang") == F.col("has"), "left_semi")
+    grams = [c for c in counts.columns if c not in ("lang", "n")]
+    if unit == "bytes" or named.where(F.col("model") == POOLED).limit(1).count():
+        own = scratch.keep(own.unionByName(counts.groupBy(F.lit(POOLED).alias("lang"), *grams).agg(F.sum("n").alias("n"))), "c3")
+    if unit == "words":
+        by_sums = _score_words(named, *word_model(own, scratch), scratch)
+        scratch.drop("counts", "c3", "words")
+    else:
+        model = model_table(own, scratch)
+        few = model.limit(broadcast_rows + 1).count() <= broadcast_rows
 
     def score(columns: list[str]) -> DataFrame:
-        out = _score_sent(named, spark, model, columns) if few else _score_joined(named, model, columns)
+        if unit == "words":
+            out = by_sums(columns)
+        else:
+            out = _score_sent(named, spark, model, columns) if few else _score_joined(named, model, columns)
         return out.withColumn("perplexity", F.exp(-F.col("log_p") / F.col("n_symbols")))
 
     scores = scratch.keep(score([]), "scores")

@@ -34,7 +34,7 @@ def trusted_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4_kneser_ney_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     from folio.llm.kneser_ney import classify
 
-    return classify(_table(spark, sf_dir, "documents"), trusted_ids(spark, sf_dir))
+    return classify(_table(spark, sf_dir, "documents"), trusted_ids(spark, sf_dir), unit="words")
 
 
 def op2_power_of_two_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

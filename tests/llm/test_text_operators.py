@@ -449,6 +449,60 @@ def test_kneser_ney(spark, limit):
             assert r["kept"] == (t in good), r
 
 
+def brute_words(texts):
+    """The same of order 3 over words; words that were not seen are one more kind."""
+    split = lambda t: ["<", "<", *(x for x in re.split("[\x20\x09-\x0d]+", t) if x), ">"]
+    c3 = collections.Counter(g for t in texts for g in zip(*(split(t)[i:] for i in range(3)), strict=False))
+    c2 = collections.Counter(g[1:] for g in c3)
+    counts = {3: c3, 2: c2, 1: collections.Counter(g[1:] for g in c2)}
+
+    def discounts(c):
+        n = [sum(v == k for v in c.values()) for k in range(1, 5)]
+        if not all(n[:3]):
+            return [0.5, 1.0, 1.5]
+        y = n[0] / (n[0] + 2 * n[1])
+        return [min(max(k - (k + 1) * y * n[k] / n[k - 1], 0.05), k - 0.05) for k in (1, 2, 3)]
+
+    d = {k: discounts(c) for k, c in counts.items()}
+
+    def p(g):
+        low = 1 / (len(counts[1]) + 1) if len(g) == 1 else p(g[1:])
+        own = [v for h, v in counts[len(g)].items() if h[:-1] == g[:-1]]
+        if not own:
+            return low
+        v, cut = counts[len(g)].get(g, 0), lambda v: d[len(g)][min(v, 3) - 1]
+        return ((v - cut(v) if v else 0) + sum(map(cut, own)) * low) / sum(own)
+
+    return lambda t: [math.log(p(g)) for g in zip(*(split(t)[i:] for i in range(3)), strict=False)]
+
+
+def test_kneser_ney_of_words(spark):
+    good = [f"the cat sat on the mat number {i}, and the dog ran to the hill." for i in range(30)]
+    rows = [(i, t, "en") for i, t in enumerate(good)] + [(100, "QQ%% ZZ## XX^^ WW@@ KK~~ é\x1cb", "en"), (101, None, "en"), (102, "", None), (103, "the cat", "xx"), (0, "the dog sat on the mat", "en"), (104, "the mat", None), (104, "the mat", None), (105, " \n", "en")]
+    df = spark.createDataFrame([(*r, 1.0, "m") for r in rows], "doc_id long, text string, lang string, level double, model string")
+    trusted = spark.createDataFrame([(i,) for i in [*range(30), 5, None]], "doc_id long")
+    got = kneser_ney.classify(df, trusted, carry=("text", "model"), unit="words").collect()
+    assert len(got) == len(rows) and all(r["carried_model"] == "m" for r in got)
+    held = {r[0] for r in trusted.where("pmod(xxhash64(doc_id), 5) = 0").collect()}
+    logs = brute_words([t for d, t, _ in rows if d in range(30) and d not in held])
+    for r in got:
+        t = r["carried_text"]
+        if not t:
+            assert (r["perplexity"], r["n_symbols"], r["kept"]) == (None, None, False)
+            continue
+        want = logs(t)
+        assert r["n_symbols"] == len(want) and r["perplexity"] == pytest.approx(math.exp(-sum(want) / len(want)), rel=1e-9), r
+
+
+def test_the_word_model_grows_with_trusted_text(spark):
+    text = lambda i: words(i, 200)
+    sizes = []
+    for n in (40, 400):
+        texts = spark.createDataFrame([("=en", text(i)) for i in range(n)], "lang string, text string")
+        sizes.append(kneser_ney.word_model(kneser_ney.count_words(texts), Scratch(spark, "grows"))[0].agg(F.count(F.lit(1))).first()[0])
+    assert sizes[1] > 4 * sizes[0]
+
+
 def test_without_trusted_text_all_with_text_stay(docs, spark):
     got = kneser_ney.classify(docs, spark.createDataFrame([], "doc_id long")).collect()
     assert len(got) == len(corpus()) and all(r["kept"] == (r["n_symbols"] is not None) for r in got)
