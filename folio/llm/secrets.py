@@ -4,7 +4,7 @@ Base spans come from three patterns (assignments, access keys, hex runs).  The m
 inside has been decoded and parsed to the last byte before they are reported:
 
 * ``der``: a base64 or hex run that decodes to one ASN.1 SEQUENCE whose length, and every nested length, ends where its
-  parent ends, and which has the fields of a private key (version, then algorithm or integers);
+  parent ends, and which has the fields of a private key (version, then algorithm or integers: nine of RSA, six of DSA);
 * ``jwt``: three dot-joined base64url parts whose header is a JSON object with a string ``alg`` (and whose
   payload is a JSON object, unless the header says it is encrypted or compressed);
 * ``pem``: a ``BEGIN ... PRIVATE KEY`` block whose body decodes to such a sequence, or to an OpenSSH key;
@@ -34,14 +34,16 @@ _ASSIGN = re.compile(r"""(?:[Pp][Aa][Ss][Ss][Ww](?:[Oo][Rr])?[Dd]|[Ss][Ee][Cc][R
 _ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 _HEX = re.compile(r"[0-9a-f]{32,}")
 _PEM = re.compile(r"-----BEGIN ((?:[A-Z]+ )*)PRIVATE KEY-----(?:[\r\n]+[A-Za-z-]+: [^\r\n]*)*([A-Za-z0-9+/=\s\\]+?)-----END \1PRIVATE KEY-----")
-_RUN = re.compile(r"(?<![A-Za-z0-9+/_-])(?:M[A-P]|b3BlbnNzaC1rZXktdjE)[A-Za-z0-9+/_-]{30,}={0,2}")
+#: What follows an escaped line feed begins anew, although a letter precedes it.
+_RUN = re.compile(r"(?:(?<![A-Za-z0-9+/_-])|(?<=\\[nrt]))(?:M[A-P]|b3BlbnNzaC1rZXktdjE)[A-Za-z0-9+/_-]{30,}={0,2}")
 _HEX_RUN = re.compile(r"(?<![0-9A-Fa-f])30(?:[0-9A-Fa-f]{2}){24,}(?![0-9A-Fa-f])")
-_JWT = re.compile(r"(?<![A-Za-z0-9_.-])(ey[A-Za-z0-9_-]{8,})\.([A-Za-z0-9_-]*)\.([A-Za-z0-9_-]*)(?:\.[A-Za-z0-9_-]*\.[A-Za-z0-9_-]*)?(?![A-Za-z0-9_-])")
+#: A header's first character holds the upper bits of a brace (e), or of JSON's blanks before it (C, D, I).
+_JWT = re.compile(r"(?:(?<![A-Za-z0-9_.-])|(?<=\\[nrt]))([CDIe][A-Za-z0-9_-]{9,})\.([A-Za-z0-9_-]*)\.([A-Za-z0-9_-]*)(?:\.[A-Za-z0-9_-]*\.[A-Za-z0-9_-]*)?(?![A-Za-z0-9_-])")
 
 
 def decode_base64(text: str) -> bytes | None:
-    """Bytes of standard or URL-safe base64, padded or not; None if it is neither."""
-    body = re.sub(r"[\s\\]", "", text).rstrip("=").replace("-", "+").replace("_", "/")
+    """Bytes of standard or URL-safe base64, padded or not, blanks and their escapes left out; None if it is neither."""
+    body = re.sub(r"\\+[nrt]?|\s", "", text).rstrip("=").replace("-", "+").replace("_", "/")
     if len(body) % 4 == 1:
         return None
     try:
@@ -81,7 +83,7 @@ def _items(raw: bytes, at: int, end: int, depth: int = 0) -> list[tuple[int, int
 
 
 def is_der_key(raw: bytes | None) -> bool:
-    """PKCS#8, encrypted PKCS#8, PKCS#1 (nine integers) or SEC 1 private key, closed at every level."""
+    """PKCS#8, encrypted PKCS#8, PKCS#1 (nine integers), DSA (six) or SEC 1 private key, closed at every level."""
     if not raw or raw[0] != 0x30:
         return False
     top = _tlv(raw, 0, len(raw))
@@ -103,6 +105,8 @@ def is_der_key(raw: bytes | None) -> bool:
         return bool(first) and first[0][0] == 0x06 and inner is not None and len(inner) == 1
     if tags[1] == 0x04:  # version 1, octets, optional tagged parts
         return raw[parts[0][1]] == 1 and all(t in (0xA0, 0xA1) for t in tags[2:])
+    if len(tags) == 6:  # version 0, p, q, g, y, x
+        return raw[parts[0][1]] == 0 and all(t == 0x02 for t in tags)
     return len(tags) >= 9 and all(t == 0x02 for t in tags[:9])
 
 
@@ -168,8 +172,7 @@ def confirmed_spans(text: str) -> list[tuple[int, int, int]]:
         elif is_openssh_key(raw):
             out.append((m.start(), 6, m.end()))
     out += [(m.start(), 3, m.end()) for m in _HEX_RUN.finditer(text) if is_der_key(bytes.fromhex(m[0]))]
-    if "ey" in text:
-        out += [(m.start(), 4, m.end()) for m in _JWT.finditer(text) if is_signed_token(m[1], m[2])]
+    out += [(m.start(), 4, m.end()) for m in _JWT.finditer(text) if is_signed_token(m[1], m[2])]
     return sorted(out)
 
 

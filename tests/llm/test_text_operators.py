@@ -382,6 +382,35 @@ def test_confirmed_spans():
         assert secrets.confirmed_spans(t) == [], t
 
 
+@pytest.mark.parametrize("feed", ["\n", "\r\n", "\\n", "\\r\\n", "\\\\n", "\\n\\\n"])
+def test_escaped_line_feeds_in_keys(feed):
+    ed25519 = der(0x30, der(2, b"\0") + der(0x30, der(6, b"\x2b\x65\x70")) + der(4, der(4, bytes(range(32)))))
+    rsa = der(0x30, der(2, b"\0") + b"".join(der(2, bytes([1 + i]) * 20) for i in range(8)))
+    for name, key in (("", ed25519), ("RSA ", rsa)):
+        lines = re.findall(".{1,64}", base64.b64encode(key).decode())
+        t = feed.join([f"-----BEGIN {name}PRIVATE KEY-----", *lines, f"-----END {name}PRIVATE KEY-----"])
+        assert (0, secrets.KINDS.index("pem"), len(t)) in secrets.confirmed_spans(t + feed)
+    run = base64.b64encode(ed25519).decode()
+    assert (1 + len(feed), secrets.KINDS.index("der"), 1 + len(feed) + len(run)) in secrets.confirmed_spans(f"k{feed}{run}")
+
+
+def test_dsa_keys():
+    six = [b"\0", b"\x71" * 64, b"\x61" * 20, b"\x62" * 64, b"\x63" * 64, b"\x64" * 20]
+    b64 = lambda parts: base64.b64encode(der(0x30, b"".join(der(2, p) for p in parts))).decode()
+    t = f"-----BEGIN DSA PRIVATE KEY-----\n{b64(six)}\n-----END DSA PRIVATE KEY-----"
+    assert [(secrets.KINDS[k], a, b) for a, k, b in secrets.confirmed_spans(t)] == [("pem", 0, len(t)), ("der", 32, 32 + len(b64(six)))]
+    for bad in (six[:5], [*six, b"\1"], [b"\1", *six[1:]]):
+        assert secrets.confirmed_spans(b64(bad)) == []
+
+
+@pytest.mark.parametrize("blank", ["", "\n", "\r\n", " ", "\t", "\n  "])
+def test_token_headers_led_by_blanks(blank):
+    url = lambda s: base64.urlsafe_b64encode(s.encode()).decode().rstrip("=")
+    jwt = f"{url(blank + '{\"alg\":\"HS256\"}')}.{url('{\"sub\":1}')}.c2ln"
+    for before in ("", "k=", "\\n"):
+        assert secrets.confirmed_spans(f"{before}{jwt} x") == [(len(before), secrets.KINDS.index("jwt"), len(before) + len(jwt))]
+
+
 def test_scan(docs, spark):
     rows = spark.createDataFrame([(1, "token=abcdefgh AKIAABCDEFGHIJKLMN"), (2, None), (None, "")], "doc_id long, text string")
     got = {r["doc_id"]: r for r in secrets.scan(rows).collect()}
