@@ -247,7 +247,8 @@ READ = "doc_id long, start long, n_tokens long, ids_crc32 long, found boolean"
 def read_token_files(spark: SparkSession, uri: str, block: int = 2_000) -> DataFrame:
     """A row for each document in the files: where it starts among all ids, its size and checksum.
 
-    Every key goes through the hash index of its shard; ``found`` tells that the index led to the document.
+    A document with a key is read where the hash index of its shard says that the documents of its key begin, and it is an error if
+    that is not so; ``found`` tells that it has a key.
     """
     store, root = _store(uri)
     with store.open_input_stream(f"{root}/manifest.json") as f:
@@ -266,17 +267,25 @@ def read_token_files(spark: SparkSession, uri: str, block: int = 2_000) -> DataF
                 with own_store.open_input_file(f"{own_root}/part-{shard:06d}.bin") as f:
                     if f.read_at(8, 0) != MAGIC_BIN:
                         raise ValueError("not a token file")
+                    place = np.arange(index.n_docs)
+                    again = (index.keys[1:] == index.keys[:-1]) & (place[1:] > index.nulls)
+                    nth = place - np.maximum.accumulate(np.where(np.concatenate([[False], again]), 0, place))  # among documents of its key
                     for lo in range(0, index.n_docs, block):
                         hi = min(lo + block, index.n_docs)
-                        starts = index.starts[lo : hi + 1].astype(np.int64)
-                        ids = np.frombuffer(f.read_at(int(starts[-1] - starts[0]) * width, 16 + int(starts[0]) * width), f"<u{width}").astype("<u4")
-                        raw, cut = memoryview(ids).cast("B"), (starts - starts[0]) * 4
-                        keys = index.keys[lo:hi]
-                        rank = index.find(keys)
-                        same = (rank >= 0) & (index.keys[np.maximum(rank, 0)] == keys) & (rank <= np.arange(lo, hi))
-                        null = np.arange(lo, hi) < index.nulls
+                        keys, null = index.keys[lo:hi], place[lo:hi] < index.nulls
+                        rank = np.where(null, place[lo:hi], index.find(keys))
+                        at = np.where(null, rank, rank + nth[lo:hi])
+                        led = (rank >= 0) & (at < index.n_docs)
+                        led[led] = (index.keys[at[led]] == keys[led]) & (null[led] | (rank[led] >= index.nulls) & (nth[rank[led]] == 0))
+                        if not led.all():
+                            raise ValueError(f"the index of shard {shard} does not lead to document {keys[np.argmin(led)]}")
+                        starts, ends = index.starts[at].astype(np.int64), index.starts[at + 1].astype(np.int64)
+                        first = int(starts.min())
+                        ids = np.frombuffer(f.read_at((int(ends.max()) - first) * width, 16 + first * width), f"<u{width}").astype("<u4")
+                        raw = memoryview(ids).cast("B")
+                        crc = [zlib.crc32(raw[a:b]) for a, b in zip((starts - first) * 4, (ends - first) * 4, strict=True)]
                         yield pa.RecordBatch.from_arrays(
-                            [pa.array(keys.astype(np.int64), mask=null), pa.array(starts[:-1] + before), pa.array(np.diff(starts)), pa.array([zlib.crc32(raw[a:b]) for a, b in zip(cut[:-1], cut[1:], strict=True)], pa.int64()), pa.array(same & ~null)],
+                            [pa.array(keys.astype(np.int64), mask=null), pa.array(starts + before), pa.array(ends - starts), pa.array(crc, pa.int64()), pa.array(~null)],
                             names=["doc_id", "start", "n_tokens", "ids_crc32", "found"],
                         )
 
