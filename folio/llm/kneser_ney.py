@@ -2,7 +2,7 @@
 
 Symbols are the bytes of the UTF-8 text, each text led by two start symbols and closed by an end symbol; the order is
 three.  One model is made for each language and one for all together (for languages without enough trusted text).
-All trusted documents are counted.  Counting is sharded: each task sums its own trigrams, Spark adds them up by
+All trusted documents but those held out (one in ``held_out``, by a hash of the id) are counted.  Counting is sharded: each task sums its own trigrams, Spark adds them up by
 ``(lang, gram)``.  Continuation counts, context sums, counts of counts (for the three discounts of each order) and the
 interpolation weights are joins and aggregations of these sharded counts.
 
@@ -23,7 +23,8 @@ sharded joins by key; a document asks with one row for each distinct key.  The p
 
 A document's level is its perplexity after ``prior`` symbols of its language's typical (median trusted) perplexity have been added, so
 that a few words do not decide.  It stays if its level is at most the threshold of its language: ``slack`` times the
-``quantile`` of the levels of the trusted documents of that language.
+``quantile`` of the levels of the held-out trusted documents of that language.  In bytes a language with fewer than ``LEAST_HELD`` of these takes
+all of its trusted documents instead; in words it takes what it has, as counted texts score far too well, and without any all with text stay.
 
 Defined cases: null text counts as empty; a document without text has null perplexity and does not stay; a null language is a language
 of its own (with the pooled model unless it has trusted text); without any trusted text every document with text stays, perplexity null;
@@ -49,7 +50,7 @@ POOLED = "*"
 BROADCAST_ROWS = 4_000_000
 #: Trusted documents below which a language takes the pooled model and its threshold.
 LEAST_TRUSTED = 20
-#: Held-out trusted documents below which a language's threshold comes from all of its trusted documents.
+#: Held-out trusted documents below which a language's threshold in bytes comes from all of its trusted documents.
 LEAST_HELD = 5
 
 
@@ -390,6 +391,8 @@ def classify(docs: DataFrame, trusted: DataFrame, id_col: str = "doc_id", text_c
 
     scores = scratch.keep(score([]), "scores")
     good = scratch.keep(scores.where("perplexity IS NOT NULL").join(ids, "doc_id", "left_semi").withColumn("held", held), "good")
+    if unit == "words":  # a model of words knows the texts that it counted by heart
+        good = good.where("held")
     sparse = good.groupBy("model").agg(F.count_if("held").alias("n_held")).where(F.col("n_held") < LEAST_HELD)
     good = good.where("held").unionByName(good.where("NOT held").join(sparse, "model", "left_semi"))
     typical = scratch.keep(_quantiles(good, "perplexity", 0.5).select("model", F.col("q").alias("typical")), "typical")
