@@ -87,14 +87,19 @@ def op6_vector_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_token_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Totals after the documents came in two batches, the first of them twice."""
-    from folio.llm.rollup import TokenRollup, inserts, token_counts
+    """Totals after the documents came in two batches with other counts and languages, the first of them twice, and then each was revised, deleted and inserted again."""
+    from folio.llm.rollup import KEY, TokenRollup, inserts, token_counts
 
-    docs, rollup = _table(spark, sf_dir, "documents"), TokenRollup(spark, Scratch(spark, "rollup").root)
-    half = F.pmod(F.xxhash64("doc_id"), F.lit(2))
+    docs, scratch = _table(spark, sf_dir, "documents"), Scratch(spark, "rollup")
+    rollup = TokenRollup(spark, scratch.path("totals"))
+    counts = scratch.keep(token_counts(docs).unionByName(token_counts(docs, "words", "words-1")), "counts")
+    half = [counts.where(F.pmod(F.xxhash64("doc_id"), F.lit(2)) == b) for b in (0, 1)]
     for name, b in (("b0", 0), ("b1", 1), ("b0", 0)):
-        own = docs.where(half == b)
-        rollup.apply(name, inserts(token_counts(own).unionByName(token_counts(own, "words", "words-1"))))
+        rollup.apply(name, inserts(half[b].withColumns({"lang": F.lit("und"), "tokens": F.col("tokens") + 1})))
+    for b in (0, 1):
+        rollup.apply(f"revise{b}", half[b].select(F.lit("revise").alias("op"), *KEY, "tokens", F.lit("und").alias("old_lang"), (F.col("tokens") + 1).alias("old_tokens")))
+        rollup.apply(f"delete{b}", half[b].select(F.lit("delete").alias("op"), *KEY, "tokens"))
+        rollup.apply(f"insert{b}", inserts(half[b]))
     rollup.compact()
     return rollup.totals()
 
