@@ -134,6 +134,8 @@ class Index:
 
     def __init__(self, scratch: Scratch, shards: int):
         self.scratch, self.shards, self.snapshots = scratch, shards, []
+        #: ``digest, n_bytes, check, variant, batch`` of batches whose text has the key of an entry but other bytes (not variant 0).
+        self.variants: DataFrame | None = None
 
     def _keyed(self, groups: DataFrame) -> DataFrame:
         key = F.xxhash64("digest", "check")
@@ -144,16 +146,20 @@ class Index:
         no = len(self.snapshots)
         groups = batch.groupBy(*KEY).agg(F.min(F.coalesce("doc_id", F.lit(NO_ID))).alias("keep_id"), F.count(F.lit(1)).alias("n"))
         groups = self.scratch.keep(self._keyed(groups), f"groups{no}")
-        matched, new = None, groups
+        matched, new, seen = None, groups.withColumn("variant", F.lit(0)), None
         for i, (entries, filters) in enumerate(self.snapshots):
             positive = groups.join(screen(groups, filters).distinct(), "key", "left_semi")
-            old = entries.select(*KEY, F.col("keep_id").alias("old_id"))
+            old = entries.select(*KEY, F.col("keep_id").alias("old_id"), "variant")
             hits = self.scratch.keep(positive.select(*KEY, "keep_id", "n").join(old, KEY), f"hits{no}_{i}")
+            seen = hits.select(*KEY) if seen is None else seen.unionByName(hits.select(*KEY))
             same = self.scratch.keep(self._same_bytes(hits, docs), f"same{no}_{i}")
-            hits = hits.join(same, KEY, "left_semi").select(*KEY, "keep_id", "n")
+            hits = hits.join(same, KEY, "left_semi").select(*KEY, "keep_id", "n", "variant")
             matched = hits if matched is None else matched.unionByName(hits)
         if matched is not None:
-            new = groups.join(matched.select(*KEY), KEY, "left_anti")
+            other = self.scratch.keep(seen.distinct().join(matched.select(*KEY), KEY, "left_anti").withColumn("variant", F.lit(no)), f"other{no}")
+            new = groups.join(matched.select(*KEY), KEY, "left_anti").join(other, KEY, "left").withColumn("variant", F.coalesce("variant", F.lit(0)))
+            own = matched.where("variant <> 0").select(*KEY, "variant").unionByName(other).withColumn("batch", F.lit(no))
+            self.variants = own if self.variants is None else self.variants.unionByName(own)
         entries = self.scratch.keep(new, f"entries{no}")
         filters = self.scratch.keep(build_filters(entries), f"filters{no}")
         self.snapshots.append((entries, filters))
@@ -173,13 +179,14 @@ class Index:
         out = self.snapshots[0][0]
         for entries, _ in self.snapshots[1:]:
             out = out.unionByName(entries)
-        return out.select(*KEY, "keep_id", "n")
+        return out.select(*KEY, "keep_id", "n", "variant")
 
 
 def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", batches: int = 2, scratch: Scratch | None = None) -> DataFrame:
     """``doc_id, keep_id, group_size, kept, text_sha256`` for each row, after taking the table in as ``batches`` batches.
 
     A row's batch is a hash of its ``doc_id``, so the table passes once as snapshot and then as increments.
+    A text with the key of an entry of an earlier batch but other bytes is an entry of its own; within one batch the key alone (SHA-256, size, check) decides.
     """
     scratch = scratch or Scratch(docs.sparkSession, "dedup")
     texts = _digested(docs, id_col, text_col)
@@ -192,8 +199,10 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", batch
     for more in added:
         if more is not None:
             groups = groups.unionByName(more)
-    groups = scratch.keep(groups.groupBy(*KEY).agg(F.min("keep_id").alias("keep_id"), F.sum("n").alias("group_size")), "final")
-    out = digests.join(groups, KEY, "left")
+    groups = scratch.keep(groups.groupBy(*KEY, "variant").agg(F.min("keep_id").alias("keep_id"), F.sum("n").alias("group_size")), "final")
+    named = digests.withColumn("batch", of_batch)
+    named = named.join(index.variants, [*KEY, "batch"], "left").withColumn("variant", F.coalesce("variant", F.lit(0))) if index.variants is not None else named.withColumn("variant", F.lit(0))
+    out = named.join(groups, [*KEY, "variant"], "left")
     keep = F.when(F.col("keep_id") < NO_ID, F.col("keep_id"))
     return out.select("doc_id", keep.alias("keep_id"), "group_size", F.col("doc_id").eqNullSafe(keep).alias("kept"), F.lower(F.hex("digest")).alias("text_sha256"))
 
