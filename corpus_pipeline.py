@@ -46,7 +46,7 @@ def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [("quality_classifier", quality), ("exact_dedup", exact), ("jaccard_join", near), ("mix_sources", mix), ("packing", pack)]
 
-#: A language model's thresholds and shingle components are beyond SQL; the pipeline is tested against brute force.
+#: A language model's thresholds and shingle components are beyond SQL. The operators are tested one by one against brute force, the chain of stages is not.
 ORACLE_SQL = None
 
 
