@@ -10,7 +10,8 @@ one gathering, and a set is sent to a gathering once however many lists led ther
 into blocks by size, blocks of fitting sizes in pairs, if it is large) sets stand by size and an index list holds positions; a
 set's scan jumps in each list to the range of positions whose sizes fit (index-level skipping).  A set whose partners are
 all settled is not scanned: partners in its component need no answer, and others are excluded by
-the symmetric differences already computed for a similar set (answer-level skipping): ``|d(p, x) - d(p, y)| <= d(x, y)`` and a link
+the symmetric differences to the first ``PIVOTS`` sets that were scanned in the block, whatever their similarity (no set's answers are
+derived from another's): ``|d(p, x) - d(p, y)| <= d(x, y)`` and a link
 needs ``d(x, y) <= (|x| + |y|) * (100 - percent) / (100 + percent)``.  All in integers.
 
 Only links that join components leave a task, fewer than its sets; pairs are never rows.
