@@ -1,403 +1,320 @@
 """Quality by perplexity under an interpolated modified Kneser-Ney model of trusted text.
 
-Symbols are the bytes of the UTF-8 text, each text led by two start symbols and closed by an end symbol; the order is
-three.  One model is made for each language and one for all together (for languages without enough trusted text).
-All trusted documents but those held out (one in ``held_out``, by a hash of the id) are counted.  Counting is sharded: each task sums its own trigrams, Spark adds them up by
-``(lang, gram)``.  Continuation counts, context sums, counts of counts (for the three discounts of each order) and the
-interpolation weights are joins and aggregations of these sharded counts.
+The model is of order three over words, split at ASCII blanks, each text led by two start symbols and closed by an end symbol; words and grams are
+64-bit hashes.  One model is made for each language that has trusted text, and one for all together if any document is of
+another language.  It grows with the trusted text and is never pruned.  Trusted documents but those held out (one in ``held_out``, by a hash of
+the id) are counted.
 
 The interpolated log probability of any trigram is a sum of table entries::
 
-    log p(w | u v) = uni[w] + back2[v] + gain2[v w] + back3[u v] + gain3[u v w]
+    log p(w | u v) = base + gain1[w] + back2[v] + gain2[v w] + back3[u v] + gain3[u v w]
 
-where ``back`` is the log weight that a seen context leaves to the lower order and ``gain`` is what a seen gram has above that;
-entries that are absent count 0.  A document's perplexity is therefore a join of its gram counts with one table.  The table has
-at most 2**24 + 2 * 2**16 + 2 * 2**8 entries for each language, so it is sent to every task where a count of its rows shows
-that it has at most ``BROADCAST_ROWS``; else documents' gram counts are shuffled to the shards of the table
-and summed back by document.  Both ways give the same numbers.
+where ``base`` is the log probability that the lowest order leaves to a word that was not seen (all of them are one more kind of word),
+``back`` the log weight that a seen context leaves to the lower order, and ``gain`` what a seen gram has above that; entries
+that are absent count 0.  A document's log probability is therefore a join of its triples with these tables.
 
-With ``unit="words"`` (which the query and the pipeline take) symbols are words instead, split at ASCII blanks, so the model grows with
-the trusted text.  Words and grams are 64-bit keys; all words that were not seen share one more kind of word, over which the lowest order
-falls back evenly.  The same sum holds with ``gamma / kinds`` for an unseen word in place of bytes.  Every count, the model and scoring are
-sharded joins by key; a document asks with one row for each distinct key.  The pooled model is made only where a document needs it.
+**Sharded count joins** (``ngrams``).  A triple belongs to the shard of its middle word, and shards are as many as ``shard_bytes`` of text
+ask for.  Texts' triples are summed up within a task and sent to their shards as packed chunks; a shard adds them up and writes its distinct
+triples and the continuation counts that follow from them.  Shards ask each other, word by word, for the continuation counts
+that their bigrams back off to, and write their part of the model to the shared folder.  Documents' triples then go to the shards the same way (one request for
+each word, whichever language model it asks), where each chunk is answered from the shard's file by one sum for each document.  Chunks of one shard are dealt to as many
+tasks as their bytes ask for, so that requests about a frequent word are spread.  Documents are taken in ``rounds`` by a hash of the id, and the shuffle files of a
+round are given up before the next, which bounds the disk that requests need.  Nothing depends on a size but the number of shards.
 
-A document's level is its perplexity after ``prior`` symbols of its language's typical (median trusted) perplexity have been added, so
+A middle word that is very frequent makes its shard's distinct triples as many as it has different neighbours; they are added up in one task.
+
+A document's level is its perplexity after ``prior`` symbols of its language's typical (median held-out) perplexity have been added, so
 that a few words do not decide.  It stays if its level is at most the threshold of its language: ``slack`` times the
-``quantile`` of the levels of the held-out trusted documents of that language.  In bytes a language with fewer than ``LEAST_HELD`` of these takes
-all of its trusted documents instead; in words it takes what it has, as counted texts score far too well, and without any all with text stay.
+``quantile`` of the levels of the held-out trusted documents of that language, relative to its typical perplexity and drawn towards the same quantile over all
+languages as if by ``pull`` further documents.  Documents of a model without held-out documents are not judged and stay: a model of words
+knows the texts that it counted by heart.
 
 Defined cases: null text counts as empty; a document without text has null perplexity and does not stay; a null language is a language
-of its own (with the pooled model unless it has trusted text); without any trusted text every document with text stays, perplexity null;
-rows that repeat are scored each; trusted ids may repeat or be null (null never matches); an empty table gives an empty
-result; other columns are ignored.
+of its own; without any trusted text every document with text stays, perplexity null;
+rows alike in language and text share one score; trusted ids may repeat or be null (null never matches); an empty table gives an empty
+result; other columns are ignored.  More than ``LANGUAGES`` different languages are an error: a table of them is held by every task.
 """
 
 from __future__ import annotations
 
-import re
-
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from folio.llm.scratch import Scratch
+from folio.llm import ngrams
+from folio.llm.files import open_store, put, take
+from folio.llm.scratch import Scratch, partitions
+from folio.llm.shingles import arrow_bytes, word_hashes
 from folio.llm.tokens import release
 
-START, END = 0x02, 0x03
-BLANKS = re.compile(r"[\x20\x09-\x0D]+")
 #: Name of the pooled model; language names are led by ``=`` (``?`` for null), so that none equals it.
 POOLED = "*"
-BROADCAST_ROWS = 4_000_000
-#: Trusted documents below which a language takes the pooled model and its threshold.
-LEAST_TRUSTED = 20
-#: Held-out trusted documents below which a language's threshold in bytes comes from all of its trusted documents.
-LEAST_HELD = 5
+LANGUAGES = 100_000
+#: Words of a chunk's texts together, and bytes of models that a task keeps open.
+BATCH, OPEN = 2_000_000, 160_000_000
+#: Buckets of the screen before the trusted texts are joined: 2**26 bits, 8 MB, whatever the number of ids.
+SCREEN = 1 << 26
 
 
 def _lang_key(col: str):
     return F.when(F.col(col).isNull(), F.lit("?")).otherwise(F.concat(F.lit("="), F.col(col).cast("string")))
 
 
-def trigram_codes(raw: bytes) -> np.ndarray:
-    """24-bit codes of all trigrams of one text, with start and end symbols."""
-    b = np.empty(len(raw) + 3, np.uint32)
-    b[0] = b[1] = START
-    b[2:-1] = np.frombuffer(raw, np.uint8)
-    b[-1] = END
-    return b[:-2] << np.uint32(16) | b[1:-1] << np.uint32(8) | b[2:]
+def screened(rows: DataFrame, ids: DataFrame) -> DataFrame:
+    """``rows`` without most of those whose ``doc_id`` is not among ``ids``: a bit map of fixed size is sent to all tasks.
+
+    All wanted rows pass; the more ids there are, the more others pass too, until nothing is held back.
+    """
+    spot = lambda: F.pmod(F.xxhash64("doc_id"), F.lit(SCREEN))
+    bits = ids.select(spot().alias("at")).groupBy(F.bitmap_bucket_number("at").alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("at")).alias("bits"))
+    place = F.bitmap_bit_position(spot())
+    byte = F.conv(F.hex(F.substring("bits", (place / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    return rows.join(F.broadcast(bits), F.bitmap_bucket_number(spot()) == F.col("bucket")).where(F.getbit(byte, (place % 8).cast("int")) == 1).drop("bits", "bucket")
+
+
+def _batches(batches, langs: dict[str, int], marks: bool):
+    """Of columns ``model, text`` and, with ``marks``, ``mark``: ``lang, words, first, marks`` of about ``BATCH`` words of one language at a time."""
+    release()
+    held: dict[int, list] = {}
+    total = 0
+
+    def flush():
+        for lang, parts in held.items():
+            sizes = np.concatenate([p[1] for p in parts])
+            yield lang, np.concatenate([p[0] for p in parts]), np.concatenate([[0], np.cumsum(sizes)]), np.concatenate([p[2] for p in parts])
+        held.clear()
+
+    for batch in (b.slice(lo, 500) for b in batches for lo in range(0, b.num_rows, 500)):
+        lang = np.array([langs.get(m, -1) for m in batch.column(0).to_pylist()], np.int64)
+        words, first = word_hashes(*arrow_bytes(batch.column(1)), lower=False)
+        sizes = np.diff(first)
+        mark = batch.column(2).to_numpy() if marks else np.zeros(len(lang), np.int64)
+        for one in np.unique(lang[lang >= 0]):
+            mine = lang == one
+            held.setdefault(int(one), []).append((words[np.repeat(mine, sizes)], sizes[mine], mark[mine]))
+        total += len(words) + 2 * len(sizes)
+        if total >= BATCH:
+            total = 0
+            yield from flush()
+    yield from flush()
+
+
+CHUNKS = "lang int, shard int, payload binary"
+
+
+def _row(pa, schema: str, *values):
+    kinds = {"int": pa.int32(), "long": pa.int64(), "binary": pa.binary(), "array<long>": pa.list_(pa.int64())}
+    fields = [f.split() for f in schema.split(", ")]
+    return pa.RecordBatch.from_arrays([pa.array([v], kinds[k]) for v, (_, k) in zip(values, fields, strict=True)], names=[n for n, _ in fields])
 
 
-def count_trigrams(texts: DataFrame) -> DataFrame:
-    """``lang, gram, n`` over ``lang, text``; pooled counts are included under ``POOLED``."""
+def counted_chunks(texts: DataFrame, langs: dict[str, int], shards: int, pooled: int | None) -> DataFrame:
+    """``CHUNKS`` of ``model, text``: each task's distinct triples with their counts, under their language and, if there is one, the pooled model."""
 
     def run(batches):
         import pyarrow as pa
 
-        release()
-        held: dict[str, tuple[np.ndarray, np.ndarray]] = {}
-        for batch in batches:
-            for lo in range(0, batch.num_rows, 500):
-                part = batch.slice(lo, 500)
-                by: dict[str, list[np.ndarray]] = {}
-                for lang, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
-                    if text:
-                        by.setdefault(lang, []).append(trigram_codes(text.encode("utf-8", "surrogatepass")))
-                for lang, codes in by.items():
-                    held[lang] = _add(held.get(lang), np.unique(np.concatenate(codes), return_counts=True))
-        for lang, (gram, n) in held.items():
-            for lo in range(0, len(gram), 100_000):
-                g = gram[lo : lo + 100_000]
-                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(g)), pa.array(g.astype(np.int32)), pa.array(n[lo : lo + 100_000].astype(np.int64))], names=["lang", "gram", "n"])
+        for lang, words, first, _ in _batches(batches, langs, False):
+            symbols, at, _ = ngrams.sequences(words, first)
+            for shard, names, u, v, w, _ in ngrams.dealt(symbols, at, shards):
+                payload = ngrams.counted_chunk(names, u, v, w)
+                for to in (lang,) if pooled is None else (lang, pooled):
+                    yield _row(pa, CHUNKS, to, shard, payload)
+
+    return texts.select("model", "text").mapInArrow(run, CHUNKS)
 
-    own = texts.mapInArrow(run, "lang string, gram int, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
-    return own
 
+COUNTED = "lang int, shard int, sender int, numbers array<long>, payload binary"
 
-def _add(old, new):
-    if old is None:
-        return new
-    gram, inverse = np.unique(np.concatenate([old[0], new[0]]), return_inverse=True)
-    return gram, np.bincount(inverse, weights=np.concatenate([old[1], new[1]]), minlength=len(gram)).astype(np.int64)
 
+def _grouped(batches, columns: int):
+    """``(lang, shard), rows`` of sorted batches."""
+    key, rows = None, []
+    for batch in batches:
+        for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            if row[:2] != key:
+                if rows:
+                    yield key, rows
+                key, rows = row[:2], []
+            rows.append(row[2:])
+    if rows:
+        yield key, rows
 
-def _discounts(grams: DataFrame, order: int) -> DataFrame:
-    """``lang, d1, d2, d3`` from counts of counts; where these are too few for the estimate, the usual 0.5, 1, 1.5."""
-    n = [F.count(F.when(F.col("n") == k, 1)).cast("double").alias(f"n{k}") for k in range(1, 5)]
-    c = grams.groupBy("lang").agg(*n)
-    y = F.col("n1") / (F.col("n1") + 2 * F.col("n2"))
-    raw = [F.try_divide(F.lit(float(k + 1)) * y * F.col(f"n{k + 1}"), F.col(f"n{k}")) for k in (1, 2, 3)]
-    usable = (F.col("n1") > 0) & (F.col("n2") > 0) & (F.col("n3") > 0)
-    out = [F.when(usable, F.least(F.greatest(F.lit(float(k)) - raw[k - 1], F.lit(0.05)), F.lit(k - 0.05))).otherwise(F.lit(k / 2)) for k in (1, 2, 3)]
-    return c.select("lang", *[o.alias(f"d{k}") for k, o in enumerate(out, 1)])
 
+def add_up(chunks: DataFrame, uri: str, shards: int, parts: int) -> DataFrame:
+    """Writes each shard's counts; rows are its summary (``sender`` -1) and, to other shards, the words whose continuation counts it asks for."""
 
-def word_hashes(texts: list[str]) -> list[np.ndarray]:
-    """Of each text the 64-bit hashes of its words (split at ASCII blanks), led by two start symbols and closed by an end symbol."""
-    import pandas as pd
+    def run(batches):
+        import pyarrow as pa
 
-    words = [[w for w in BLANKS.split(t) if w] for t in texts]
-    flat = np.array([w for ws in words for w in ws], dtype=object)
-    hashed = pd.util.hash_array(flat).view(np.int64) if len(flat) else np.zeros(0, np.int64)
-    return [np.concatenate([[START, START], h, [END]]).astype(np.int64) for h in np.split(hashed, np.cumsum([len(ws) for ws in words])[:-1])]
+        store, root = open_store(uri)
+        for (lang, shard), rows in _grouped(batches, 3):
+            own = ngrams.Counts.gathered([p for (p,) in rows])
+            rows.clear()
+            put(store, f"{root}/counts-{lang}-{shard}", own.packed())
+            spoken = np.flatnonzero(own.c1)
+            put(store, f"{root}/words-{lang}-{shard}", ngrams.pack(ngrams.steps(own.words[spoken]), own.c1[spoken].astype("<u4")))
+            yield _row(pa, COUNTED, lang, shard, -1, own.summary(), None)
+            for to, codes in own.asked(shards):
+                yield _row(pa, COUNTED, lang, to, shard, None, ngrams.pack(ngrams.steps(own.words[codes])))
 
+    return chunks.repartition(parts, "lang", "shard").sortWithinPartitions("lang", "shard").mapInArrow(run, COUNTED)
 
-def _turned(x: np.ndarray) -> np.ndarray:
-    u = x.view(np.uint64)
-    return (u << np.uint64(21) | u >> np.uint64(43)).view(np.int64)
 
+def answered(asked: DataFrame, uri: str, parts: int) -> DataFrame:
+    """``lang, shard, sender, payload``: what ``shard`` asked ``sender`` for."""
 
-def word_keys(h: np.ndarray) -> np.ndarray:
-    """Keys of the words, pairs and triples of one text that its probability asks for."""
-    pairs = _turned(h[:-1]) ^ h[1:]
-    return np.concatenate([h[1:], pairs, _turned(pairs[:-1]) ^ h[2:]])
+    def run(batches):
+        import pyarrow as pa
 
+        store, root = open_store(uri)
+        for (lang, shard), rows in _grouped(batches, 4):
+            names, c1 = ngrams.unpack(take(store, f"{root}/words-{lang}-{shard}"))
+            names = ngrams.unstep(names)
+            for sender, payload in rows:
+                yield _row(pa, "lang int, shard int, sender int, payload binary", lang, sender, shard, ngrams.pack(c1[np.searchsorted(names, ngrams.unstep(ngrams.unpack(payload)[0]))]))
 
-def _key(*words):
-    """``word_keys`` of columns."""
-    out = F.col(words[0])
-    for w in words[1:]:
-        out = F.shiftleft(out, 21).bitwiseOR(F.shiftrightunsigned(out, 43)).bitwiseXOR(F.col(w))
-    return out
+    return asked.select("lang", "shard", "sender", "payload").repartition(parts, "lang", "shard").sortWithinPartitions("lang", "shard").mapInArrow(run, "lang int, shard int, sender int, payload binary")
 
 
-def count_words(texts: DataFrame) -> DataFrame:
-    """``lang, u, v, w, n`` of word triples over ``lang, text``."""
+def finish(answers: DataFrame, every: DataFrame, uri: str, shards: int, languages: dict[int, list[int]], parts: int) -> DataFrame:
+    """Writes each shard's part of the model; rows ``lang, shard``. ``every`` names all shards, also those that asked for nothing."""
 
     def run(batches):
         import pyarrow as pa
 
-        for batch in (b.slice(lo, 500) for b in batches for lo in range(0, b.num_rows, 500)):
-            rows = [(k, t) for k, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True) if t]
-            for (lang, _), h in zip(rows, word_hashes([t for _, t in rows]) if rows else [], strict=True):
-                yield pa.RecordBatch.from_arrays([pa.array([lang] * (len(h) - 2), pa.string()), *(pa.array(h[i : len(h) - 2 + i]) for i in range(3))], names=["lang", "u", "v", "w"])
-
-    return texts.mapInArrow(run, "lang string, u long, v long, w long").groupBy("lang", "u", "v", "w").agg(F.count(F.lit(1)).alias("n"))
-
-
-def word_model(c3: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
-    """``lang, gram, value`` with all gains and back-off weights by key, and ``lang, base``: the log probability of an unseen word before them."""
-    c2 = scratch.keep(c3.groupBy("lang", "v", "w").agg(F.count(F.lit(1)).alias("n")), "w2")
-    c1 = scratch.keep(c2.groupBy("lang", "w").agg(F.count(F.lit(1)).alias("n")), "w1")
-
-    def order(grams: DataFrame, k: int, gram, ctx, low) -> tuple[DataFrame, DataFrame]:
-        d = F.when(F.col("n") == 1, F.col("d1")).when(F.col("n") == 2, F.col("d2")).otherwise(F.col("d3"))
-        used = grams.join(F.broadcast(_discounts(grams, k)), "lang").select("lang", gram.alias("gram"), ctx.alias("ctx"), low.alias("low"), "n", d.alias("d"))
-        sums = used.groupBy("lang", "ctx").agg(F.sum("n").cast("double").alias("total"), F.sum("d").alias("left"))
-        gamma = (F.col("left") / F.col("total")).alias("gamma")
-        return used.join(sums, ["lang", "ctx"]).select("lang", "gram", "low", ((F.col("n") - F.col("d")) / F.col("total")).alias("high"), gamma), sums.select("lang", F.col("ctx").alias("gram"), F.log(gamma).alias("value"))
-
-    x1, _ = order(c1, 1, F.col("w"), F.lit(0), F.lit(0))
-    sizes = c1.groupBy("lang").agg((F.count(F.lit(1)) + 1).alias("kinds"))
-    # every word that was not seen is one more kind of word
-    x1 = x1.join(F.broadcast(sizes), "lang").withColumn("rest", F.col("gamma") / F.col("kinds"))
-    p1 = scratch.keep(x1.select("lang", "gram", (F.col("high") + F.col("rest")).alias("p"), F.log("rest").alias("base")).withColumn("value", F.log("p") - F.col("base")), "wp1")
-
-    def above(x: DataFrame, lower: DataFrame, name: str) -> DataFrame:
-        rest = F.col("gamma") * F.col("p_low")
-        found = x.join(lower.select("lang", F.col("gram").alias("low"), F.col("p").alias("p_low")), ["lang", "low"])
-        return scratch.keep(found.select("lang", "gram", (F.col("high") + rest).alias("p"), F.log((F.col("high") + rest) / rest).alias("value")), name)
-
-    x2, back2 = order(c2, 2, _key("v", "w"), F.col("v"), F.col("w"))
-    p2 = above(x2, p1, "wp2")
-    x3, back3 = order(c3, 3, _key("u", "v", "w"), _key("u", "v"), _key("v", "w"))
-    p3 = above(x3, p2, "wp3")
-    table = [p1, back2, p2, back3, p3]
-    out = table[0].select("lang", "gram", "value")
-    for t in table[1:]:
-        out = out.unionByName(t.select("lang", "gram", "value"))
-    out, base = scratch.keep(out, "words"), scratch.keep(p1.groupBy("lang").agg(F.first("base").alias("base")), "base")
-    scratch.drop("w1", "w2", "wp1", "wp2", "wp3")
-    return out, base
-
-
-def _score_words(named: DataFrame, model: DataFrame, base: DataFrame, scratch: Scratch):
-    """A function of the columns to carry, like ``_score_joined``; sums by model and text are made once, by a shuffled join of key counts."""
-    mark = F.xxhash64("model", F.coalesce("text", F.lit("")))
-
-    def keys(batches):
-        import pyarrow as pa
+        store, root = open_store(uri)
+        shared = {}
+        for (lang, shard), rows in _grouped(batches, 4):
+            if lang not in shared:
+                shared[lang] = ngrams.Language(languages[lang])
+            counts = ngrams.Counts.unpacked(take(store, f"{root}/counts-{lang}-{shard}"))
+            c1, got = np.zeros(len(counts.words), np.int64), {s: p for s, p in rows if s >= 0}
+            for to, codes in counts.asked(shards):
+                c1[codes] = ngrams.unpack(got[to])[0]
+            put(store, f"{root}/model-{lang}-{shard}", ngrams.Model.made(counts, c1, shared[lang]).packed())
+            yield _row(pa, "lang int, shard int", lang, shard)
+
+    rows = answers.unionByName(every.select("lang", "shard", F.lit(-1).alias("sender"), F.lit(None).cast("binary").alias("payload")))
+    return rows.repartition(parts, "lang", "shard").sortWithinPartitions("lang", "shard").mapInArrow(run, "lang int, shard int")
+
 
-        for batch in (b.slice(lo, 200) for b in batches for lo in range(0, b.num_rows, 200)):
-            cols = [c.to_pylist() for c in batch.columns]
-            for m, k, h in zip(cols[0], cols[1], word_hashes(cols[2]), strict=True):
-                key, n = np.unique(word_keys(h), return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(key), m)), pa.array([k] * len(key), pa.string()), pa.array(key), pa.array(n.astype(np.int32))], names=["mark", "model", "gram", "n"])
-
-    texts = named.where("text != ''").select(mark.alias("mark"), "model", "text")
-    asked = texts.mapInArrow(keys, "mark long, model string, gram long, n int")
-    found = asked.join(model.withColumnRenamed("lang", "model"), ["model", "gram"]).groupBy("mark").agg(F.sum(F.col("n") * F.col("value")).alias("sum"))
-    copies = texts.groupBy("mark").agg(F.count(F.lit(1)).alias("copies"))
-    sums = scratch.keep(copies.join(found, "mark", "left").select("mark", (F.coalesce("sum", F.lit(0.0)) / F.col("copies")).alias("sum")), "sums")
-
-    def score(columns: list[str]) -> DataFrame:
-        rows = named.select("doc_id", "lang", "model", mark.alias("mark"), F.when(F.col("text") != "", F.regexp_count("text", F.lit(r"[^\x20\x09-\x0D]+")) + 1).cast("long").alias("n_symbols"), *columns)
-        out = rows.join(sums, "mark", "left").join(F.broadcast(base.withColumnRenamed("lang", "model")), "model", "left")
-        return out.select("doc_id", "lang", "model", "n_symbols", (F.col("n_symbols") * F.col("base") + F.col("sum")).alias("log_p"), *columns)
-
-    return score
-
-
-def _order(grams: DataFrame, d: DataFrame, context) -> tuple[DataFrame, DataFrame]:
-    """Per gram ``lang, gram, ctx, high`` (its discounted share) and per context ``lang, ctx, gamma``."""
-    used = grams.withColumn("ctx", context).join(d, "lang").withColumn("d", F.when(F.col("n") == 1, F.col("d1")).when(F.col("n") == 2, F.col("d2")).otherwise(F.col("d3")))
-    ctx = used.groupBy("lang", "ctx").agg(F.sum("n").cast("double").alias("total"), F.sum("d").alias("left"))
-    high = used.join(ctx, ["lang", "ctx"]).select("lang", "gram", "ctx", ((F.col("n") - F.col("d")) / F.col("total")).alias("high"))
-    return high, ctx.select("lang", "ctx", (F.col("left") / F.col("total")).alias("gamma"))
-
-
-def model_table(counts: DataFrame, scratch: Scratch) -> DataFrame:
-    """``lang, part, gram, value`` with parts ``uni, back2, gain2, back3, gain3`` from trigram counts."""
-    c3 = counts
-    low8, low16 = F.lit(0xFF), F.lit(0xFFFF)
-    c2 = scratch.keep(c3.groupBy("lang", F.col("gram").bitwiseAND(low16).alias("gram")).agg(F.count(F.lit(1)).alias("n")), "c2")
-    c1 = scratch.keep(c2.groupBy("lang", F.col("gram").bitwiseAND(low8).alias("gram")).agg(F.count(F.lit(1)).alias("n")), "c1")
-    h1, g1 = _order(c1, _discounts(c1, 1), F.lit(0))
-    h2, g2 = _order(c2, _discounts(c2, 2), F.shiftright("gram", 8))
-    h3, g3 = _order(c3, _discounts(c3, 3), F.shiftright("gram", 8))
-    every = F.explode(F.sequence(F.lit(0), F.lit(255))).alias("gram")
-    p1 = scratch.keep(g1.select("lang", every, (F.col("gamma") / 256.0).alias("rest")).join(h1.select("lang", "gram", "high"), ["lang", "gram"], "left").select("lang", "gram", (F.coalesce("high", F.lit(0.0)) + F.col("rest")).alias("p")), "p1")
-    low = lambda n: F.col("gram").bitwiseAND(F.lit(n))
-    x2 = h2.join(g2, ["lang", "ctx"]).withColumn("low", low(0xFF)).join(p1.select("lang", F.col("gram").alias("low"), F.col("p").alias("p_low")), ["lang", "low"])
-    p2 = scratch.keep(x2.withColumn("p", F.col("high") + F.col("gamma") * F.col("p_low")).select("lang", "gram", "p", (F.log("p") - F.log(F.col("gamma") * F.col("p_low"))).alias("value")), "p2")
-    # the lower-order probability of a seen trigram: its bigram was seen, as a suffix of this trigram at least
-    x3 = h3.join(g3, ["lang", "ctx"]).withColumn("low", low(0xFFFF)).join(p2.select("lang", F.col("gram").alias("low"), F.col("p").alias("p_low")), ["lang", "low"])
-    p3 = x3.withColumn("p", F.col("high") + F.col("gamma") * F.col("p_low")).select("lang", "gram", (F.log("p") - F.log(F.col("gamma") * F.col("p_low"))).alias("value"))
-    parts = [
-        p1.select("lang", F.lit("uni").alias("part"), "gram", F.log("p").alias("value")),
-        g2.select("lang", F.lit("back2").alias("part"), F.col("ctx").alias("gram"), F.log("gamma").alias("value")),
-        p2.select("lang", F.lit("gain2").alias("part"), "gram", "value"),
-        g3.select("lang", F.lit("back3").alias("part"), F.col("ctx").alias("gram"), F.log("gamma").alias("value")),
-        p3.select("lang", F.lit("gain3").alias("part"), "gram", "value"),
-    ]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return scratch.keep(out.withColumn("gram", F.col("gram").cast("int")), "model")
-
-
-class Tables:
-    """The table of one language as arrays: bigrams whole; of trigram gains a row of 256 for each context seen, row 0 for all others."""
-
-    def __init__(self, part: np.ndarray, gram: np.ndarray, value: np.ndarray):
-        def dense(name: str, size: int) -> np.ndarray:
-            out = np.zeros(size)
-            out[gram[part == name]] = value[part == name]
-            return out
-
-        uni, back2, gain2 = dense("uni", 1 << 8), dense("back2", 1 << 8), dense("gain2", 1 << 16)
-        self.low = uni[np.arange(1 << 16) & 0xFF] + back2[np.arange(1 << 16) >> 8] + gain2
-        self.back3 = dense("back3", 1 << 16)
-        seen, gains = gram[part == "gain3"], value[part == "gain3"]
-        contexts = np.unique(seen >> 8)
-        self.row = np.zeros(1 << 16, np.int32)
-        self.row[contexts] = np.arange(1, len(contexts) + 1)
-        self.gain3 = np.zeros(((len(contexts) + 1), 256))
-        self.gain3[self.row[seen >> 8], seen & 0xFF] = gains
-
-    def log_probability(self, codes: np.ndarray) -> float:
-        context = codes >> np.uint32(8)
-        return float(self.low[codes & np.uint32(0xFFFF)].sum() + self.back3[context].sum() + self.gain3[self.row[context], codes & np.uint32(0xFF)].sum())
-
-
-SCORED = "doc_id long, lang string, model string, n_symbols long, log_p double"
-
-
-def _score_sent(rows: DataFrame, spark: SparkSession, model: DataFrame, carry: list[str]) -> DataFrame:
-    """``SCORED`` and the columns in ``carry``, which may name ``text`` itself: it is sent once."""
-    pdf = model.toPandas()  # its number of rows has been checked
-    held = spark.sparkContext.broadcast({k: (g["part"].to_numpy(str), g["gram"].to_numpy(), g["value"].to_numpy()) for k, g in pdf.groupby("lang")})
-    kinds = ", ".join([SCORED, *(f"`{c}` {t}" for c, t in rows.select(*carry).dtypes)])
+def requests(rows: DataFrame, langs: dict[str, int], shards: int) -> DataFrame:
+    """``CHUNKS`` of ``model, text, mark``: all triples, document by document."""
 
     def run(batches):
         import pyarrow as pa
 
-        release()
-        tables: dict[str, Tables] = {}
-        for batch in (b.slice(lo, 500) for b in batches for lo in range(0, b.num_rows, 500)):
-            n, p = [], []
-            for model, text in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
-                raw = (text or "").encode("utf-8", "surrogatepass")
-                n.append(len(raw) + 1 if raw else None)
-                if not raw or model not in held.value:
-                    p.append(None)
-                    continue
-                if model not in tables:
-                    tables[model] = Tables(*held.value[model])
-                p.append(tables[model].log_probability(trigram_codes(raw)))
-            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(n, pa.int64()), pa.array(p, pa.float64()), *(batch.column(c) for c in carry)], names=["doc_id", "lang", "model", "n_symbols", "log_p", *carry])
+        for lang, words, first, marks in _batches(batches, langs, True):
+            symbols, at, doc = ngrams.sequences(words, first)
+            for shard, names, u, v, w, which in ngrams.dealt(symbols, at, shards):
+                docs, own = np.unique(doc[which], return_inverse=True)
+                k = len(names)
+                yield _row(pa, CHUNKS, lang, shard, ngrams.pack(ngrams.steps(names), *(ngrams.narrow(c, k) for c in (u, v, w)), np.diff(own, prepend=0).astype("<u4"), marks[docs].view(np.uint64)))
 
-    return rows.select("doc_id", "lang", "model", "text", *(c for c in carry if c != "text")).mapInArrow(run, kinds)
+    return rows.select("model", "text", "mark").mapInArrow(run, CHUNKS)
 
 
-def _score_joined(rows: DataFrame, model: DataFrame, carry: list[str]) -> DataFrame:
-    """The same by shuffled joins: rows alike in id, language and text share their sums, which are divided by their number."""
+SUMS = "mark long, sum double, n long"
 
-    def grams(batches):
+
+def replies(asked: DataFrame, uri: str, ends: dict[int, float], parts: int) -> DataFrame:
+    """``SUMS``: per chunk and document the weights of its triples and their number."""
+
+    def run(batches):
         import pyarrow as pa
 
+        store, root = open_store(uri)
+        held: dict[tuple[int, int], ngrams.Model] = {}
         for batch in batches:
-            for doc, lang, model, mark, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                gram, n = np.unique(trigram_codes((text or "").encode("utf-8", "surrogatepass")), return_counts=True)
-                k = len(gram) if text else 1
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([doc] * k, pa.int64()), pa.array([lang] * k, pa.string()), pa.array([model] * k, pa.string()), pa.array([mark] * k, pa.int64()), pa.array(gram[:k].astype(np.int32) if text else [None], pa.int32()), pa.array(n[:k] if text else [0], pa.int64())],
-                    names=["doc_id", "lang", "model", "mark", "gram", "n"],
-                )
-
-    marked = rows.select("doc_id", "lang", "model", F.xxhash64(F.coalesce("text", F.lit(""))).alias("mark"), "text", *(c for c in carry if c != "text"))
-    found = marked.select("doc_id", "lang", "model", "mark", "text").mapInArrow(grams, "doc_id long, lang string, model string, mark long, gram int, n long")
-    g = F.col("gram")
-    keys = F.array(*[F.struct(F.lit(p).alias("part"), k.cast("int").alias("key")) for p, k in (("uni", g.bitwiseAND(F.lit(0xFF))), ("back2", F.shiftright(g, 8).bitwiseAND(F.lit(0xFF))), ("gain2", g.bitwiseAND(F.lit(0xFFFF))), ("back3", F.shiftright(g, 8)), ("gain3", g))])
-    asked = found.withColumn("k", F.explode(keys)).select("doc_id", "lang", "model", "mark", "n", "k.part", "k.key")
-    table = model.select(F.col("lang").alias("model"), "part", F.col("gram").alias("key"), "value")
-    known = table.select(F.col("model").alias("has")).distinct()
-    sums = asked.join(table, ["model", "part", "key"], "left").groupBy("doc_id", "lang", "model", "mark").agg(
-        F.sum(F.when(F.col("part") == "uni", F.col("n"))).alias("all"), F.sum(F.col("n") * F.col("value")).alias("log_p"))
-    copies = marked.groupBy("doc_id", "lang", "model", "mark").agg(F.count(F.lit(1)).alias("copies"))
-    same = [copies[c].eqNullSafe(sums[c]) for c in ("doc_id", "lang", "model", "mark")]
-    joined = copies.join(sums.select(*[sums[c] for c in sums.columns]), same, "left").select(copies["doc_id"], copies["lang"], copies["model"], copies["mark"], "copies", "all", "log_p").join(known, F.col("model") == F.col("has"), "left")
-    n = F.when(F.col("all") > 0, F.col("all") / F.col("copies")).cast("long")
-    log_p = F.when((F.col("all") > 0) & F.col("has").isNotNull(), F.coalesce("log_p", F.lit(0.0)) / F.col("copies"))
-    scored = joined.select(*[F.col(c).alias(f"s_{c}") for c in ("doc_id", "lang", "model", "mark")], n.alias("n_symbols"), log_p.alias("log_p"))
-    own = [F.col(c).eqNullSafe(F.col(f"s_{c}")) for c in ("doc_id", "lang", "model", "mark")]
-    return marked.join(scored, own, "left").select("doc_id", "lang", "model", "n_symbols", "log_p", *carry)
-
-
-def _quantiles(scores: DataFrame, col: str, q: float) -> DataFrame:
-    """``model, q``: of each language's own model, and over all of them for the pooled one."""
-    of = F.percentile_approx(col, q, 10_000).alias("q")
-    own = scores.where(F.col("model") != POOLED).groupBy("model").agg(of)
-    return own.unionByName(scores.agg(of).select(F.lit(POOLED).alias("model"), "q"))
-
-
-def classify(docs: DataFrame, trusted: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", quantile: float = 0.985, slack: float = 1.05, prior: int = 40, held_out: int = 5, least_trusted: int = LEAST_TRUSTED, broadcast_rows: int = BROADCAST_ROWS, carry: tuple[str, ...] = (), scratch: Scratch | None = None, unit: str = "bytes") -> DataFrame:
+            for lang, shard, payload in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if (lang, shard) not in held:
+                    while held and sum(m.nbytes for m in held.values()) > OPEN:
+                        held.pop(next(iter(held)))
+                    raw = take(store, f"{root}/model-{lang}-{shard}", missing=True)
+                    held[lang, shard] = ngrams.Model.unpacked(raw) if raw else None
+                names, u, v, w, own, marks = ngrams.unpack(payload)
+                names, own = ngrams.unstep(names), np.cumsum(own, dtype=np.int64)
+                model = held[lang, shard]
+                weight = np.zeros(len(u)) if model is None else model.weights(names, u, v, w)
+                weight = weight + ends[lang] * (names[w] == ngrams.END)
+                yield pa.RecordBatch.from_arrays([pa.array(marks.view(np.int64)), pa.array(np.bincount(own, weight, len(marks))), pa.array(np.bincount(own, minlength=len(marks)))], names=["mark", "sum", "n"])
+
+    return asked.hint("rebalance", parts, "lang", "shard").sortWithinPartitions("lang", "shard").mapInArrow(run, SUMS)
+
+
+def train(texts: DataFrame, langs: dict[str, int], shards: int, scratch: Scratch, pooled: int | None = None) -> dict[int, ngrams.Language]:
+    """Writes the models of ``model, text`` below ``scratch`` and returns what each one's shards share."""
+    uri, parts = scratch.path("model"), partitions(texts.sparkSession)
+    open_store(uri, create=True)
+    found = scratch.keep(add_up(counted_chunks(texts, langs, shards, pooled), uri, shards, parts), "counted")
+    scratch.give_up()
+    summary = found.where("sender < 0")
+    numbers = summary.select("lang", F.posexplode("numbers").alias("i", "x")).groupBy("lang", "i").agg(F.sum("x").alias("x"))
+    languages: dict[int, list[int]] = {}
+    for r in numbers.orderBy("lang", "i").collect():  # fifteen rows a language
+        languages.setdefault(r["lang"], []).append(r["x"])
+    answers = answered(found.where("sender >= 0"), uri, parts)
+    scratch.keep(finish(answers, summary, uri, shards, languages, parts), "finished")
+    scratch.drop("counted", *(f"model/{kind}-{lang}-{shard}" for kind in ("counts", "words") for lang in languages for shard in range(shards)))
+    scratch.give_up()
+    return {lang: ngrams.Language(s) for lang, s in languages.items()}
+
+
+def classify(docs: DataFrame, trusted: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", quantile: float = 0.985, slack: float = 1.05, prior: int = 40, held_out: int = 5, pull: int = 20, rounds: int = 4, shard_bytes: int = 64_000_000, carry: tuple[str, ...] = (), scratch: Scratch | None = None) -> DataFrame:
     """``doc_id, lang, n_symbols, perplexity, level, threshold, kept`` for each row of ``docs``; ``trusted`` names ids of trusted documents.
 
-    Columns of ``docs`` named in ``carry`` follow, each under ``carried_`` and its name.  One in ``held_out`` trusted documents (by a hash of
-    the id) is not counted but sets its language's typical value and threshold, where that leaves enough of them.
-    ``unit`` is ``bytes`` or ``words``.
+    Columns of ``docs`` named in ``carry`` follow, each under ``carried_`` and its name.
     """
-    if unit not in ("bytes", "words"):
-        raise ValueError(f"unknown unit {unit}")
     spark = docs.sparkSession
     scratch = scratch or Scratch(spark, "kneser-ney")
-    own_text = [c for c in carry if c == text_col and docs.schema[c].dataType.typeName() == "string"]
-    carried = {c: "text" if c in own_text else f"carried_{c}" for c in carry}
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(lang_col).cast("string").alias("lang"), _lang_key(lang_col).alias("key"), F.col(text_col).cast("string").alias("text"), *[F.col(c).alias(f"carried_{c}") for c in carry if c not in own_text])
-    ids = scratch.keep(trusted.select(F.col(trusted.columns[0]).cast("long").alias("doc_id")).where("doc_id IS NOT NULL").distinct(), "trusted")
-    held = F.pmod(F.xxhash64("doc_id"), F.lit(held_out)) == 0
-    texts = rows.join(ids.where(~held).hint("merge"), "doc_id", "left_semi").select(F.col("key").alias("lang"), "text")
-    enough = rows.select("doc_id", "key").join(ids, "doc_id", "left_semi").groupBy("key").agg(F.count(F.lit(1)).alias("n"))
-    enough = scratch.keep(enough.where(F.col("n") >= least_trusted).select(F.col("key").alias("has")), "enough")
-    named = rows.join(enough, F.col("key") == F.col("has"), "left").select("doc_id", "lang", F.coalesce("has", F.lit(POOLED)).alias("model"), "text", *(c for c in carried.values() if c != "text"))
-    counts = scratch.keep(count_words(texts) if unit == "words" else count_trigrams(texts), "counts")
-    own = counts.join(enough, F.col("lang") == F.col("has"), "left_semi")
-    grams = [c for c in counts.columns if c not in ("lang", "n")]
-    if unit == "bytes" or named.where(F.col("model") == POOLED).limit(1).count():
-        own = scratch.keep(own.unionByName(counts.groupBy(F.lit(POOLED).alias("lang"), *grams).agg(F.sum("n").alias("n"))), "c3")
-    if unit == "words":
-        by_sums = _score_words(named, *word_model(own, scratch), scratch)
-        scratch.drop("counts", "c3", "words")
-    else:
-        model = model_table(own, scratch)
-        few = model.limit(broadcast_rows + 1).count() <= broadcast_rows
-
-    def score(columns: list[str]) -> DataFrame:
-        if unit == "words":
-            out = by_sums(columns)
-        else:
-            out = _score_sent(named, spark, model, columns) if few else _score_joined(named, model, columns)
-        return out.withColumn("perplexity", F.exp(-F.col("log_p") / F.col("n_symbols")))
-
-    scores = scratch.keep(score([]), "scores")
-    good = scratch.keep(scores.where("perplexity IS NOT NULL").join(ids, "doc_id", "left_semi").withColumn("held", held), "good")
-    if unit == "words":  # a model of words knows the texts that it counted by heart
-        good = good.where("held")
-    sparse = good.groupBy("model").agg(F.count_if("held").alias("n_held")).where(F.col("n_held") < LEAST_HELD)
-    good = good.where("held").unionByName(good.where("NOT held").join(sparse, "model", "left_semi"))
-    typical = scratch.keep(_quantiles(good, "perplexity", 0.5).select("model", F.col("q").alias("typical")), "typical")
-    level = lambda df: df.join(typical, "model", "left").withColumn("level", F.exp((-F.col("log_p") + prior * F.log("typical")) / (F.col("n_symbols") + prior)))
-    limits = scratch.keep(_quantiles(level(good), "level", quantile).select("model", (F.col("q") * slack).alias("threshold")), "thresholds")
-    kept = F.col("n_symbols").isNotNull() & (F.col("level").isNull() | F.col("threshold").isNull() | (F.col("level") <= F.col("threshold")))
-    every = score(list(carried.values())) if carried else scores  # scored again rather than stored with whole texts
-    return level(every).join(limits, "model", "left").select("doc_id", "lang", "n_symbols", "perplexity", "level", "threshold", kept.alias("kept"), *(F.col(c).alias(f"carried_{k}") for k, c in carried.items()))
+    parts = partitions(spark)
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(lang_col).cast("string").alias("lang"), _lang_key(lang_col).alias("key"), F.col(text_col).cast("string").alias("text"), *[F.col(c).alias(f"carried_{c}") for c in carry])
+    ids = scratch.keep(trusted.select(F.col(trusted.columns[0]).cast("long").alias("doc_id")).where("doc_id IS NOT NULL").distinct().withColumn("held", F.pmod(F.xxhash64("doc_id"), F.lit(held_out)) == 0), "trusted")
+    counted = ids.where("NOT held").select("doc_id")
+    sizes = rows.select("doc_id", "key", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("size")).where("size > 0")
+    sizes = sizes.join(counted.withColumn("counted", F.lit(True)), "doc_id", "left").groupBy("key").agg(F.sum("size").alias("size"), F.count("counted").alias("n")).limit(LANGUAGES + 1).collect()
+    if len(sizes) > LANGUAGES:
+        raise ValueError(f"more than {LANGUAGES} languages")
+    shards = max(1, -(-sum(r["size"] for r in sizes) // shard_bytes))
+    names = sorted(r["key"] for r in sizes if r["n"])
+    langs = {k: i for i, k in enumerate(names)}
+    pooled = len(langs) if len(langs) and len(langs) < len(sizes) else None
+    languages: dict[int, ngrams.Language] = {}
+    if langs:
+        texts = screened(rows.select("doc_id", "key", "text"), counted).join(counted.hint("merge"), "doc_id", "left_semi").where("text != ''").select(F.col("key").alias("model"), "text")
+        languages = train(texts, langs, shards, scratch, pooled)
+    if pooled is not None:
+        langs = {**langs, POOLED: pooled}
+    has = spark.createDataFrame([(k,) for k in names], "has string")
+    marked = rows.join(F.broadcast(has), F.col("key") == F.col("has"), "left").withColumn("model", F.coalesce("has", F.lit(POOLED))).drop("has").withColumn("mark", F.when(F.col("text") != "", F.xxhash64("key", "text")))
+    sums = None
+    ends = {i: x.end_gain for i, x in languages.items()}
+    for r in range(rounds if langs else 0):
+        mine = marked.where((F.col("text") != "") & (F.pmod(F.xxhash64(F.coalesce("doc_id", F.lit(0))), F.lit(rounds)) == r))
+        got = scratch.keep(replies(requests(mine, langs, shards), scratch.path("model"), ends, parts).groupBy("mark").agg(F.sum("sum").alias("sum"), F.sum("n").alias("n")), f"sums{r}")
+        scratch.give_up()
+        sums = got if sums is None else sums.unionByName(got)
+    scratch.drop("model")
+    thin = marked.select("doc_id", "lang", "key", "model", "mark")
+    n_words = F.when(F.col("mark").isNotNull(), F.regexp_count("text", F.lit(r"[^\x20\x09-\x0D]+")) + 1).cast("long")
+    if sums is None:
+        none = F.lit(None).cast("double")
+        return marked.select("doc_id", "lang", n_words.alias("n_symbols"), none.alias("perplexity"), none.alias("level"), none.alias("threshold"), F.col("mark").isNotNull().alias("kept"), *(f"carried_{c}" for c in carry))
+    bases = spark.createDataFrame([(k, languages[i].base) for k, i in langs.items()], "model string, base double")
+    scored = thin.where("mark IS NOT NULL").groupBy("mark", "model").agg(F.count(F.lit(1)).alias("copies")).join(F.broadcast(bases), "model").join(sums.groupBy("mark").agg(F.sum("sum").alias("sum"), F.sum("n").alias("n")), "mark")
+    scored = scored.withColumn("n_symbols", (F.col("n") / F.col("copies")).cast("long")).withColumn("log_p", F.col("n_symbols") * F.col("base") + F.col("sum") / F.col("copies"))
+    scored = scratch.keep(scored.select("mark", "model", "n_symbols", "log_p", F.exp(-F.col("log_p") / F.col("n_symbols")).alias("perplexity")), "scored")
+    good = thin.join(ids.where("held"), "doc_id", "left_semi").select("mark").join(scored, "mark")
+    good = scratch.keep(good.select("model", "n_symbols", "log_p", "perplexity"), "good")
+    typical = scratch.keep(good.groupBy("model").agg(F.percentile_approx("perplexity", 0.5, 10_000).alias("typical")), "typical")
+    level = F.exp((-F.col("log_p") + prior * F.log("typical")) / (F.col("n_symbols") + prior))
+    far = good.join(F.broadcast(typical), "model").select("model", F.log(level / F.col("typical")).alias("far"))
+    at = F.percentile_approx("far", quantile, 10_000)
+    own = far.groupBy("model").agg(at.alias("own"), F.count(F.lit(1)).alias("n")).crossJoin(F.broadcast(far.agg(at.alias("of_all"))))  # of one row
+    drawn = F.exp((F.col("n") * F.col("own") + pull * F.col("of_all")) / (F.col("n") + pull))
+    limits = scratch.keep(own.join(typical, "model").select("model", "typical", (F.col("typical") * slack * drawn).alias("threshold")), "limits")
+    decided = scored.join(F.broadcast(limits), "model", "left").select("mark", "n_symbols", "perplexity", level.alias("level"), "threshold")
+    out = marked.join(decided, "mark", "left")
+    kept = F.col("mark").isNotNull() & (F.col("threshold").isNull() | (F.col("level") <= F.col("threshold")))
+    return out.select("doc_id", "lang", "n_symbols", "perplexity", "level", "threshold", kept.alias("kept"), *(f"carried_{c}" for c in carry))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 from pathlib import Path
@@ -42,6 +43,11 @@ class Scratch:
             at = jvm.org.apache.hadoop.fs.Path(self.path(name))
             at.getFileSystem(conf).delete(at, True)
 
+    def give_up(self) -> None:
+        """Let Spark delete the shuffle files of jobs that are done with, which it does once their plans have been collected on the driver."""
+        gc.collect()
+        self.spark._jvm.System.gc()
+
 
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))

@@ -4,18 +4,18 @@ Words are maximal runs of bytes outside ``[\\x20\\x09-\\x0D]`` after lower-casin
 letters stay as they are).  A text's shingles are its runs of ``width`` consecutive words; a text
 of fewer words has one shingle, the whole sequence; a text without words has none.
 
-A word's hash is a difference of prefix sums ``sum(table[byte] * BASE**position)`` (mod 2**64)
-brought to position 0 with the inverse of ``BASE``; a shingle's hash mixes the hashes of its words in
-order.  Everything is 64-bit numpy arithmetic over one whole Arrow batch, so no Python object is
-made per word.  Two different shingles share a hash with odds of about 2**-64.
+A word's hash starts from its length and takes in its bytes by eights, each step followed by a full 64-bit finaliser (words of more than
+64 bytes: BLAKE2b), so words of up to 8 bytes and one length never collide; a shingle's hash mixes the hashes of its words in
+order.  All but long words is 64-bit numpy arithmetic over one whole Arrow batch.  Two different shingles of ordinary text share a hash with odds of
+about 2**-64; the hash is not keyed, so a text made for the purpose could contain a collision.
 """
 
 from __future__ import annotations
 
+import hashlib
+
 import numpy as np
 
-_BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
-_INVERSE = np.uint64(pow(int(_BASE), -1, 1 << 64))
 _M1 = np.uint64(0xBF58476D1CE4E5B9)
 _M2 = np.uint64(0x94D049BB133111EB)
 _STEP = np.uint64(0xD1342543DE82EF95)
@@ -29,29 +29,33 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def _byte_table() -> np.ndarray:
-    table = mix(np.arange(1, 257, dtype=np.uint64) * _STEP)
-    table[65:91] = table[97:123]
-    return table
-
-
-_TABLE = _byte_table()
+_LOWER = np.arange(256, dtype=np.uint8)
+_LOWER[65:91] += 32
 _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[32, *range(9, 14)]] = True
-
-
-def _powers(base: np.uint64, n: int) -> np.ndarray:
-    out = np.full(n, base, dtype=np.uint64)
-    if n:
-        out[0] = 1
-    return np.multiply.accumulate(out)
-
-
-_POW = _powers(_BASE, _BLOCK + 1)
-_INV = _powers(_INVERSE, _BLOCK + 1)
-
-
-def word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+_MASKS = np.array([(1 << 8 * k) - 1 for k in range(9)], dtype=np.uint64)
+#: Bytes beyond which a word is hashed by itself.
+_LONG = 64
+
+
+def _hash_words(part: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """A hash of the bytes of each word, eight at a time for all words at once."""
+    sizes = ends - starts
+    eight = np.ndarray((len(part),), "<u8", buffer=np.concatenate([part, np.zeros(8, np.uint8)]), strides=(1,))
+    h = mix((sizes.astype(np.uint64) + np.uint64(1)) * _STEP)
+    left = np.flatnonzero(sizes <= _LONG)
+    for k in range(0, _LONG, 8):
+        if k:
+            left = left[sizes[left] > k]
+        if not len(left):
+            break
+        h[left] = mix((h[left] ^ eight[starts[left] + k] & _MASKS[np.minimum(sizes[left] - k, 8)]) + _STEP)
+    for i in np.flatnonzero(sizes > _LONG):
+        h[i] = int.from_bytes(hashlib.blake2b(part[starts[i] : ends[i]], digest_size=8).digest(), "little")
+    return h
+
+
+def word_hashes(data: np.ndarray, offsets: np.ndarray, lower: bool = True) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of all words of a batch of texts, and per text the index of its first word.
 
     ``data`` holds the UTF-8 bytes of all texts, text *i* being ``data[offsets[i]:offsets[i + 1]]``.
@@ -62,7 +66,7 @@ def word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.n
         upto = int(np.searchsorted(offsets, offsets[at] + _BLOCK, side="right")) - 1
         upto = min(max(upto, at + 1), n)
         lo, hi = int(offsets[at]), int(offsets[upto])
-        part = data[lo:hi]
+        part = _LOWER[data[lo:hi]] if lower else data[lo:hi]
         space = _SPACE[part]
         cuts = offsets[at:upto] - lo
         is_start = ~space
@@ -74,16 +78,8 @@ def word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.n
         is_end[:-1] &= space[1:]
         last = cuts[cuts > 0] - 1
         is_end[last] = ~space[last]
-        ends = np.flatnonzero(is_end) + 1
-        size = len(part)
-        if size > _BLOCK:
-            pw, inv = _powers(_BASE, size + 1), _powers(_INVERSE, size + 1)
-        else:
-            pw, inv = _POW, _INV
-        sums = np.zeros(size + 1, dtype=np.uint64)
-        np.cumsum(_TABLE[part] * pw[:size], out=sums[1:])
-        out.append(mix((sums[ends] - sums[starts]) * inv[starts] + (ends - starts).astype(np.uint64)))
-        text_of.append(np.searchsorted(starts, np.append(cuts, size), side="left"))
+        out.append(_hash_words(part, starts, np.flatnonzero(is_end) + 1))
+        text_of.append(np.searchsorted(starts, np.append(cuts, len(part)), side="left"))
         at = upto
     words = np.concatenate(out) if out else np.empty(0, np.uint64)
     first_word, base = [np.zeros(1, np.int64)], 0

@@ -3,6 +3,7 @@
 import base64
 import collections
 import hashlib
+import itertools
 import math
 import re
 import zlib
@@ -11,7 +12,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from folio.llm import dedup, jaccard, kneser_ney, mixing, packing, rollup, secrets, tokenfile
+from folio.llm import dedup, files, jaccard, kneser_ney, mixing, ngrams, packing, rollup, secrets, tokenfile
 from folio.llm.scratch import Scratch
 from folio.llm.tokens import Encoder, public_path
 
@@ -421,65 +422,8 @@ def test_scan(docs, spark):
 
 
 # -- quality ----------------------------------------------------------------------------------------------------------------------
-def brute_model(texts):
-    """Interpolated modified Kneser-Ney of order 3 over bytes, straight from its definition."""
-    c3 = collections.Counter()
-    for t in texts:
-        b = b"\x02\x02" + t.encode() + b"\x03"
-        c3.update(b[i : i + 3] for i in range(len(b) - 2))
-    c2 = collections.Counter(g[1:] for g in c3)
-    c1 = collections.Counter(g[1:] for g in c2)
-
-    def discounts(c):
-        n = [sum(v == k for v in c.values()) for k in range(1, 5)]
-        if not all(n[:3]):
-            return [0.5, 1.0, 1.5]
-        y = n[0] / (n[0] + 2 * n[1])
-        return [min(max(k - (k + 1) * y * n[k] / n[k - 1], 0.05), k - 0.05) for k in (1, 2, 3)]
-
-    d = {1: discounts(c1), 2: discounts(c2), 3: discounts(c3)}
-    counts = {1: c1, 2: c2, 3: c3}
-
-    def p(g):
-        order = len(g)
-        low = 1 / 256 if order == 1 else p(g[1:])
-        own = [(h, v) for h, v in counts[order].items() if h[:-1] == g[:-1]]
-        if not own:
-            return low
-        total = sum(v for _, v in own)
-        left = sum(d[order][min(v, 3) - 1] for _, v in own) / total
-        v = counts[order].get(g, 0)
-        return (max(v - d[order][min(v, 3) - 1], 0) / total if v else 0) + left * low
-
-    return p
-
-
-@pytest.mark.parametrize("limit", [kneser_ney.BROADCAST_ROWS, 1])
-def test_kneser_ney(spark, limit):
-    good = [f"the cat sat on the mat number {i}, and the dog ran to the hill." for i in range(30)]
-    rows = [(i, t, "en") for i, t in enumerate(good)] + [(100, "QQ%%ZZ##XX^^WW@@KK~~", "en"), (101, None, "en"), (102, "", None), (103, "the cat", "xx"), (0, "the dog sat on the mat", "en"), (104, "the mat", None), (104, "the mat", None)]
-    df = spark.createDataFrame([(*r, 1.0, "m") for r in rows], "doc_id long, text string, lang string, level double, model string")
-    trusted = spark.createDataFrame([(i,) for i in [*range(30), 5, None]], "doc_id long")
-    got = kneser_ney.classify(df, trusted, broadcast_rows=limit, carry=("text", "model")).collect()
-    assert len(got) == len(rows) and all(r["carried_model"] == "m" for r in got)
-    held = {r[0] for r in trusted.where("pmod(xxhash64(doc_id), 5) = 0").collect()}
-    p = brute_model([t for d, t, _ in rows if d in range(30) and d not in held])
-    for r in got:
-        t = r["carried_text"]
-        if not t:
-            assert (r["perplexity"], r["n_symbols"], r["kept"]) == (None, None, False)
-            continue
-        b = b"\x02\x02" + t.encode() + b"\x03"
-        logp = sum(math.log(p(b[i : i + 3])) for i in range(len(b) - 2))
-        assert r["n_symbols"] == len(b) - 2
-        assert r["perplexity"] == pytest.approx(math.exp(-logp / (len(b) - 2)), rel=1e-9)
-        assert r["kept"] == (r["level"] <= r["threshold"])
-        if t in good or r["doc_id"] == 100:
-            assert r["kept"] == (t in good), r
-
-
 def brute_words(texts):
-    """The same of order 3 over words; words that were not seen are one more kind."""
+    """Interpolated modified Kneser-Ney of order 3 over words, straight from its definition; words that were not seen are one more kind."""
     split = lambda t: ["<", "<", *(x for x in re.split("[\x20\x09-\x0d]+", t) if x), ">"]
     c3 = collections.Counter(g for t in texts for g in zip(*(split(t)[i:] for i in range(3)), strict=False))
     c2 = collections.Counter(g[1:] for g in c3)
@@ -505,30 +449,67 @@ def brute_words(texts):
     return lambda t: [math.log(p(g)) for g in zip(*(split(t)[i:] for i in range(3)), strict=False)]
 
 
-def test_kneser_ney_of_words(spark):
+@pytest.mark.parametrize("shard_bytes, rounds", [(64_000_000, 1), (300, 3)])
+def test_kneser_ney(spark, shard_bytes, rounds):
     good = [f"the cat sat on the mat number {i}, and the dog ran to the hill." for i in range(30)]
-    rows = [(i, t, "en") for i, t in enumerate(good)] + [(100, "QQ%% ZZ## XX^^ WW@@ KK~~ é\x1cb", "en"), (101, None, "en"), (102, "", None), (103, "the cat", "xx"), (0, "the dog sat on the mat", "en"), (104, "the mat", None), (104, "the mat", None), (105, " \n", "en")]
+    rows = [(i, t, "en") for i, t in enumerate(good)] + [(i + 50, f"le chat {i} est la {i % 3}", "fr") for i in range(8)]
+    rows += [(100, "QQ%% ZZ## XX^^ WW@@ KK~~ é\x1cb", "en"), (101, None, "en"), (102, "", None), (103, "the cat", "xx"), (0, "the dog sat on the mat", "en"), (104, "the mat", None), (104, "the mat", None), (105, " \n", "en"), (106, "le chat " + "x" * 70, "fr"), (107, "mat the", "xx"), (108, "x" * 9, "en"), (None, good[3], "en")]
     df = spark.createDataFrame([(*r, 1.0, "m") for r in rows], "doc_id long, text string, lang string, level double, model string")
-    trusted = spark.createDataFrame([(i,) for i in [*range(30), 5, None]], "doc_id long")
-    got = kneser_ney.classify(df, trusted, carry=("text", "model"), unit="words").collect()
+    trusted = spark.createDataFrame([(i,) for i in [*range(30), *range(50, 58), 5, None]], "doc_id long")
+    got = kneser_ney.classify(df, trusted, carry=("text", "model"), shard_bytes=shard_bytes, rounds=rounds).collect()
     assert len(got) == len(rows) and all(r["carried_model"] == "m" for r in got)
     held = {r[0] for r in trusted.where("pmod(xxhash64(doc_id), 5) = 0").collect()}
-    logs = brute_words([t for d, t, _ in rows if d in range(30) and d not in held])
+    counted = [(t, k) for d, t, k in rows if d in {*range(30), *range(50, 58)} - held]
+    logs = {k: brute_words([t for t, own in counted if k is None or own == k]) for k in ("en", "fr", None)}
     for r in got:
         t = r["carried_text"]
         if not t:
             assert (r["perplexity"], r["n_symbols"], r["kept"]) == (None, None, False)
             continue
-        want = logs(t)
-        assert r["n_symbols"] == len(want) and r["perplexity"] == pytest.approx(math.exp(-sum(want) / len(want)), rel=1e-9), r
+        want = logs[r["lang"] if r["lang"] in logs else None](t)
+        assert r["n_symbols"] == len(want) and r["perplexity"] == pytest.approx(math.exp(-sum(want) / len(want)), rel=1e-5), r
+        assert r["kept"] == (r["threshold"] is None or r["level"] <= r["threshold"])
+        if t in good or r["doc_id"] == 100:
+            assert r["kept"] == (t in good), r
+
+
+def test_chunks_and_their_sums_in_any_split():
+    rng = np.random.default_rng(3)
+    texts = [rng.choice(np.arange(10, 40, dtype=np.uint64), rng.integers(0, 60)) for _ in range(80)]
+    want = collections.Counter(g for t in texts for g in zip(*(np.concatenate([[2, 2], t, [3]]).tolist()[i:] for i in range(3)), strict=False))
+    for cuts in ([0, 80], [0, 1, 30, 80]):
+        by = collections.defaultdict(list)
+        for a, b in itertools.pairwise(cuts):
+            symbols, at, _ = ngrams.sequences(np.concatenate(texts[a:b]).astype(np.uint64), np.concatenate([[0], np.cumsum([len(t) for t in texts[a:b]])]))
+            for shard, names, u, v, w, _ in ngrams.dealt(symbols, at, 5):
+                by[shard].append(ngrams.counted_chunk(names, u, v, w))
+        got = collections.Counter()
+        for chunks in by.values():
+            c = ngrams.Counts.unpacked(ngrams.Counts.gathered(chunks).packed())
+            k = len(c.words)
+            for of, last, n in zip(c.of, c.last, c.n, strict=True):
+                got[int(c.words[c.contexts[of] % k]), int(c.words[c.contexts[of] // k]), int(c.words[last])] += int(n)
+            for v, n in zip(c.words, c.c1, strict=True):
+                if n:
+                    assert n == len({g[0] for g in want if g[1] == v}) and v != 2
+        assert got == want
+
+
+def test_the_screen_lets_all_wanted_rows_pass(spark):
+    rows = spark.range(20_000).withColumnRenamed("id", "doc_id")
+    for some in (rows.where("doc_id % 7 = 0"), rows.where("doc_id < 0")):
+        got = kneser_ney.screened(rows, some)
+        assert got.join(some, "doc_id", "left_semi").count() == some.count() and got.count() <= some.count() + 20
 
 
 def test_the_word_model_grows_with_trusted_text(spark):
     text = lambda i: words(i, 200)
     sizes = []
     for n in (40, 400):
-        texts = spark.createDataFrame([("=en", text(i)) for i in range(n)], "lang string, text string")
-        sizes.append(kneser_ney.word_model(kneser_ney.count_words(texts), Scratch(spark, "grows"))[0].agg(F.count(F.lit(1))).first()[0])
+        scratch = Scratch(spark, "grows")
+        kneser_ney.train(spark.createDataFrame([("=en", text(i)) for i in range(n)], "model string, text string"), {"=en": 0}, 3, scratch)
+        store, root = files.open_store(scratch.path("model"))
+        sizes.append(sum(len(ngrams.Model.unpacked(files.take(store, f"{root}/model-0-{s}")).triples) for s in range(3)))
     assert sizes[1] > 4 * sizes[0]
 
 
