@@ -26,7 +26,19 @@ def put(store, path: str, *parts: bytes) -> None:
 
 def take(store, path: str, missing: bool = False) -> bytes | None:
     """The bytes of a file; with ``missing``, None if there is none."""
-    if missing and store.get_file_info(path).type.name == "NotFound":
+    try:
+        with store.open_input_stream(path) as f:
+            return f.read()
+    except FileNotFoundError:
+        if not missing:
+            raise
         return None
-    with store.open_input_stream(path) as f:
-        return f.read()
+
+
+def gone(store, path: str) -> None:
+    """Delete a file that may have gone already."""
+    try:
+        store.delete_file(path)
+    except OSError:
+        if store.get_file_info(path).type.name != "NotFound":
+            raise

@@ -42,7 +42,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from folio.llm import ngrams
-from folio.llm.files import open_store, put, take
+from folio.llm.files import gone, open_store, put, take
 from folio.llm.scratch import Scratch, partitions
 from folio.llm.shingles import arrow_bytes, word_hashes
 from folio.llm.tokens import release
@@ -188,11 +188,18 @@ def finish(answers: DataFrame, every: DataFrame, uri: str, shards: int, language
         for (lang, shard), rows in _grouped(batches, 4):
             if lang not in shared:
                 shared[lang] = ngrams.Language(languages[lang])
-            counts = ngrams.Counts.unpacked(take(store, f"{root}/counts-{lang}-{shard}"))
+            raw = take(store, f"{root}/counts-{lang}-{shard}", missing=True)
+            if raw is None:  # they go once the model is there, so this task has run before
+                if store.get_file_info(f"{root}/model-{lang}-{shard}").type.name == "NotFound":
+                    raise FileNotFoundError(f"neither counts nor model of shard {shard}")
+                yield _row(pa, "lang int, shard int", lang, shard)
+                continue
+            counts = ngrams.Counts.unpacked(raw)
             c1, got = np.zeros(len(counts.words), np.int64), {s: p for s, p in rows if s >= 0}
             for to, codes in counts.asked(shards):
                 c1[codes] = ngrams.unpack(got[to])[0]
             put(store, f"{root}/model-{lang}-{shard}", ngrams.Model.made(counts, c1, shared[lang]).packed())
+            gone(store, f"{root}/counts-{lang}-{shard}")
             yield _row(pa, "lang int, shard int", lang, shard)
 
     rows = answers.unionByName(every.select("lang", "shard", F.lit(-1).alias("sender"), F.lit(None).cast("binary").alias("payload")))
@@ -256,7 +263,7 @@ def train(texts: DataFrame, langs: dict[str, int], shards: int, scratch: Scratch
         languages.setdefault(r["lang"], []).append(r["x"])
     answers = answered(found.where("sender >= 0"), uri, parts)
     scratch.keep(finish(answers, summary, uri, shards, languages, parts), "finished")
-    scratch.drop("counted", *(f"model/{kind}-{lang}-{shard}" for kind in ("counts", "words") for lang in languages for shard in range(shards)))
+    scratch.drop("counted")
     scratch.give_up()
     return {lang: ngrams.Language(s) for lang, s in languages.items()}
 
@@ -282,7 +289,8 @@ def classify(docs: DataFrame, trusted: DataFrame, id_col: str = "doc_id", text_c
     pooled = len(langs) if len(langs) and len(langs) < len(sizes) else None
     languages: dict[int, ngrams.Language] = {}
     if langs:
-        texts = screened(rows.select("doc_id", "key", "text"), counted).join(counted.hint("merge"), "doc_id", "left_semi").where("text != ''").select(F.col("key").alias("model"), "text")
+        # an inner join with distinct ids: a semi join would be moved below the screen
+        texts = screened(rows.select("doc_id", "key", "text").where("text != ''"), counted).join(counted.hint("merge"), "doc_id").select(F.col("key").alias("model"), "text")
         languages = train(texts, langs, shards, scratch, pooled)
     if pooled is not None:
         langs = {**langs, POOLED: pooled}

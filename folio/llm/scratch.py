@@ -45,6 +45,7 @@ class Scratch:
 
     def give_up(self) -> None:
         """Let Spark delete the shuffle files of jobs that are done with, which it does once their plans have been collected on the driver."""
+        self.spark.range(1).repartition(1).write.format("noop").mode("overwrite").save()  # the session holds on to the plan that ran last
         gc.collect()
         self.spark._jvm.System.gc()
 
