@@ -18,7 +18,7 @@ ask for.  Texts' triples are summed up within a task and sent to their shards as
 triples and the continuation counts that follow from them.  Shards ask each other, word by word, for the continuation counts
 that their bigrams back off to, and write their part of the model to the shared folder.  Documents' triples then go to the shards the same way (one request for
 each word, whichever language model it asks), where each chunk is answered from the shard's file by one sum for each document.  Chunks of one shard are dealt to as many
-tasks as their bytes ask for, so that requests about a frequent word are spread.  Documents are taken in ``rounds`` by a hash of the id, and the shuffle files of a
+tasks as their bytes ask for, so that requests about a frequent word are spread; a batch of documents then adds up its answers.  Documents are taken in ``rounds`` by a hash of the id, and the shuffle files of a
 round are given up before the next, which bounds the disk that requests need.  Nothing depends on a size but the number of shards.
 
 A middle word that is very frequent makes its shard's distinct triples as many as it has different neighbours; they are added up in one task.
@@ -37,6 +37,8 @@ result; other columns are ignored.  More than ``LANGUAGES`` different languages
 
 from __future__ import annotations
 
+import hashlib
+
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -206,27 +208,34 @@ def finish(answers: DataFrame, every: DataFrame, uri: str, shards: int, language
     return rows.repartition(parts, "lang", "shard").sortWithinPartitions("lang", "shard").mapInArrow(run, "lang int, shard int")
 
 
+ASKED = "lang int, shard int, batch long, payload binary"
+
+
 def requests(rows: DataFrame, langs: dict[str, int], shards: int) -> DataFrame:
-    """``CHUNKS`` of ``model, text, mark``: all triples, document by document."""
+    """``ASKED`` of ``model, text, mark``: all triples, document by document; under shard -1 the marks of a batch's documents.
+
+    A batch is named by its marks, so a task that runs again over the same rows names it alike.
+    """
 
     def run(batches):
         import pyarrow as pa
 
         for lang, words, first, marks in _batches(batches, langs, True):
+            batch = int.from_bytes(hashlib.blake2b(marks.tobytes(), digest_size=8).digest(), "little", signed=True)
+            yield _row(pa, ASKED, lang, -1, batch, ngrams.pack(marks))
             symbols, at, doc = ngrams.sequences(words, first)
             for shard, names, u, v, w, which in ngrams.dealt(symbols, at, shards):
-                docs, own = np.unique(doc[which], return_inverse=True)
                 k = len(names)
-                yield _row(pa, CHUNKS, lang, shard, ngrams.pack(ngrams.steps(names), *(ngrams.narrow(c, k) for c in (u, v, w)), np.diff(own, prepend=0).astype("<u4"), marks[docs].view(np.uint64)))
+                yield _row(pa, ASKED, lang, shard, batch, ngrams.pack(ngrams.steps(names), *(ngrams.narrow(c, k) for c in (u, v, w)), np.diff(doc[which], prepend=0).astype("<u4")))
 
-    return rows.select("model", "text", "mark").mapInArrow(run, CHUNKS)
+    return rows.select("model", "text", "mark").mapInArrow(run, ASKED)
 
 
-SUMS = "mark long, sum double, n long"
+REPLY = "batch long, shard int, payload binary"
 
 
 def replies(asked: DataFrame, uri: str, ends: dict[int, float], parts: int) -> DataFrame:
-    """``SUMS``: per chunk and document the weights of its triples and their number."""
+    """``REPLY`` for each request: of each document that it is about the weights of its triples and their number."""
 
     def run(batches):
         import pyarrow as pa
@@ -234,20 +243,56 @@ def replies(asked: DataFrame, uri: str, ends: dict[int, float], parts: int) -> D
         store, root = open_store(uri)
         held: dict[tuple[int, int], ngrams.Model] = {}
         for batch in batches:
-            for lang, shard, payload in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for lang, shard, name, payload in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if shard < 0:
+                    yield _row(pa, REPLY, name, shard, payload)
+                    continue
                 if (lang, shard) not in held:
-                    while held and sum(m.nbytes for m in held.values()) > OPEN:
+                    while held and sum(m.nbytes for m in held.values() if m) > OPEN:
                         held.pop(next(iter(held)))
                     raw = take(store, f"{root}/model-{lang}-{shard}", missing=True)
                     held[lang, shard] = ngrams.Model.unpacked(raw) if raw else None
-                names, u, v, w, own, marks = ngrams.unpack(payload)
+                names, u, v, w, own = ngrams.unpack(payload)
                 names, own = ngrams.unstep(names), np.cumsum(own, dtype=np.int64)
                 model = held[lang, shard]
                 weight = np.zeros(len(u)) if model is None else model.weights(names, u, v, w)
                 weight = weight + ends[lang] * (names[w] == ngrams.END)
-                yield pa.RecordBatch.from_arrays([pa.array(marks.view(np.int64)), pa.array(np.bincount(own, weight, len(marks))), pa.array(np.bincount(own, minlength=len(marks)))], names=["mark", "sum", "n"])
+                docs = np.flatnonzero(np.concatenate([[True], own[1:] != own[:-1]]))
+                n = np.diff(np.append(docs, len(own)))
+                yield _row(pa, REPLY, name, shard, ngrams.pack(np.diff(own[docs], prepend=0).astype("<u4"), np.add.reduceat(weight, docs).view(np.uint64), n.astype("<u4")))
+
+    return asked.hint("rebalance", parts, "lang", "shard").sortWithinPartitions("lang", "shard").mapInArrow(run, REPLY)
 
-    return asked.hint("rebalance", parts, "lang", "shard").sortWithinPartitions("lang", "shard").mapInArrow(run, SUMS)
+
+SUMS = "mark long, sum double, n long"
+
+
+def summed(answers: DataFrame, parts: int) -> DataFrame:
+    """``SUMS``: of each document of each batch the sum of its replies."""
+
+    def run(batches):
+        import pyarrow as pa
+
+        def row(marks, total, n):
+            return pa.RecordBatch.from_arrays([pa.array(marks), pa.array(total), pa.array(n)], names=["mark", "sum", "n"])
+
+        name, marks = None, None
+        for batch in batches:
+            for own, shard, payload in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if own != name:
+                    if name is not None:
+                        yield row(marks, total, n)  # noqa: F821
+                    name, marks = own, ngrams.unpack(payload)[0].view(np.int64)
+                    total, n = np.zeros(len(marks)), np.zeros(len(marks), np.int64)
+                elif shard >= 0:  # a batch that came twice has its marks twice and its sums twice, as it has two rows of each document
+                    docs, sums, k = ngrams.unpack(payload)
+                    docs = np.cumsum(docs, dtype=np.int64)
+                    total[docs] += sums.view(np.float64)
+                    n[docs] += k
+        if name is not None:
+            yield row(marks, total, n)
+
+    return answers.repartition(parts, "batch").sortWithinPartitions("batch", "shard").mapInArrow(run, SUMS)
 
 
 def train(texts: DataFrame, langs: dict[str, int], shards: int, scratch: Scratch, pooled: int | None = None) -> dict[int, ngrams.Language]:
@@ -300,7 +345,7 @@ def classify(docs: DataFrame, trusted: DataFrame, id_col: str = "doc_id", text_c
     ends = {i: x.end_gain for i, x in languages.items()}
     for r in range(rounds if langs else 0):
         mine = marked.where((F.col("text") != "") & (F.pmod(F.xxhash64(F.coalesce("doc_id", F.lit(0))), F.lit(rounds)) == r))
-        got = scratch.keep(replies(requests(mine, langs, shards), scratch.path("model"), ends, parts).groupBy("mark").agg(F.sum("sum").alias("sum"), F.sum("n").alias("n")), f"sums{r}")
+        got = scratch.keep(summed(replies(requests(mine, langs, shards), scratch.path("model"), ends, parts), parts), f"sums{r}")
         scratch.give_up()
         sums = got if sums is None else sums.unionByName(got)
     scratch.drop("model")
