@@ -19,6 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from folio.llm.scratch import Scratch
+from folio.llm.screen import screened
 from folio.llm.shingles import mix
 
 SHARD_KEYS = 1 << 18
@@ -171,8 +172,9 @@ class Index:
         wanted = hits.select(*KEY, F.explode(F.array("keep_id", "old_id")).alias("wanted_id")).distinct()
         key = [F.col(k) == F.col(f"w_{k}") for k in KEY]
         wanted = wanted.select(*[F.col(k).alias(f"w_{k}") for k in KEY], "wanted_id")
-        # a shuffled join at every size: a join that is broadcast while small would change its plan as the batch grows
-        texts = docs.join(wanted.hint("merge"), [F.coalesce(F.col("doc_id"), F.lit(NO_ID)) == F.col("wanted_id"), *key], "inner")
+        # a shuffled join at every size: a join that is broadcast while small would change its plan as the batch grows; few other texts pass the screen
+        asked = screened(docs.withColumn("doc_id", F.coalesce("doc_id", F.lit(NO_ID))), wanted.select(F.col("wanted_id").alias("doc_id")))
+        texts = asked.join(wanted.hint("merge"), [F.col("doc_id") == F.col("wanted_id"), *key], "inner")
         return texts.groupBy(*KEY).agg((F.min("norm") == F.max("norm")).alias("same")).where("same").select(*KEY)
 
     def entries(self) -> DataFrame:
@@ -208,8 +210,8 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", batch
 
 
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", batches: int = 2, scratch: Scratch | None = None) -> DataFrame:
-    """``docs`` with one row of each text, that of the least id."""
-    found = dedup(docs, id_col, text_col, batches, scratch).where("kept").select(F.coalesce("doc_id", F.lit(NO_ID)).alias("stay_id"), F.unhex("text_sha256").alias("stay_digest")).distinct()
-    named = docs.withColumn("own_id", F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID))).withColumn("own_digest", F.unhex(F.sha2(normalised(F.col(text_col).cast("string")).cast("binary"), 256)))
+    """``docs`` with one row of each text, that of the least id; its columns may have any names."""
+    found = dedup(docs, id_col, text_col, batches, scratch).where("kept").select(F.coalesce(F.col("doc_id"), F.lit(NO_ID)).alias("stay_id"), F.unhex("text_sha256").alias("stay_digest")).distinct()
+    named = docs.select(F.struct("*").alias("row"), F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("own_id"), F.unhex(F.sha2(normalised(F.col(text_col).cast("string")).cast("binary"), 256)).alias("own_digest"))
     stay = named.join(found.hint("merge"), [F.col("own_id") == F.col("stay_id"), F.col("own_digest") == F.col("stay_digest")], "left_semi")
-    return stay.dropDuplicates(["own_id", "own_digest"]).select(*docs.columns)
+    return stay.dropDuplicates(["own_id", "own_digest"]).select("row.*")

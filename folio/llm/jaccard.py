@@ -8,11 +8,12 @@ steer the order and so the work, never the result).  Each class is listed under
 stands in one stretch is gathered with the stretch's first set, so that any two sets that could link meet in at least
 one gathering, and a set is sent to a gathering once however many lists led there.  Inside a gathering (cut
 into blocks by size, blocks of fitting sizes in pairs, if it is large) sets stand by size and an index list holds positions; a
-set's scan jumps in each list to the range of positions whose sizes fit (index-level skipping).  A set whose partners are
-all settled is not scanned: partners in its component need no answer, and others are excluded by
-the symmetric differences to the first ``PIVOTS`` sets that were scanned in the block, whatever their similarity (no set's answers are
-derived from another's): ``|d(p, x) - d(p, y)| <= d(x, y)`` and a link
-needs ``d(x, y) <= (|x| + |y|) * (100 - percent) / (100 + percent)``.  All in integers.
+set's scan jumps in each list to the range of positions whose sizes fit (index-level skipping).  **Answer-level skipping:** the overlaps that
+a scan finds are kept for the last ``PIVOTS`` scanned sets.  A set that is highly similar to one of them (a smaller difference than
+its own size) is not scanned: its overlaps are those of the other set, plus the lists of what it has more, minus the lists of what it
+has less.  A set whose partners are all settled needs no answer at all: partners in its component need none, and others are excluded by
+the kept distances, ``|d(p, x) - d(p, y)| <= d(x, y)`` where a link needs
+``d(x, y) <= (|x| + |y|) * (100 - percent) / (100 + percent)``.  All in integers.
 
 Only links that join components leave a task, fewer than its sets; pairs are never rows.
 
@@ -28,6 +29,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window
+from pyspark.sql.types import StructType
 
 from folio.llm.components import Forest, components
 from folio.llm.scratch import Scratch, partitions
@@ -90,7 +92,7 @@ SIGNED = "doc_id long, n long, hi long, lo long, prefix array<long>"
 def signatures(docs: DataFrame, width: int, percent: int, frequent=None, carry: tuple[str, ...] = ()) -> DataFrame:
     """Per row its set's size and keys and, given the frequent shingles, those it is listed under; ``carry``: columns that follow."""
     sent = docs.sparkSession.sparkContext.broadcast(frequent)
-    kinds = ", ".join([SIGNED, *(f"`{c}` {t}" for c, t in docs.select(*carry).dtypes)])
+    kinds = StructType([*StructType.fromDDL(SIGNED), *docs.select(*carry).schema])
 
     def run(batches):
         import pyarrow as pa
@@ -149,8 +151,11 @@ def gatherings(classes: DataFrame, percent: int, parts: int) -> DataFrame:
     return pairs
 
 
-def links_in_block(sets: list[np.ndarray], percent: int, left: int | None = None) -> list[tuple[int, int]]:
-    """Links that join components among sets in order of size; with ``left``, only between the first ``left`` and the rest."""
+def links_in_block(sets: list[np.ndarray], percent: int, left: int | None = None, work: list[int] | None = None) -> list[tuple[int, int]]:
+    """Links that join components among sets in order of size; with ``left``, only between the first ``left`` and the rest.
+
+    ``work`` gets the numbers of sets scanned, of sets derived from another's answers, and of list entries read.
+    """
     m = len(sets)
     sizes = np.array([len(s) for s in sets], np.int64)
     code = np.unique(np.concatenate(sets), return_inverse=True)[1] if m else np.empty(0, np.int64)
@@ -159,8 +164,21 @@ def links_in_block(sets: list[np.ndarray], percent: int, left: int | None = None
     low, high = 100 - percent, 100 + percent
     upto = np.searchsorted(sizes, sizes * 100 // percent, side="right")  # positions below it may fit
     forest, links = Forest(m), []
-    near = np.full((PIVOTS, m), -1, np.int64)
+    near = np.full((PIVOTS, m), -1, np.int64)  # distances of kept sets to those that they were compared with
+    kept = np.full(PIVOTS, -1, np.int64)
     n_near = 0
+    work = [0, 0, 0] if work is None else work
+
+    def overlaps(codes: np.ndarray, a: int, b: int) -> np.ndarray:
+        """How many of ``codes`` each set at the positions from ``a`` to ``b`` has."""
+        if a >= b or not len(codes):
+            return np.zeros(max(b - a, 0), np.int64)
+        lo, hi = np.searchsorted(index, codes * m + a), np.searchsorted(index, codes * m + b)
+        n = hi - lo
+        work[2] += int(n.sum())
+        at = np.repeat(lo - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(int(n.sum()))
+        return np.bincount(index[at] % m - a, minlength=b - a)
+
     for x in range(m if left is None else left):
         a, b = (x + 1 if left is None else max(left, x + 1)), int(upto[x])
         if a >= b:
@@ -170,20 +188,34 @@ def links_in_block(sets: list[np.ndarray], percent: int, left: int | None = None
         if not open_.any():
             continue
         total = sizes[a:b] + sizes[x]
-        if n_near:
-            dx, dy = near[:n_near, x : x + 1], near[:n_near, a:b]
+        mine, held = code[ends[x] : ends[x + 1]], min(n_near, PIVOTS)
+        if held:
+            last = (n_near - 1) % PIVOTS
+            if near[last, x] < 0:  # sets of the left block are compared with those of the right one only
+                p = kept[last]
+                near[last, x] = sizes[p] + sizes[x] - 2 * len(np.intersect1d(code[ends[p] : ends[p + 1]], mine, assume_unique=True))
+            dx, dy = near[:held, x : x + 1], near[:held, a:b]
             open_ &= ~((dx >= 0) & (dy >= 0) & (high * np.abs(dx - dy) > low * total)).any(axis=0)
             if not open_.any():
                 continue
-        mine = code[ends[x] : ends[x + 1]] * m
-        lo, hi = np.searchsorted(index, mine + a), np.searchsorted(index, mine + b)
-        n = hi - lo
-        at = np.repeat(lo - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(int(n.sum()))
-        common = np.bincount(index[at] % m - a, minlength=b - a)
-        if n_near < PIVOTS:
-            near[n_near, a:b] = total - 2 * common
-            near[n_near, x] = 0
-            n_near += 1
+        known = np.where(near[:held, x] >= 0, near[:held, x], sizes[x])
+        if held and known.min() < sizes[x]:
+            best = int(known.argmin())
+            p = int(kept[best])
+            theirs, mid = code[ends[p] : ends[p + 1]], max(a, min(b, int(upto[p])))
+            more, less = np.setdiff1d(mine, theirs, assume_unique=True), np.setdiff1d(theirs, mine, assume_unique=True)
+            common = (sizes[p] + sizes[a:mid] - near[best, a:mid]) // 2 + overlaps(more, a, mid) - overlaps(less, a, mid)
+            common = np.concatenate([common, overlaps(mine, mid, b)])
+            work[1] += 1
+        else:
+            common = overlaps(mine, a, b)
+            work[0] += 1
+        spot = n_near % PIVOTS
+        near[spot] = -1
+        near[spot, a:b] = total - 2 * common
+        near[spot, x] = 0
+        kept[spot] = x
+        n_near += 1
         for y in np.flatnonzero(100 * common >= percent * (total - common)) + a:
             if forest.join(x, int(y)):
                 links.append((x, int(y)))
@@ -247,16 +279,19 @@ KEYS = ["hi", "lo", "n"]
 def _classes(rows: DataFrame, width: int, percent: int, scratch: Scratch) -> DataFrame:
     """``hi, lo, n, component_id, stays``: a row for each distinct set; one set of each component ``stays``."""
     parts = partitions(rows.sparkSession)
-    signed = signatures(rows, width, percent, frequent_shingles(rows, width))
-    classes = signed.groupBy(*KEYS).agg(F.min(F.coalesce("doc_id", F.lit(NO_ID))).alias("least_id"), F.first("prefix").alias("prefix"))
+    mark = F.xxhash64("text").alias("mark")
+    signed = signatures(rows.select("doc_id", "text", mark), width, percent, frequent_shingles(rows, width), carry=("mark",))
+    # the row that stands for a class is found again by its id and a hash of its text: ids may be null or repeat
+    classes = signed.groupBy(*KEYS).agg(F.min(F.struct(F.coalesce("doc_id", F.lit(NO_ID)).alias("least_id"), "mark")).alias("l"), F.first("prefix").alias("prefix"))
+    classes = classes.select(*KEYS, F.col("l.least_id").alias("least_id"), F.col("l.mark").alias("mark"), "prefix")
     classes = scratch.keep(classes.withColumn("node", F.monotonically_increasing_id()), "classes")
     pairs = scratch.keep(gatherings(classes, percent, parts), "pairs")
     slim = scratch.keep(classes.drop("prefix"), "slim")
     scratch.drop("classes")
     classes = slim
-    members = scratch.keep(blocks(pairs, classes.select("node", "n"), percent, scratch).join(classes.select("node", "hi", "lo", "least_id"), "node"), "members")
-    texts = rows.select(F.coalesce("doc_id", F.lit(NO_ID)).alias("least_id"), "text")
-    found = scratch.keep(links(texts.join(members.hint("merge"), "least_id"), width, percent, parts), "links")
+    members = scratch.keep(blocks(pairs, classes.select("node", "n"), percent, scratch).join(classes.select("node", "hi", "lo", "least_id", "mark"), "node"), "members")
+    texts = rows.select(F.coalesce("doc_id", F.lit(NO_ID)).alias("least_id"), mark, "text")
+    found = scratch.keep(links(texts.join(members.hint("merge"), ["least_id", "mark"]), width, percent, parts), "links")
     reached = components(found, scratch)
     ids = classes.join(reached, "node", "left").withColumn("component", F.coalesce("component", "node"))
     least = ids.groupBy("component").agg(F.min(F.struct("least_id", "node")).alias("first"))
@@ -277,13 +312,12 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width:
 
 
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 80, scratch: Scratch | None = None) -> DataFrame:
-    """``docs`` with one row of each component, that of the least id; rows without words all stay."""
-    carried = [f"carried_{c}" for c in docs.columns]
+    """``docs`` with one row of each component, that of the least id; rows without words all stay. Its columns may have any names."""
     final = _classes(_rows(docs, id_col, text_col), width, percent, scratch or Scratch(docs.sparkSession, "jaccard"))
-    rows = _rows(docs, id_col, text_col, *[F.col(c).alias(f"carried_{c}") for c in docs.columns])
-    own = signatures(rows, width, percent, carry=tuple(carried)).drop("prefix")
+    rows = _rows(docs, id_col, text_col, F.struct("*").alias("row"))
+    own = signatures(rows, width, percent, carry=("row",)).drop("prefix")
     stay = own.join(final.where("stays").hint("merge"), KEYS).where((F.col("n") == 0) | (F.coalesce("doc_id", F.lit(NO_ID)) == F.col("least_id")))
     # rows alike in id and set are one document; those without words stay apart
     alone = F.when(F.col("n") == 0, F.monotonically_increasing_id()).otherwise(0)
     one = stay.withColumn("alone", alone).dropDuplicates([*KEYS, "alone"])
-    return one.select(*[F.col(f"carried_{c}").alias(c) for c in docs.columns])
+    return one.select("row.*")

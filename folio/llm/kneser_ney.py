@@ -46,6 +46,7 @@ from pyspark.sql import functions as F
 from folio.llm import ngrams
 from folio.llm.files import gone, open_store, put, take
 from folio.llm.scratch import Scratch, partitions
+from folio.llm.screen import screened
 from folio.llm.shingles import arrow_bytes, word_hashes
 from folio.llm.tokens import release
 
@@ -54,26 +55,12 @@ POOLED = "*"
 LANGUAGES = 100_000
 #: Words of a chunk's texts together, and bytes of models that a task keeps open.
 BATCH, OPEN = 2_000_000, 160_000_000
-#: Buckets of the screen before the trusted texts are joined: 2**26 bits, 8 MB, whatever the number of ids.
-SCREEN = 1 << 26
 
 
 def _lang_key(col: str):
     return F.when(F.col(col).isNull(), F.lit("?")).otherwise(F.concat(F.lit("="), F.col(col).cast("string")))
 
 
-def screened(rows: DataFrame, ids: DataFrame) -> DataFrame:
-    """``rows`` without most of those whose ``doc_id`` is not among ``ids``: a bit map of fixed size is sent to all tasks.
-
-    All wanted rows pass; the more ids there are, the more others pass too, until nothing is held back.
-    """
-    spot = lambda: F.pmod(F.xxhash64("doc_id"), F.lit(SCREEN))
-    bits = ids.select(spot().alias("at")).groupBy(F.bitmap_bucket_number("at").alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("at")).alias("bits"))
-    place = F.bitmap_bit_position(spot())
-    byte = F.conv(F.hex(F.substring("bits", (place / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
-    return rows.join(F.broadcast(bits), F.bitmap_bucket_number(spot()) == F.col("bucket")).where(F.getbit(byte, (place % 8).cast("int")) == 1).drop("bits", "bucket")
-
-
 def _batches(batches, langs: dict[str, int], marks: bool):
     """Of columns ``model, text`` and, with ``marks``, ``mark``: ``lang, words, first, marks`` of about ``BATCH`` words of one language at a time."""
     release()

@@ -125,11 +125,20 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
 
 
 def mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", scratch: Scratch | None = None, **options) -> DataFrame:
-    """``docs`` with each row as often as the mix takes it."""
-    plan = mix(docs, id_col, text_col, source_col, scratch=scratch, **options).where("copies > 0")
-    plan = plan.select(*[F.col(c).alias(f"mix_{c}") for c in ("doc_id", "source", "size", "copy_no", "copies")])
-    own = docs.withColumn("own_id", F.col(id_col).cast("long")).withColumn("own_source", F.col(source_col).cast("string")).withColumn("own_size", word_count(F.col(text_col)))
-    # rows alike in id, source and size are told apart by their order, as in the plan
-    own = own.withColumn("own_no", (F.row_number().over(Window.partitionBy("own_id", "own_source", "own_size").orderBy(text_col)) - 1).cast("long"))
-    same = [F.col(f"own_{a}").eqNullSafe(F.col(f"mix_{b}")) for a, b in (("id", "doc_id"), ("source", "source"), ("size", "size"), ("no", "copy_no"))]
-    return own.join(plan.hint("merge"), same).withColumn("again", F.explode(F.sequence(F.lit(1).cast("long"), F.col("mix_copies")))).select(*docs.columns)
+    """``docs`` with each row as often as the mix takes it; its columns may have any names.
+
+    Rows alike in id, source and size have the same whole copies; if only some of them are chosen for one more, these are the first by
+    a hash of the text.  The numbering stands on the shuffle of the join, so texts are shuffled once.
+    """
+
+    def keyed(c: str, none) -> list[Column]:
+        return [F.coalesce(F.col(c), F.lit(none)).alias(f"key_{c}"), F.col(c).isNull().alias(f"no_{c}")]
+
+    keys = ["key_id", "no_id", "key_source", "no_source", "size"]
+    plan = mix(docs, id_col, text_col, source_col, scratch=scratch, **options).withColumnRenamed("doc_id", "id")
+    plan = plan.select(*keyed("id", 0), *keyed("source", ""), "size", "copies").groupBy(*keys).agg(F.min("copies").alias("least"), F.sum("copies").alias("all"), F.count(F.lit(1)).alias("rows")).where("all > 0")
+    own = docs.select(F.struct("*").alias("row"), F.col(id_col).cast("long").alias("id"), F.col(source_col).cast("string").alias("source"), word_count(F.col(text_col)).alias("size"), F.xxhash64(F.col(text_col)).alias("mark"))
+    own = own.select("row", *keyed("id", 0), *keyed("source", ""), "size", "mark").join(plan.hint("merge"), keys)
+    place = F.row_number().over(Window.partitionBy(*keys).orderBy("mark"))
+    copies = F.col("least") + F.when(place <= F.col("all") - F.col("rows") * F.col("least"), 1).otherwise(0)
+    return own.withColumn("copies", copies).where("copies > 0").withColumn("again", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies")))).select("row.*")

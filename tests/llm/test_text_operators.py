@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from folio.llm import dedup, files, jaccard, kneser_ney, mixing, ngrams, packing, rollup, secrets, tokenfile
 from folio.llm.scratch import Scratch
+from folio.llm.screen import screened
 from folio.llm.tokens import Encoder, public_path
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, n long, keep_id string"
@@ -187,6 +188,47 @@ def test_links_in_block_against_all_pairs():
     assert got == roots
 
 
+@pytest.mark.parametrize("left", [None, 40])
+def test_answers_derived_from_a_similar_set(left):
+    """Sets that differ little from one another but link only in part: most answers come from another set's, all are right."""
+    rng = np.random.default_rng(5)
+    base = np.unique(rng.integers(0, 1 << 40, 400).astype(np.uint64))
+    sets = []
+    for k in range(100):
+        own = base[rng.random(len(base)) < 0.8] if k % 10 == 0 else sets[-1]
+        sets.append(np.unique(np.concatenate([own[rng.random(len(own)) < 0.985], rng.integers(1 << 41, 1 << 42, 3).astype(np.uint64)])))
+    sets.sort(key=len)
+    link = lambda a, b: 100 * len(np.intersect1d(a, b)) >= 80 * len(np.union1d(a, b))
+    met = lambda x, y: left is None or x < left <= y
+    want, got, work = list(range(100)), list(range(100)), [0, 0, 0]
+    for x, y in itertools.combinations(range(100), 2):
+        if met(x, y) and link(sets[x], sets[y]):
+            a, b = want[x], want[y]
+            want = [min(a, b) if g in (a, b) else g for g in want]
+    for x, y in jaccard.links_in_block(sets, 80, left, work):
+        assert met(x, y) and link(sets[x], sets[y])
+        a, b = got[x], got[y]
+        got = [min(a, b) if g in (a, b) else g for g in got]
+    assert got == want and work[1] > work[0] > 0
+
+
+def test_many_null_ids_and_odd_names(spark):
+    """Null ids are told apart by their texts; columns of the input may have any names."""
+    base = words(1, 120).split()
+    texts = [" ".join([*base[:k], f"y{k}", *base[k + 1 :]]) for k in range(40)] + [words(k, 30) for k in range(300, 340)] + [None, "", " "]
+    rows = [(None, t, "s", 1, "b", "r", 2) for t in texts] + [(5, texts[0], "s", 1, "b", "r", 2)]
+    odd = spark.createDataFrame(rows, "doc_id long, text string, source string, `a.b` int, row string, own_id string, own_digest int")
+    got = jaccard.join(odd).collect()
+    assert sorted(r["n_shingles"] for r in got) == sorted(len(shingles(r[1])) for r in rows)
+    assert sum(r["component_id"] == 5 for r in got) == 42 - 1 and sum(r["component_id"] is None for r in got) == 43
+    for one, n in ((jaccard.one_of_each, 1 + 40 + 3), (dedup.one_of_each, 40 + 40 + 2 + 0), (mixing.mixed, None)):
+        kept = one(odd)
+        assert kept.columns == odd.columns
+        assert n is None or kept.count() == n, one
+    kept = kneser_ney.classify(odd.selectExpr("doc_id", "text", "'en' AS lang", "struct(*) AS row"), odd.select("doc_id"), carry=("row",)).select("carried_row.*")
+    assert kept.columns == odd.columns and kept.count() == len(rows)
+
+
 # -- packing and token files -----------------------------------------------------------------------------------------------------
 def ids_of(texts):
     from tokenizers import Tokenizer
@@ -498,7 +540,7 @@ def test_chunks_and_their_sums_in_any_split():
 def test_the_screen_lets_all_wanted_rows_pass(spark):
     rows = spark.range(20_000).withColumnRenamed("id", "doc_id")
     for some in (rows.where("doc_id % 7 = 0"), rows.where("doc_id < 0")):
-        got = kneser_ney.screened(rows, some)
+        got = screened(rows, some)
         assert got.join(some, "doc_id", "left_semi").count() == some.count() and got.count() <= some.count() + 20
 
 
