@@ -13,13 +13,15 @@ Arguments are parsed as JSON and held against the tool's schema.  ``json`` is ca
 Defined cases: a null conversation is a conversation of its own; a call without identifier is ``unanswered``, a result without one
 or without its call ``orphan``; of calls that share an identifier the least by turn, tool and arguments counts, those
 that differ from it are ``duplicate``; identical rows are all kept and alike; several results of a call are all linked; unknown
-identifiers in ``depends`` are ignored; arguments that are no JSON object (null, or with a key twice) are invalid and kept as text; a
+identifiers in ``depends`` are ignored; arguments that are no JSON object (null, or with a key twice) are invalid and kept as text; null
+content, identifiers and roles are written as ``null``; numbers are equal by value (``1.0`` is an integer), ``1``, ``"1"`` and ``true`` differ; a
 call that depends on itself through others is ``cyclic`` with null level and its own turn; an empty table gives an empty
 result; columns beyond those named are ignored.
 """
 
 from __future__ import annotations
 
+import json
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -29,29 +31,53 @@ from folio.llm.scratch import Scratch
 
 #: JSON type -> pattern of the type that a parsed value reports.
 TYPES = {"string": r"STRING", "integer": r"BIGINT", "number": r"BIGINT|DOUBLE|DECIMAL.*", "boolean": r"BOOLEAN", "object": r"OBJECT.*", "array": r"ARRAY.*", "null": r"VOID"}
+#: Keys of null values are written.
+WRITTEN = {"ignoreNullFields": "false"}
+
+
+def _at(path: str, name: str) -> str:
+    return path + "['" + name.replace("'", "\\'") + "']"
+
+
+def _checks(value: Column, spec: dict, path: str = "$", label: str = "") -> list[Column]:
+    """Null or a problem, of the part of a parsed value at ``path`` under ``{"type", "enum", "minimum", "maximum", "properties", "required", "additional", "items"}``."""
+    found, number = F.try_variant_get(value, path, "variant"), F.try_variant_get(value, path, "double")
+    kind, there = F.schema_of_variant(found), found.isNotNull()
+    numeric = F.coalesce(kind.rlike(rf"\A({TYPES['number']})\z"), F.lit(False))
+    say = lambda what: F.lit(f"{label}: {what}" if label else what)
+    out = []
+    if "type" in spec:
+        fits = kind.rlike(rf"\A({TYPES[spec['type']]})\z")
+        if spec["type"] == "integer":  # a number without a fraction, however it is written
+            fits = fits | numeric & (number == F.floor(number))
+        out.append(F.when(there & ~F.coalesce(fits, F.lit(False)), say(f"not {spec['type']}")))
+    if "enum" in spec:
+        numbers = [float(x) for x in spec["enum"] if isinstance(x, (int, float)) and not isinstance(x, bool)]
+        others = [json.dumps(x, sort_keys=True, separators=(",", ":"), ensure_ascii=False) for x in spec["enum"] if isinstance(x, bool) or not isinstance(x, (int, float))]
+        allowed = F.when(numeric, number.isin(*numbers) if numbers else F.lit(False)).otherwise(F.to_json(found).isin(*others) if others else F.lit(False))
+        out.append(F.when(there & ~F.coalesce(allowed, F.lit(False)), say("not allowed")))
+    if "minimum" in spec:
+        out.append(F.when(numeric & (number < spec["minimum"]), say("too small")))
+    if "maximum" in spec:
+        out.append(F.when(numeric & (number > spec["maximum"]), say("too large")))
+    if "items" in spec:
+        wrong = F.exists(F.try_variant_get(value, path, "array<variant>"), lambda x: F.concat_ws("", *_checks(x, spec["items"])) != "")
+        out.append(F.when(wrong, say("wrong items")))
+    is_object, fields = F.coalesce(kind.startswith("OBJECT"), F.lit(False)), spec.get("properties", {})
+    for name in sorted({*fields, *spec.get("required", [])}):
+        own = f"{label}.{name}" if label else name
+        if name in spec.get("required", []):
+            out.append(F.when(is_object & F.try_variant_get(value, _at(path, name), "variant").isNull(), F.lit(f"{own}: missing")))
+        out += _checks(value, fields.get(name, {}), _at(path, name), own)
+    if not spec.get("additional", True):
+        unknown = F.array_sort(F.array_except(F.json_object_keys(F.to_json(found)), F.array(*[F.lit(n) for n in sorted(fields)]).cast("array<string>")))
+        out.append(F.when(is_object & (F.size(unknown) > 0), F.concat(say("unknown"), F.lit(": "), F.array_join(unknown, ","))))
+    return out
 
 
 def _problems(value: Column, schema: dict) -> Column:
-    """Problems of a parsed object under ``{"properties": {name: {"type", "enum", "minimum", "maximum"}}, "required": [...], "additional": bool}``."""
-    out, fields = [], schema.get("properties", {})
-    for name in sorted(fields):
-        spec, path = fields[name], "$['" + name.replace("'", "\\'") + "']"
-        found = F.try_variant_get(value, path, "variant")
-        kind = F.schema_of_variant(found)
-        if name in schema.get("required", []):
-            out.append(F.when(found.isNull(), F.lit(f"{name}: missing")))
-        if "type" in spec:
-            out.append(F.when(found.isNotNull() & ~kind.rlike(rf"\A({TYPES[spec['type']]})\z"), F.lit(f"{name}: not {spec['type']}")))
-        if "enum" in spec:
-            out.append(F.when(found.isNotNull() & ~F.coalesce(F.try_variant_get(value, path, "string").isin(*[str(x) for x in spec["enum"]]), F.lit(False)), F.lit(f"{name}: not allowed")))
-        number = F.try_variant_get(value, path, "double")
-        if "minimum" in spec:
-            out.append(F.when(number < spec["minimum"], F.lit(f"{name}: too small")))
-        if "maximum" in spec:
-            out.append(F.when(number > spec["maximum"], F.lit(f"{name}: too large")))
-    if not schema.get("additional", True):
-        unknown = F.array_sort(F.array_except(F.json_object_keys(F.to_json(value)), F.array(*[F.lit(n) for n in sorted(fields)]).cast("array<string>")))
-        out.append(F.when(F.size(unknown) > 0, F.concat(F.lit("unknown: "), F.array_join(unknown, ","))))
+    """Problems of a parsed object under a tool's schema, joined."""
+    out = _checks(value, schema)
     return F.concat_ws("; ", *out) if out else F.lit("")
 
 
@@ -89,19 +115,19 @@ def link_tool_calls(events: DataFrame, schemas: dict, scratch: Scratch | None =
     value = F.try_parse_json("arguments")
     checked = joined.withColumn("link", link).withColumn("parsed", F.when(is_call, value)).withColumn("problems", F.when(is_call, check_arguments(F.col("tool"), F.col("parsed"), schemas)))
     is_object = F.coalesce(F.schema_of_variant("parsed").startswith("OBJECT"), F.lit(False))
-    call = lambda args: F.to_json(F.struct(F.lit("assistant").alias("role"), F.array(F.struct(args.alias("arguments"), F.col("call_id").alias("id"), F.col("tool").alias("name"))).alias("tool_calls")))
-    json = (
+    call = lambda args: F.to_json(F.struct(F.lit("assistant").alias("role"), F.array(F.struct(args.alias("arguments"), F.col("call_id").alias("id"), F.col("tool").alias("name"))).alias("tool_calls")), WRITTEN)
+    written = (
         F.when(is_call & is_object, call(F.col("parsed")))
         .when(is_call, call(F.col("arguments")))
-        .when(is_result, F.to_json(F.struct(F.col("content"), F.lit("tool").alias("role"), F.col("call_id").alias("tool_call_id"))))
-        .otherwise(F.to_json(F.struct(F.col("content"), F.col("role"))))
+        .when(is_result, F.to_json(F.struct(F.col("content"), F.lit("tool").alias("role"), F.col("call_id").alias("tool_call_id")), WRITTEN))
+        .otherwise(F.to_json(F.struct(F.col("content"), F.col("role")), WRITTEN))
     )
     return checked.select(
         "conv_id", "turn", "kind", "call_id", "link",
         F.when(is_call, F.col("problems") == "").alias("valid"), "problems",
         F.when(placed & is_call, F.col("c_after")).when(placed & is_result, F.greatest("c_after", "turn")).otherwise(F.col("turn")).alias("after"),
         F.when(placed & is_call, F.col("c_level")).when(placed & is_result, F.col("c_level") + 1).otherwise(F.when(F.col("link") != "cyclic", F.lit(0)).when(F.col("link").isNull(), F.lit(0))).cast("long").alias("level"),
-        json.alias("json"),
+        written.alias("json"),
     )
 
 

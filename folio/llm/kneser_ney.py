@@ -54,7 +54,7 @@ from folio.llm.tokens import release
 POOLED = "*"
 LANGUAGES = 100_000
 #: Words of a chunk's texts together, and bytes of models that a task keeps open.
-BATCH, OPEN = 2_000_000, 160_000_000
+BATCH, OPEN = 2_000_000, 60_000_000
 
 
 def _lang_key(col: str):

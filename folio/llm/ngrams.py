@@ -57,12 +57,12 @@ def sequences(words: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndar
     n = np.diff(first)
     starts = np.concatenate([[0], np.cumsum(n + 3)])
     out = np.empty(starts[-1], np.uint64)
-    out[np.arange(len(words)) + 3 * np.repeat(np.arange(len(n)), n) + 2] = words
+    out[np.arange(len(words), dtype=np.int32) + np.repeat(3 * np.arange(len(n), dtype=np.int32) + 2, n)] = words
     out[starts[:-1]] = out[starts[:-1] + 1] = START
     out[starts[1:] - 1] = END
     middle = np.ones(len(out), bool)
     middle[starts[:-1]] = middle[starts[1:] - 1] = False
-    return out, np.flatnonzero(middle), np.repeat(np.arange(len(n)), n + 1)
+    return out, np.flatnonzero(middle).astype(np.int32), np.repeat(np.arange(len(n), dtype=np.int32), n + 1)
 
 
 def dealt(symbols: np.ndarray, at: np.ndarray, shards: int):

@@ -4,9 +4,11 @@ A change is an insert, a delete or a revised count; each becomes signed rows (a
 additive, so a batch is summed on each task, shuffled as one row a key and task, and stored as a few rows.  Totals are the sum
 over committed batches.
 
-A batch's rows are written to a folder of their own, then committed by creating the marker file ``commits/<batch>`` that names the
-folder, which fails if the marker exists: a batch that is applied again, whole or after a crash, changes nothing.
-Compaction commits one folder in place of several; their markers stay, so their batches stay known.
+A batch's rows are written to a folder of their own, which also names the batches that it covers; it is then committed by one atomic step, the creation of an
+empty marker file ``commits/<batch>~<folder>``.  A writer that dies before leaves a folder that nothing names; a batch that is
+applied again, whole or after a crash, changes nothing; of two writers that commit one batch at the same time the marker of lesser name
+counts, for all readers alike.  Compaction commits one folder that covers several batches, under a name made of these; where committed compactions
+overlap, those that cover more count first and what overlaps them is left aside, so that every batch counts once whoever compacts when.
 
 Defined cases: null source, language or tokenizer are keys of their own; a null count is 0; null or unknown operations are
 refused; keys whose documents come to 0 and tokens to 0 are left out of the totals; repeated rows within a batch count each; an
@@ -15,6 +17,7 @@ empty batch commits and changes nothing; other columns are ignored.
 
 from __future__ import annotations
 
+import hashlib
 import json
 import re
 import uuid
@@ -26,6 +29,7 @@ from folio.llm.mixing import word_count
 from folio.llm.tokens import encoder, public_path
 
 KEY = ["source", "lang", "tokenizer"]
+COMPACTED = "compact-"
 SIGNED = "source string, lang string, tokenizer string, docs long, tokens long"
 
 
@@ -76,58 +80,73 @@ class TokenRollup:
         path = self._jvm.org.apache.hadoop.fs.Path(f"{self.uri}/{name}")
         return path, path.getFileSystem(self._conf)
 
-    def batches(self) -> dict[str, dict]:
-        """Marker of each committed batch."""
+    def batches(self) -> dict[str, str]:
+        """Folder of each committed batch, compactions included."""
         path, fs = self._path("commits")
         if not fs.exists(path):
             return {}
-        out = {}
-        for status in fs.listStatus(path):
-            stream = fs.open(status.getPath())
-            out[status.getPath().getName()] = json.loads(bytes(stream.readAllBytes()).decode())
-            stream.close()
+        out: dict[str, str] = {}
+        for name in sorted((s.getPath().getName() for s in fs.listStatus(path)), reverse=True):
+            batch, _, folder = name.partition("~")
+            out[batch] = f"rows/{batch}-{folder}"  # the least name comes last
         return out
 
-    def _commit(self, batch: str, rows: DataFrame, replaces: list[str]) -> bool:
+    def _covers(self, folder: str) -> list[str]:
+        path, fs = self._path(f"{folder}/_covers.json")
+        stream = fs.open(path)
+        try:
+            return json.loads(bytes(stream.readAllBytes()).decode())
+        finally:
+            stream.close()
+
+    def _write(self, batch: str, rows: DataFrame, covers: list[str]) -> str:
+        """Everything but the commit; returns the marker's name."""
         if not re.fullmatch(r"[A-Za-z0-9._-]+", batch):
             raise ValueError(f"not a batch name: {batch!r}")
-        marker, fs = self._path(f"commits/{batch}")
-        if fs.exists(marker):
-            return False
-        folder = f"rows/{batch}-{uuid.uuid4().hex}"
+        own = uuid.uuid4().hex
+        folder = f"rows/{batch}-{own}"
         rows.groupBy(*KEY).agg(F.sum("docs").alias("docs"), F.sum("tokens").alias("tokens")).write.parquet(f"{self.uri}/{folder}")
-        try:
-            stream = fs.create(marker, False)
-        except Exception:
-            if not fs.exists(marker):
-                raise
-            path, _ = self._path(folder)
-            fs.delete(path, True)  # another writer has committed this batch
-            return False
-        stream.write(bytearray(json.dumps({"folder": folder, "replaces": replaces}).encode()))
+        path, fs = self._path(f"{folder}/_covers.json")
+        stream = fs.create(path, True)
+        stream.write(bytearray(json.dumps(covers).encode()))
         stream.close()
+        return f"{batch}~{own}"
+
+    def _commit(self, batch: str, rows: DataFrame, covers: list[str]) -> bool:
+        if batch in self.batches():
+            return False
+        path, fs = self._path(f"commits/{self._write(batch, rows, covers)}")
+        fs.create(path, False).close()
         return True
 
     def apply(self, batch: str, changes: DataFrame) -> bool:
         """Commit a batch of changes; False if it had been committed before."""
-        return self._commit(batch, signed_rows(changes), [])
-
-    def _live(self) -> dict[str, dict]:
-        known = self.batches()
-        gone = {b for m in known.values() for b in m["replaces"]}
-        return {b: m for b, m in known.items() if b not in gone}
-
-    def _rows(self) -> DataFrame:
-        folders = [f"{self.uri}/{m['folder']}" for m in self._live().values()]
+        if batch.startswith(COMPACTED):
+            raise ValueError(f"names that begin with {COMPACTED} are those of compactions")
+        return self._commit(batch, signed_rows(changes), [batch])
+
+    def _live(self) -> dict[str, tuple[str, list[str]]]:
+        """Folder and covered batches of what counts now: each committed batch is covered once."""
+        known, taken, out = self.batches(), set(), {}
+        compacted = {b: self._covers(f) for b, f in known.items() if b.startswith(COMPACTED)}
+        for b in sorted(compacted, key=lambda b: (-len(compacted[b]), b)):
+            if not taken & set(compacted[b]):
+                taken |= set(compacted[b])
+                out[b] = (known[b], compacted[b])
+        return out | {b: (f, [b]) for b, f in known.items() if b not in compacted and b not in taken}
+
+    def _rows(self, live: dict[str, tuple[str, list[str]]]) -> DataFrame:
+        folders = [f"{self.uri}/{folder}" for folder, _ in live.values()]
         return self.spark.read.schema(SIGNED).parquet(*folders) if folders else self.spark.createDataFrame([], SIGNED)
 
     def compact(self) -> None:
         """Put one folder in the place of all that count now."""
-        live = sorted(self._live())
+        live = self._live()
         if len(live) > 1:
-            self._commit(f"compact-{uuid.uuid4().hex[:12]}", self._rows(), live)
+            covers = sorted(b for _, own in live.values() for b in own)
+            self._commit(COMPACTED + hashlib.sha256(json.dumps(covers).encode()).hexdigest()[:16], self._rows(live), covers)
 
     def totals(self) -> DataFrame:
         """``source, lang, tokenizer, docs, tokens``."""
-        out = self._rows().groupBy(*KEY).agg(F.sum("docs").alias("docs"), F.sum("tokens").alias("tokens"))
+        out = self._rows(self._live()).groupBy(*KEY).agg(F.sum("docs").alias("docs"), F.sum("tokens").alias("tokens"))
         return out.where("docs <> 0 OR tokens <> 0")

@@ -5,9 +5,9 @@ inside has been decoded and parsed to the last byte before they are reported:
 
 * ``der``: a base64 or hex run that decodes to one ASN.1 SEQUENCE whose length, and every nested length, ends where its
   parent ends, and which has the fields of a private key (version, then algorithm or integers: nine of RSA, six of DSA);
-* ``jwt``: three dot-joined base64url parts whose header is a JSON object with a string ``alg`` (and whose
+* ``jwt``: three dot-joined base64url parts, the last not empty, whose header is a JSON object with a string ``alg`` other than ``none`` (and whose
   payload is a JSON object, unless the header says it is encrypted or compressed);
-* ``pem``: a ``BEGIN ... PRIVATE KEY`` block whose body decodes to such a sequence, or to an OpenSSH key;
+* ``pem``: a ``BEGIN ... PRIVATE KEY`` block whose body decodes to such a sequence, or to an OpenSSH key, or base64 of such a block;
 * ``ssh``: a base64 run that is an ``openssh-key-v1`` container with its counts and nested lengths.
 
 Positions are code points, the end exclusive.  A row is handled alone: no shuffle, memory of one Arrow batch.
@@ -35,7 +35,7 @@ _ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 _HEX = re.compile(r"[0-9a-f]{32,}")
 _PEM = re.compile(r"-----BEGIN ((?:[A-Z]+ )*)PRIVATE KEY-----(?:[\r\n]+[A-Za-z-]+: [^\r\n]*)*([A-Za-z0-9+/=\s\\]+?)-----END \1PRIVATE KEY-----")
 #: What follows an escaped line feed begins anew, although a letter precedes it.
-_RUN = re.compile(r"(?:(?<![A-Za-z0-9+/_-])|(?<=\\[nrt]))(?:M[A-P]|b3BlbnNzaC1rZXktdjE)[A-Za-z0-9+/_-]{30,}={0,2}")
+_RUN = re.compile(r"(?:(?<![A-Za-z0-9+/_-])|(?<=\\[nrt]))(?:M[A-P]|b3BlbnNzaC1rZXktdjE|LS0tLS1CRUdJTi)[A-Za-z0-9+/_-]{30,}={0,2}")
 _HEX_RUN = re.compile(r"(?<![0-9A-Fa-f])30(?:[0-9A-Fa-f]{2}){24,}(?![0-9A-Fa-f])")
 #: A header's first character holds the upper bits of a brace (e), or of JSON's blanks before it (C, D, I).
 _JWT = re.compile(r"(?:(?<![A-Za-z0-9_.-])|(?<=\\[nrt]))([CDIe][A-Za-z0-9_-]{9,})\.([A-Za-z0-9_-]*)\.([A-Za-z0-9_-]*)(?:\.[A-Za-z0-9_-]*\.[A-Za-z0-9_-]*)?(?![A-Za-z0-9_-])")
@@ -146,7 +146,7 @@ def is_signed_token(header: str, payload: str) -> bool:
         return value if isinstance(value, dict) else None
 
     head = obj(header)
-    if head is None or not isinstance(head.get("alg"), str):
+    if head is None or not isinstance(head.get("alg"), str) or head["alg"].lower() == "none":
         return False
     return "enc" in head or "zip" in head or obj(payload) is not None
 
@@ -171,8 +171,10 @@ def confirmed_spans(text: str) -> list[tuple[int, int, int]]:
             out.append((m.start(), 3, m.end()))
         elif is_openssh_key(raw):
             out.append((m.start(), 6, m.end()))
+        elif raw and raw.startswith(b"-----BEGIN ") and any(is_der_key(inner := decode_base64(k[2])) or is_openssh_key(inner) for k in _PEM.finditer(raw.decode("latin-1"))):
+            out.append((m.start(), 5, m.end()))
     out += [(m.start(), 3, m.end()) for m in _HEX_RUN.finditer(text) if is_der_key(bytes.fromhex(m[0]))]
-    out += [(m.start(), 4, m.end()) for m in _JWT.finditer(text) if is_signed_token(m[1], m[2])]
+    out += [(m.start(), 4, m.end()) for m in _JWT.finditer(text) if m[3] and is_signed_token(m[1], m[2])]
     return sorted(out)
 
 

@@ -39,6 +39,8 @@ from folio.llm.tokens import encoder, public_path
 MAGIC_BIN, MAGIC_IDX = b"FOLIOTK1", b"FOLIOIX1"
 #: Bits of a level for each key that reaches it, and levels before the rest is listed.
 GAMMA, LEVELS = 2.0, 24
+#: Documents of a shard, roughly: its index is built and read in one task.
+SHARD_DOCS = 1 << 20
 _SEED = np.uint64(0xA0761D6478BD642F)
 
 
@@ -153,7 +155,7 @@ def _put(store, path: str, parts) -> None:
 def write_token_files(docs: DataFrame, uri: str, id_col: str = "doc_id", text_col: str = "text", tokenizer: str | None = None, end_id: int = 1, id_bytes: int = 2, shards: int | None = None) -> dict:
     """Encode all documents, write shards and their indexes under ``uri`` and return the manifest."""
     spark, path = docs.sparkSession, tokenizer or public_path()
-    n = shards or partitions(spark)
+    n = shards or max(partitions(spark), -(-docs.count() // SHARD_DOCS))
     store, root = _store(uri)
     store.create_dir(root, recursive=True)
 

@@ -53,6 +53,8 @@ def unpack(raws, dim: int) -> np.ndarray:
 
 
 def unit(x: np.ndarray) -> np.ndarray:
+    """Rows at length 1; divided by their greatest component first, so that no square overflows or vanishes."""
+    x = x / np.abs(x).max(axis=1, initial=0)[:, None]
     return x / np.sqrt((x * x).sum(axis=1))[:, None]
 
 
@@ -168,26 +170,26 @@ def join_cells(dealt: DataFrame, block_dims: int, threshold: float, parts: int)
     return dealt.select(*group, "role", "node", "weight", "raw").repartition(parts, *group).sortWithinPartitions(*group, "role", "node").mapInArrow(run, FOUND)
 
 
-def _meetings(counts: dict[tuple[int, int, int], int], chunk: int) -> list[tuple]:
-    """Which chunk of which cell goes to which groups: rows ``dim, block, cell, sub, g_cell, p, q, role``.
+def meetings(cells: DataFrame) -> DataFrame:
+    """Which chunk of which cell goes to which groups: rows ``dim, block, cell, sub, g_cell, p, q, role`` from ``dim, block, cell, subs``.
 
-    A cell and the next one make one group if they fit in two chunks; else the chunks of both meet in pairs that hold
+    A cell and the next one make one group if each fits in a chunk; else the chunks of both meet in pairs that hold
     one of the cell's own, the second chunk of a pair marked by 2 in the role.
     """
-    out = []
-    for (dim, block, cell), n in sorted(counts.items()):
-        after = counts.get((dim, block, cell + 1), 0)
-        home, guest = -(-n // chunk), -(-after // chunk)
-        if home == 1 and guest <= 1:
-            out += [(dim, block, cell, 0, cell, 0, 0, 0)] + [(dim, block, cell + 1, 0, cell, 0, 0, 1)] * guest
-            continue
-        for p in range(home):
-            out.append((dim, block, cell, p, cell, p, p, 0))
-            for q in range(p + 1, home + guest):
-                out.append((dim, block, cell, p, cell, p, q, 0))
-                other = (cell, q, 0) if q < home else (cell + 1, q - home, 1)
-                out.append((dim, block, other[0], other[1], cell, p, q, other[2] + 2))
-    return out
+    after = cells.select("dim", "block", (F.col("cell") - 1).alias("cell"), F.col("subs").alias("guests"))
+    every = cells.join(after, ["dim", "block", "cell"], "left").withColumn("guests", F.coalesce("guests", F.lit(0).cast("long")))
+    n = lambda x: F.lit(x).cast("long")
+    place = lambda cell, sub, p, q, role: F.struct(cell.alias("cell"), sub.alias("sub"), F.col("g_cell"), p.alias("p"), q.alias("q"), role.alias("role"))
+    every = every.withColumnRenamed("cell", "g_cell")
+    own, next_ = F.col("g_cell"), F.col("g_cell") + 1
+    whole = (F.col("subs") == 1) & (F.col("guests") <= 1)
+    together = F.when(F.col("guests") == 1, F.array(place(own, n(0), n(0), n(0), n(0)), place(next_, n(0), n(0), n(0), n(1)))).otherwise(F.array(place(own, n(0), n(0), n(0), n(0))))
+    one = every.where(whole).select("dim", "block", F.explode(together).alias("g"))
+    p, q = F.col("p"), F.col("q")
+    second = F.when(q < F.col("subs"), place(own, q, p, q, n(2))).otherwise(place(next_, q - F.col("subs"), p, q, n(3)))
+    pairs = every.where(~whole).withColumn("p", F.explode(F.sequence(n(0), F.col("subs") - 1))).withColumn("q", F.explode(F.sequence(p, F.col("subs") + F.col("guests") - 1)))
+    two = pairs.select("dim", "block", F.explode(F.when(q == p, F.array(place(own, p, p, q, n(0)))).otherwise(F.array(place(own, p, p, q, n(0)), second))).alias("g"))
+    return one.unionByName(two).select("dim", "block", "g.*")
 
 
 def near_dedup(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", threshold: float = 0.95, block_dims: int = 16, chunk: int = CHUNK, scratch: Scratch | None = None) -> DataFrame:
@@ -215,15 +217,10 @@ def near_dedup(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "em
 
     packed = scratch.keep(classes.select("node", "dim", "weight", "v").mapInArrow(to_bytes, "node long, dim long, weight long, raw binary"), "packed")
     placed = scratch.keep(cells(packed, block_dims, threshold), "cells")
-    # cells of a block are at most 2 / radius + 2: their counts fit on the driver whatever the number of vectors
-    counts = {(r["dim"], r["block"], r["cell"]): r["n"] for r in placed.groupBy("dim", "block", "cell").agg(F.count(F.lit(1)).alias("n")).toLocalIterator()}
-    subs = {k: -(-n // chunk) for k, n in counts.items()}
-    sub_rows = [(*k, s) for k, s in subs.items()] or [(-1, -1, -1, 1)]
-    sub_table = spark.createDataFrame(sub_rows, "dim long, block long, cell long, subs long")
-    meet = spark.createDataFrame(_meetings(counts, chunk) or [(-1, -1, -1, -1, -1, -1, -1, -1)], "dim long, block long, cell long, sub long, g_cell long, p long, q long, role long")
-    small = (lambda t: F.broadcast(t)) if len(sub_rows) <= 100_000 else (lambda t: t)
-    dealt = placed.join(small(sub_table), ["dim", "block", "cell"]).withColumn("sub", F.pmod(F.xxhash64("node"), F.col("subs"))).drop("subs")
-    dealt = dealt.join(small(meet), ["dim", "block", "cell", "sub"]).select("node", "dim", "block", F.col("g_cell").alias("cell"), "p", "q", "role")
+    counts = placed.groupBy("dim", "block", "cell").agg(F.count(F.lit(1)).alias("n"))
+    subs = scratch.keep(counts.select("dim", "block", "cell", F.ceil(F.col("n") / F.lit(chunk)).cast("long").alias("subs")), "subs")
+    dealt = placed.join(subs, ["dim", "block", "cell"]).withColumn("sub", F.pmod(F.xxhash64("node"), F.col("subs"))).drop("subs")
+    dealt = dealt.join(meetings(subs), ["dim", "block", "cell", "sub"]).select("node", "dim", "block", F.col("g_cell").alias("cell"), "p", "q", "role")
     dealt = dealt.join(packed.drop("dim").hint("merge"), "node")
     found = scratch.keep(join_cells(dealt, block_dims, threshold, parts), "found")
     linked = found.groupBy("node").agg(F.sum("linked").alias("linked"))

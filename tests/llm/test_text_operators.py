@@ -454,6 +454,17 @@ def test_token_headers_led_by_blanks(blank):
         assert secrets.confirmed_spans(f"{before}{jwt} x") == [(len(before), secrets.KINDS.index("jwt"), len(before) + len(jwt))]
 
 
+def test_wrapped_blocks_and_unsigned_tokens():
+    key = der(0x30, der(2, b"\0") + der(0x30, der(6, b"\x2b\x65\x70")) + der(4, der(4, bytes(range(32)))))
+    block = f"-----BEGIN PRIVATE KEY-----\n{base64.b64encode(key).decode()}\n-----END PRIVATE KEY-----\n"
+    wrapped = base64.b64encode(block.encode()).decode()
+    assert secrets.confirmed_spans(f"k: {wrapped}") == [(3, secrets.KINDS.index("pem"), 3 + len(wrapped))]
+    assert secrets.confirmed_spans(base64.b64encode(block.replace("MC", "AA", 1).encode()).decode()) == []
+    url = lambda s: base64.urlsafe_b64encode(s.encode()).decode().rstrip("=")
+    for head, tail in (('{"alg":"none"}', ""), ('{"alg":"None"}', "c2ln"), ('{"alg":"HS256"}', "")):
+        assert secrets.confirmed_spans(f"{url(head)}.{url('{}')}.{tail}") == []
+
+
 def test_scan(docs, spark):
     rows = spark.createDataFrame([(1, "token=abcdefgh AKIAABCDEFGHIJKLMN"), (2, None), (None, "")], "doc_id long, text string")
     got = {r["doc_id"]: r for r in secrets.scan(rows).collect()}
@@ -597,3 +608,30 @@ def test_rollup(spark):
         r.apply("b4", rows(("upsert", "a", "en", "t1", 1, None, None)))
     with pytest.raises(ValueError):
         r.apply("../x", first)
+
+
+def test_a_writer_that_dies_commits_nothing_and_compactions_count_once(spark, monkeypatch):
+    uri = Scratch(spark, "rollup").root
+    one, two = rollup.TokenRollup(spark, uri), rollup.TokenRollup(spark, uri)
+    row = lambda k: spark.createDataFrame([("insert", "a", "en", "t", k)], "op string, source string, lang string, tokenizer string, tokens long")
+    totals = lambda: [(r["docs"], r["tokens"]) for r in two.totals().collect()]
+    one._write("b1", rollup.signed_rows(row(10)), ["b1"])  # dies before its marker
+    assert totals() == [] and two.apply("b1", row(10)) and not one.apply("b1", row(10)) and totals() == [(1, 10)]
+    monkeypatch.setattr(one, "batches", dict)  # has not seen the other's commit yet
+    assert one.apply("b1", row(10)) and totals() == [(1, 10)]
+    monkeypatch.undo()
+    assert one.apply("b2", row(5)) and one.apply("b3", row(1)) and totals() == [(3, 16)]
+    # three compactions from what three writers saw, all committed
+    live = one._live()
+    for names in (["b1", "b2"], ["b2", "b3"], ["b1", "b2"]):
+        monkeypatch.setattr(two, "_live", lambda names=names: {b: live[b] for b in names})
+        two.compact()
+    monkeypatch.undo()
+    assert len(one.batches()) == 5 and totals() == [(3, 16)]
+    one.compact()
+    assert len(one._live()) == 1 and totals() == [(3, 16)] and not two.apply("b3", row(1))
+    assert one.apply("b4", row(4)) and totals() == [(4, 20)]
+    one.compact()
+    assert len(one._live()) == 1 and totals() == [(4, 20)]
+    with pytest.raises(ValueError):
+        one.apply("compact-x", row(1))

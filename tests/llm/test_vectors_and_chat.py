@@ -66,6 +66,14 @@ def test_near_vectors(spark, kind, options):
     assert sorted(got, key=str) == sorted(brute_vectors(rows), key=str)
 
 
+def test_huge_and_tiny_components(spark):
+    rng = np.random.default_rng(8)
+    base = rng.standard_normal(16)
+    rows = [(i, (base * f + 0).tolist()) for i, f in enumerate((1e300, 1e200, 1.0, 1e-200, 5e-300))] + [(9, rng.standard_normal(16).tolist())]
+    got = vectors.near_dedup(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()
+    assert sorted((r["vec_id"], r["n_links"], r["component_id"]) for r in got) == [(i, 4, 0) for i in range(5)] + [(9, 0, 9)]
+
+
 def test_no_vectors(spark):
     df = spark.createDataFrame([], "vec_id long, embedding array<float>")
     assert vectors.near_dedup(df).count() == 0
@@ -138,6 +146,40 @@ def test_validation(spark, tool, arguments, problems):
     assert (row["problems"], row["valid"]) == (problems, problems == "")
 
 
+DEEP = {
+    "t": {
+        "properties": {
+            "flag": {"type": "boolean", "enum": [True]},
+            "mode": {"enum": [1, "1", None]},
+            "place": {"type": "object", "properties": {"lat": {"type": "number", "minimum": -90}, "name": {"type": "string"}}, "required": ["lat"], "additional": False},
+            "tags": {"type": "array", "items": {"type": "string", "enum": ["a", "b"]}},
+        }
+    }
+}
+
+
+@pytest.mark.parametrize(
+    ("arguments", "problems"),
+    [
+        ("{}", ""),
+        ('{"flag":true,"mode":1.0,"place":{"lat":1,"name":"x"},"tags":["a","b"]}', ""),
+        ('{"flag":false,"mode":"1","tags":[]}', "flag: not allowed"),
+        ('{"flag":"true","mode":2,"place":{}}', "flag: not boolean; flag: not allowed; mode: not allowed; place.lat: missing"),
+        ('{"place":{"lat":-91,"name":3,"q":1},"tags":["a","c"]}', "place.lat: too small; place.name: not string; place: unknown: q; tags: wrong items"),
+        ('{"place":[],"tags":"a","mode":null}', "place: not object; tags: not array"),
+    ],
+)
+def test_nested_schemas(spark, arguments, problems):
+    assert chat.link_tool_calls(events(spark, (1, 0, "call", "assistant", None, "a", "t", arguments, None)), DEEP).first()["problems"] == problems
+
+
+def test_whole_numbers_and_null_content(spark):
+    rows = [(1, 0, "call", "assistant", None, "a", "lookup", '{"query":"q","step":1.0,"limit":2}', None), (1, 1, "result", "tool", None, "a", None, None, None), (1, 2, "message", None, None, None, None, None, None)]
+    got = {r["turn"]: r for r in chat.link_tool_calls(events(spark, *rows), TOOLS).collect()}
+    assert got[0]["valid"] and json.loads(got[0]["json"])["tool_calls"][0]["arguments"]["step"] == 1
+    assert got[1]["json"] == '{"content":null,"role":"tool","tool_call_id":"a"}' and got[2]["json"] == '{"content":null,"role":null}'
+
+
 def test_canonical_json(spark):
     text = '{ "b" : [1, {"z": 1, "a": "é\\n\\"/"}], "a": {"y": null, "x": true} }'
     row = chat.link_tool_calls(events(spark, (1, 0, "call", "assistant", None, "i", "t", text, None)), {}).first()
