@@ -146,8 +146,8 @@ def lint(docs: DataFrame, rules: Iterable[str] | None = None, key: str = "doc_id
 
 
 def size_guard(docs: DataFrame, content: str = "content", limit: int = MAX_BYTES) -> tuple[DataFrame, DataFrame]:
-    """Documents that may be linted, and those that are too large."""
-    fits = F.octet_length(content) <= limit
+    """Documents that may be linted, and those that are too large; a document without content fits."""
+    fits = F.coalesce(F.octet_length(content) <= limit, F.lit(True))
     return docs.where(fits), docs.where(~fits)
 
 
@@ -158,7 +158,7 @@ def line_table(docs: DataFrame, key: str = "doc_id", content: str = "content") -
 
 
 def window_issues(docs: DataFrame, key: str = "doc_id", content: str = "content") -> DataFrame:
-    """All rules over a table of lines, by windows on the document: the same rows as ``lint``."""
+    """All rules over a table of lines, by windows on the document: the same rows as ``lint`` where ``key`` is unique (rows that share a key are read as one)."""
     w = Window.partitionBy(key).orderBy("line_no")
     t = line_table(docs, key, content).withColumn("t", trim(F.col("line"))).withColumn("head", F.startswith("t", F.lit("#")))
     t = t.withColumn("level", F.when(F.col("head"), F.char_length("t") - F.char_length(F.ltrim("t", F.lit("#")))))

@@ -6,10 +6,9 @@ The model itself is a function handed in; without one, requests are planned and
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
-from functools import reduce
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -172,11 +171,20 @@ def translate(docs: DataFrame, targets: DataFrame, lang: str, client: Callable[[
 
 
 def progress(docs: DataFrame, order: str = "path") -> DataFrame:
-    """``docs`` with ``k`` and ``n`` (document k of n in order), from ranges counted separately rather than one sorted task."""
-    parts = docs.repartitionByRange(order).sortWithinPartitions(order).withColumn("_p", F.spark_partition_id()).withColumn("_i", F.monotonically_increasing_id())
-    sizes = [(r["_p"], r["n"]) for r in parts.groupBy("_p").agg(F.count(F.lit(1)).alias("n")).collect()]  # a row a partition
+    """``docs`` with ``k`` and ``n`` (document k of n in order), numbered range by range rather than in one sorted task.
+
+    The limits of the ranges are values, taken once from a bounded sample, so the job that counts the ranges and the one that numbers their rows cut alike
+    whatever they read beside the order column.  Null comes first; rows of equal order are numbered in any order.
+    """
+    spark, key = docs.sparkSession, F.col(order)
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    seen = sorted({r[0] for r in docs.select(key).where(key.isNotNull()).orderBy(F.rand(7)).limit(100 * parts).collect()})
+    cuts = [seen[i * len(seen) // parts] for i in range(1, parts)] if len(seen) > parts else seen[1:]
+    part = F.size(F.filter(F.array(*[F.lit(c) for c in cuts]), lambda c: c <= key)) if cuts else F.lit(0)
+    ranged = docs.withColumn("_part", F.when(key.isNull(), F.lit(-1)).otherwise(part))
     before, total = {}, 0
-    for p, n in sorted(sizes):
-        before[p], total = total, total + n
-    base = F.create_map(*reduce(lambda a, kv: [*a, F.lit(kv[0]), F.lit(kv[1])], before.items(), [])) if before else F.create_map(F.lit(0), F.lit(0))
-    return parts.withColumn("k", F.try_element_at(base, F.col("_p")) + F.col("_i").bitwiseAND(F.lit((1 << 33) - 1)) + 1).withColumn("n", F.lit(total)).drop("_p", "_i")
+    for r in sorted(ranged.groupBy("_part").agg(F.count(F.lit(1)).alias("n")).collect()):  # a row a range
+        before[r["_part"]], total = total, total + r["n"]
+    base = F.create_map(*[F.lit(x) for kv in before.items() for x in kv]) if before else F.create_map(F.lit(0), F.lit(0))
+    k = F.row_number().over(Window.partitionBy("_part").orderBy(key.asc_nulls_first()))
+    return ranged.withColumn("k", (F.try_element_at(base, F.col("_part")) + k).cast("long")).withColumn("n", F.lit(total)).drop("_part")

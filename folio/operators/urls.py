@@ -64,12 +64,12 @@ def _any(url: Column, globs: Iterable[str]) -> tuple[Column | None, int]:
 
 
 def filter_urls(df: DataFrame, include: Iterable[str] = (), exclude: Iterable[str] = (), col: str = "url") -> DataFrame:
-    """Rows whose whole address matches any include (or there is none that is valid) and no exclude."""
+    """Rows whose whole address matches any include (or there is none that is valid) and no exclude. A null address matches nothing."""
     yes, _ = _any(F.col(col), include)
     no, _ = _any(F.col(col), exclude)
     if yes is not None:
         df = df.where(yes)
-    return df.where(~no) if no is not None else df
+    return df.where(~F.coalesce(no, F.lit(False))) if no is not None else df
 
 
 def limit_urls(df: DataFrame, n: int, seq: str = "seq") -> DataFrame:

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from folio.operators import fix as fixers
 from folio.operators import images, lint, llms, merge, publish, report
 from folio.sources import files, nav, pandoc, sitemap
+from folio.sources.shared import settled
 
 
 @dataclass
@@ -66,7 +67,7 @@ def export(spark: SparkSession, root: str, output: str, cwd: str, options: pando
     return Export(merged, pandoc.arguments(f"{cwd}/merged.md", output, cwd, options, dirs))
 
 
-def download(docs: DataFrame, get: Callable[[str], dict], explicit_dir: str | None = None, source_dir: str | None = None, key: str = "doc_id") -> tuple[DataFrame, DataFrame]:
+def download(docs: DataFrame, get: Callable[[str], dict], explicit_dir: str | None = None, source_dir: str | None = None, key: str = "doc_id", threads: int = 5) -> tuple[DataFrame, DataFrame]:
     """Documents with remote images rewritten to local files, and ``file, body`` of the images.
 
     ``get`` runs on the executors and returns ``{"body": bytes, "content_type": ..., "disposition": ...}``; the status does not matter.
@@ -74,20 +75,24 @@ def download(docs: DataFrame, get: Callable[[str], dict], explicit_dir: str | No
     refs = images.references(docs, key, "path").withColumn("remote", images.remote_url(F.col("url"))).where(F.col("remote").isNotNull())
     folder = images.image_dir(F.col("path"), explicit_dir, source_dir)
 
+    def one(u: str):
+        try:
+            r = get(u)
+            return r["body"], r.get("content_type"), r.get("disposition"), None
+        except Exception as e:  # a link whose image cannot be had stays as it is
+            return None, None, None, f"{type(e).__name__}: {e}"
+
     def run(batches):
+        from concurrent.futures import ThreadPoolExecutor
+
         import pandas as pd
 
-        for pdf in batches:
-            got = []
-            for u in pdf["remote"]:
-                try:
-                    r = get(u)
-                    got.append((r["body"], r.get("content_type"), r.get("disposition"), None))
-                except Exception as e:  # a link whose image cannot be had stays as it is
-                    got.append((None, None, None, f"{type(e).__name__}: {e}"))
-            yield pd.concat([pdf.reset_index(drop=True), pd.DataFrame(got, columns=["body", "content_type", "disposition", "error"], dtype=object)], axis=1)
-
-    fetched = refs.select("remote").distinct().mapInPandas(run, "remote string, body binary, content_type string, disposition string, error string").where("error IS NULL")
+        with ThreadPoolExecutor(threads) as pool:
+            for pdf in batches:
+                yield pd.concat([pdf.reset_index(drop=True), pd.DataFrame(list(pool.map(one, pdf["remote"])), columns=["body", "content_type", "disposition", "error"], dtype=object)], axis=1)
+
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    fetched = refs.select("remote").distinct().repartition(parts, "remote").mapInPandas(run, "remote string, body binary, content_type string, disposition string, error string").where("error IS NULL")
     name = images.unique_name(images.file_name(F.col("remote"), F.col("disposition")), F.col("remote"), F.col("content_type"))
     placed = refs.withColumn("dir", folder).join(fetched.select("remote", "body", name.alias("name")), "remote").withColumn("file", F.concat("dir", F.lit("/"), "name"))
     from folio.functions.text import file_dir
@@ -111,7 +116,8 @@ def upload(docs: DataFrame, manifest: DataFrame, cache: DataFrame, listing: Data
     todo = publish.tasks(docs, manifest, key)
     hits, misses = publish.split_by_cache(todo, cache, force)
     decided = publish.resolve(misses, listing, policy, clock, dry_run, force)
-    results = publish.put_objects(decided, store, prefix).withColumn("url", url_of(F.col("final_path"))).persist()
+    results = publish.put_objects(decided, store, prefix).withColumn("url", url_of(F.col("final_path")))
+    results = settled(results)  # uploads have effects: their results are written once, never computed again
     good = results.where("error IS NULL")
     links = good.where("action <> 'dry_run'").select("local_path", "url").unionByName(hits.select("local_path", F.col("cached_url").alias("url")).distinct())
     documents = publish.rewritten(docs, todo, links, key)

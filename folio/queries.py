@@ -134,7 +134,6 @@ on_md(
     LINES + f"\nSELECT doc_id, '::error file=' || path || ',line=' || line || '::' || message || ' (' || rule || ')' AS report FROM ({ALL_ISSUES}) JOIN md USING (doc_id)",
     lambda d: report.annotations(lint.explode_issues(lint.issues(d), "doc_id", "path")).select("doc_id", "report"),
 )
-on_md("lint_report_json", None, lambda d: lint.issues(d).transform(lambda t: t.select("doc_id", report.json_report(t).alias("report"))))
 on_md("lint_size_guard", MD + "\nSELECT doc_id, strlen(content) <= 10485760 AS fits FROM md", lambda d: lint.size_guard(d)[0].select("doc_id", F.lit(True).alias("fits")).unionByName(lint.size_guard(d)[1].select("doc_id", F.lit(False).alias("fits"))))
 query("lint_rules", "SELECT * FROM (VALUES " + ", ".join(f"('{r}', '{d}')" for r, d in lint.RULES.items()) + ") t(id, description)")(lambda spark, sf_dir: spark.createDataFrame(list(lint.RULES.items()), "id string, description string"))
 
@@ -158,7 +157,6 @@ FIX_SQL = {
 }
 for _rule, _sql in FIX_SQL.items():
     on_md(f"fix_{_rule.lower()}", _sql, lambda d, r=_rule: fix.fix_one(d, r).select("doc_id", "fixed", "n_fixed"))
-on_md("fix_all", None, lambda d: fix.fix(d).select("doc_id", "content", "fixed_count", F.size("issues").alias("issues"), F.size(F.filter("issues", lambda x: x["fixed"])).alias("fixed")))
 
 # -- formatter ------------------------------------------------------------------------------------------------------------
 _LINK, _HASH, _WEB, _PAR = r"\[(.*?)\]\(\s*(.*?)\s*\)", r"\]\(#(.*?)\)", r"\([^)]*https?://[^)]+\)", r"\(([^)]+)\)"
@@ -333,11 +331,6 @@ on_md(
     _LOCAL + f", res AS ({_VERSION})\nSELECT doc_id, pos, 'https://cdn/' || final_path AS url FROM tasks JOIN res USING (local_path)",
     lambda d: publish.tasks(d, _manifest(d)).join(_decided(d).select("local_path", F.concat(F.lit("https://cdn/"), "final_path").alias("url")), "local_path").select("doc_id", F.col("pos").cast("long").alias("pos"), "url"),
 )
-on_md(
-    "upload_rewrite",
-    None,
-    lambda d: publish.rewritten(d, publish.tasks(d, _manifest(d)), _decided(d).select("local_path", F.concat(F.lit("https://cdn/"), "final_path").alias("url"))).select("doc_id", "content"),
-)
 on_md(
     "cache_upsert",
     _LOCAL + f", res AS ({_VERSION})\nSELECT local_path, 'old/' || md5 AS remote_path, md5 AS hash FROM man WHERE h = 0 UNION ALL SELECT local_path, remote_path, md5 AS hash FROM res JOIN man USING (local_path) WHERE action = 'upload'",
@@ -467,4 +460,5 @@ query(
     "translate_response_text",
     f"SELECT conv_id, turn, text AS content FROM {_CONV}",
 )(lambda spark, sf_dir: spark.read.parquet(f"{sf_dir}/conversations.parquet").select("conv_id", "turn", translate.response_text(F.to_json(F.struct(F.array(F.struct(F.struct(F.lit("assistant").alias("role"), F.col("text").alias("content")).alias("message"))).alias("choices")))).alias("content")))
-on_md("translate_output", None, lambda d: d.select("doc_id", translate.front_matter(F.col("content")).alias("f")).select("doc_id", translate.output(F.col("f.yaml"), F.col("f.body")).alias("output")))
+
+from folio import source_queries  # noqa: E402, F401  (registers its own)

@@ -149,15 +149,13 @@ def find_lint_config(folders=(".", "~")) -> Path | None:
     return next((p for d in folders for n in LINT_CONFIG_NAMES if (p := Path(d).expanduser() / n).exists()), None)
 
 
-def load_lint_config(path: str | None = None, folders=(".", "~")) -> dict[str, bool]:
-    """Which rules a lint configuration turns on or off. A file that cannot be read as such counts for nothing as a whole.
+def parse_lint_config(text: str) -> dict[str, bool]:
+    """Which rules the text of a lint configuration turns on or off. A text that cannot be read as such counts for nothing as a whole.
 
     ``default``, ``extends`` and ``options`` are accepted and have no effect.
     """
-    found = Path(path) if path else find_lint_config(folders)
     try:
-        raw = json.loads(found.read_text(encoding="utf-8")) if found else {}
-        out = {}
+        raw, out = json.loads(text), {}
         for rule in RULES:
             own = raw.get(rule)
             if own is None:
@@ -168,9 +166,22 @@ def load_lint_config(path: str | None = None, folders=(".", "~")) -> dict[str, b
             if enabled is not None:
                 out[rule] = enabled
         return out if isinstance(raw.get("default", True), bool) and isinstance(raw.get("extends", ""), str) else {}
-    except (OSError, ValueError, AttributeError):
+    except (ValueError, AttributeError):
+        return {}
+
+
+def load_lint_config(path: str | None = None, folders=(".", "~")) -> dict[str, bool]:
+    """``parse_lint_config`` of the given file or the first that is found; without one that can be read, nothing."""
+    found = Path(path) if path else find_lint_config(folders)
+    try:
+        return parse_lint_config(found.read_text(encoding="utf-8")) if found else {}
+    except (OSError, ValueError):
         return {}
 
 
+def default_lint_config() -> str:
+    return json.dumps({"default": True, **{r: {"enabled": True} for r in RULES}}, indent=2)
+
+
 def write_lint_config(path: str) -> None:
-    Path(path).write_text(json.dumps({"default": True, **{r: {"enabled": True} for r in RULES}}, indent=2), encoding="utf-8")
+    Path(path).write_text(default_lint_config(), encoding="utf-8")

@@ -71,21 +71,30 @@ def expand(bodies: DataFrame, start: str) -> DataFrame:
     return rows.select((F.col("child").cast("long") * F.lit(1 << 32) + F.col("pos")).alias("seq"), "u.*")
 
 
-def fetch(urls: DataFrame, get: Callable[[str], tuple[int, str]], need_ok: bool = True, url: str = "url") -> tuple[DataFrame, DataFrame]:
-    """``urls`` with ``status, body`` of what could be had, and with ``error`` of the rest. ``get`` runs on the executors."""
+def fetch(urls: DataFrame, get: Callable[[str], tuple[int, str]], need_ok: bool = True, url: str = "url", threads: int = 5) -> tuple[DataFrame, DataFrame]:
+    """``urls`` with ``status, body`` of what could be had, and with ``error`` of the rest.
+
+    ``get`` runs on the executors, in each task for as many addresses at once as there are threads; addresses are spread over the tasks by a hash first, since those of
+    a site come from one document.
+    """
+
+    def one(u: str):
+        try:
+            status, body = get(u)
+            return status, body, f"status {status}" if need_ok and status != 200 else None
+        except Exception as e:  # a page that cannot be had is a row of errors
+            return None, None, f"{type(e).__name__}: {e}"
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            got = []
-            for u in pdf[url]:
-                try:
-                    status, body = get(u)
-                    got.append((status, body, f"status {status}" if need_ok and status != 200 else None))
-                except Exception as e:  # a page that cannot be had is a row of errors
-                    got.append((None, None, f"{type(e).__name__}: {e}"))
-            out = pdf.assign(body=[b for _, b, _ in got], error=[e for _, _, e in got])
-            out["status"] = pd.array([s for s, _, _ in got], dtype="Int64")
-            yield out
-
-    rows = urls.mapInPandas(run, ", ".join([*(f"`{c}` {t}" for c, t in urls.dtypes), "body string, error string, status long"]))
+        from concurrent.futures import ThreadPoolExecutor
+
+        with ThreadPoolExecutor(threads) as pool:
+            for pdf in batches:
+                got = list(pool.map(one, pdf[url]))
+                out = pdf.assign(body=[b for _, b, _ in got], error=[e for _, _, e in got])
+                out["status"] = pd.array([s for s, _, _ in got], dtype="Int64")
+                yield out
+
+    spread = urls.repartition(int(urls.sparkSession.conf.get("spark.sql.shuffle.partitions")), url)
+    rows = spread.mapInPandas(run, ", ".join([*(f"`{c}` {t}" for c, t in urls.dtypes), "body string, error string, status long"]))
     return rows.where("error IS NULL").drop("error"), rows.where("error IS NOT NULL").drop("body")
