@@ -1,7 +1,8 @@
 """Connected components of an edge table by alternating large and small stars.
 
-Every round is joins and minimum aggregations over edges; each round is written to the shared folder.  A node's
-neighbours are never gathered in one place: their minimum is summed up on each task first.
+Every round is joins and minimum aggregations over edges; each round is written to the shared folder.  The minimum of a node's neighbours is taken on each
+task first; the join that hands it back deals a node's edges by the node, which for a hub is a skewed partition that adaptive execution splits.
+Edges whose ends are null are ignored, repeated ones count once, a table without edges gives no rows.
 """
 
 from __future__ import annotations

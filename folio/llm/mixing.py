@@ -8,6 +8,7 @@ is allocated for certain.  The rest is its inclusion probability ``p``: document
 source's words are reached; the gap below the target that is then open is closed by the one other document whose size
 is nearest to it.
 
+Sources are ordered in one task, a row for each (their names, not their documents), so they should be thousands or millions, not as many as documents.
 The cut is found without ordering a source in one task: rank scores are summed in ``bins`` equal intervals (partial
 sums on each task), and only the documents of the interval in which the target falls are ordered.
 

@@ -1,4 +1,8 @@
-"""Tables in the folder that the cluster shares, which cut lineage and outlive lost executors."""
+"""Tables in the folder that the cluster shares, which cut lineage and outlive lost executors.
+
+Tables of any columns and of no rows are kept as they are; a table that is kept twice under one name replaces the former.  They stay when a query has
+ended, since its result reads them: the folder is the cluster's to clear, like that of ``checkpoint()``.
+"""
 
 from __future__ import annotations
 

@@ -16,8 +16,9 @@ from functools import lru_cache
 
 import numpy as np
 
-#: Entries of the piece table of one worker process; about 130 MB.
-PIECES = 600_000
+#: Entries of the piece table of one worker process, and characters beyond which a piece is not kept (a text without white space is one piece); some 130 MB
+#: for words of ordinary length, 300 MB if all were as long as may be.
+PIECES, LONG = 600_000, 64
 #: ASCII without the apostrophe, and the letters of Latin-1, which need no normalisation but lower case.
 _PLAIN = re.compile(r"[\t-\r -&(-~À-ÖØ-öø-ÿ]*")
 #: Unicode white space, which such a tokenizer drops.
@@ -57,8 +58,12 @@ class Encoder:
             if len(table) > PIECES:
                 table.clear()
             missing = list({p for p in pieces if p not in table})
-            table.update(zip(missing, self._library(missing), strict=True))
-            return b"".join(map(table.__getitem__, pieces))
+            found = dict(zip(missing, self._library(missing), strict=True))
+            if max(map(len, missing)) <= LONG:
+                table.update(found)
+                return b"".join(map(table.__getitem__, pieces))
+            table.update((p, x) for p, x in found.items() if len(p) <= LONG)
+            return b"".join([found[p] if p in found else table[p] for p in pieces])
 
     def encode(self, texts) -> list[bytes]:
         out = []

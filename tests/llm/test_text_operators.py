@@ -264,6 +264,24 @@ def test_packing(docs):
         packing.pack(docs, longest=100)
 
 
+def test_buckets_hold_sequences_of_one_length(spark, docs, tmp_path):
+    pieces = packing.pack(docs, longest=64)
+    packing.write_buckets(pieces, f"{tmp_path}/b")
+    got = spark.read.parquet(f"{tmp_path}/b")
+    assert got.count() == pieces.count() and got.where("bucket <> length OR octet_length(ids) <> 4 * length").isEmpty()
+    assert {r[0] for r in got.select("bucket").distinct().collect()} <= {1, 2, 4, 8, 16, 32, 64}
+    assert spark.read.parquet(f"{tmp_path}/b/bucket=64").count() == pieces.where("length = 64").count()
+
+
+def test_pieces_that_are_long_are_not_kept():
+    from tokenizers import Tokenizer
+
+    lib, one = Tokenizer.from_file(public_path()), Encoder(public_path())
+    texts = ["日本語" * 500 + " ab", "é" * 70 + " x", "x" * 300 + " y x", "ab 日本語"]
+    assert [np.frombuffer(x, "<u4").tolist() for x in one.encode(texts)] == [lib.encode(t, add_special_tokens=False).ids for t in texts]
+    assert max(map(len, one._pieces)) <= 64
+
+
 @pytest.mark.parametrize(("shards", "width"), [(1, 4), (4, 2)])
 def test_token_files(spark, docs, tmp_path, shards, width):
     uri = tmp_path.as_uri() + "/t"
