@@ -15,6 +15,10 @@ has less.  A set whose partners are all settled needs no answer at all: partners
 the kept distances, ``|d(p, x) - d(p, y)| <= d(x, y)`` where a link needs
 ``d(x, y) <= (|x| + |y|) * (100 - percent) / (100 + percent)``.  All in integers.
 
+A gathering of more than ``BLOCK`` shingles is cut into blocks by size.  Each block is verified by itself together with the ``BRIDGES`` largest sets of the block
+before it; after the components of these links are known, two blocks meet only with sets whose components differ.  A family of near copies,
+which soon is one component, so costs work in proportion to its members; what stays quadratic are sets that share frequent shingles without linking.
+
 Only links that join components leave a task, fewer than its sets; pairs are never rows.
 
 Defined cases: null text counts as empty; a text without words has an empty set, links with nothing and is its own
@@ -261,16 +265,43 @@ def links(members: DataFrame, width: int, percent: int, parts: int) -> DataFrame
     return members.select("leader", "i", "j", "block", "n", "node", "hi", "lo", "text").repartition(parts, *order[:3]).sortWithinPartitions(*order).mapInArrow(run, "a long, b long")
 
 
-def blocks(pairs: DataFrame, sized: DataFrame, percent: int, scratch: Scratch) -> DataFrame:
-    """``leader, i, j, block, node, n``: each gathering's sets, by size, in blocks and pairs of blocks of fitting sizes."""
+#: Sets of a block, its largest, that the next block of the gathering is compared with first.
+BRIDGES = 4
+
+
+def blocks(pairs: DataFrame, sized: DataFrame, scratch: Scratch) -> DataFrame:
+    """``leader, node, n, block, last``: each gathering's sets, by size, in blocks; ``last`` counts from the block's end."""
     named = pairs.unionByName(pairs.select("leader", F.col("leader").alias("node")).distinct()).join(sized, "node")
     upto = Window.partitionBy("leader").orderBy("n", "node").rowsBetween(Window.unboundedPreceding, 0)
-    placed = scratch.keep(named.withColumn("block", F.floor(F.sum(F.greatest("n", F.lit(LEAST))).over(upto) / F.lit(BLOCK))), "placed")
-    spans = placed.groupBy("leader", "block").agg(F.min("n").alias("least"), F.max("n").alias("most"))
-    one, two = spans.select("leader", F.col("block").alias("i"), "most"), spans.select("leader", F.col("block").alias("j"), "least")
-    meet = one.join(two, "leader").where((F.col("i") <= F.col("j")) & (100 * F.col("most") >= percent * F.col("least")))
-    meet = meet.select("leader", "i", "j", F.explode(F.array_distinct(F.array("i", "j"))).alias("block"))
-    return placed.join(meet, ["leader", "block"]).select("leader", "i", "j", "block", "node", "n")
+    placed = named.withColumn("block", F.floor(F.sum(F.greatest("n", F.lit(LEAST))).over(upto) / F.lit(BLOCK)))
+    return scratch.keep(placed.withColumn("last", F.row_number().over(Window.partitionBy("leader", "block").orderBy(F.col("n").desc(), F.col("node").desc()))), "placed")
+
+
+def within(placed: DataFrame) -> DataFrame:
+    """``leader, i, j, block, node, n``: each block by itself, with the largest sets of the block before it."""
+    own = placed.select("leader", F.col("block").alias("i"), F.col("block").alias("j"), "block", "node", "n")
+    after = F.col("block") + 1
+    bridges = placed.where(F.col("last") <= BRIDGES).select("leader", after.alias("i"), after.alias("j"), "block", "node", "n")
+    return own.unionByName(bridges.join(placed.where("block > 0").select("leader", F.col("block").alias("i")).distinct(), ["leader", "i"], "left_semi"))
+
+
+def between(placed: DataFrame, reached: DataFrame, percent: int) -> DataFrame:
+    """The same for pairs of blocks of fitting sizes, less what needs no comparison: sets of ``reached`` (``node, component``) that are in one component.
+
+    Of a block that meets another of one component only, only sets of other components go there; two blocks of one and the same component do not meet.
+    """
+    large = placed.join(placed.where("block > 0").select("leader").distinct(), "leader", "left_semi")
+    known = large.join(reached, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    spans = known.groupBy("leader", "block").agg(F.min("n").alias("least"), F.max("n").alias("most"), F.min("component").alias("low"), F.max("component").alias("high"))
+    side = lambda name: spans.select("leader", *[F.col(c).alias(f"{name}_{c}") for c in ("block", "least", "most", "low", "high")])
+    one_only = lambda name: F.when(F.col(f"{name}_low") == F.col(f"{name}_high"), F.col(f"{name}_low"))
+    meet = side("i").join(side("j"), "leader").where((F.col("i_block") < F.col("j_block")) & (100 * F.col("i_most") >= percent * F.col("j_least")))
+    meet = meet.where(~F.coalesce(one_only("i") == one_only("j"), F.lit(False)))
+    i, j = F.col("i_block"), F.col("j_block")
+    # of each pair two rows: a block and the one component of the other, if it has only one
+    sent = meet.select("leader", i.alias("i"), j.alias("j"), F.explode(F.array(F.struct(i.alias("block"), one_only("j").alias("settled")), F.struct(j.alias("block"), one_only("i").alias("settled")))).alias("s"))
+    sent = sent.select("leader", "i", "j", "s.block", "s.settled")
+    return known.join(sent, ["leader", "block"]).where(F.col("settled").isNull() | (F.col("component") != F.col("settled"))).select("leader", "i", "j", "block", "node", "n")
 
 
 KEYS = ["hi", "lo", "n"]
@@ -289,9 +320,16 @@ def _classes(rows: DataFrame, width: int, percent: int, scratch: Scratch) -> Dat
     slim = scratch.keep(classes.drop("prefix"), "slim")
     scratch.drop("classes")
     classes = slim
-    members = scratch.keep(blocks(pairs, classes.select("node", "n"), percent, scratch).join(classes.select("node", "hi", "lo", "least_id", "mark"), "node"), "members")
+    placed = blocks(pairs, classes.select("node", "n"), scratch)
     texts = rows.select(F.coalesce("doc_id", F.lit(NO_ID)).alias("least_id"), mark, "text")
-    found = scratch.keep(links(texts.join(members.hint("merge"), ["least_id", "mark"]), width, percent, parts), "links")
+
+    def linked(members: DataFrame, name: str) -> DataFrame:
+        named = scratch.keep(members.join(classes.select("node", "hi", "lo", "least_id", "mark"), "node"), f"members{name}")
+        return scratch.keep(links(texts.join(named.hint("merge"), ["least_id", "mark"]), width, percent, parts), f"links{name}")
+
+    found = linked(within(placed), "1")
+    if not placed.where("block > 0").isEmpty():  # gatherings of several blocks: these meet where the first links leave anything open
+        found = found.unionByName(linked(between(placed, components(found, scratch, "first"), percent), "2"))
     reached = components(found, scratch)
     ids = classes.join(reached, "node", "left").withColumn("component", F.coalesce("component", "node"))
     least = ids.groupBy("component").agg(F.min(F.struct("least_id", "node")).alias("first"))

@@ -188,6 +188,32 @@ def test_links_in_block_against_all_pairs():
     assert got == roots
 
 
+def test_a_family_of_near_copies_in_many_blocks(spark, monkeypatch):
+    """Blocks that are one component do not meet; outliers that link to one member only are found."""
+    monkeypatch.setattr(jaccard, "BLOCK", 1 << 13)
+    base, rng = words(1, 200).split(), np.random.default_rng(2)
+    texts = []
+    for k in range(600):
+        w = list(base)
+        w[int(rng.integers(200))] = f"a{k}"
+        texts.append(" ".join(w + [f"b{k}"] * int(rng.integers(0, 3))))
+    for k in range(0, 40):  # at the edge: linked with few or none of the others
+        w = texts[k].split()
+        for at in (3, 50, 110):
+            w[at] = f"c{k}_{at}"
+        texts.append(" ".join(w))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    sent = []
+    real = jaccard.between
+    monkeypatch.setattr(jaccard, "between", lambda *a: (lambda out: sent.append(out.count()) or out)(real(*a)))
+    sets = [shingles(t) for t in texts]
+    want = brute_components(sets, lambda a, b: 100 * len(a & b) >= 80 * len(a | b))
+    got = {r["doc_id"]: r["component_id"] for r in jaccard.join(docs).collect()}
+    assert [got[i] for i in range(len(texts))] == want
+    placed = len(texts) * 512 // (1 << 13)
+    assert placed > 20 and sent and sent[0] < len(texts) * placed / 4
+
+
 @pytest.mark.parametrize("left", [None, 40])
 def test_answers_derived_from_a_similar_set(left):
     """Sets that differ little from one another but link only in part: most answers come from another set's, all are right."""
