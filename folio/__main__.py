@@ -173,17 +173,18 @@ def upload(args) -> int:
     docs = files.scan(spark, args.source, "upload").select("path", "content").withColumn("doc_id", F.col("path"))
     root, policy, prefix = args.store, args.conflict or s.conflict_policy, args.prefix or s.path_prefix
     url = lambda key: public_url(key, F.lit(s.bucket), F.lit(s.endpoint), F.lit(s.region), F.lit(s.custom_domain), F.lit(s.account_id))
-    cache = stores.read_cache(spark, f"{root}.cache") if Path(f"{root}.cache").exists() else spark.createDataFrame([], stores.CACHE)
-    up = run(docs, files.manifest(spark, args.source), cache, stores.LocalStore(root).listing(spark), url, lambda: stores.LocalStore(root), policy, prefix, args.dry_run, args.force)
+    if root == "configured":
+        store = stores.ArrowStore.of(s)
+    else:
+        store = stores.ArrowStore(root) if "://" in root else stores.LocalStore(root)
+    kept = str(Path(s.cache_dir or "~/.cache/folio").expanduser() / "upload-cache.json") if isinstance(store, stores.ArrowStore) else f"{root}.cache"
+    cache = stores.read_cache(spark, kept)
+    up = run(docs, files.manifest(spark, args.source), cache, store.listing(spark), url, lambda: store, policy, prefix, args.dry_run, args.force)
     print(json.dumps(up.statistics.first().asDict()))
     if not args.dry_run:
         changed = up.documents.join(docs.select("doc_id", F.col("content").alias("old")), "doc_id").where("content <> old")
         files.write_texts(changed.select(F.concat("path", F.lit(".uploaded")).alias("target"), F.col("content").alias("output"))).collect()
-        stores.write_cache(up.cache, f"{root}.cache.new")
-        old = Path(f"{root}.cache")
-        if old.exists():
-            old.rename(f"{root}.cache.old-{len(list(old.parent.glob(old.name + '.old-*')))}")
-        Path(f"{root}.cache.new").rename(old)
+        stores.save_cache(up.cache, kept)
     return 0
 
 
@@ -254,7 +255,7 @@ def parser() -> argparse.ArgumentParser:
     c.add_argument("--image-dir")
     c = command(upload, "put local images into a store")
     c.add_argument("source")
-    c.add_argument("--store", required=True, help="folder of the object store")
+    c.add_argument("--store", required=True, help="folder of the object store, an address (s3://...), or \"configured\" for the active storage")
     c.add_argument("--storage", default="")
     c.add_argument("--prefix", default="")
     c.add_argument("--conflict", choices=["rename", "version", "overwrite"])

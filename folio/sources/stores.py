@@ -1,4 +1,4 @@
-"""The upload cache and a local object store."""
+"""The upload cache and object stores: a local folder, and any that Arrow's file systems reach."""
 
 from __future__ import annotations
 
@@ -14,20 +14,46 @@ CACHE = "local_path string, remote_path string, url string, hash string, upload_
 
 
 def read_cache(spark: SparkSession, path: str) -> DataFrame:
-    """The cache at ``path``, empty if it is missing or corrupt."""
+    """The cache at ``path``, empty if it is missing or corrupt.
+
+    A file is one JSON document, ``{"items": {local path: {...}}, "version": "1.0"}``, which is also made where nothing is there; a folder holds JSON lines, as
+    a stream of uploads leaves them.
+    """
+    at = Path(path)
+    if at.is_dir() or "://" in path:
+        try:
+            raw = spark.read.schema(CACHE).option("mode", "FAILFAST").json(path)
+            raw.write.format("noop").mode("overwrite").save()
+        except Exception:  # whatever is wrong with the files, uploads go on without them
+            return spark.createDataFrame([], CACHE)
+        return raw.where("local_path IS NOT NULL")
+    if not at.exists():
+        save_cache(spark.createDataFrame([], CACHE), path)
     try:
-        raw = spark.read.schema(CACHE).option("mode", "FAILFAST").json(path)
-        raw.write.format("noop").mode("overwrite").save()
-    except Exception:  # whatever is wrong with the file, uploads go on without it
+        items = json.loads(at.read_text(encoding="utf-8"))["items"]
+        lines = [json.dumps({**v, "local_path": k}) for k, v in items.items()]
+    except (ValueError, KeyError, TypeError, AttributeError, OSError):
         return spark.createDataFrame([], CACHE)
-    return raw.where("local_path IS NOT NULL")
+    text = spark.createDataFrame([(x,) for x in lines], "value string") if lines else spark.createDataFrame([], "value string")
+    return text.select(F.from_json("value", CACHE).alias("c")).select("c.*").where("local_path IS NOT NULL")
 
 
 def write_cache(cache: DataFrame, path: str) -> None:
-    """Write to a path other than the one it was read from."""
+    """As JSON lines, to a path other than the one it was read from."""
     cache.write.mode("overwrite").json(path)
 
 
+def save_cache(cache: DataFrame, path: str) -> None:
+    """As one indented JSON document, which the driver holds: the cache of a folder on one machine."""
+    rows = cache.select("local_path", "remote_path", "url", "hash", F.date_format("upload_time", "yyyy-MM-dd'T'HH:mm:ss.SSSXXX").alias("upload_time")).orderBy("local_path").toLocalIterator()
+    items = {r["local_path"]: r.asDict() for r in rows}
+    at = Path(path)
+    at.parent.mkdir(parents=True, exist_ok=True)
+    tmp = at.with_name(f"{at.name}.new")
+    tmp.write_text(json.dumps({"items": items, "version": "1.0"}, indent=2, ensure_ascii=False), encoding="utf-8")
+    tmp.replace(at)
+
+
 @dataclass
 class LocalStore:
     """Objects as files below a folder, metadata in a file beside each."""
@@ -60,3 +86,87 @@ class LocalStore:
         meta = {str(p.relative_to(self.root)): self.metadata(str(p.relative_to(self.root))).get("Hash") for p in files}
         hashes = spark.createDataFrame([(k, v) for k, v in meta.items()], "key string, hash string")
         return read.select(key.alias("key"), F.concat(F.lit('"'), F.md5("content"), F.lit('"')).alias("etag")).join(hashes, "key", "left").select("key", "hash", "etag")
+
+
+@dataclass
+class ArrowStore:
+    """Objects below ``root`` of an Arrow file system, by its address (``s3://bucket/prefix``, ``gs://``, ``hdfs://``, ``file:///``).
+
+    Credentials, region and endpoint are those of the address's options or of the environment.  What an object says about itself is kept beside it in
+    ``<key>.meta``, so that every file system can hold it; stores with metadata of their own get it too.
+    """
+
+    root: str
+
+    @classmethod
+    def of(cls, storage, bucket: str = "") -> ArrowStore:
+        """The bucket of configured storage, by its keys, region, endpoint and prefix."""
+        from urllib.parse import quote, urlencode
+
+        scheme, _, host = storage.endpoint.rpartition("://")
+        options = {k: v for k, v in (("region", "" if storage.region == "auto" else storage.region), ("scheme", scheme), ("endpoint_override", host)) if v}
+        keys = f"{quote(storage.access_key, safe='')}:{quote(storage.secret_key, safe='')}@" if storage.access_key else ""
+        path = "/".join(x.strip("/") for x in (bucket or storage.bucket, storage.path_prefix) if x.strip("/"))
+        return cls(f"s3://{keys}{path}" + (f"?{urlencode(options)}" if options else ""))
+
+    def _open(self):
+        from pyarrow import fs
+
+        return fs.FileSystem.from_uri(self.root)
+
+    def _at(self, key: str):
+        store, root = self._open()
+        return store, f"{root.rstrip('/')}/{key}"
+
+    def _write(self, key: str, chunks, metadata: dict[str, str]) -> None:
+        store, at = self._at(key)
+        store.create_dir(at.rpartition("/")[0], recursive=True)
+        try:
+            out = store.open_output_stream(at, metadata=metadata)
+        except NotImplementedError:  # a file system without metadata
+            out = store.open_output_stream(at)
+        with out:
+            for c in chunks:
+                out.write(c)
+
+    def put(self, key: str, path: str, content_type: str, metadata: dict[str, str]) -> None:
+        own = {"Content-Type": content_type, **metadata}
+        with open(path, "rb") as f:
+            self._write(key, iter(lambda: f.read(1 << 20), b""), own)
+        self.set_metadata(key, own)
+
+    def exists(self, key: str) -> bool:
+        store, at = self._at(key)
+        return store.get_file_info(at).type.name == "File"
+
+    def metadata(self, key: str) -> dict[str, str]:
+        """Empty if the object is not there or says nothing."""
+        store, at = self._at(f"{key}.meta")
+        try:
+            with store.open_input_stream(at) as f:
+                return json.loads(f.read().decode())
+        except FileNotFoundError:
+            return {}
+
+    def set_metadata(self, key: str, metadata: dict[str, str]) -> None:
+        self._write(f"{key}.meta", [json.dumps(metadata).encode()], {})
+
+    def same(self, key: str, digest: str) -> bool:
+        """Whether the object has the digest, by what it says; an object that is not there has none."""
+        return self.exists(key) and self.metadata(key).get("Hash") == digest
+
+    def listing(self, spark: SparkSession) -> DataFrame:
+        """``key, hash, etag`` of all objects; hashes are read on the executors."""
+        from pyarrow import fs
+
+        store, root = self._open()
+        root = root.rstrip("/")
+        found = store.get_file_info(fs.FileSelector(root, allow_not_found=True, recursive=True))
+        keys = [(i.path[len(root) + 1 :],) for i in found if i.type.name == "File" and not i.path.endswith(".meta")]
+        rows = spark.createDataFrame(keys, "key string") if keys else spark.createDataFrame([], "key string")
+
+        def run(batches):
+            for pdf in batches:
+                yield pdf.assign(hash=[self.metadata(k).get("Hash") for k in pdf["key"]], etag=None)
+
+        return rows.mapInPandas(run, "key string, hash string, etag string")
