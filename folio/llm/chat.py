@@ -5,8 +5,9 @@
 Calls and results are hash-joined by conversation and identifier, so a long conversation is never gathered.  Order
 is topological: a result comes after its call, a call after the results it depends on.  ``after`` is the greatest turn among an event
 and all it depends on, ``level`` the longest chain below it; ordering a conversation by ``after, level, turn`` keeps
-the given order wherever the links allow it.  Levels are resolved in rounds, one for each step of the longest chain; what a round
-cannot resolve is on a cycle or behind one.
+the given order wherever the links allow it.  A call with a single need is a pointer, and pointers are doubled, so a chain takes as many rounds as
+its length has binary digits; calls with several needs are resolved in rounds, one for each of them on the longest path.  What is not
+resolved is on a cycle or behind one.
 
 Arguments are parsed as JSON and held against the tool's schema.  ``json`` is canonical: keys sorted at every depth, no white space.
 
@@ -24,7 +25,7 @@ from __future__ import annotations
 import json
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from folio.llm.scratch import Scratch
@@ -133,20 +134,47 @@ def link_tool_calls(events: DataFrame, schemas: dict, scratch: Scratch | None =
 
 def _levels(calls: DataFrame, answers: DataFrame, scratch: Scratch) -> DataFrame:
     """``conv, call_id, c_after, c_level`` of calls that are on no cycle and behind none."""
+    key = ["conv", "call_id"]
     known = calls.select("conv", F.col("call_id").alias("need"))
-    needs = calls.select("conv", "call_id", F.explode(F.array_distinct(F.coalesce("depends", F.array().cast("array<string>")))).alias("need")).join(known, ["conv", "need"], "left_semi")
-    needs = scratch.keep(needs, "needs")
-    own = calls.select("conv", "call_id", "turn")
-    done = [scratch.keep(own.join(needs, ["conv", "call_id"], "left_anti").select("conv", "call_id", F.col("turn").alias("c_after"), F.lit(0).cast("long").alias("c_level")), "level0")]
-    waiting, turn = needs, 0
+    needs = calls.select(*key, F.explode(F.array_distinct(F.coalesce("depends", F.array().cast("array<string>")))).alias("need")).join(known, ["conv", "need"], "left_semi")
+    own = calls.join(answers, key, "left").select(*key, "turn", F.greatest("turn", "last_result").alias("seen"))
+    # an edge leads to a need in so many steps; ``seen`` is the greatest turn of the calls and results passed, that of the need included
+    edges = needs.join(own.select("conv", F.col("call_id").alias("need"), "seen"), ["conv", "need"]).withColumn("steps", F.lit(1).cast("long"))
+    edges = scratch.keep(edges.withColumn("k", F.count(F.lit(1)).over(Window.partitionBy(*key))), "edges")
+    hops = scratch.keep(edges.where("k = 1").drop("k"), "hops0")
+    singles = hops.select("conv", F.col("call_id").alias("need"))
+    # a call with one need is a pointer; pointers are doubled until they lead to calls with none or several, those on a cycle never do
+    for turn in range(1, max(1, hops.count()).bit_length() + 1):
+        if hops.join(singles, ["conv", "need"], "left_semi").isEmpty():
+            break
+        hops = scratch.keep(_through(hops, hops), f"hops{turn}")
+    ended = hops.join(singles, ["conv", "need"], "left_anti")
+    waiting = scratch.keep(_through(edges.where("k > 1").drop("k"), ended), "waiting0")
+    done = [scratch.keep(own.join(needs, key, "left_anti").select(*key, F.col("turn").alias("c_after"), F.lit(0).cast("long").alias("c_level")), "level0")]
+    all_met, turn = None, 0
+
+    def met_by(edges: DataFrame, resolved: DataFrame) -> DataFrame:
+        ends = resolved.select("conv", F.col("call_id").alias("need"), F.col("c_after").alias("need_after"), F.col("c_level").alias("need_level"))
+        return edges.join(ends, ["conv", "need"]).select(*key, "need", F.greatest("seen", "need_after").alias("need_after"), (F.col("need_level") + 2 * F.col("steps")).alias("need_level"))
+
+    def resolved_by(met: DataFrame) -> DataFrame:
+        sums = met.groupBy(*key).agg(F.max("need_after").alias("need_after"), F.max("need_level").alias("c_level"))
+        return sums.join(own, key).select(*key, F.greatest("turn", "need_after").alias("c_after"), "c_level")
+
     while not done[-1].isEmpty() and not waiting.isEmpty():
         # what the last round resolved is taken off the needs; a call is resolved when its last need goes
         turn += 1
-        ends = done[-1].join(answers, ["conv", "call_id"], "left").select("conv", F.col("call_id").alias("need"), F.greatest("c_after", "last_result").alias("need_after"), (F.col("c_level") + 2).alias("need_level"))
-        met = scratch.keep(waiting.join(ends, ["conv", "need"]), f"met{turn}")
-        waiting = scratch.keep(waiting.join(ends, ["conv", "need"], "left_anti"), f"waiting{turn}")
-        all_met = met if turn == 1 else all_met.unionByName(met)  # noqa: F821
-        ready = met.select("conv", "call_id").distinct().join(waiting, ["conv", "call_id"], "left_anti")
-        sums = all_met.join(ready, ["conv", "call_id"], "left_semi").groupBy("conv", "call_id").agg(F.max("need_after").alias("need_after"), F.max("need_level").alias("c_level"))
-        done.append(scratch.keep(sums.join(own, ["conv", "call_id"]).select("conv", "call_id", F.greatest("turn", "need_after").alias("c_after"), "c_level"), f"level{turn}"))
-    return reduce(DataFrame.unionByName, done)
+        met = scratch.keep(met_by(waiting, done[-1]), f"met{turn}")
+        waiting = scratch.keep(waiting.join(done[-1].select("conv", F.col("call_id").alias("need")), ["conv", "need"], "left_anti"), f"waiting{turn}")
+        all_met = met if all_met is None else all_met.unionByName(met)
+        ready = met.select(*key).distinct().join(waiting, key, "left_anti")
+        done.append(scratch.keep(resolved_by(all_met.join(ready, key, "left_semi")), f"level{turn}"))
+    out = reduce(DataFrame.unionByName, done)
+    return out.unionByName(resolved_by(met_by(ended, out)))
+
+
+def _through(edges: DataFrame, hops: DataFrame) -> DataFrame:
+    """``edges`` led on by ``hops`` where these begin at their need."""
+    more = hops.select("conv", F.col("call_id").alias("need"), F.col("need").alias("next"), F.col("seen").alias("more_seen"), F.col("steps").alias("more_steps"))
+    led = edges.join(more, ["conv", "need"], "left")
+    return led.select("conv", "call_id", F.coalesce("next", "need").alias("need"), F.greatest("seen", "more_seen").alias("seen"), (F.col("steps") + F.coalesce("more_steps", F.lit(0))).alias("steps"))

@@ -67,9 +67,12 @@ def frequent_shingles(docs: DataFrame, width: int) -> tuple[np.ndarray, np.ndarr
         held, total = [], 0
 
         def report():
-            got, n = np.unique(np.concatenate(held), return_counts=True)
+            every = np.concatenate(held)
             held.clear()
-            got, n = got[n >= IN_STRETCH], n[n >= IN_STRETCH]
+            every.sort()  # in place: one stretch is the most that a task holds
+            first = np.flatnonzero(np.concatenate([[True], every[1:] != every[:-1]]))
+            n = np.diff(np.append(first, len(every)))
+            got, n = every[first[n >= IN_STRETCH]], n[n >= IN_STRETCH]
             return pa.RecordBatch.from_arrays([pa.array(got.view(np.int64)), pa.array(n.astype(np.int64))], names=["h", "n"])
 
         for batch in batches:

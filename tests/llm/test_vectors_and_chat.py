@@ -146,6 +146,40 @@ def test_validation(spark, tool, arguments, problems):
     assert (row["problems"], row["valid"]) == (problems, problems == "")
 
 
+@pytest.mark.parametrize("seed", range(2))
+def test_levels_of_chains_trees_and_cycles(spark, seed):
+    """A chain of 100 calls, a random graph with cycles, and results that come late, against the definition."""
+    rng = np.random.default_rng(seed)
+    needs = {f"c{k}": [f"c{k - 1}"] if k else [] for k in range(100)}
+    needs |= {f"r{k}": [f"r{j}" for j in rng.choice(40, rng.integers(0, 3), replace=False) if rng.random() < 0.15 or j < k] for k in range(40)}
+    needs |= {"r0": ["c99"], "top": ["r5", "c50", "gone"], "self": ["self"], "behind": ["self", "c3"], "tail": ["behind"]}
+    names = list(needs)
+    turn = {n: int(t) for n, t in zip(names, rng.permutation(len(names)), strict=True)}
+    late = {n: 1000 + k for k, n in enumerate(names) if rng.random() < 0.3}
+    rows = [(7, turn[n], "call", "assistant", None, n, "lookup", "{}", needs[n]) for n in names] + [(7, t, "result", "tool", "r", n, None, None, None) for n, t in late.items()]
+
+    def walk(n, path=()):
+        """Greatest turn and longest chain below, None on or behind a cycle."""
+        if n in path:
+            return None
+        after, level = turn[n], 0
+        for d in needs[n]:
+            if d in needs:
+                below = walk(d, (*path, n))
+                if below is None:
+                    return None
+                after, level = max(after, below[0], late.get(d, -1)), max(level, below[1] + 2)
+        return after, level
+
+    got = {r["call_id"]: r for r in chat.link_tool_calls(events(spark, *rows), TOOLS).where("kind = 'call'").collect()}
+    import sys
+
+    sys.setrecursionlimit(10_000)
+    for n in names:
+        want = walk(n)
+        assert ((got[n]["after"], got[n]["level"]) if got[n]["link"] != "cyclic" else None) == want, n
+
+
 DEEP = {
     "t": {
         "properties": {
