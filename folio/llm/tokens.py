@@ -19,10 +19,13 @@ import numpy as np
 #: Entries of the piece table of one worker process, and characters beyond which a piece is not kept (a text without white space is one piece); some 130 MB
 #: for words of ordinary length, 300 MB if all were as long as may be.
 PIECES, LONG = 600_000, 64
+#: Characters of the texts whose pieces are held at once.
+GROUP = 1 << 20
 #: ASCII without the apostrophe, and the letters of Latin-1, which need no normalisation but lower case.
 _PLAIN = re.compile(r"[\t-\r -&(-~À-ÖØ-öø-ÿ]*")
 #: Unicode white space, which such a tokenizer drops.
 _WHITE = re.compile("[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+")
+_LETTERS = re.compile("[a-zß-öø-ÿ]+")
 _PIECE = re.compile(r"[a-zß-öø-ÿ]+|[^\sa-zß-öø-ÿ]+")
 
 
@@ -50,33 +53,52 @@ class Encoder:
     def _library(self, texts: list[str]) -> list[bytes]:
         return [np.asarray(e.ids, dtype="<u4").tobytes() for e in self._lib.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _known(self, pieces: list[str]) -> bytes:
+    def _words(self, words: list[str]) -> list[bytes]:
+        """Ids of words of letters only, taken through the library as one text: cheaper than a call for each."""
+        out = []
+        for lo in range(0, len(words), 500):
+            part = words[lo : lo + 500]
+            got = self._lib.encode_batch([" ".join(part)], add_special_tokens=False)[0]
+            word = got.word_ids
+            if not word or None in word or word[-1] != len(part) - 1:  # it cut words otherwise than at the blanks
+                out += self._library(part)
+                continue
+            raw = np.asarray(got.ids, dtype="<u4").tobytes()
+            ends = (4 * np.searchsorted(word, np.arange(1, len(part) + 1))).tolist()
+            out += [raw[a:b] for a, b in zip([0, *ends], ends, strict=False)]
+        return out
+
+    def _joined(self, texts: list[list[str]]) -> list[bytes]:
+        """Ids of texts from those of their pieces; pieces that are new go through the library once for all of them."""
         table = self._pieces
-        try:
-            return b"".join(map(table.__getitem__, pieces))
-        except KeyError:
-            if len(table) > PIECES:
-                table.clear()
-            missing = list({p for p in pieces if p not in table})
-            found = dict(zip(missing, self._library(missing), strict=True))
-            if max(map(len, missing)) <= LONG:
-                table.update(found)
-                return b"".join(map(table.__getitem__, pieces))
-            table.update((p, x) for p, x in found.items() if len(p) <= LONG)
-            return b"".join([found[p] if p in found else table[p] for p in pieces])
+        missing = set().union(*texts).difference(table)
+        if len(table) + len(missing) > PIECES:
+            table.clear()
+            missing = set().union(*texts)
+        words, others = [p for p in missing if _LETTERS.fullmatch(p)], [p for p in missing if not _LETTERS.fullmatch(p)]
+        table.update(zip(words, self._words(words), strict=True))
+        table.update(zip(others, self._library(others), strict=True))
+        out = [b"".join(map(table.__getitem__, pieces)) for pieces in texts]
+        for p in missing:
+            if len(p) > LONG:
+                del table[p]
+        return out
 
     def encode(self, texts) -> list[bytes]:
-        out = []
+        if self._pieces is None:
+            return [self._library([text or ""])[0] + self._end for text in texts]
+        out, held, size = [], [], 0
         for text in texts:
             text = text or ""
-            if self._pieces is None:
-                ids = self._library([text])[0]
-            elif _PLAIN.fullmatch(text) and "<|" not in text:
-                ids = self._known(_PIECE.findall(text.lower()))
+            if _PLAIN.fullmatch(text) and "<|" not in text:
+                held.append(_PIECE.findall(text.lower()))
             else:
-                ids = self._known([p for p in _WHITE.split(text) if p])
-            out.append(ids + self._end)
-        return out
+                held.append([p for p in _WHITE.split(text) if p])
+            size += len(text)
+            if size >= GROUP:
+                out += self._joined(held)
+                held, size = [], 0
+        return [ids + self._end for ids in out + self._joined(held)]
 
 
 @lru_cache(maxsize=4)
