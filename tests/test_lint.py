@@ -82,7 +82,7 @@ def test_rule_selection():
 
 def test_size_guard(md):
     fit, large = lint.size_guard(md("a", "b" * (lint.MAX_BYTES + 1), None))
-    assert [r["doc_id"] for r in fit.collect()] == [0]
+    assert [r["doc_id"] for r in fit.collect()] == [0, 2]
     assert [r["doc_id"] for r in large.collect()] == [1]
 
 
