@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
+import re
 import uuid
 
 
 def open_store(uri: str, create: bool = False):
-    """The file system and the folder of ``uri``."""
+    """The file system and the folder of ``uri``; Hadoop's names of S3 (``s3a``, ``s3n``) are Arrow's ``s3``."""
     from pyarrow import fs
 
-    store, root = fs.FileSystem.from_uri(uri)
+    store, root = fs.FileSystem.from_uri(re.sub(r"\As3[an]://", "s3://", uri))
     if create:
         store.create_dir(root, recursive=True)
     return store, root

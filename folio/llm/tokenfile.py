@@ -32,6 +32,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from folio.llm.files import open_store, put
 from folio.llm.scratch import partitions
 from folio.llm.shingles import mix
 from folio.llm.tokens import encoder, public_path
@@ -138,32 +139,18 @@ class ShardIndex:
         return out
 
 
-def _store(uri: str):
-    from pyarrow import fs
-
-    return fs.FileSystem.from_uri(uri)
-
-
-def _put(store, path: str, parts) -> None:
-    tmp = f"{path}.{uuid.uuid4().hex}"
-    with store.open_output_stream(tmp) as f:
-        for p in parts:
-            f.write(p)
-    store.move(tmp, path)
-
-
 def write_token_files(docs: DataFrame, uri: str, id_col: str = "doc_id", text_col: str = "text", tokenizer: str | None = None, end_id: int = 1, id_bytes: int = 2, shards: int | None = None) -> dict:
     """Encode all documents, write shards and their indexes under ``uri`` and return the manifest."""
     spark, path = docs.sparkSession, tokenizer or public_path()
     n = shards or max(partitions(spark), -(-docs.count() // SHARD_DOCS))
-    store, root = _store(uri)
+    store, root = open_store(uri)
     store.create_dir(root, recursive=True)
 
     def run(batches):
         import pyarrow as pa
 
         encode, shard = encoder(path, end_id).encode, TaskContext.get().partitionId()
-        own_store, own_root = _store(uri)
+        own_store, own_root = open_store(uri)
         keys, sizes, nulls, seen = [], [], 0, False
 
         def payload():
@@ -196,7 +183,7 @@ def write_token_files(docs: DataFrame, uri: str, id_col: str = "doc_id", text_co
         own_store.move(tmp, f"{name}.bin")
         key, size = np.concatenate(keys), np.concatenate(sizes)
         starts = np.concatenate([[0], np.cumsum(size)])
-        _put(own_store, f"{name}.idx", [encode_index(key, nulls, starts)])
+        put(own_store, f"{name}.idx", encode_index(key, nulls, starts))
         least = int(key[nulls]) if nulls < len(key) else None
         yield pa.RecordBatch.from_pydict({"shard": pa.array([shard], pa.int64()), "docs": pa.array([len(key)], pa.int64()), "ids": pa.array([int(starts[-1])], pa.int64()), "least": pa.array([least], pa.int64())})
 
@@ -208,7 +195,7 @@ def write_token_files(docs: DataFrame, uri: str, id_col: str = "doc_id", text_co
         entries.append({"shard": r["shard"], "docs": r["docs"], "ids": r["ids"], "least": r["least"], "before": before})
         before += r["ids"]
     manifest = {"version": 1, "id_bytes": id_bytes, "end_id": end_id, "ids": before, "shards": entries}
-    _put(store, f"{root}/manifest.json", [json.dumps(manifest).encode()])
+    put(store, f"{root}/manifest.json", json.dumps(manifest).encode())
     return manifest
 
 
@@ -216,7 +203,7 @@ class TokenFiles:
     """Keyed access to written files: ``get`` returns the ids of a document, or None."""
 
     def __init__(self, uri: str):
-        self.store, self.root = _store(uri)
+        self.store, self.root = open_store(uri)
         with self.store.open_input_stream(f"{self.root}/manifest.json") as f:
             self.manifest = json.loads(f.read())
         self.shards = [s for s in self.manifest["shards"] if s["least"] is not None]
@@ -252,7 +239,7 @@ def read_token_files(spark: SparkSession, uri: str, block: int = 2_000) -> DataF
     A document with a key is read where the hash index of its shard says that the documents of its key begin, and it is an error if
     that is not so; ``found`` tells that it has a key.
     """
-    store, root = _store(uri)
+    store, root = open_store(uri)
     with store.open_input_stream(f"{root}/manifest.json") as f:
         manifest = json.loads(f.read())
     shards, width = [(s["shard"], s["before"]) for s in manifest["shards"]], manifest["id_bytes"]
@@ -260,7 +247,7 @@ def read_token_files(spark: SparkSession, uri: str, block: int = 2_000) -> DataF
     def run(batches):
         import pyarrow as pa
 
-        own_store, own_root = _store(uri)
+        own_store, own_root = open_store(uri)
         for batch in batches:
             for i in batch.column(0).to_pylist():
                 shard, before = shards[i]
