@@ -8,7 +8,7 @@ within the budget in a block is a candidate; a pair belongs to the first block i
 link if the cosine of the two vectors as given, in double precision, reaches the threshold.
 
 Equal vectors are one, with a weight.  A cell of more than ``chunk`` vectors is dealt into chunks which meet in pairs, so a task
-holds two chunks at most.  Tasks return, per vector, the weight it is linked to, and only those links that join components;
+holds two chunks at most, and never their links, which are added up a tile at a time.  Tasks return, per vector, the weight it is linked to, and only those links that join components;
 pairs are never rows.
 
 Defined cases: vectors that are null, empty, zero, or hold null or non-finite components link with nothing and are kept; so do
@@ -23,7 +23,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from folio.llm.components import Forest, components
+from folio.llm.components import components
 from folio.llm.scratch import Scratch, partitions
 
 NO_ID = (1 << 63) - 1
@@ -78,7 +78,7 @@ def cells(vectors: DataFrame, block_dims: int, threshold: float) -> DataFrame:
 
 
 def links_of(x: np.ndarray, block: int, block_dims: int, threshold: float, role: np.ndarray):
-    """Linked index pairs ``(a, b)`` that belong to ``block``; roles 0 (home) meet home and guests (1), guests not each other."""
+    """Linked index pairs that belong to ``block``, in batches ``(a, b)``; roles 0 (home) meet home and guests (1), guests not each other."""
     dim = x.shape[1]
     u = unit(x)
     z = u @ rotation(dim)
@@ -88,7 +88,6 @@ def links_of(x: np.ndarray, block: int, block_dims: int, threshold: float, role:
     u, z, own, role = u[order], z[order], own[order], role[order]
     first, r = own[:, 0], np.sqrt(limit[block])
     norms = (own * own).sum(axis=1)
-    out_a, out_b = [], []
     for lo in range(0, len(u), TILE):
         hi = min(lo + TILE, len(u))
         end = int(np.searchsorted(first, first[hi - 1] + r, side="right"))  # beyond it the first coordinate alone is too far
@@ -108,10 +107,20 @@ def links_of(x: np.ndarray, block: int, block_dims: int, threshold: float, role:
                 mine &= d[:, parts[block]].sum(axis=1) <= limit[block]
                 p, q = p[mine], q[mine]
                 hit = (u[p] * u[q]).sum(axis=1) >= threshold
-                out_a.append(order[p[hit]])
-                out_b.append(order[q[hit]])
-    empty = np.empty(0, np.int64)
-    return np.concatenate(out_a or [empty]), np.concatenate(out_b or [empty])
+                if hit.any():
+                    yield order[p[hit]], order[q[hit]]
+
+
+def hook(root: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """``root`` (of each index the least of its component) after the links ``a, b``."""
+    while True:
+        high, low = np.maximum(root[a], root[b]), np.minimum(root[a], root[b])
+        apart = high != low
+        if not apart.any():
+            return root
+        np.minimum.at(root, high[apart], low[apart])
+        while not (root[root] == root).all():
+            root = root[root]
 
 
 FOUND = "node long, linked long, other long"
@@ -130,27 +139,19 @@ def join_cells(dealt: DataFrame, block_dims: int, threshold: float, parts: int)
             if len(node) < 2 or key is None:
                 return None
             x, w, r, ids = unpack(raw, key[0]), np.array(weight, np.int64), np.array(role, np.int8), np.array(node, np.int64)
-            a, b = links_of(x, key[1], block_dims, threshold, r)
-            if key[3] != key[4]:  # two chunks: what is inside one of them belongs to its own group
-                apart = (r[a] >= 2) != (r[b] >= 2)
-                a, b = a[apart], b[apart]
-            if not len(a):
-                return None
-            n = np.bincount(a, w[b], len(ids)) + np.bincount(b, w[a], len(ids))
-            forest = Forest(len(ids))
-            root = np.arange(len(ids))
-            while True:  # least labels spread over links, then along themselves
-                new = root.copy()
-                np.minimum.at(new, a, root[b])
-                np.minimum.at(new, b, root[a])
-                forest.up = new
-                new = forest.roots()
-                if (new == root).all():
-                    break
-                root = new
+            n, root = np.zeros(len(ids), np.int64), np.arange(len(ids))
+            for a, b in links_of(x, key[1], block_dims, threshold, r):  # links are many where vectors are dense, so each batch is added up at once
+                if key[3] != key[4]:  # two chunks: what is inside one of them belongs to its own group
+                    apart = (r[a] >= 2) != (r[b] >= 2)
+                    a, b = a[apart], b[apart]
+                np.add.at(n, a, w[b])
+                np.add.at(n, b, w[a])
+                root = hook(root, a, b)
             some = np.flatnonzero(n)
+            if not len(some):
+                return None
             other = pa.array(ids[root[some]], mask=root[some] == some)
-            return pa.RecordBatch.from_arrays([pa.array(ids[some]), pa.array(n[some].astype(np.int64)), other], names=["node", "linked", "other"])
+            return pa.RecordBatch.from_arrays([pa.array(ids[some]), pa.array(n[some]), other], names=["node", "linked", "other"])
 
         for batch in batches:
             columns = [batch.column(i).to_pylist() for i in range(batch.num_columns)]

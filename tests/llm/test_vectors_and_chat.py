@@ -88,6 +88,27 @@ def test_budget_covers_the_threshold():
     assert any((z[s] ** 2).sum() <= m for s, m in zip(vectors.splits(16, 5), vectors.budgets(16, 5, c), strict=True))
 
 
+def test_links_of_a_dense_cell_come_in_batches():
+    rng = np.random.default_rng(2)
+    x = rng.standard_normal(16) + rng.standard_normal((1500, 16)) * 1e-3
+    batches = [(len(a), len(b)) for k in range(2) for a, b in vectors.links_of(x, k, 8, 0.95, np.zeros(1500, np.int8))]
+    assert sum(n for n, _ in batches) == 1500 * 1499 // 2
+    assert max(n for n, _ in batches) <= 1 << 16
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_hooking_batches_of_links(seed):
+    rng = np.random.default_rng(seed)
+    links, root = rng.integers(0, 300, (220, 2)), np.arange(300)
+    for part in np.array_split(links, 7):
+        root = vectors.hook(root, part[:, 0], part[:, 1])
+    least = list(range(300))
+    for _ in range(300):
+        for a, b in links:
+            least[a] = least[b] = min(least[a], least[b])
+    assert root.tolist() == least
+
+
 # -- chat -------------------------------------------------------------------------------------------------------------------------
 EVENTS = "conv_id long, turn long, kind string, role string, content string, call_id string, tool string, arguments string, depends array<string>, level string"
 
