@@ -149,6 +149,25 @@ SELECT conv_id, turn, kind, call_id,
             WHEN 'result' THEN {'content': text, 'role': 'tool', 'tool_call_id': call_id}::JSON::VARCHAR
             ELSE {'content': text, 'role': r}::JSON::VARCHAR END AS json
 FROM j""",
+    "op3_jaccard_join": r"""
+WITH RECURSIVE d AS (SELECT row_number() OVER () AS node, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+w AS (SELECT node, len(ws) AS n, unnest(ws) AS word, generate_subscripts(ws, 1) AS pos FROM d),
+f AS (SELECT node, n, pos, word || ' ' || lead(word, 1) OVER o || ' ' || lead(word, 2) OVER o || ' ' || lead(word, 3) OVER o || ' ' || lead(word, 4) OVER o AS five FROM w WINDOW o AS (PARTITION BY node ORDER BY pos)),
+s AS (SELECT DISTINCT node, five AS shingle FROM f WHERE n >= 5 AND pos <= n - 4 UNION ALL SELECT node, array_to_string(ws, ' ') FROM d WHERE len(ws) BETWEEN 1 AND 4),
+c AS (SELECT node, count(*) AS size FROM s GROUP BY node),
+p AS (SELECT x.node AS a, y.node AS b, count(*) AS common FROM s x JOIN s y ON x.shingle = y.shingle AND x.node <> y.node GROUP BY x.node, y.node),
+l AS (SELECT a, b FROM p JOIN c ca ON ca.node = a JOIN c cb ON cb.node = b WHERE 100 * common >= 80 * (ca.size + cb.size - common)),
+r AS (SELECT node, node AS other FROM d UNION SELECT r.node, l.b FROM r JOIN l ON l.a = r.other),
+m AS (SELECT r.node, min(o.doc_id) AS component_id FROM r JOIN d o ON o.node = r.other GROUP BY r.node)
+SELECT doc_id, coalesce(size, 0)::BIGINT AS n_shingles, component_id FROM d JOIN m USING (node) LEFT JOIN c USING (node)""",
+    "op6_vector_near_dedup": r"""
+WITH RECURSIVE d AS (SELECT row_number() OVER () AS node, vec_id, embedding::DOUBLE[] AS v FROM embeddings),
+u AS (SELECT node, len(v) AS n, v FROM d WHERE coalesce(len(v), 0) > 0 AND len(list_filter(v, lambda c: c IS NULL OR NOT isfinite(c))) = 0 AND len(list_filter(v, lambda c: c <> 0)) > 0),
+l AS (SELECT x.node AS a, y.node AS b FROM u x JOIN u y ON x.n = y.n AND x.node <> y.node WHERE list_cosine_similarity(x.v, y.v) >= 0.95),
+r AS (SELECT node, node AS other FROM d UNION SELECT r.node, l.b FROM r JOIN l ON l.a = r.other),
+m AS (SELECT r.node, min(o.vec_id) AS component_id FROM r JOIN d o ON o.node = r.other GROUP BY r.node),
+k AS (SELECT a AS node, count(*) AS links FROM l GROUP BY a)
+SELECT vec_id, coalesce(links, 0)::BIGINT AS n_links, component_id, vec_id IS NOT DISTINCT FROM component_id AS kept FROM d JOIN m USING (node) LEFT JOIN k USING (node)""",
     "op8_exact_dedup": r"""
 WITH d AS (SELECT doc_id, sha256(regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g')) AS h FROM documents),
 g AS (SELECT h, min(doc_id) AS keep_id, count(*) AS group_size FROM d GROUP BY h)
