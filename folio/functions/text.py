@@ -45,6 +45,12 @@ def squeeze(c: Column) -> Column:
     return F.regexp_replace(trim(c), f"[{WS}]+", " ")
 
 
+def preview(c: Column, n: int) -> Column:
+    """Trimmed; beyond ``n`` bytes the first ``n`` and three dots, a character that is cut through as U+FFFD."""
+    cut = F.make_valid_utf8(F.substring(F.encode(trim(c), "UTF-8"), 1, n).cast("string"))
+    return F.when(F.octet_length(trim(c)) <= n, trim(c)).otherwise(F.concat(cut, F.lit("...")))
+
+
 def at(a: Column, i) -> Column:
     """Element ``i`` from 0, null outside."""
     return F.get(a, F.lit(i) if isinstance(i, int) else i)

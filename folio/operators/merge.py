@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from folio.functions.text import WS, at, base_name, file_dir, join_lines, let, lines, title_case
+from folio.functions.text import WS, at, base_name, file_dir, join_lines, let, lines, replace_first, title_case
 
 FRONT_MATTER = rf"(?s)\A---[{WS}]*\n(.*?)\n---[{WS}]*\n"
 ATX = rf"(?d)\A(#{{1,6}})[{WS}]+(.+)\z"
@@ -16,6 +16,13 @@ def strip_front_matter(text: Column) -> Column:
     return F.regexp_replace(text, FRONT_MATTER, "")
 
 
+def repair_front_matter(text: Column) -> Column:
+    """Front matter with lists, none of which has a space after its hyphens, gets those spaces; any other is removed."""
+    yaml = F.regexp_extract(text, FRONT_MATTER, 1)
+    tight = F.contains(yaml, F.lit("\n-")) & ~F.contains(yaml, F.lit("\n- "))
+    return F.when(tight, replace_first(text, yaml, F.replace(yaml, F.lit("\n-"), F.lit("\n- ")))).otherwise(strip_front_matter(text))
+
+
 def _scanned(text: Column) -> Column:
     """Lines without their ends (``\\n`` or ``\\r\\n``); a final line end does not begin another line."""
     ls = lines(text)

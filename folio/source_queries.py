@@ -6,6 +6,8 @@ against functions whose answers SQL can state.
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -183,6 +185,20 @@ for _name, _options, _more in (
 ):
     _stated(f"converter_arguments_{_name}", "pos long, argument string", list(enumerate(_BASE + _more)), lambda o=_options: _arguments(**o))
 
+# -- previews and front matter -----------------------------------------------------------------------------------------------------
+on_md(
+    "text_preview",
+    MD + f""", t AS (SELECT doc_id, trim(content, {WS}) AS t FROM md), c AS (SELECT *, list_max(list_filter(range(0, 51), lambda i: strlen(left(t, i::BIGINT)) <= 50)) AS k FROM t)
+SELECT doc_id, CASE WHEN strlen(t) <= 50 THEN t ELSE left(t, k::BIGINT) || CASE WHEN strlen(left(t, k::BIGINT)) < 50 THEN chr(65533) ELSE '' END || '...' END AS preview FROM c""",
+    lambda d: d.select("doc_id", tx.preview(F.col("content"), 50).alias("preview")),
+)
+_TAGS = "'---' || " + NL + " || 'tags:' || " + NL + " || '{0}a' || " + NL + " || '{0}b' || " + NL + " || '---' || " + NL + " || content"
+on_md(
+    "frontmatter_repair",
+    MD + f" SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN {_TAGS.format('- ')} WHEN 1 THEN content ELSE {_FM} END AS body FROM md",
+    lambda d: d.withColumn("content", F.expr("CASE doc_id % 3 WHEN 0 THEN " + _TAGS.format("-") + " WHEN 1 THEN " + _TAGS.format("- ") + " ELSE content END")).select("doc_id", merge.repair_front_matter(F.col("content")).alias("body")),
+)
+
 # -- configuration ---------------------------------------------------------------------------------------------------------------
 _CHANGES = [("API_KEY", "k1"), ("temperature", "0.5"), ("cloud_storages.one.provider", "r2"), ("cloud_storages.one.access_key", "a1"), ("cloud_storages.two.concurrency", "9"), ("cloud_storages.two.conflict_policy", "VERSION"), ("cloud_storages.two.skip_verify", "TRUE")]
 
@@ -210,6 +226,8 @@ _stated("config_list", "key string, shown string", _LIST, lambda: [(k, (lambda c
 _stated("config_storages", "name string, is_default boolean", [("one", False), ("two", True)], lambda: _configured().with_default("two").storages())
 _ACTIVE = [("two", "9"), ("", "5"), ("gone", "5")]
 _stated("config_active_storage", "name string, concurrency string", _ACTIVE, lambda: [(n, str(_configured().active_storage(n).concurrency)) for n, _ in _ACTIVE])
+_DEFAULTS = [("", "one"), ("gone", "one"), ("two", "two")]
+_stated("config_known_default", "given string, found string", _DEFAULTS, lambda: [(n, replace(_configured(), default_storage=n).with_known_default().default_storage) for n, _ in _DEFAULTS])
 _LINT_CONFIGS = [('{"MD013": {"enabled": false}, "MD009": {"enabled": true}, "default": false}', "MD009=True MD013=False"), ('{"MD013": false, "MD009": {"enabled": false}}', ""), ('{"MD013": {"enabled": "no"}}', ""), ('{"MD013": {"options": {"length": 10}}, "extends": "x"}', ""), ("[]", ""), ("{", ""), ('{"MD999": {"enabled": false}, "MD001": {"enabled": false}}', "MD001=False")]
 _stated("lint_config_quirks", "text string, rules string", _LINT_CONFIGS, lambda: [(t, " ".join(f"{k}={v}" for k, v in sorted(config.parse_lint_config(t).items()))) for t, _ in _LINT_CONFIGS])
 _stated("lint_config_default", "rule string, enabled boolean", [(r, True) for r in lint.RULES], lambda: sorted(config.parse_lint_config(config.default_lint_config()).items()))

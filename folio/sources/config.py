@@ -106,6 +106,12 @@ class Config:
             raise KeyError(f"storage not found: {name}")
         return replace(self, default_storage=name)
 
+    def with_known_default(self) -> Config:
+        """With the first storage by name as the default where that is unset or unknown."""
+        if self.default_storage in self.cloud_storages or not self.cloud_storages:
+            return self
+        return replace(self, default_storage=min(self.cloud_storages))
+
     def storages(self) -> list[tuple[str, bool]]:
         """Names in order, and whether each is the default."""
         return [(n, n == self.default_storage) for n in sorted(self.cloud_storages)]
