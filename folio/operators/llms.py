@@ -21,14 +21,23 @@ def _order() -> list[Column]:
     return [F.octet_length("url").alias("n"), F.col("seq").alias("s")]
 
 
-def section_texts(rows: DataFrame) -> DataFrame:
-    """``section, pages, text``: each section but ROOT rendered, its pages by byte length of the address, then sequence."""
+def _listed(rows: DataFrame) -> DataFrame:
+    """``section, n, s, line``: the entry of each page outside ROOT."""
     line = F.concat(F.lit("- ["), F.col("title"), F.lit("]("), F.col("url"), F.lit("): "), F.col("description"), F.lit("\n"))
     if "content" in rows.columns:
         line = F.concat(line, F.when(F.col("content") != "", F.concat(F.lit("\n"), F.col("content"), F.lit("\n"))).otherwise(F.lit("")))
-    listed = rows.where(F.col("section") != "ROOT").groupBy("section").agg(F.array_sort(F.collect_list(F.struct(*_order(), F.concat(line, F.lit("\n")).alias("line")))).alias("ls"))
+    return rows.where(F.col("section") != "ROOT").select("section", *_order(), F.concat(line, F.lit("\n")).alias("line"))
+
+
+def _heading() -> Column:
+    return F.concat(F.lit("## "), capitalise(F.col("section")), F.lit("\n\n"))
+
+
+def section_texts(rows: DataFrame) -> DataFrame:
+    """``section, pages, text``: each section but ROOT rendered, its pages by byte length of the address, then sequence."""
+    listed = _listed(rows).groupBy("section").agg(F.array_sort(F.collect_list(F.struct("n", "s", "line"))).alias("ls"))
     body = F.array_join(F.transform("ls", lambda x: x["line"]), "")
-    return listed.select("section", F.size("ls").cast("long").alias("pages"), F.concat(F.lit("## "), capitalise(F.col("section")), F.lit("\n\n"), body).alias("text"))
+    return listed.select("section", F.size("ls").cast("long").alias("pages"), F.concat(_heading(), body).alias("text"))
 
 
 def root_head(rows: DataFrame) -> DataFrame:
@@ -45,6 +54,19 @@ def render(rows: DataFrame) -> DataFrame:
     return root_head(rows).crossJoin(body).select(F.concat("head", "body").alias("report"))  # one row each
 
 
+def render_rows(rows: DataFrame) -> DataFrame:
+    """``section, n, s, text`` in order: the rows that ``render`` puts into one, for reports beyond one task; the head comes first, with a null section.
+
+    They are dealt by ranges; a section's heading is a row of its own, with null ``n`` and ``s``.
+    """
+    entries = _listed(rows)
+    first = lambda c: F.lit(None).cast(entries.schema[c].dataType).alias(c)
+    heads = entries.select("section").distinct().select("section", first("n"), first("s"), _heading().alias("text"))
+    top = root_head(rows).select(first("section"), first("n"), first("s"), F.col("head").alias("text"))
+    every = top.unionByName(heads).unionByName(entries.select("section", "n", "s", F.col("line").alias("text")).where("text IS NOT NULL"))
+    return every.orderBy(*[F.col(c).asc_nulls_first() for c in ("section", "n", "s", "text")])
+
+
 def report(pages: DataFrame, include=(), exclude=(), max_pages: int = 0, full: bool = False, seq: str = "page_id") -> DataFrame:
     """Addresses are filtered and limited before any page is parsed."""
     chosen = limit_urls(filter_urls(pages, include, exclude), max_pages, seq)

@@ -91,14 +91,27 @@ def sanitise(text: Column, times: int = 1) -> Column:
     return text
 
 
-def merge(docs: DataFrame, shift: int = 0, file_as_title: bool = False, order: str = "ord", content: str = "content", path: str = "path", sanitised: int = 1) -> DataFrame:
-    """One row ``merged``: documents by ``order``, without front matter, shifted and titled, two line feeds between, sanitised."""
+def _shares(docs: DataFrame, shift: int, file_as_title: bool, order: str, content: str, path: str, sanitised: int) -> DataFrame:
+    """``ord, text``: what each document gives to the merged one; lines are sanitised one by one, so before the merge as well as after it."""
     df = docs.withColumn(content, strip_front_matter(F.col(content)))
     df = shift_headings(df, shift, content)
     if file_as_title:
         df = add_title(df, 1 + shift, content, path)
-    one = df.agg(F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.col(content).alias("c")))).alias("ds"))
-    return one.select(sanitise(F.array_join(F.transform("ds", lambda d: d["c"]), "\n\n"), sanitised).alias("merged"))
+    return df.select(F.col(order).alias("ord"), sanitise(F.col(content), sanitised).alias("text"))
+
+
+def merge(docs: DataFrame, shift: int = 0, file_as_title: bool = False, order: str = "ord", content: str = "content", path: str = "path", sanitised: int = 1) -> DataFrame:
+    """One row ``merged``: documents by ``order``, without front matter, shifted and titled, two line feeds between, sanitised."""
+    one = _shares(docs, shift, file_as_title, order, content, path, sanitised).agg(F.array_sort(F.collect_list(F.struct("ord", "text"))).alias("ds"))
+    return one.select(F.array_join(F.transform("ds", lambda d: d["text"]), "\n\n").alias("merged"))
+
+
+def merge_rows(docs: DataFrame, shift: int = 0, file_as_title: bool = False, order: str = "ord", content: str = "content", path: str = "path", sanitised: int = 1) -> DataFrame:
+    """``ord, text`` in order: the rows that ``merge`` puts into one, for merged documents beyond one task; null content gives none.
+
+    They are dealt by ranges, so written as text with two line feeds as ``lineSep`` the parts are the merged document, which then ends in two more.
+    """
+    return _shares(docs, shift, file_as_title, order, content, path, sanitised).where("text IS NOT NULL").orderBy(F.col("ord").asc_nulls_first(), "text")
 
 
 def source_dirs(docs: DataFrame, order: str = "ord", path: str = "path") -> DataFrame:

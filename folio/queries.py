@@ -371,6 +371,14 @@ on_pages(
     ROWS + f", s AS ({_SECTIONS}), h AS (SELECT title, description FROM r WHERE section = 'ROOT' ORDER BY strlen(url), seq LIMIT 1)\nSELECT '# ' || coalesce((SELECT title FROM h), '') || {NL} || {NL} || '> ' || coalesce((SELECT description FROM h), '') || {NL} || {NL} || coalesce((SELECT string_agg(text, '' ORDER BY section) FROM s), '') AS report",
     lambda p: llms.report(p),
 )
+on_pages(
+    "llms_rows",
+    ROWS + f""", h AS (SELECT title, description FROM r WHERE section = 'ROOT' ORDER BY strlen(url), seq LIMIT 1)
+SELECT NULL AS section, NULL AS n, NULL AS s, '# ' || coalesce((SELECT title FROM h), '') || {NL} || {NL} || '> ' || coalesce((SELECT description FROM h), '') || {NL} || {NL} AS text
+UNION ALL SELECT DISTINCT section, NULL, NULL, '## ' || upper(section[:1]) || lower(section[2:]) || {NL} || {NL} FROM r WHERE section <> 'ROOT'
+UNION ALL SELECT section, strlen(url), seq, '- [' || title || '](' || url || '): ' || description || {NL} || {NL} FROM r WHERE section <> 'ROOT'""",
+    lambda p: llms.render_rows(llms.page_rows(p)),
+)
 on_pages("llms_txt_full", None, lambda p: llms.report(p, full=True))
 
 
@@ -424,6 +432,12 @@ l AS (SELECT unnest(string_split(t, {NL})) AS line, unnest(range(1, len(string_s
 SELECT string_agg({_SAN.format('line')}, {NL} ORDER BY n) AS merged FROM l""",
     lambda d: merge.merge(d, order="path"),
 )
+on_md(
+    "merge_rows",
+    MD + f""", l AS (SELECT path, doc_id, unnest(string_split({_FM}, {NL})) AS line, unnest(range(1, len(string_split({_FM}, {NL})) + 1)) AS n FROM md)
+SELECT path AS ord, string_agg({_SAN.format('line')}, {NL} ORDER BY n) AS text FROM l GROUP BY path, doc_id""",
+    lambda d: merge.merge_rows(d, order="path"),
+)
 query("merge_conversation_turns", f"SELECT conv_id, string_agg(coalesce(text, ''), {NL} || {NL} ORDER BY turn, text) AS merged FROM conversations GROUP BY conv_id")(
     lambda spark, sf_dir: spark.read.parquet(f"{sf_dir}/conversations.parquet").groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "text"))).alias("ts")).select("conv_id", F.array_join(F.transform("ts", lambda t: F.coalesce(t["text"], F.lit(""))), "\n\n").alias("merged"))
 )

@@ -57,6 +57,8 @@ def test_merge(spark):
     df = spark.createDataFrame([(2, "b_x.md", "# B\n"), (1, "a.md", "---\nt: 1\n---\n# A\ntext")], "ord int, path string, content string")
     assert merge.merge(df, 1, True).first()["merged"] == "## A\n\n## A\ntext\n\n## B X\n\n## B"
     assert merge.merge(df).first()["merged"] == "# A\ntext\n\n# B\n"
+    for options in ((0, False), (1, True)):
+        assert "\n\n".join(r["text"] for r in merge.merge_rows(df, *options).collect()) == merge.merge(df, *options).first()["merged"]
     assert merge.add_title(spark.createDataFrame([("my_doc-one.md", "c")], "path string, content string")).first()["content"] == "# My Doc One\n\nc"
     assert [r["dir"] for r in merge.source_dirs(df.withColumn("path", F.concat(F.lit("d"), "ord", F.lit("/a")))).orderBy("first_ord").collect()] == ["d1", "d2"]
 

@@ -77,6 +77,10 @@ def test_report(spark):
     assert got.startswith("# \n\n") and "[T]" not in got
     assert llms.report(root).first()["report"].startswith("# H2\n\n> no\n\n## A")
     assert llms.report(df.limit(0)).first()["report"] == "# \n\n> \n\n"
+    for pages in (root, df.limit(0)):
+        for full in (False, True):
+            rows = llms.page_rows(pages, full)
+            assert "".join(r["text"] for r in llms.render_rows(rows).collect()) == llms.render(rows).first()["report"]
 
 
 def test_sitemaps(spark):
