@@ -18,7 +18,7 @@ def page_rows(pages: DataFrame, full: bool = False, seq: str = "page_id") -> Dat
 
 
 def _order() -> list[Column]:
-    return [F.octet_length("url").alias("n"), F.col("seq").alias("s")]
+    return [F.octet_length("url").cast("long").alias("n"), F.col("seq").alias("s")]
 
 
 def _listed(rows: DataFrame) -> DataFrame:
