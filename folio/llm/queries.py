@@ -124,7 +124,17 @@ def op10_pareto_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(_table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
-QUERIES = {f.__name__: f for f in (op1_secret_scan, op2_power_of_two_packing, op3_jaccard_join, op4_kneser_ney_quality, op5_tool_call_linking, op6_vector_near_dedup, op7_token_rollup, op8_exact_dedup, op9_token_files, op10_pareto_mix)}
+def op13_hypergeometric_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from folio.llm.sharding import shuffled
+
+    text = F.coalesce("row.text", F.lit(""))
+    return shuffled(_table(spark, sf_dir, "documents")).select(
+        "row.doc_id", (F.octet_length(text) + F.lit(8)).cast("long").alias("size"), F.crc32(text).alias("text_crc32"),
+        F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"),
+    )
+
+
+QUERIES = {f.__name__: f for f in (op1_secret_scan, op2_power_of_two_packing, op3_jaccard_join, op4_kneser_ney_quality, op5_tool_call_linking, op6_vector_near_dedup, op7_token_rollup, op8_exact_dedup, op9_token_files, op10_pareto_mix, op13_hypergeometric_shards)}
 
 SQL = {
     "op5_tool_call_linking": r"""
