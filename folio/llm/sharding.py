@@ -92,8 +92,8 @@ def chunk_sizes(n: int, chunk: int, most: int) -> np.ndarray:
 class Places:
     """Where rows go, worked out from the files of the matrices; made anew in each task."""
 
-    def __init__(self, uri: str, seed: int, sizes: list[np.ndarray]):
-        self.uri, self.seed, self.sizes = uri, seed, sizes
+    def __init__(self, uri: str, seed: int, sizes: list[np.ndarray], group: int):
+        self.uri, self.seed, self.sizes, self.group = uri, seed, sizes, group
         self.first = np.cumsum([0, *(len(s) for s in sizes)])  # number of a shard's first chunk
         self.part = lru_cache(maxsize=4)(self._part)
         self.stretch = lru_cache(maxsize=2 * len(sizes))(self._stretch)
@@ -115,7 +115,7 @@ class Places:
         return np.random.default_rng([self.seed, *key]).permutation(int(ends[-1])), ends, above - (ends - counts)
 
     def _part(self, part: int):
-        return self._dealt(*self._row(f"group-{part // GROUP}", part % GROUP, len(self.sizes)), 1, part)
+        return self._dealt(*self._row(f"group-{part // self.group}", part % self.group, len(self.sizes)), 1, part)
 
     def _stretch(self, shard: int, block: int):
         return self._dealt(*self._row(f"shard-{shard}", block, len(self.sizes[shard])), 2, shard, block)
@@ -160,9 +160,9 @@ def _groups(keys: np.ndarray):
         yield rows, key
 
 
-def draw_matrices(scratch: Scratch, parts: DataFrame, shards: int, seed: int, chunk: int, most: int) -> list[np.ndarray]:
+def draw_matrices(scratch: Scratch, parts: DataFrame, shards: int, seed: int, chunk: int, most: int, group: int) -> list[np.ndarray]:
     """Write the matrices for ``part, n``; the sizes of each shard's chunks."""
-    groups = parts.groupBy(F.floor(F.col("part") / GROUP).alias("g")).agg(F.sum("n").alias("n")).orderBy("g").collect()  # a row for GROUP partitions
+    groups = parts.groupBy(F.floor(F.col("part") / group).alias("g")).agg(F.sum("n").alias("n")).orderBy("g").collect()  # a row for ``group`` partitions
     wanted = shard_sizes(sum(r["n"] for r in groups), shards)
     sizes = [chunk_sizes(int(n), chunk, most) for n in wanted]
     to_groups = matrix(np.random.default_rng([seed, 0]), [r["n"] for r in groups], wanted)
@@ -172,8 +172,8 @@ def draw_matrices(scratch: Scratch, parts: DataFrame, shards: int, seed: int, ch
 
     def of_group(rows: pd.DataFrame) -> pd.DataFrame:
         g = int(rows["g"].iloc[0])
-        counts = np.zeros(GROUP, np.int64)
-        counts[(rows["part"] % GROUP).to_numpy()] = rows["n"]
+        counts = np.zeros(group, np.int64)
+        counts[(rows["part"] % group).to_numpy()] = rows["n"]
         columns, above = given[g]
         own = matrix(np.random.default_rng([seed, 4, g]), counts, columns)
         store, root = open_store(uri)
@@ -188,27 +188,27 @@ def draw_matrices(scratch: Scratch, parts: DataFrame, shards: int, seed: int, ch
                 put(store, f"{root}/shard-{s}", np.hstack([own, before(own)]).astype("<i8").tobytes())
             yield batch
 
-    parts.withColumn("g", F.floor(F.col("part") / GROUP)).groupBy("g").applyInPandas(of_group, "g long").write.format("noop").mode("overwrite").save()
+    parts.withColumn("g", F.floor(F.col("part") / group)).groupBy("g").applyInPandas(of_group, "g long").write.format("noop").mode("overwrite").save()
     scratch.spark.range(0, shards, 1, shards).mapInPandas(of_shards, "id long").write.format("noop").mode("overwrite").save()
     return sizes
 
 
-def shuffled(docs: DataFrame, shards: int = SHARDS, seed: int = 1, chunk: int = CHUNK, most_chunks: int = MOST_CHUNKS) -> DataFrame:
+def shuffled(docs: DataFrame, shards: int = SHARDS, seed: int = 1, chunk: int = CHUNK, most_chunks: int = MOST_CHUNKS, group: int = GROUP) -> DataFrame:
     """``row`` (the input's columns), ``shard``, ``chunk`` (numbered over all shards), ``slot`` (in the shard, gapless from 0); a chunk is one partition."""
     scratch = Scratch(docs.sparkSession, "shards")
     rows = scratch.keep(docs.select(F.struct("*").alias("row"), F.monotonically_increasing_id().alias("at")), "rows")
     parts = scratch.keep(rows.groupBy(F.shiftright("at", POSITION_BITS).alias("part")).agg(F.count("*").alias("n")), "parts")
-    sizes = draw_matrices(scratch, parts, shards, seed, chunk, most_chunks)
+    sizes = draw_matrices(scratch, parts, shards, seed, chunk, most_chunks, group)
     uri, total = scratch.path("matrices"), max(1, sum(map(len, sizes)))
 
     @F.pandas_udf("shard int, chunk int, place long")
     def target(batches: pd.Series) -> pd.DataFrame:
-        got = _places(uri, seed, sizes).targets(batches.to_numpy())
+        got = _places(uri, seed, sizes, group).targets(batches.to_numpy())
         return pd.DataFrame(dict(zip(("shard", "chunk", "place"), got, strict=True)))
 
     @F.pandas_udf("long")
     def slot(chunk: pd.Series, place: pd.Series) -> pd.Series:
-        return pd.Series(_places(uri, seed, sizes).slots(chunk.to_numpy().astype(np.int64), place.to_numpy()))
+        return pd.Series(_places(uri, seed, sizes, group).slots(chunk.to_numpy().astype(np.int64), place.to_numpy()))
 
     there = rows.select("row", target("at").alias("to")).select("row", "to.*").repartitionById(total, F.col("chunk"))
     return there.select("row", "shard", "chunk", slot("chunk", "place").alias("slot"))
@@ -217,11 +217,11 @@ def shuffled(docs: DataFrame, shards: int = SHARDS, seed: int = 1, chunk: int =
 _made: dict[str, Places] = {}
 
 
-def _places(uri: str, seed: int, sizes) -> Places:
+def _places(uri: str, seed: int, sizes, group: int) -> Places:
     """One for each shuffle in a worker; a worker that turns to another shuffle forgets the last."""
     if uri not in _made:
         _made.clear()
-        _made[uri] = Places(uri, seed, sizes)
+        _made[uri] = Places(uri, seed, sizes, group)
     return _made[uri]
 
 

@@ -79,9 +79,8 @@ def test_nothing_is_left_of_the_order(spark):
     assert abs(np.corrcoef(*place)[0, 1]) < 4 / n**0.5
 
 
-def test_groups_of_partitions(spark, monkeypatch):
-    monkeypatch.setattr(sharding, "GROUP", 3)
-    got = placed(spark, 1_000, 10, shards=6, chunk=30)
+def test_groups_of_partitions(spark):
+    got = placed(spark, 1_000, 10, shards=6, chunk=30, group=3)
     assert sorted(zip(got["shard"], got["slot"], strict=True)) == [(s, i) for s, k in enumerate(sharding.shard_sizes(1_000, 6)) for i in range(k)]
 
 
