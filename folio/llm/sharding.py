@@ -228,4 +228,4 @@ def _places(uri: str, seed: int, sizes, group: int) -> Places:
 def write_shards(docs: DataFrame, path: str, **how) -> None:
     """Shards as Parquet folders ``shard=N``, a file for each chunk, rows in the order of their slots; files of a shard follow each other by name."""
     there = shuffled(docs, **how)
-    there.sortWithinPartitions("slot").write.partitionBy("shard").mode("overwrite").parquet(path)
+    there.sortWithinPartitions("shard", "slot").write.partitionBy("shard").mode("overwrite").parquet(path)
