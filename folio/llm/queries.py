@@ -124,6 +124,14 @@ def op10_pareto_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(_table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op11_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from folio.llm.whitening import whiten
+
+    rows = whiten(_table(spark, sf_dir, "embeddings"))
+    each = rows.select("vec_id", "n", "deviation", "identity_error", F.posexplode(F.arrays_zip("whitened", "explained")).alias("k", "c"))
+    return each.select("vec_id", (F.col("k") + 1).alias("component"), "n", "deviation", "c.whitened", "c.explained", "identity_error")
+
+
 def op13_hypergeometric_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     from folio.llm.sharding import shuffled
 
@@ -134,7 +142,7 @@ def op13_hypergeometric_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {f.__name__: f for f in (op1_secret_scan, op2_power_of_two_packing, op3_jaccard_join, op4_kneser_ney_quality, op5_tool_call_linking, op6_vector_near_dedup, op7_token_rollup, op8_exact_dedup, op9_token_files, op10_pareto_mix, op13_hypergeometric_shards)}
+QUERIES = {f.__name__: f for f in (op1_secret_scan, op2_power_of_two_packing, op3_jaccard_join, op4_kneser_ney_quality, op5_tool_call_linking, op6_vector_near_dedup, op7_token_rollup, op8_exact_dedup, op9_token_files, op10_pareto_mix, op11_embedding_whitening, op13_hypergeometric_shards)}
 
 SQL = {
     "op5_tool_call_linking": r"""
