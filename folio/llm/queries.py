@@ -132,6 +132,12 @@ def op11_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return each.select("vec_id", (F.col("k") + 1).alias("component"), "n", "deviation", "c.whitened", "c.explained", "identity_error")
 
 
+def op12_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from folio.llm.divergence import audit
+
+    return audit(_table(spark, sf_dir, "documents"))
+
+
 def op13_hypergeometric_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     from folio.llm.sharding import shuffled
 
@@ -142,7 +148,7 @@ def op13_hypergeometric_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {f.__name__: f for f in (op1_secret_scan, op2_power_of_two_packing, op3_jaccard_join, op4_kneser_ney_quality, op5_tool_call_linking, op6_vector_near_dedup, op7_token_rollup, op8_exact_dedup, op9_token_files, op10_pareto_mix, op11_embedding_whitening, op13_hypergeometric_shards)}
+QUERIES = {f.__name__: f for f in (op1_secret_scan, op2_power_of_two_packing, op3_jaccard_join, op4_kneser_ney_quality, op5_tool_call_linking, op6_vector_near_dedup, op7_token_rollup, op8_exact_dedup, op9_token_files, op10_pareto_mix, op11_embedding_whitening, op12_source_divergence, op13_hypergeometric_shards)}
 
 SQL = {
     "op5_tool_call_linking": r"""
@@ -213,4 +219,22 @@ c AS (SELECT *, coalesce(upto <= budget, false) AS chosen,
 k AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY CASE WHEN q IS NOT NULL AND NOT chosen AND size > 0 AND abs(size - gap) < gap THEN abs(size - gap) END NULLS LAST, q, doc_id, size, copy_no) = 1
         AND q IS NOT NULL AND NOT chosen AND size > 0 AND abs(size - gap) < gap AS closing FROM c)
 SELECT doc_id, size, source_size, target, ((whole + CASE WHEN chosen OR closing THEN 1 ELSE 0 END) * size)::BIGINT AS taken FROM k""",
+    "op12_source_divergence": r"""
+WITH d AS (SELECT row_number() OVER () AS node, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+        regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS ws FROM documents),
+t AS (SELECT node, lang, source, unnest(ws) AS term FROM d),
+g AS (SELECT DISTINCT lang, source FROM d),
+k AS (SELECT lang, term, count(*) AS total FROM t GROUP BY lang, term HAVING count(DISTINCT node) >= 3),
+c AS (SELECT t.lang, source, term, count(*) AS n FROM t JOIN k USING (lang, term) GROUP BY ALL),
+v AS (SELECT lang, count(*) AS kept, sum(total) AS whole FROM k GROUP BY lang),
+h AS (SELECT g.lang, g.source, coalesce(sum(n), 0) AS whole FROM g LEFT JOIN c USING (lang, source) GROUP BY ALL),
+w AS (SELECT h.lang, h.source, k.term, coalesce(c.n, 0) AS n, (1 + 1000000000::HUGEINT * (coalesce(c.n, 0) + 1) // (h.whole + v.kept))::BIGINT AS p,
+        (1 + 1000000000::HUGEINT * (k.total + 1) // (v.whole + v.kept))::BIGINT AS q
+      FROM h JOIN v USING (lang) JOIN k USING (lang) LEFT JOIN c ON c.lang = h.lang AND c.source = h.source AND c.term = k.term),
+x AS (SELECT a.lang, a.source, b.source AS item, sum((a.p - b.p) * (a.p - b.p) // b.p) AS value FROM w a JOIN w b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL),
+r AS (SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(x.value, 0)::BIGINT AS value FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source
+        LEFT JOIN x ON x.lang = a.lang AND x.source = a.source AND x.item = b.source
+      UNION ALL SELECT lang, source, 'term', term, (p - q) * (p - q) // q FROM w WHERE n > 0 AND p > q),
+o AS (SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item)::INT AS rank FROM r)
+SELECT lang, source, part, item, value, rank FROM o WHERE part = 'pair' OR rank <= 200""",
 }
