@@ -74,7 +74,7 @@ def _duck():
 
 
 def _batches(duck, sql: str) -> Iterator[pa.RecordBatch]:
-    reader = duck.execute(sql).to_arrow_reader(65_536)
+    reader = duck.sql(sql).to_arrow_reader(65_536)
     names = reader.schema.names
     for batch in reader:
         yield pa.RecordBatch.from_arrays(batch.columns, names=names)
