@@ -1,10 +1,19 @@
+import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
+import tree_builder
+from hypothesis import given, settings
+from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from folio.operators import html, llms, urls
 from folio.sources import sitemap
 
 
+def read(page, part):
+    return html.read(pa.array([page]), part)[0][0]
+
+
 def one(spark, value, build):
     return spark.createDataFrame([(value,)], "v string").select(build(F.col("v"))).first()[0]
 
@@ -41,7 +50,7 @@ def test_globs(spark):
     ],
 )
 def test_description(page, description):
-    assert html.description_of(html.parse(page)) == description
+    assert read(page, "description") == description
 
 
 @pytest.mark.parametrize(
@@ -54,17 +63,85 @@ def test_description(page, description):
     ],
 )
 def test_content(page, content):
-    assert html.content_of(html.parse(page)) == content
+    assert read(page, "content") == content
 
 
 def test_content_is_cut_in_bytes():
-    got = html.content_of(html.parse("".join(f"<p>{'é' * 100}{i}</p>" for i in range(100))))
+    got = read("".join(f"<p>{'é' * 100}{i}</p>" for i in range(100)), "content")
     assert got.endswith("\n\n... (content truncated)") and len(got.encode()) < 10_050
 
 
 def test_title():
-    assert html.title_of(html.parse("<h1>H</h1>")) == "H"
-    assert html.title_of(html.parse("<title> a &amp; b </title><h1>H</h1>")) == "a & b"
+    assert read("<h1>H</h1>", "title") == "H"
+    assert read("<title> a &amp; b </title><h1>H</h1>", "title") == "a & b"
+
+
+PARTS = ("title", "description", "content")
+
+
+def by_tree(page):
+    doc = tree_builder.parse(page)
+    return tree_builder.title_of(doc), tree_builder.description_of(doc), tree_builder.content_of(doc)
+
+
+def same(pages):
+    got = list(zip(*html.read(pa.array(pages, pa.string()), *PARTS), strict=True))
+    for page, own in zip(pages, got, strict=True):
+        assert own == by_tree(page), page
+
+
+def test_all_pages_as_by_the_tree_builder(sf_dir):
+    same(pq.read_table(f"{sf_dir}/pages.parquet")["html"].to_pylist())
+
+
+MALFORMED = [
+    "", "<", "</", "<p", "<p>a<", "<p>a < b > c", "a<!--b-->c<p>d", "<!-->a<p>b", "<!--->x<p>b", "<!-- <p>a</p> --><p>b", "<!--a--!><p>b", "<!DOCTYPE html><p>a", "<?php ?><p>b", "<!x><p>b", "</><p>a", "</ x><p>a",
+    "<a title='>'>x</a><p a=\">\">b", "<p title=\"a'b\">c<p title='a\"b'>d", "<a href=x>y</a><p>z", "<p class=content>q<div id='content'><h2>x", "<div class=' a\tcontent '><p>x</div><p>y", "<div CLASS=Content><p>x", "<DIV ID=content><P>x</P>",
+    "<script>if (a<b) '</p>' </script><p>x", "<style>p{}</style><h1>t</h1>", "<SCRIPT>x</Script ><p>y", "<p>a<script>b</script>c", "<ul><li>a<li>b<ul><li>c</ul><li>d</ul>", "<ol><li><p>a<li>b</ol>", "<ul><p>x<li>y</ul>", "<blockquote>a<p>b</blockquote>c",
+    "<table><tr><td><p>a<td>b<tr><td>c</table><p>d", "<table><tr><td></p>x</table>", "<h1>a<h2>b</h3>c", "<h2>a</h4>b<p>c", "</p><p></p>x", "<p>a</div>b<p>c", "<div><p>a</div>b", "<dl><dt>a<dd>b<dt>c</dl>", "<select><option>a<option>b</select><p>c", "<b><i>x</b>y</i><p>z",
+    "<head><title>t</title><p>x", "x<head><title>t</title>", "<body><body><html><p>x", "<p><html><div>x", "<meta name=description content='a &amp; b'><p>c", "<meta content=z name='og:description'><meta property='og:description' content=' q '>", "<meta name='description' content=''><p>&lt;x&gt;",
+    "<br/><img src='a'/><p>a<br>b<hr>c", "<foo>x</foo><p>a<foo>b</foo>c", "<averyveryverylongname>x</averyveryverylongname><p>y", "<averyveryverylongname1><p>a</averyveryverylongname2>b", "&amp;&#65;&unknown;<p>&copy;&notit;", "\u00a0<p>\u3000x\u3000</p>", "<p>" + "é" * 6_000, "<p>a</p>" * 3_000, "<i>" * 500 + "<p>x", "<main><article><p>x</article><p>y</main>",
+]
+
+
+@pytest.mark.parametrize("page", MALFORMED)
+def test_malformed_pages_as_by_the_tree_builder(page):
+    same([page])
+
+
+def test_pages_of_a_batch_do_not_meet():
+    """Unfinished tags, comments and quotes end with their page, wherever it lies in the batch."""
+    pages = [p for p in MALFORMED for _ in range(2)] + [m + "<p>z" for m in MALFORMED] + ["<p title='", "<p>a", "<!-- x", "--><p>b", "<script>", "</script><p>c", "<p a='b", "c'>d"]
+    alone = [html.read(pa.array([p]), *PARTS) for p in pages]
+    together = html.read(pa.array(["x", None, *pages, None, ""])[1:], *PARTS)
+    assert [list(x) for x in together] == [[None, *(a[k][0] for a in alone), None, e] for k, e in enumerate(("", html.NO_DESCRIPTION, ""))]
+
+
+WORDS = ["<p>", "</p>", "<div>", "</div>", "<ul>", "</ul>", "<ol>", "<li>", "</li>", "<h1>", "</h2>", "<blockquote>", "</blockquote>", "<b>", "</b>", "<table>", "<tr>", "<td>", "</table>", "<article>", "</article>", "<body>", "<head>", "</head>", "<html>", "<br>", "<dl>", "<dt>", "<dd>", "<option>", "<custom-x>", "</custom-x>", "<span class='content'>", "</span>", "<!-- c -->", "text", " ", "&amp;", "é", "<meta name='description' content='d'>", "<section id=content>", "<button>", "</button>"]
+
+
+@settings(max_examples=400, deadline=None)
+@given(st.lists(st.sampled_from(WORDS), max_size=25).map("".join))
+def test_any_order_of_tags(page):
+    same([page])
+
+
+@pytest.mark.parametrize(
+    ("page", "part", "want"),
+    [
+        ("<title>a <b>x</b> &lt;</title>", "title", "a <b>x</b> <"),  # as browsers read it: text up to the end tag
+        ("<textarea><p>no</textarea><p>yes", "description", "yes"),
+        ("<p>a<script>b", "description", "ab"),
+        ("<a x=a=' y='>'><p>z", "description", "z"),
+        ("<p>a</p title='>'>b<p>c", "content", "a\n\nc\n\n"),
+        ("<p>a < b > c<b", "description", "a < b > c"),
+        ("<p>x</p", "description", "x"),
+        ("<p " + "a='" * 50_000, "description", html.NO_DESCRIPTION),
+        ("<p " + "=" * 50_000 + ">x", "description", "x"),
+    ],
+)
+def test_tags_end_as_in_browsers(page, part, want):
+    assert read(page, part) == want
 
 
 def test_report(spark):
