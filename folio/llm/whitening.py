@@ -19,6 +19,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -112,7 +113,7 @@ def decoded(batch: pa.RecordBatch):
     """Length and integers of the coded vectors of a batch."""
     codes = batch.column(1)
     lengths, dims = codes.cast(pa.large_binary()), batch.column(0).to_numpy()
-    sizes = pa.compute.binary_length(lengths).to_numpy()
+    sizes = pc.binary_length(lengths).to_numpy()
     for dim in np.unique(dims).tolist():
         for width in (4, 8):
             rows = np.flatnonzero((dims == dim) & (sizes == dim * width))
