@@ -5,7 +5,8 @@ The model itself is a function handed in; without one, requests are planned and
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+import json
+from collections.abc import Callable
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -14,6 +15,7 @@ from pyspark.sql import types as T
 
 from folio.functions.text import at, replace_first, trim
 from folio.operators.fmt import format_document
+from folio.sources.ledger import Ledger, Refused
 
 #: Language codes and names.
 LANGUAGES = {
@@ -134,39 +136,61 @@ def clean_response(text: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(text, r"(?s)<think>.*?</think>\n?", ""), r"\A\n", "")
 
 
-def call_model(requests: DataFrame, client: Callable[[str], str], request: str = "request") -> DataFrame:
-    """``requests`` with ``response`` and ``error``; ``client`` maps a request body to a response body and runs on the executors."""
+def answered(client: Callable[[str], str]) -> Callable[[str], str]:
+    """``client``, of which a response without a result is a failure, so that it stops a batch and is asked for again."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            got = []
-            for body in pdf[request]:
-                try:
-                    got.append((client(body), None))
-                except Exception as e:  # a failed call is a row, not a failed job
-                    got.append((None, f"{type(e).__name__}: {e}"))
-            yield pdf.assign(response=[r for r, _ in got], error=[e for _, e in got])
+    def call(body: str) -> str:
+        response = client(body)
+        try:
+            text = json.loads(response)["choices"][0]["message"]["content"]
+        except (ValueError, LookupError, TypeError):
+            text = None
+        if text is None:
+            raise Refused("no translation result")
+        return response
+
+    return call
 
-    return requests.mapInPandas(run, ", ".join([*(f"`{c}` {t}" for c, t in requests.dtypes), "response string", "error string"]))
+
+def call_model(requests: DataFrame, client: Callable[[str], str], request: str = "request", order: str | None = None, concurrency: int = 8, stop: bool = False, seconds: float | None = None, ledger: str | None = None) -> DataFrame:
+    """``requests`` with ``response`` and ``error``; ``client`` maps a request body to a response body and runs on the executors.
+
+    A request is known by a hash of its body: equal ones are asked once, and none a second time, whatever is read and whatever tasks fail; with ``ledger``, a
+    folder, a later run asks only for what has no answer yet.  At most ``concurrency`` are asked at once, each answer is committed as it comes, and with ``stop`` no
+    more are begun after the first failure in ``order``.
+    """
+    body = F.col(request)
+    asked = requests.drop("response", "error", "result").select(F.struct("*").alias("row"), body.alias("request"), F.sha2(body, 256).alias("key"), (F.col(order) if order else F.lit("")).alias("order"))
+    effects = Ledger(requests.sparkSession, "response string", ledger)
+    lane = F.pmod(F.xxhash64("key"), F.lit(concurrency)).cast("string")
+    got = effects.settle(asked, lambda r: {"response": client(r)}, "key", "request", lane, "order", buckets=concurrency, threads=concurrency, seconds=seconds, flush=1, stop=stop)
+    return got.select("row.*", "result.response", "error")
 
 
 def output(yaml: Column, body: Column) -> Column:
     return F.concat(F.lit("---\n"), marked_yaml(yaml), F.lit("---\n\n"), body)
 
 
-def translate(docs: DataFrame, targets: DataFrame, lang: str, client: Callable[[str], str], template: str, model: str, force: bool = False, formatted: bool = False, fail_fast: bool = False, **options) -> DataFrame:
-    """``path, target, output, error`` of the documents that are due. With ``fail_fast`` an error fails the job."""
+def before_failure(rows: DataFrame, order: str = "path") -> DataFrame:
+    """``rows`` up to the first with an error, in order, with that one; all if none has."""
+    first = rows.where("error IS NOT NULL AND NOT startswith(error, 'not asked')").agg(F.min(order).alias("first_failed"))
+    return rows.join(F.broadcast(first), F.col("first_failed").isNull() | F.coalesce(F.col(order) <= F.col("first_failed"), F.lit(True))).drop("first_failed")  # one row is sent
+
+
+def translate(docs: DataFrame, targets: DataFrame, lang: str, client: Callable[[str], str], template: str, model: str, force: bool = False, formatted: bool = False, fail_fast: bool = False, concurrency: int = 8, seconds: float | None = None, ledger: str | None = None, **options) -> DataFrame:
+    """``path, target, output, error`` of the documents that are due. With ``fail_fast`` those after the first failing one, by path, are left out."""
     if lang not in LANGUAGES:
         raise ValueError(f"language not supported: {lang}; supported are {listing()}")
     places = {k: options.pop(k) for k in ("target_dir", "source_dir") if k in options}
     due = pending(docs, targets, lang, force, **places).withColumn("fm", front_matter(F.col("content")))
     asked = due.select("path", "target", F.col("fm.yaml").alias("yaml"), request_json(F.col("fm.body"), lang, template, model, **options).alias("request"))
-    got = call_model(asked, client).withColumn("raw", response_text(F.col("response")))
+    got = call_model(asked, answered(client), order="path", concurrency=concurrency, stop=fail_fast, seconds=seconds, ledger=ledger)
+    got = got.withColumn("raw", response_text(F.col("response")))
     got = got.withColumn("error", F.coalesce("error", F.when(F.col("raw").isNull(), F.lit("no translation result")))).withColumn("body", clean_response(F.col("raw")))
     if formatted:
         got = format_document(got, "body").withColumn("body", F.col("formatted")).drop("formatted")
     if fail_fast:
-        got = got.withColumn("error", F.when(F.col("error").isNotNull(), F.raise_error(F.concat_ws(": ", "path", "error"))))
+        got = before_failure(got)
     return got.select("path", "target", F.when(F.col("error").isNull(), output(F.col("yaml"), F.col("body"))).alias("output"), "error")
 
 

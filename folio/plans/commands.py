@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from folio.operators import fix as fixers
 from folio.operators import images, lint, llms, merge, publish, report
 from folio.sources import files, nav, pandoc, sitemap
+from folio.sources.ledger import Ledger, lanes
 from folio.sources.shared import settled
 
 
@@ -67,32 +68,21 @@ def export(spark: SparkSession, root: str, output: str, cwd: str, options: pando
     return Export(merged, pandoc.arguments(f"{cwd}/merged.md", output, cwd, options, dirs))
 
 
-def download(docs: DataFrame, get: Callable[[str], dict], explicit_dir: str | None = None, source_dir: str | None = None, key: str = "doc_id", threads: int = 5) -> tuple[DataFrame, DataFrame]:
+def download(docs: DataFrame, get: Callable[[str], dict], explicit_dir: str | None = None, source_dir: str | None = None, key: str = "doc_id", per_host: int = 5, seconds: float = 30.0, ledger: str | None = None) -> tuple[DataFrame, DataFrame]:
     """Documents with remote images rewritten to local files, and ``file, body`` of the images.
 
-    ``get`` runs on the executors and returns ``{"body": bytes, "content_type": ..., "disposition": ...}``; the status does not matter.
+    ``get`` runs on the executors, once for each address, and returns ``{"body": bytes, "content_type": ..., "disposition": ...}``; the status does not matter, and the link of
+    an image that cannot be had stays as it is.
     """
     refs = images.references(docs, key, "path").withColumn("remote", images.remote_url(F.col("url"))).where(F.col("remote").isNotNull())
     folder = images.image_dir(F.col("path"), explicit_dir, source_dir)
 
-    def one(u: str):
-        try:
-            r = get(u)
-            return r["body"], r.get("content_type"), r.get("disposition"), None
-        except Exception as e:  # a link whose image cannot be had stays as it is
-            return None, None, None, f"{type(e).__name__}: {e}"
+    def one(u: str) -> dict:
+        r = get(u)
+        return {c: r.get(c) for c in ("body", "content_type", "disposition")}
 
-    def run(batches):
-        from concurrent.futures import ThreadPoolExecutor
-
-        import pandas as pd
-
-        with ThreadPoolExecutor(threads) as pool:
-            for pdf in batches:
-                yield pd.concat([pdf.reset_index(drop=True), pd.DataFrame(list(pool.map(one, pdf["remote"])), columns=["body", "content_type", "disposition", "error"], dtype=object)], axis=1)
-
-    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    fetched = refs.select("remote").distinct().repartition(parts, "remote").mapInPandas(run, "remote string, body binary, content_type string, disposition string, error string").where("error IS NULL")
+    effects = Ledger(docs.sparkSession, "body binary, content_type string, disposition string", ledger)
+    fetched = effects.settle(refs.select("remote").distinct(), one, "remote", lane=lanes(F.col("remote"), per_host), seconds=seconds).where("error IS NULL").select("remote", "result.*")
     name = images.unique_name(images.file_name(F.col("remote"), F.col("disposition")), F.col("remote"), F.col("content_type"))
     placed = refs.withColumn("dir", folder).join(fetched.select("remote", "body", name.alias("name")), "remote").withColumn("file", F.concat("dir", F.lit("/"), "name"))
     from folio.functions.text import file_dir

@@ -6,20 +6,24 @@ import tempfile
 import uuid
 from pathlib import Path
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 _own: dict[str, str] = {}
 
 
-def settled(df: DataFrame) -> DataFrame:
-    """``df`` written once below ``spark.checkpoint.dir`` and read again; where that is unset (as in tests), below a folder of this application."""
-    spark = df.sparkSession
+def shared_dir(spark: SparkSession) -> str:
+    """``spark.checkpoint.dir``; where that is unset (as in tests), a folder of this application."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
         app = spark.sparkContext.applicationId
         if app not in _own:
             _own[app] = Path(tempfile.mkdtemp(prefix="folio-")).as_uri()
         root = _own[app]
-    path = f"{root.rstrip('/')}/settled-{uuid.uuid4().hex[:12]}"
+    return root.rstrip("/")
+
+
+def settled(df: DataFrame) -> DataFrame:
+    """``df`` written once in the shared folder and read again."""
+    path = f"{shared_dir(df.sparkSession)}/settled-{uuid.uuid4().hex[:12]}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -6,12 +6,13 @@ text.  Children are url sets only: an index within an index is not followed, and
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from folio.sources.ledger import Ledger, lanes
+
 FIELDS = ("loc", "lastmod", "changefreq", "priority")
 
 
@@ -71,30 +72,19 @@ def expand(bodies: DataFrame, start: str) -> DataFrame:
     return rows.select((F.col("child").cast("long") * F.lit(1 << 32) + F.col("pos")).alias("seq"), "u.*")
 
 
-def fetch(urls: DataFrame, get: Callable[[str], tuple[int, str]], need_ok: bool = True, url: str = "url", threads: int = 5) -> tuple[DataFrame, DataFrame]:
+def fetch(urls: DataFrame, get: Callable[[str], tuple[int, str]], need_ok: bool = True, url: str = "url", per_host: int = 5, seconds: float = 30.0, deadline: float | None = None, ledger: str | None = None) -> tuple[DataFrame, DataFrame]:
     """``urls`` with ``status, body`` of what could be had, and with ``error`` of the rest.
 
-    ``get`` runs on the executors, in each task for as many addresses at once as there are threads; addresses are spread over the tasks by a hash first, since those of
-    a site come from one document.
+    ``get`` runs on the executors, once for each address, however often the two tables are read and whatever tasks fail; at most ``per_host`` addresses of a host are
+    asked at once, each for so many seconds.  With ``ledger``, a folder, what was had before is not asked again.  Columns of these names give way to the new ones.
     """
 
-    def one(u: str):
-        try:
-            status, body = get(u)
-            return status, body, f"status {status}" if need_ok and status != 200 else None
-        except Exception as e:  # a page that cannot be had is a row of errors
-            return None, None, f"{type(e).__name__}: {e}"
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        from concurrent.futures import ThreadPoolExecutor
-
-        with ThreadPoolExecutor(threads) as pool:
-            for pdf in batches:
-                got = list(pool.map(one, pdf[url]))
-                out = pdf.assign(body=[b for _, b, _ in got], error=[e for _, _, e in got])
-                out["status"] = pd.array([s for s, _, _ in got], dtype="Int64")
-                yield out
-
-    spread = urls.repartition(int(urls.sparkSession.conf.get("spark.sql.shuffle.partitions")), url)
-    rows = spread.mapInPandas(run, ", ".join([*(f"`{c}` {t}" for c, t in urls.dtypes), "body string, error string, status long"]))
-    return rows.where("error IS NULL").drop("error"), rows.where("error IS NOT NULL").drop("body")
+    def one(u: str) -> dict:
+        status, body = get(u)
+        return {"status": status, "body": body}
+
+    own = urls.drop("status", "body", "error", "result")
+    got = Ledger(urls.sparkSession, "status long, body string", ledger).settle(own, one, url, lane=lanes(F.col(url), per_host), seconds=seconds, deadline=deadline)
+    bad = F.coalesce("error", F.when(F.lit(need_ok) & F.coalesce(F.col("result.status") != 200, F.lit(True)), F.concat(F.lit("status "), F.coalesce(F.col("result.status").cast("string"), F.lit("unknown")))))
+    rows = got.withColumn("error", bad)
+    return rows.where("error IS NULL").select(*own.columns, "result.body", "result.status"), rows.where("error IS NOT NULL").select(*own.columns, "error", "result.status")
