@@ -135,7 +135,6 @@ on_md(
     lambda d: report.annotations(lint.explode_issues(lint.issues(d), "doc_id", "path")).select("doc_id", "report"),
 )
 on_md("lint_size_guard", MD + "\nSELECT doc_id, strlen(content) <= 10485760 AS fits FROM md", lambda d: lint.size_guard(d)[0].select("doc_id", F.lit(True).alias("fits")).unionByName(lint.size_guard(d)[1].select("doc_id", F.lit(False).alias("fits"))))
-query("lint_rules", "SELECT * FROM (VALUES " + ", ".join(f"('{r}', '{d}')" for r, d in lint.RULES.items()) + ") t(id, description)")(lambda spark, sf_dir: spark.createDataFrame(list(lint.RULES.items()), "id string, description string"))
 
 # -- fixers -----------------------------------------------------------------------------------------------------------------
 _JOIN = f"string_agg(new, {NL} ORDER BY line_no)"
@@ -457,7 +456,6 @@ on_md("files_ordered", MD + " SELECT doc_id, path, row_number() OVER (ORDER BY p
 on_md("files_translate", MD + " SELECT doc_id, path FROM md WHERE regexp_matches(path, '\\.md$')", lambda d: d.where(d["path"].rlike(r"\.md\z")).select("doc_id", "path"))
 
 # -- translation --------------------------------------------------------------------------------------------------------------
-query("languages", "SELECT * FROM (VALUES " + ", ".join(f"('{c}', '{n}')" for c, n in translate.LANGUAGES.items()) + ") t(code, name)")(lambda spark, sf_dir: translate.languages(spark))
 query("lang_supported", "SELECT doc_id, lang IN (" + ", ".join(f"'{c}'" for c in translate.LANGUAGES) + ") AS supported FROM documents")(lambda spark, sf_dir: spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", translate.is_supported(F.col("lang")).alias("supported")))
 _END = f"strpos(content[5:], {NL} || '---' || {NL})"
 FMS = MD + f", f AS (SELECT doc_id, path, content, CASE WHEN starts_with(content, '---' || {NL}) AND {_END} > 0 THEN content[5:3 + {_END}] END AS yaml, CASE WHEN starts_with(content, '---' || {NL}) AND {_END} > 0 THEN content[9 + {_END}:] ELSE content END AS body FROM md)"
