@@ -5,14 +5,17 @@ Fetching and model calls run against functions whose answers SQL can state.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from folio.functions import text as tx
 from folio.operators import fix, fmt, images, lint, merge, publish, report, translate
 from folio.plans import commands
-from folio.queries import _CJK, _FM, _HEAD, _LOCAL, _SAN, _VERSION, ALL_ISSUES, FMS, LINES, MD, NL, PAGES, TAB, WS, _decided, _links_sql, _manifest, _parens_sql, md, on_md, on_pages, query
-from folio.sources import files, sitemap
+from folio.queries import _bodies, _CJK, _FM, _HEAD, _LOCAL, _SAN, _VERSION, ALL_ISSUES, FMS, LINES, MD, NL, PAGES, TAB, WS, _decided, _links_sql, _manifest, _parens_sql, md, on_md, on_pages, query
+from folio.sources import files, sitemap, sitemap_source
+from folio.sources.shared import settled, shared_dir
 
 
 # -- whole fix ------------------------------------------------------------------------------------------------------------
@@ -129,6 +132,27 @@ on_pages("page_fetch", PAGES + " SELECT page_id, 'body of ' || url AS body, 200:
 on_pages("page_fetch_errors", PAGES + " SELECT page_id, CASE WHEN length(url) % 7 = 0 THEN 'OSError: no route' ELSE 'status 404' END AS error FROM pg WHERE length(url) % 7 = 0 OR length(url) % 5 = 0", lambda p: sitemap.fetch(p.select("page_id", "url"), _answer)[1].select("page_id", "error"))
 
 
+def _read_maps(p: DataFrame, **options) -> DataFrame:
+    """The index of maps of ``sitemap_urls``, written as files and read as a data source; ``map`` is the number of the url set."""
+    spark, root = p.sparkSession, f"{shared_dir(p.sparkSession)}/maps-{uuid.uuid4().hex[:12]}"
+    here = lambda c: F.replace(c, F.lit("https://x/s"), F.lit(f"{root}/s"))
+    maps = _bodies(p).select(F.concat(F.lit(f"{root}/"), F.element_at(F.split("url", "/"), -1)).alias("target"), F.when(F.endswith("url", F.lit("index.xml")), here(F.col("body"))).otherwise(F.col("body")).alias("output"))
+    settled(files.write_texts(maps))
+    sitemap_source.register(spark)
+    wanted = options.pop("maps", None)
+    rows = spark.read.format("sitemap").options(**options).load(f"{root}/index.xml")
+    if wanted is not None:
+        rows = rows.where(F.col("map").isin([f"{root}/s{k}.xml" for k in wanted]))
+    return rows.select("seq", "loc", "priority", F.regexp_extract("map", r"/s([0-9]+)\.xml\z", 1).cast("long").alias("map"))
+
+
+_MAPS = PAGES + ", m AS (SELECT (page_id % 10) * 4294967296 + row_number() OVER (PARTITION BY page_id % 10 ORDER BY page_id) - 1 AS seq, url AS loc, '0.5' AS priority, page_id % 10 AS map FROM pg) SELECT seq, loc, priority, map FROM m"
+on_pages("sitemap_source", _MAPS, _read_maps)
+on_pages("sitemap_source_maps", _MAPS + " WHERE map IN (2, 5)", lambda p: _read_maps(p, maps=(2, 5)))
+on_pages("sitemap_source_globs", _MAPS + r" WHERE regexp_matches(loc, '^.*/(en|de)/.*$') AND NOT regexp_matches(loc, '^.*#part-.$')", lambda p: _read_maps(p, include='["**/{en,de}/**"]', exclude='["**#part-?"]'))
+on_pages("sitemap_source_limit", _MAPS + " ORDER BY seq LIMIT 60", lambda p: _read_maps(p, limit=60))
+
+
 def _image(url: str) -> dict:
     if "cdn" in url:
         raise OSError("no route")
