@@ -177,9 +177,9 @@ def upload(args) -> int:
         store = stores.ArrowStore.of(s)
     else:
         store = stores.ArrowStore(root) if "://" in root else stores.LocalStore(root)
-    kept = str(Path(s.cache_dir or "~/.cache/folio").expanduser() / "upload-cache.json") if isinstance(store, stores.ArrowStore) else f"{root}.cache"
+    kept = str(Path(s.cache_dir or "~/.cache/folio").expanduser() / "upload-cache.json") if not isinstance(store, stores.LocalStore) else f"{root}.cache"
     cache = stores.read_cache(spark, kept)
-    up = run(docs, files.manifest(spark, args.source), cache, store.listing(spark), url, lambda: store, policy, prefix, args.dry_run, args.force)
+    up = run(docs, files.manifest(spark, args.source), cache, lambda keys: store.listing(spark, keys), url, lambda: store, policy, prefix, args.dry_run, args.force)
     print(json.dumps(up.statistics.first().asDict()))
     if not args.dry_run:
         changed = up.documents.join(docs.select("doc_id", F.col("content").alias("old")), "doc_id").where("content <> old")

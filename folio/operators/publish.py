@@ -2,15 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 from typing import Protocol
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from folio.functions.text import extension
 from folio.operators.images import content_type, is_local, local_path, references, remote_key, rewrite
+from folio.sources.objects import write_objects
 
 POLICIES = ("rename", "version", "overwrite")
 #: Providers share one implementation of the object protocol.
@@ -18,7 +18,10 @@ PROVIDERS = ("minio", "r2", "s3")
 
 
 class ObjectStore(Protocol):
-    def put(self, key: str, path: str, content_type: str, metadata: dict[str, str]) -> None: ...
+    """A place for objects, by its address."""
+
+    @property
+    def uri(self) -> str: ...
 
 
 def account_id(endpoint: Column) -> Column:
@@ -122,28 +125,12 @@ def least_free_versions(keys: DataFrame, listing: DataFrame) -> DataFrame:
     return wanted.join(run, "remote_path", "left").select("remote_path", F.concat("base", F.lit("_v"), (F.coalesce("v", F.lit(0)) + 1).cast("string"), "ext").alias("free_path"))
 
 
-def put_objects(decided: DataFrame, store: Callable[[], ObjectStore], prefix: str = "", threads: int = 5) -> DataFrame:
-    """Upload what is decided so; ``decided`` with ``error`` (null if it went well). ``store`` makes a client on the executor."""
-    keyed = decided.withColumn("key", with_prefix(F.col("final_path"), prefix)).withColumn("content_type", content_type(F.col("local_path")))
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        from concurrent.futures import ThreadPoolExecutor
-
-        client = store()
-
-        def one(row):
-            if row.action != "upload":
-                return None
-            try:
-                client.put(row.key, row.local_path, row.content_type, {"Hash": row.md5})
-            except Exception as e:
-                return f"{type(e).__name__}: {e}"
-
-        with ThreadPoolExecutor(threads) as pool:
-            for pdf in batches:
-                yield pdf.assign(error=list(pool.map(one, pdf.itertuples(index=False))))
-
-    return keyed.mapInPandas(run, ", ".join([*(f"`{c}` {t}" for c, t in keyed.dtypes), "error string"]))
+def put_objects(decided: DataFrame, store: Callable[[], ObjectStore], prefix: str = "") -> DataFrame:
+    """Upload what is decided so; ``decided`` with ``key`` and ``error`` (null if it went well). Objects and what they say about themselves appear together, by a commit."""
+    keyed = decided.drop("key", "content_type", "error").withColumn("key", with_prefix(F.col("final_path"), prefix)).withColumn("content_type", content_type(F.col("local_path")))
+    metadata = F.create_map(F.lit("Content-Type"), F.col("content_type"), F.lit("Hash"), F.col("md5"))
+    done = write_objects(keyed.where("action = 'upload'").select("key", F.col("local_path").alias("path"), metadata.alias("metadata")), store().uri)
+    return keyed.join(done, "key", "left").select(*keyed.columns, F.when(F.col("action") == "upload", F.col("error")).alias("error"))
 
 
 def rewritten(docs: DataFrame, todo: DataFrame, results: DataFrame, key: str = "doc_id") -> DataFrame:

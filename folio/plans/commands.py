@@ -101,13 +101,16 @@ class Upload:
     missing: DataFrame
 
 
-def upload(docs: DataFrame, manifest: DataFrame, cache: DataFrame, listing: DataFrame, url_of: Callable[[Column], Column], store: Callable[[], publish.ObjectStore], policy: str = "rename", prefix: str = "", dry_run: bool = False, force: bool = False, clock: Column | None = None, key: str = "doc_id") -> Upload:
-    """Local images put in a store and links rewritten. A cached path is not looked at again unless forced; failures leave links."""
+def upload(docs: DataFrame, manifest: DataFrame, cache: DataFrame, listing: DataFrame | Callable[[DataFrame], DataFrame], url_of: Callable[[Column], Column], store: Callable[[], publish.ObjectStore], policy: str = "rename", prefix: str = "", dry_run: bool = False, force: bool = False, clock: Column | None = None, key: str = "doc_id") -> Upload:
+    """Local images put in a store and links rewritten. A cached path is not looked at again unless forced; failures leave links.
+
+    ``listing`` is what the store holds, or a function that lists it for wanted keys (``key``), whose hashes alone are needed.
+    """
     todo = publish.tasks(docs, manifest, key)
     hits, misses = publish.split_by_cache(todo, cache, force)
-    decided = publish.resolve(misses, listing, policy, clock, dry_run, force)
-    results = publish.put_objects(decided, store, prefix).withColumn("url", url_of(F.col("final_path")))
-    results = settled(results)  # uploads have effects: their results are written once, never computed again
+    held = listing(misses.select(F.col("remote_path").alias("key"))) if callable(listing) else listing
+    decided = settled(publish.resolve(misses, held, policy, clock, dry_run, force))  # decided once: the clock moves on, and the store changes by what follows
+    results = settled(publish.put_objects(decided, store, prefix).withColumn("url", url_of(F.col("final_path"))))
     good = results.where("error IS NULL")
     links = good.where("action <> 'dry_run'").select("local_path", "url").unionByName(hits.select("local_path", F.col("cached_url").alias("url")).distinct())
     documents = publish.rewritten(docs, todo, links, key)

@@ -14,7 +14,7 @@ from folio.functions import text as tx
 from folio.operators import fix, fmt, images, lint, merge, publish, report, translate
 from folio.plans import commands
 from folio.queries import _bodies, _CJK, _FM, _HEAD, _LOCAL, _SAN, _VERSION, ALL_ISSUES, FMS, LINES, MD, NL, PAGES, TAB, WS, _decided, _links_sql, _manifest, _parens_sql, md, on_md, on_pages, query
-from folio.sources import files, sitemap, sitemap_source
+from folio.sources import files, objects, sitemap, sitemap_source
 from folio.sources.shared import settled, shared_dir
 
 
@@ -153,6 +153,19 @@ on_pages("sitemap_source_globs", _MAPS + r" WHERE regexp_matches(loc, '^.*/(en|d
 on_pages("sitemap_source_limit", _MAPS + " ORDER BY seq LIMIT 60", lambda p: _read_maps(p, limit=60))
 
 
+def _objects(d: DataFrame) -> DataFrame:
+    """Documents put as objects and listed again; hashes are read for every second one."""
+    spark, uri = d.sparkSession, f"{shared_dir(d.sparkSession)}/store-{uuid.uuid4().hex[:12]}"
+    key = F.concat(F.lit("d"), (F.col("doc_id") % 7).cast("string"), F.lit("/"), F.col("doc_id").cast("string"), F.lit(".md"))
+    rows = d.select("doc_id", key.alias("key"), F.encode("content", "UTF-8").alias("content"), F.create_map(F.lit("Hash"), F.md5("content")).alias("metadata"))
+    errors = objects.write_objects(rows, uri)
+    found = objects.listing(spark, uri, rows.where("doc_id % 2 = 0")).join(objects.listed(spark, uri), "key")
+    return found.join(errors, "key", "full").select("key", "hash", "size", "error")
+
+
+on_md("objects_put", MD + " SELECT 'd' || (doc_id % 7) || '/' || doc_id || '.md' AS key, CASE WHEN doc_id % 2 = 0 THEN md5(content) END AS hash, strlen(content)::BIGINT AS size, NULL::VARCHAR AS error FROM md", _objects)
+
+
 def _image(url: str) -> dict:
     if "cdn" in url:
         raise OSError("no route")

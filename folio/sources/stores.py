@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 import json
-import shutil
 from dataclasses import dataclass
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from folio.sources import objects
+
 CACHE = "local_path string, remote_path string, url string, hash string, upload_time timestamp"
 
 
@@ -54,40 +55,6 @@ def save_cache(cache: DataFrame, path: str) -> None:
     tmp.replace(at)
 
 
-@dataclass
-class LocalStore:
-    """Objects as files below a folder, metadata in a file beside each."""
-
-    root: str
-
-    def put(self, key: str, path: str, content_type: str, metadata: dict[str, str]) -> None:
-        to = Path(self.root) / key
-        to.parent.mkdir(parents=True, exist_ok=True)
-        shutil.copyfile(path, to)
-        self.set_metadata(key, {"Content-Type": content_type, **metadata})
-
-    def exists(self, key: str) -> bool:
-        return (Path(self.root) / key).is_file()
-
-    def metadata(self, key: str) -> dict[str, str]:
-        p = Path(self.root) / f"{key}.meta"
-        return json.loads(p.read_text()) if p.exists() else {}
-
-    def set_metadata(self, key: str, metadata: dict[str, str]) -> None:
-        (Path(self.root) / f"{key}.meta").write_text(json.dumps(metadata))
-
-    def listing(self, spark: SparkSession) -> DataFrame:
-        """``key, hash, etag``."""
-        files = [p for p in Path(self.root).rglob("*") if p.is_file() and p.suffix != ".meta"]
-        if not files:
-            return spark.createDataFrame([], "key string, hash string, etag string")
-        read = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(self.root).where(~F.endswith("path", F.lit(".meta")))
-        key = F.regexp_replace(F.regexp_replace("path", r"\A[a-z]+:(//[^/]*)?", ""), "\\A\\Q" + str(Path(self.root).resolve()) + "\\E/", "")
-        meta = {str(p.relative_to(self.root)): self.metadata(str(p.relative_to(self.root))).get("Hash") for p in files}
-        hashes = spark.createDataFrame([(k, v) for k, v in meta.items()], "key string, hash string")
-        return read.select(key.alias("key"), F.concat(F.lit('"'), F.md5("content"), F.lit('"')).alias("etag")).join(hashes, "key", "left").select("key", "hash", "etag")
-
-
 @dataclass
 class ArrowStore:
     """Objects below ``root`` of an Arrow file system, by its address (``s3://bucket/prefix``, ``gs://``, ``hdfs://``, ``file:///``).
@@ -97,6 +64,7 @@ class ArrowStore:
     """
 
     root: str
+    etags = False  # whether tags are made of the objects' bytes
 
     @classmethod
     def of(cls, storage, bucket: str = "") -> ArrowStore:
@@ -109,30 +77,19 @@ class ArrowStore:
         path = "/".join(x.strip("/") for x in (bucket or storage.bucket, storage.path_prefix) if x.strip("/"))
         return cls(f"s3://{keys}{path}" + (f"?{urlencode(options)}" if options else ""))
 
-    def _open(self):
-        from pyarrow import fs
-
-        return fs.FileSystem.from_uri(self.root)
+    @property
+    def uri(self) -> str:
+        return self.root
 
     def _at(self, key: str):
-        store, root = self._open()
-        return store, f"{root.rstrip('/')}/{key}"
-
-    def _write(self, key: str, chunks, metadata: dict[str, str]) -> None:
-        store, at = self._at(key)
-        store.create_dir(at.rpartition("/")[0], recursive=True)
-        try:
-            out = store.open_output_stream(at, metadata=metadata)
-        except NotImplementedError:  # a file system without metadata
-            out = store.open_output_stream(at)
-        with out:
-            for c in chunks:
-                out.write(c)
+        store, root = objects.open_store(self.uri)
+        return store, f"{root}/{key}"
 
     def put(self, key: str, path: str, content_type: str, metadata: dict[str, str]) -> None:
-        own = {"Content-Type": content_type, **metadata}
+        """One object; many are written by ``objects.write_objects``."""
+        own, (store, at) = {"Content-Type": content_type, **metadata}, self._at(key)
         with open(path, "rb") as f:
-            self._write(key, iter(lambda: f.read(1 << 20), b""), own)
+            objects.write_file(store, at, iter(lambda: f.read(1 << 20), b""), own)
         self.set_metadata(key, own)
 
     def exists(self, key: str) -> bool:
@@ -141,32 +98,27 @@ class ArrowStore:
 
     def metadata(self, key: str) -> dict[str, str]:
         """Empty if the object is not there or says nothing."""
-        store, at = self._at(f"{key}.meta")
-        try:
-            with store.open_input_stream(at) as f:
-                return json.loads(f.read().decode())
-        except FileNotFoundError:
-            return {}
+        return objects.read_meta(*self._at(key))
 
     def set_metadata(self, key: str, metadata: dict[str, str]) -> None:
-        self._write(f"{key}.meta", [json.dumps(metadata).encode()], {})
+        store, at = self._at(key)
+        objects.write_file(store, f"{at}.meta", [json.dumps(metadata).encode()])
 
     def same(self, key: str, digest: str) -> bool:
         """Whether the object has the digest, by what it says; an object that is not there has none."""
         return self.exists(key) and self.metadata(key).get("Hash") == digest
 
-    def listing(self, spark: SparkSession) -> DataFrame:
-        """``key, hash, etag`` of all objects; hashes are read on the executors."""
-        from pyarrow import fs
+    def listing(self, spark: SparkSession, wanted: DataFrame | None = None) -> DataFrame:
+        """``key, hash, etag`` of all objects; with ``wanted``, hashes of those keys only. Folders are listed, and hashes read, in tasks."""
+        return objects.listing(spark, self.uri, wanted, self.etags)
 
-        store, root = self._open()
-        root = root.rstrip("/")
-        found = store.get_file_info(fs.FileSelector(root, allow_not_found=True, recursive=True))
-        keys = [(i.path[len(root) + 1 :],) for i in found if i.type.name == "File" and not i.path.endswith(".meta")]
-        rows = spark.createDataFrame(keys, "key string") if keys else spark.createDataFrame([], "key string")
 
-        def run(batches):
-            for pdf in batches:
-                yield pdf.assign(hash=[self.metadata(k).get("Hash") for k in pdf["key"]], etag=None)
+@dataclass
+class LocalStore(ArrowStore):
+    """A folder, whose objects have the digest of their bytes as tag."""
+
+    etags = True
 
-        return rows.mapInPandas(run, "key string, hash string, etag string")
+    @property
+    def uri(self) -> str:
+        return Path(self.root).resolve().as_uri()
