@@ -167,6 +167,7 @@ def upload(args) -> int:
     from folio.operators.publish import public_url
     from folio.plans.commands import upload as run
     from folio.sources import files, stores
+    from folio.sources.cache_table import CacheTable
 
     spark, (cfg, _) = _session(), conf.load(Path(CONFIG).expanduser())
     s = cfg.active_storage(args.storage)
@@ -177,14 +178,22 @@ def upload(args) -> int:
         store = stores.ArrowStore.of(s)
     else:
         store = stores.ArrowStore(root) if "://" in root else stores.LocalStore(root)
-    kept = str(Path(s.cache_dir or "~/.cache/folio").expanduser() / "upload-cache.json") if not isinstance(store, stores.LocalStore) else f"{root}.cache"
-    cache = stores.read_cache(spark, kept)
+    if isinstance(store, stores.LocalStore):
+        kept, table = f"{root}.cache", None
+        cache = stores.read_cache(spark, kept)
+    else:
+        table = CacheTable(spark, Path(s.cache_dir or "~/.cache/folio", "upload-cache").expanduser().resolve().as_uri())
+        cache = table.read()
     up = run(docs, files.manifest(spark, args.source), cache, lambda keys: store.listing(spark, keys), url, lambda: store, policy, prefix, args.dry_run, args.force)
     print(json.dumps(up.statistics.first().asDict()))
     if not args.dry_run:
         changed = up.documents.join(docs.select("doc_id", F.col("content").alias("old")), "doc_id").where("content <> old")
         files.write_texts(changed.select(F.concat("path", F.lit(".uploaded")).alias("target"), F.col("content").alias("output"))).collect()
-        stores.save_cache(up.cache, kept)
+        if table is None:
+            stores.save_cache(up.cache, kept)
+        else:
+            table.put(up.fresh)
+            table.compact()
     return 0
 
 

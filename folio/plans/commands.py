@@ -99,6 +99,7 @@ class Upload:
     cache: DataFrame
     statistics: DataFrame
     missing: DataFrame
+    fresh: DataFrame
 
 
 def upload(docs: DataFrame, manifest: DataFrame, cache: DataFrame, listing: DataFrame | Callable[[DataFrame], DataFrame], url_of: Callable[[Column], Column], store: Callable[[], publish.ObjectStore], policy: str = "rename", prefix: str = "", dry_run: bool = False, force: bool = False, clock: Column | None = None, key: str = "doc_id") -> Upload:
@@ -116,7 +117,7 @@ def upload(docs: DataFrame, manifest: DataFrame, cache: DataFrame, listing: Data
     documents = publish.rewritten(docs, todo, links, key)
     fresh = good.where("action = 'upload'").select("local_path", "remote_path", "url", F.col("md5").alias("hash"), F.current_timestamp().alias("upload_time"))
     passes = hits.select(key).distinct().unionByName(misses.join(good.where("action <> 'dry_run'"), "local_path").select(key).distinct())
-    return Upload(documents, results, publish.merge_cache(cache, fresh), publish.statistics(docs, hits, results, passes), publish.missing(docs, manifest, key))
+    return Upload(documents, results, publish.merge_cache(cache, fresh), publish.statistics(docs, hits, results, passes), publish.missing(docs, manifest, key), fresh)
 
 
 def output_path(directory: str, name: str) -> str:

@@ -15,6 +15,7 @@ from folio.operators import fix, fmt, images, lint, merge, publish, report, tran
 from folio.plans import commands
 from folio.queries import _bodies, _CJK, _FM, _HEAD, _LOCAL, _SAN, _VERSION, ALL_ISSUES, FMS, LINES, MD, NL, PAGES, TAB, WS, _decided, _links_sql, _manifest, _parens_sql, md, on_md, on_pages, query
 from folio.sources import files, objects, sitemap, sitemap_source
+from folio.sources.cache_table import CacheTable
 from folio.sources.shared import settled, shared_dir
 
 
@@ -166,6 +167,25 @@ def _objects(d: DataFrame) -> DataFrame:
 on_md("objects_put", MD + " SELECT 'd' || (doc_id % 7) || '/' || doc_id || '.md' AS key, CASE WHEN doc_id % 2 = 0 THEN md5(content) END AS hash, strlen(content)::BIGINT AS size, NULL::VARCHAR AS error FROM md", _objects)
 
 
+def _cached(d: DataFrame) -> DataFrame:
+    """The cache after uploads, later uploads of every third document and removals of every fifth, compacted in between; read by a look-up of every second path."""
+    table = CacheTable(d.sparkSession, f"{shared_dir(d.sparkSession)}/cache-{uuid.uuid4().hex[:12]}")
+    entry = lambda version, minute: d.select(F.col("path").alias("local_path"), F.concat(F.lit(version), F.col("doc_id").cast("string")).alias("remote_path"), F.md5("content").alias("hash"), F.lit("u").alias("url"), F.lit(f"2025-01-01 00:0{minute}:00").cast("timestamp").alias("upload_time"), "doc_id")
+    table.put(entry("v2/", 2).where("doc_id % 3 = 0"))
+    table.put(entry("v1/", 1))
+    table.compact(every=True)
+    table.remove(d.where("doc_id % 5 = 0").select(F.col("path").alias("local_path")), F.lit("2025-01-01 00:03:00").cast("timestamp"))
+    table.put(entry("v4/", 4).where("doc_id % 25 = 0"))
+    return table.lookup(d.where("doc_id % 2 = 0").select(F.col("path").alias("local_path"))).select("local_path", "remote_path", "hash")
+
+
+on_md(
+    "cache_table",
+    MD + " SELECT path AS local_path, CASE WHEN doc_id % 25 = 0 THEN 'v4/' WHEN doc_id % 3 = 0 THEN 'v2/' ELSE 'v1/' END || doc_id AS remote_path, md5(content) AS hash FROM md WHERE doc_id % 2 = 0 AND (doc_id % 5 > 0 OR doc_id % 25 = 0)",
+    _cached,
+)
+
+
 def _image(url: str) -> dict:
     if "cdn" in url:
         raise OSError("no route")

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from folio.sources import objects
+from folio.sources.cache_table import CacheTable
 
 CACHE = "local_path string, remote_path string, url string, hash string, upload_time timestamp"
 
@@ -17,11 +18,14 @@ CACHE = "local_path string, remote_path string, url string, hash string, upload_
 def read_cache(spark: SparkSession, path: str) -> DataFrame:
     """The cache at ``path``, empty if it is missing or corrupt.
 
-    A file is one JSON document, ``{"items": {local path: {...}}, "version": "1.0"}``, which is also made where nothing is there; a folder holds JSON lines, as
-    a stream of uploads leaves them.
+    A file is one JSON document, ``{"items": {local path: {...}}, "version": "1.0"}``, which is also made where nothing is there; a folder holds JSON lines, or
+    is a ``CacheTable``, as several writers and streams of uploads need it.
     """
     at = Path(path)
     if at.is_dir() or "://" in path:
+        table = CacheTable(spark, path if "://" in path else at.resolve().as_uri())
+        if table.deltas():
+            return table.read()
         try:
             raw = spark.read.schema(CACHE).option("mode", "FAILFAST").json(path)
             raw.write.format("noop").mode("overwrite").save()

@@ -23,17 +23,17 @@ def append_issues(docs: DataFrame, to: str, checkpoint: str, rules: Iterable[str
     return lint_stream(docs, rules).writeStream.format("parquet").option("path", to).option("checkpointLocation", checkpoint).outputMode("append").trigger(availableNow=True).start()
 
 
-def keep_cache(uploads: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
-    """Put streamed uploads into a cache of one folder for each micro-batch; the newest holds the whole cache.
+def keep_cache(uploads: DataFrame, path: str, checkpoint: str, compact_every: int = 16) -> StreamingQuery:
+    """Put streamed uploads into the cache table at ``path``: a delta for each micro-batch, named after it, so a batch that is run again changes nothing.
 
-    A batch that is run again writes the same folder again, from the one before it.
+    What a batch writes follows the batch; small deltas are put together every so many batches.
     """
-    from folio.operators.publish import merge_cache
-    from folio.sources.stores import CACHE
+    from folio.sources.cache_table import CacheTable
 
     def step(batch: DataFrame, epoch: int) -> None:
-        spark = batch.sparkSession
-        old = spark.read.schema(CACHE).parquet(f"{path}/{epoch - 1}") if epoch else spark.createDataFrame([], CACHE)
-        merge_cache(old, batch).write.mode("overwrite").parquet(f"{path}/{epoch}")
+        table = CacheTable(batch.sparkSession, path)
+        table.put(batch, f"batch-{epoch:012d}")
+        if epoch % compact_every == compact_every - 1:
+            table.compact()
 
     return uploads.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
