@@ -96,6 +96,7 @@ def llmstxt(args) -> int:
     from folio.plans.commands import llms_txt
 
     spark, get = _session(), web_get(args.timeout)
+    from folio.sources.compose import compose
     from folio.sources.sitemap import child_entries, fetch
 
     first, _ = fetch(spark.createDataFrame([(args.sitemap,)], "url string"), get)
@@ -103,26 +104,28 @@ def llmstxt(args) -> int:
     from pyspark.sql import functions as F
 
     children, _ = fetch(first.select(F.explode(child_entries(F.col("body"))).alias("c")).select(F.col("c.loc").alias("url")), get, need_ok=False)
-    report, errors = llms_txt(spark, first.unionByName(children).persist(), args.sitemap, get, args.include, args.exclude, args.max_pages, args.full)
-    text = report.first()["report"]
+    report, errors = llms_txt(spark, first.unionByName(children).persist(), args.sitemap, get, args.include, args.exclude, args.max_pages, args.full, ranged=True)
     for r in errors.toLocalIterator():
         print(f"warning: {r['url']}: {r['error']}", file=sys.stderr)
     if args.output:
-        Path(args.output).write_text(text, encoding="utf-8")
+        compose(report, args.output)
     else:
-        print(text)
+        for r in report.toLocalIterator():
+            sys.stdout.write(r["text"])
+        print()
     return 0
 
 
 def export(args) -> int:
     from folio.plans import commands
     from folio.sources import pandoc
+    from folio.sources.compose import compose
 
     options = pandoc.ExportOptions(args.format, args.template, args.toc, args.toc_depth, args.shift_heading_level_by, args.file_as_title, args.site_type, args.nav_path)
     out, cwd = str(Path(args.output).resolve()), str(Path(args.dir).resolve())
     plan = commands.export(_session(), cwd, out, str(Path.cwd()), options)
     merged = Path(f"{out}.md")
-    merged.write_text(plan.merged.first()["merged"], encoding="utf-8")
+    compose(plan.rows, str(merged), separator="\n\n")
     pandoc.convert([str(merged), *plan.arguments[1:]], cwd)
     return 0
 

@@ -31,20 +31,25 @@ def lint_documents(docs: DataFrame, autofix: bool = False, enabled: Iterable[str
     return LintRun(done, large.select("path"), report.summary(done, autofix))
 
 
-def llms_txt(spark: SparkSession, bodies: DataFrame, start: str, get: Callable[[str], tuple[int, str]], include=(), exclude=(), max_pages: int = 0, full: bool = False) -> tuple[DataFrame, DataFrame]:
-    """The report of a site map, and the pages that could not be had. Filter and limit come before any fetch."""
+def llms_txt(spark: SparkSession, bodies: DataFrame, start: str, get: Callable[[str], tuple[int, str]], include=(), exclude=(), max_pages: int = 0, full: bool = False, ranged: bool = False) -> tuple[DataFrame, DataFrame]:
+    """The report of a site map, and the pages that could not be had. Filter and limit come before any fetch.
+
+    With ``ranged`` the report comes as ordered rows (``text``), for ``compose``.
+    """
     from folio.operators.urls import filter_urls, limit_urls
 
     urls = sitemap.expand(bodies, start).select("seq", F.col("loc").alias("url"))
     chosen = limit_urls(filter_urls(urls, include, exclude), max_pages)
     pages, errors = sitemap.fetch(chosen, get)
-    return llms.render(llms.page_rows(pages.withColumnRenamed("body", "html"), full, "seq")), errors
+    rows = llms.page_rows(pages.withColumnRenamed("body", "html"), full, "seq")
+    return (llms.render_rows(rows) if ranged else llms.render(rows)), errors
 
 
 @dataclass
 class Export:
     merged: DataFrame
     arguments: list[str]
+    rows: DataFrame  # ``text`` in order, two line feeds between: the same for ``compose``
 
 
 def export(spark: SparkSession, root: str, output: str, cwd: str, options: pandoc.ExportOptions | None = None) -> Export:
@@ -61,11 +66,11 @@ def export(spark: SparkSession, root: str, output: str, cwd: str, options: pando
     docs = docs.withColumn("doc_id", F.col("path"))
     if n == 1:
         one = docs.select(merge.sanitise(merge.strip_front_matter(F.col("content"))).alias("merged"))
-        return Export(one, pandoc.arguments(f"{cwd}/merged.md", output, cwd, options))
+        return Export(one, pandoc.arguments(f"{cwd}/merged.md", output, cwd, options), one.select(F.col("merged").alias("text")))
     placed = images.export_paths(docs, files.manifest(spark, root), cwd)
     dirs = [r["dir"] for r in merge.source_dirs(placed).orderBy("first_ord").toLocalIterator()]
     merged = merge.merge(placed, options.shift, options.file_as_title, sanitised=2)
-    return Export(merged, pandoc.arguments(f"{cwd}/merged.md", output, cwd, options, dirs))
+    return Export(merged, pandoc.arguments(f"{cwd}/merged.md", output, cwd, options, dirs), merge.merge_rows(placed, options.shift, options.file_as_title, sanitised=2))
 
 
 def download(docs: DataFrame, get: Callable[[str], dict], explicit_dir: str | None = None, source_dir: str | None = None, key: str = "doc_id", per_host: int = 5, seconds: float = 30.0, ledger: str | None = None) -> tuple[DataFrame, DataFrame]:

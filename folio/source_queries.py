@@ -11,11 +11,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from folio.functions import text as tx
-from folio.operators import fix, fmt, images, lint, merge, publish, report, translate
+from folio.operators import fix, fmt, images, lint, llms, merge, publish, report, translate
 from folio.plans import commands
-from folio.queries import _bodies, _CJK, _FM, _HEAD, _LOCAL, _SAN, _VERSION, ALL_ISSUES, FMS, LINES, MD, NL, PAGES, TAB, WS, _decided, _links_sql, _manifest, _parens_sql, md, on_md, on_pages, query
+from folio.queries import _bodies, _CJK, _FM, _HEAD, _LOCAL, _SAN, _VERSION, ALL_ISSUES, FMS, LINES, MD, NL, PAGES, SQL, TAB, WS, _decided, _links_sql, _manifest, _parens_sql, md, on_md, on_pages, query
 from folio.sources import files, objects, sitemap, sitemap_source
 from folio.sources.cache_table import CacheTable
+from folio.sources.compose import compose
 from folio.sources.shared import settled, shared_dir
 
 
@@ -186,6 +187,17 @@ on_md(
 )
 
 
+def _file(rows: DataFrame, column: str, separator: str = "") -> DataFrame:
+    """Ordered rows written as one file and read again as one row."""
+    spark, path = rows.sparkSession, f"{shared_dir(rows.sparkSession)}/file-{uuid.uuid4().hex[:12]}.md"
+    compose(rows, path, separator=separator)
+    return spark.read.text(path, wholetext=True).select(F.col("value").alias(column))
+
+
+on_md("merge_file", SQL["merge_documents"], lambda d: _file(merge.merge_rows(d, order="path"), "merged", "\n\n"))
+on_pages("llms_file", SQL["llms_txt"], lambda p: _file(llms.render_rows(llms.page_rows(p)), "report"))
+
+
 def _image(url: str) -> dict:
     if "cdn" in url:
         raise OSError("no route")

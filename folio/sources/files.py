@@ -102,10 +102,3 @@ def write_texts(rows: DataFrame, path: str = "target", text: str = "output") ->
             yield pd.DataFrame({"path": pdf[path], "error": errors})
 
     return rows.where(F.col(text).isNotNull()).select(path, text).mapInPandas(run, "path string, error string")
-
-
-def write_report(report: DataFrame, path: str, column: str = "report") -> None:
-    """One row of text to one file, exactly; the driver holds it."""
-    from pathlib import Path
-
-    Path(path).write_bytes((report.select(column).first()[0] or "").encode("utf-8", "surrogatepass"))
