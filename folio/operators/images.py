@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from folio.functions.text import clean_path, extension, file_dir, replace_first
+from folio.functions.text import clean_path, extension, file_dir, let, replace_first
 
 #: Pattern of references that are downloaded or uploaded, and of those that an export rewrites.
 REFERENCE = r"!\[([^\]]*)\]\(([^)]+)\)"
@@ -118,14 +118,53 @@ def local_path(url: Column, doc_path: Column) -> Column:
     return F.when(F.startswith(url, F.lit("/")), url).otherwise(clean_path(F.concat(file_dir(doc_path), F.lit("/"), url)))
 
 
-def rewrite(docs: DataFrame, replacements: DataFrame, key: str = "doc_id", content: str = "content") -> DataFrame:
+def _one_by_one(text: Column, pairs: Column) -> Column:
+    """Each ``old`` replaced at its first occurrence in what the replacements before it left."""
+    return F.aggregate(pairs, text, lambda t, p: replace_first(t, p["old"], p["new"]))
+
+
+def _meet(m: Column, pattern: str) -> Column:
+    """Whether a replacement may hit anything but its own reference: text that another one left, a reference within another, or an equal one that stays."""
+    pairs, found = m["pairs"], m["found"]
+    inner = lambda c: F.contains(F.substring(c, F.lit(2), F.char_length(c)), F.lit("!["))
+    olds = F.transform(pairs, lambda p: p["old"])
+    replaced = F.transform(pairs, lambda p: p["pos"])
+    kept = F.array_except(F.when(F.size(found) > 0, F.sequence(F.lit(0), F.size(found) - 1)).otherwise(F.array().cast("array<int>")), replaced)
+    odd = F.exists(pairs, lambda p: ~F.startswith(p["new"], F.lit("![")) | ~F.endswith(p["new"], F.lit(")")) | inner(p["new"]) | ~F.coalesce(F.get(found, p["pos"]) == p["old"], F.lit(False)))
+    again = F.arrays_overlap(F.transform(pairs, lambda p: F.regexp_extract(p["new"], pattern, 0)), olds)
+    stays = F.arrays_overlap(F.transform(kept, lambda i: F.get(found, i)), olds)
+    return F.coalesce(odd | F.exists(found, inner) | again | stays | (F.size(F.array_distinct(replaced)) < F.size(pairs)), F.lit(True))
+
+
+def _spliced(m: Column) -> Column:
+    """The text put together once, from what lies between replaced references and what they become."""
+    pairs, pieces = m["pairs"], m["pieces"]
+    own = lambda p: p["pos"] * 2 + 1  # index of a reference among the pieces
+    begin = lambda i: F.when(i == 0, F.lit(0)).otherwise(own(F.get(pairs, i - 1)) + 1)
+    part = lambda a, b: F.array_join(F.slice(pieces, a + 1, b - a), "")
+    done = F.transform(pairs, lambda p, i: F.concat(part(begin(i), own(p)), p["new"]))
+    last = own(F.get(pairs, F.size(pairs) - 1)) + 1
+    return F.concat(F.array_join(done, ""), part(last, F.size(pieces)))
+
+
+def rewrite(docs: DataFrame, replacements: DataFrame, key: str = "doc_id", content: str = "content", pattern: str = REFERENCE) -> DataFrame:
     """``docs`` with each ``old`` replaced by ``new`` once, at its first occurrence, in order of ``pos``.
 
-    ``replacements`` is ``key, pos, old, new``.  Documents without any pass unchanged.
+    ``replacements`` is ``key, pos, old, new``; ``pos`` counts the references that ``pattern`` finds.  Those are found once, and the text is put together once, in time that
+    follows its length; only where a replacement could hit another's text are they made one by one.  Documents without any, and null texts, pass unchanged; of rows that
+    repeat a position each is a replacement; of rows that repeat a key each is rewritten.
     """
-    folded = replacements.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("pos", "old", "new"))).alias("_pairs"))
-    done = F.aggregate(F.coalesce("_pairs", F.array().cast("array<struct<pos:int,old:string,new:string>>")), F.col(content), lambda text, p: replace_first(text, p["old"], p["new"]))
-    return docs.join(folded, key, "left").withColumn(content, done).drop("_pairs")
+    name = "pairs"
+    while name in docs.columns:
+        name += "_"
+    order = F.struct(F.col("pos").cast("int").alias("pos"), "old", "new")
+    folded = replacements.groupBy(key).agg(F.array_sort(F.collect_list(order)).alias(name))
+    text = F.col(content)
+    found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
+    bound = F.struct(F.col(name).alias("pairs"), F.split(text, pattern, -1).alias("between"), found.alias("found"))
+    whole = lambda m: F.struct(m["pairs"].alias("pairs"), m["found"].alias("found"), F.flatten(F.transform(m["between"], lambda b, i: F.array(b, F.coalesce(F.get(m["found"], i), F.lit(""))))).alias("pieces"))
+    done = let(bound, lambda m: F.when(_meet(m, pattern), _one_by_one(text, m["pairs"])).otherwise(let(whole(m), _spliced)))
+    return docs.join(folded, key, "left").withColumn(content, F.when(F.col(name).isNull() | text.isNull(), text).otherwise(done)).drop(name)
 
 
 def export_paths(docs: DataFrame, manifest: DataFrame, cwd: str, key: str = "doc_id", content: str = "content") -> DataFrame:
@@ -133,4 +172,4 @@ def export_paths(docs: DataFrame, manifest: DataFrame, cwd: str, key: str = "doc
     refs = references(docs, key, "path", content=content, pattern=EXPORT_REFERENCE).where(~F.col("url").rlike(r"\Ahttps?://"))
     found = refs.withColumn("_file", local_path(F.col("url"), F.col("path"))).join(manifest.select(F.col("path").alias("_file")).distinct(), "_file", "left_semi")
     new = F.concat(F.lit("!["), F.col("alt"), F.lit("]("), relative_path(F.col("_file"), F.lit(cwd)), F.lit(")"))
-    return rewrite(docs, found.select(key, "pos", F.col("full_match").alias("old"), new.alias("new")), key, content)
+    return rewrite(docs, found.select(key, "pos", F.col("full_match").alias("old"), new.alias("new")), key, content, EXPORT_REFERENCE)
