@@ -3,11 +3,11 @@
 from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
+from functools import cache
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 from pyspark.sql.utils import AnalysisException
 
 #: Which paths each kind of scan takes: lint and export fold case, download and upload do not, translation takes ``.md`` only.
@@ -24,10 +24,36 @@ def takes(path: Column, kind: str) -> Column:
     return path.rlike(PREDICATES[kind])
 
 
-@F.pandas_udf(T.StringType())
-def decode_gbk(raw: Iterator[pd.Series]) -> Iterator[pd.Series]:
-    for s in raw:
-        yield s.map(lambda b: None if b is None else bytes(b).decode("gbk", "replace"))
+#: Lead and trail bytes of double-byte characters.
+LEADS, TRAILS = range(0x81, 0xFF), range(0x40, 0xFF)
+
+
+@cache
+def _gbk() -> tuple[str, str]:
+    """A character for each pair of lead and trail byte, and a pattern of the pairs that are characters; both from the codec, leads of like trails together."""
+    table, like = [], {}
+    for lead in LEADS:
+        trails = ""
+        for trail in TRAILS:
+            char = bytes((lead, trail)).decode("gbk", "replace")
+            table.append(char if len(char) == 1 and char != "\ufffd" else "\ufffd")
+            trails += "" if table[-1] == "\ufffd" else chr(trail)
+        if trails:
+            like.setdefault(trails, []).append(lead)
+    one = lambda codes: "[" + "".join(f"\\x{c:02x}" for c in codes) + "]"
+    return "".join(table), "|".join(one(leads) + one(map(ord, trails)) for trails, leads in like.items())
+
+
+def decode_gbk(raw: Column) -> Column:
+    """Text of double-byte bytes; a byte that begins no character is U+FFFD.
+
+    Bytes become characters of the same numbers, a pattern cuts them into characters, runs of ASCII and other single bytes, and pairs are looked up in a table.
+    """
+    table, pairs = _gbk()
+    cut = F.regexp_extract_all(F.decode(raw, "ISO-8859-1"), F.lit(f"(?s){pairs}|[\\x00-\\x7f]+|."), F.lit(0))
+    place = lambda t: (F.ascii(t) - LEADS[0]) * len(TRAILS) + F.ascii(F.substring(t, 2, 1)) - TRAILS[0]
+    char = lambda t: F.when(F.ascii(t) < 0x80, t).when(F.char_length(t) == 2, F.get(F.split(F.lit(table), ""), place(t))).otherwise(F.lit("\ufffd"))
+    return F.array_join(F.transform(cut, char), "")
 
 
 def decoded(raw: Column) -> Column:
