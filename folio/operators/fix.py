@@ -92,7 +92,8 @@ def fix(docs: DataFrame, rules: Iterable[str] | None = None, content: str = "con
         def run(state: Column, todo: list[str]) -> Column:
             """Fixers one after another, then the formatter: each state is a variable, so the expression stays as long as the list."""
             if not todo:
-                return let(fmt.format_lines(state["ls"]), lambda final: finish(state, final))
+                made = F.when(F.size(issues) > 0, fmt.format_lines(state["ls"])).otherwise(state["ls"])  # without an issue the text stays as it is
+                return let(made, lambda final: finish(state, final))
             now = F.when(F.array_contains(hit, todo[0]), _step(state, todo[0])).otherwise(state)
             return let(now, lambda s: run(s, todo[1:]))
 

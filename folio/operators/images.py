@@ -3,12 +3,9 @@
 from __future__ import annotations
 
 import posixpath
-from collections.abc import Iterator
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from folio.functions.text import clean_path, extension, file_dir, let, replace_first
 
@@ -58,11 +55,19 @@ def image_dir(path: Column, explicit: str | None = None, source_dir: str | None
     return clean_path(F.concat(file_dir(path), F.lit("/images")))
 
 
-@F.pandas_udf(T.StringType())
-def relative_path(parts: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
-    """POSIX path of the first column as seen from the folder in the second."""
-    for target, start in parts:
-        yield pd.Series([None if t is None or s is None else posixpath.relpath(t, s or ".") for t, s in zip(target, start, strict=True)], dtype=object)
+def relative_path(target: Column, start: Column) -> Column:
+    """POSIX path of ``target`` as seen from the folder ``start`` (empty: here), both absolute or both from one place; else ``target`` itself. ``.`` if they are the same."""
+    here = F.when(start == "", F.lit(".")).otherwise(start)
+    parts = lambda c: F.filter(F.split(clean_path(c), "/", -1), lambda p: (p != "") & (p != "."))
+
+    def seen(m: Column) -> Column:
+        to, fro = m["to"], m["fro"]
+        unlike = F.array_position(F.transform(F.arrays_zip(to.alias("a"), fro.alias("b")), lambda x: F.coalesce(x["a"] == x["b"], F.lit(False))), False)
+        same = F.when(unlike > 0, unlike - 1).otherwise(F.size(to)).cast("int")
+        joined = F.array_join(F.concat(F.array_repeat(F.lit(".."), F.size(fro) - same), F.slice(to, same + 1, F.size(to) - same)), "/")
+        return F.when(joined == "", F.lit(".")).otherwise(joined)
+
+    return F.when(F.startswith(target, F.lit("/")) != F.startswith(here, F.lit("/")), clean_path(target)).otherwise(let(F.struct(parts(target).alias("to"), parts(here).alias("fro")), seen))
 
 
 def file_name(url: Column, disposition: Column | None = None) -> Column:

@@ -156,14 +156,14 @@ def call_model(requests: DataFrame, client: Callable[[str], str], request: str =
     """``requests`` with ``response`` and ``error``; ``client`` maps a request body to a response body and runs on the executors.
 
     A request is known by a hash of its body: equal ones are asked once, and none a second time, whatever is read and whatever tasks fail; with ``ledger``, a
-    folder, a later run asks only for what has no answer yet.  At most ``concurrency`` are asked at once, each answer is committed as it comes, and with ``stop`` no
+    folder, a later run asks only for what has no answer yet.  At most ``concurrency`` are asked at once, answers are committed as they come (see ``Ledger``), and with ``stop`` no
     more are begun after the first failure in ``order``.
     """
     body = F.col(request)
     asked = requests.drop("response", "error", "result").select(F.struct("*").alias("row"), body.alias("request"), F.sha2(body, 256).alias("key"), (F.col(order) if order else F.lit("")).alias("order"))
     effects = Ledger(requests.sparkSession, "response string", ledger)
     lane = F.pmod(F.xxhash64("key"), F.lit(concurrency)).cast("string")
-    got = effects.settle(asked, lambda r: {"response": client(r)}, "key", "request", lane, "order", buckets=concurrency, threads=concurrency, seconds=seconds, flush=1, stop=stop)
+    got = effects.settle(asked, lambda r: {"response": client(r)}, "key", "request", lane, "order", buckets=concurrency, threads=concurrency, seconds=seconds, stop=stop)
     return got.select("row.*", "result.response", "error")
 
 

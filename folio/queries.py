@@ -136,6 +136,12 @@ on_md(
 )
 on_md("lint_size_guard", MD + "\nSELECT doc_id, strlen(content) <= 10485760 AS fits FROM md", lambda d: lint.size_guard(d)[0].select("doc_id", F.lit(True).alias("fits")).unionByName(lint.size_guard(d)[1].select("doc_id", F.lit(False).alias("fits"))))
 
+on_md(
+    "lint_size_guard_limit",
+    MD + "\nSELECT doc_id, strlen(content) <= 2000 AS fits FROM md",
+    lambda d: (lambda fit, large: fit.select("doc_id", F.lit(True).alias("fits")).unionByName(large.select("doc_id", F.lit(False).alias("fits"))))(*lint.size_guard(d, limit=2_000)),
+)
+
 # -- fixers -----------------------------------------------------------------------------------------------------------------
 _JOIN = f"string_agg(new, {NL} ORDER BY line_no)"
 

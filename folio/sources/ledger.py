@@ -1,7 +1,7 @@
 """Effects that happen once: requests to the outside, and a table of their results in the shared folder.
 
 A request has a key (an address, or a hash of what is asked).  Keys without a result are dealt to tasks by lane; a task claims its bucket, asks, and commits
-results as Parquet files, a few requests at a time, each under a name of its own and renamed when whole.  A task that runs again reads what its bucket has
+results as Parquet files, those of a fifth of a second at a time, each under a name of its own and renamed when whole.  A task that runs again reads what its bucket has
 committed and asks only for the rest; an attempt whose claim another has taken over stops.  What is read afterwards, however often, is the table.  A ledger
 at a path of one's own can be opened again: what has a result is not asked again, what failed is (``again=False`` keeps failures too).
 
@@ -10,11 +10,13 @@ number of lanes, so a host that holds a third of all addresses is spread, but ne
 
 Defined cases: a null key is never asked and has the error ``nothing to ask``; repeated keys are asked once and share the result; an effect that raises is a result with
 an error, one that takes longer than ``seconds`` has the error ``TimeoutError``; what is left at the deadline is not asked, and has the error ``DeadlineExceeded`` in this run only; an
-empty table asks nothing.  A request in flight when its process dies is asked again, since nobody knows whether it arrived.
+empty table asks nothing.  A request that is in flight, or answered for
+less than that fifth of a second, when its process dies is asked again (with ``flush=1`` only one in flight).
 """
 
 from __future__ import annotations
 
+import contextlib
 import re
 import threading
 import time
@@ -28,8 +30,8 @@ from pyspark.sql import types as T
 
 from folio.sources.shared import shared_dir
 
-#: Results and bytes that a task holds before it commits them.
-FLUSH_ROWS, FLUSH_BYTES = 32, 16 << 20
+#: Results and bytes that a task holds before it commits them, and seconds that a result waits at most.
+FLUSH_ROWS, FLUSH_BYTES, LINGER = 1_000, 16 << 20, 0.2
 #: Files of a bucket after which its small ones are put together.
 FOLD = 256
 #: Seconds between two looks at what other tasks have noted.
@@ -104,7 +106,8 @@ class _Bucket:
         self.run, self.schema, self.flush_rows, self.stop = run, schema, flush, stop
         bucket = f"{run}-{task.partitionId():06d}"
         self.folder, self.claim = f"{self.root}/results/{bucket}", f"{self.root}/claims/{bucket}"
-        self.attempt, self.lock, self.rows, self.held, self.made = uuid.uuid4().hex, threading.Lock(), [], 0, 0
+        self.attempt, self.lock, self.rows, self.held, self.made = uuid.uuid4().hex, threading.RLock(), [], 0, 0
+        self.flushed, self.waiting = time.time(), None
         self.looked, self.first_error = 0.0, None
         _put(self.store, self.claim, self.attempt.encode())
         self.done = self._done()
@@ -126,7 +129,17 @@ class _Bucket:
             if error is not None and self.stop:
                 _put(self.store, f"{self.root}/stops/{self.run}/{uuid.uuid4().hex}", str(order).encode())
                 self.looked = 0.0
-            if len(self.rows) >= self.flush_rows or self.held >= FLUSH_BYTES:
+            self.done.add(key)
+            if len(self.rows) >= self.flush_rows or self.held >= FLUSH_BYTES or time.time() - self.flushed > LINGER:
+                self.flush()
+            elif self.waiting is None:
+                self.waiting = threading.Timer(LINGER, self._late)
+                self.waiting.daemon = True
+                self.waiting.start()
+
+    def _late(self) -> None:
+        with self.lock:
+            with contextlib.suppress(Exception):  # the next one says so
                 self.flush()
 
     def flush(self) -> None:
@@ -135,12 +148,17 @@ class _Bucket:
         import pyarrow.parquet as pq
         from pyspark.sql.pandas.types import to_arrow_schema
 
-        if self.rows:
+        with self.lock:
+            if self.waiting is not None:
+                self.waiting.cancel()
+                self.waiting = None
+            if not self.rows:
+                return
             self.owned()
             out = pa.BufferOutputStream()
             pq.write_table(pa.Table.from_pylist(self.rows, schema=to_arrow_schema(self.schema)), out)
             _put(self.store, f"{self.folder}/{self.attempt}-{self.made:06d}.parquet", out.getvalue().to_pybytes())
-            self.rows, self.held, self.made = [], 0, self.made + 1
+            self.rows, self.held, self.made, self.flushed = [], 0, self.made + 1, time.time()
             if self.made % FOLD == 0:
                 self.fold()
 
@@ -201,12 +219,13 @@ class Ledger:
     def settle(self, asked: DataFrame, effect: Callable, key: str = "key", argument: str | None = None, lane: Column | None = None, order: str | None = None, buckets: int | None = None, threads: int = 5, seconds: float | None = None, deadline: float | None = None, flush: int = FLUSH_ROWS, stop: bool = False, again: bool = True) -> DataFrame:
         """``asked`` with ``result`` (a struct of the effect's columns) and ``error``; every key has been asked when this returns.
 
-        ``effect`` maps the argument (the key, if none is named) to a dictionary of the columns, on the executors. ``order`` is the order within a lane; with
+        ``effect`` maps the argument (the key, if none is named) to a dictionary of the columns, on the executors. ``lane`` depends on the key alone, so that repeated keys meet
+        in one lane, where the first is asked; ``order`` is the order within a lane; with
         ``stop`` what comes after the first failure in that order is left out of asking as soon as tasks hear of it.
         """
         known = (self.rows().where("error IS NULL") if again else self.rows()).select("key").distinct()
         rows = asked.select(F.struct("*").alias("row"), F.col(key).cast("string").alias("key"), F.col(argument or key).alias("argument"), F.coalesce(F.col(order or key).cast("string"), F.lit("")).alias("order"), (lane if lane is not None else F.col(key)).alias("lane"))
-        wanted = rows.where("key IS NOT NULL").groupBy("key").agg(F.min(F.struct("order", "lane", "argument")).alias("x")).select("key", "x.*").join(known, "key", "left_anti")
+        wanted = rows.where("key IS NOT NULL").select("key", "order", "lane", "argument").join(known, "key", "left_anti")
         run, uri, schema, until = uuid.uuid4().hex[:8], self.uri, self.schema, None if deadline is None else time.time() + deadline
         limited = timed(effect, seconds)
 

@@ -95,3 +95,15 @@ def test_upload_plan(spark, tmp_path):
     new, files = download(pages, get)
     assert new.first()["content"].startswith("![x](images/p_") and "![b](https://bad/q)" in new.first()["content"]
     assert [r["file"].endswith(".png") for r in files.collect()] == [True]
+
+
+def test_relative_path(spark):
+    import posixpath
+
+    paths = ["/", "/a", "/a/b/../c", "/a/b", "/ab", "a", "a/b", "./a//c", ".", "b/c/d", "/a/b/c/d"]
+    pairs = [(t, f) for t in paths for f in [*paths, ""] if t.startswith("/") == f.startswith("/")]
+    df = spark.createDataFrame(pairs, "t string, f string")
+    for r in df.select("t", "f", images.relative_path(F.col("t"), F.col("f")).alias("r")).collect():
+        assert r["r"] == posixpath.relpath(r["t"], r["f"] or "."), r
+    assert spark.createDataFrame([("/a/./b", "c"), ("x", "/c")], "t string, f string").select(images.relative_path(F.col("t"), F.col("f"))).collect() == [("/a/b",), ("x",)]
+    assert spark.createDataFrame([(None, "c"), ("x", None)], "t string, f string").select(images.relative_path(F.col("t"), F.col("f"))).collect() == [(None,), (None,)]
