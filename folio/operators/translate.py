@@ -159,12 +159,12 @@ def call_model(requests: DataFrame, client: Callable[[str], str], request: str =
     folder, a later run asks only for what has no answer yet.  At most ``concurrency`` are asked at once, answers are committed as they come (see ``Ledger``), and with ``stop`` no
     more are begun after the first failure in ``order``.
     """
-    body = F.col(request)
-    asked = requests.drop("response", "error", "result").select(F.struct("*").alias("row"), body.alias("request"), F.sha2(body, 256).alias("key"), (F.col(order) if order else F.lit("")).alias("order"))
+    asked = requests.drop("response", "error", "result")
+    named = asked.select(F.struct(*([c for c in asked.columns if c != request] or [F.lit(0).alias("none")])).alias("row"), F.col(request).alias("request"), F.sha2(F.col(request), 256).alias("key"), (F.col(order) if order else F.lit("")).alias("order"))
     effects = Ledger(requests.sparkSession, "response string", ledger)
     lane = F.pmod(F.xxhash64("key"), F.lit(concurrency)).cast("string")
-    got = effects.settle(asked, lambda r: {"response": client(r)}, "key", "request", lane, "order", buckets=concurrency, threads=concurrency, seconds=seconds, stop=stop)
-    return got.select("row.*", "result.response", "error")
+    got = effects.settle(named, lambda r: {"response": client(r)}, "key", "request", lane, "order", buckets=concurrency, threads=concurrency, seconds=seconds, stop=stop)
+    return got.select(*[F.col("request").alias(c) if c == request else F.col("row")[c].alias(c) for c in asked.columns], "result.response", "error")
 
 
 def output(yaml: Column, body: Column) -> Column:

@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from folio.sources.shared import shared_dir
+from folio.sources.shared import settled, shared_dir
 
 #: Results and bytes that a task holds before it commits them, and seconds that a result waits at most.
 FLUSH_ROWS, FLUSH_BYTES, LINGER = 1_000, 16 << 20, 0.2
@@ -224,7 +224,12 @@ class Ledger:
         ``stop`` what comes after the first failure in that order is left out of asking as soon as tasks hear of it.
         """
         known = (self.rows().where("error IS NULL") if again else self.rows()).select("key").distinct()
-        rows = asked.select(F.struct("*").alias("row"), F.col(key).cast("string").alias("key"), F.col(argument or key).alias("argument"), F.coalesce(F.col(order or key).cast("string"), F.lit("")).alias("order"), (lane if lane is not None else F.col(key)).alias("lane"))
+        name = argument or key
+        rest = [F.col(c) for c in asked.columns if c != name]
+        row = F.struct(*rest) if rest else F.lit(None).cast("struct<none:int>")
+        lane = lane if lane is not None else F.col(key)
+        # written, since what is asked is read twice, and so that its columns are computed once
+        rows = settled(asked.select(row.alias("row"), F.col(key).cast("string").alias("key"), F.col(name).alias("argument"), F.coalesce(F.col(order or key).cast("string"), F.lit("")).alias("order"), lane.cast("string").alias("lane")))
         wanted = rows.where("key IS NOT NULL").select("key", "order", "lane", "argument").join(known, "key", "left_anti")
         run, uri, schema, until = uuid.uuid4().hex[:8], self.uri, self.schema, None if deadline is None else time.time() + deadline
         limited = timed(effect, seconds)
@@ -260,4 +265,5 @@ class Ledger:
         dealt.mapInPandas(ask, "n long").write.format("noop").mode("overwrite").save()
         got = self.results().select("key", F.struct(*self.columns.names).alias("result"), "error", F.lit(True).alias("settled"))
         none = F.when(F.col("key").isNull(), "nothing to ask").when(F.col("settled").isNull(), "not asked: after a failure" if stop else "DeadlineExceeded: not asked")
-        return rows.select("row", "key").join(got, "key", "left").select("row.*", "result", F.coalesce("error", none).alias("error"))
+        back = [F.col("argument").alias(c) if c == name else F.col("row")[c].alias(c) for c in asked.columns]
+        return rows.select("row", "key", "argument").join(got, "key", "left").select(*back, "result", F.coalesce("error", none).alias("error"))
