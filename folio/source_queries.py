@@ -187,15 +187,38 @@ on_md(
 )
 
 
-def _file(rows: DataFrame, column: str, separator: str = "") -> DataFrame:
-    """Ordered rows written as one file and read again as one row."""
+BLOCK = 1 << 20
+
+
+def _file(rows: DataFrame, separator: str = "") -> DataFrame:
+    """Ordered rows written as one file, of which tasks read every block again: ``block, bytes, md5``."""
     spark, path = rows.sparkSession, f"{shared_dir(rows.sparkSession)}/file-{uuid.uuid4().hex[:12]}.md"
-    compose(rows, path, separator=separator)
-    return spark.read.text(path, wholetext=True).select(F.col("value").alias(column))
+    size = compose(rows, path, separator=separator)
+
+    def run(batches):
+        import hashlib
+
+        import pandas as pd
+
+        store, at = objects.open_store(path)
+        with store.open_input_file(at) as f:
+            for pdf in batches:
+                for i in pdf["id"].tolist():
+                    f.seek(i * BLOCK)
+                    data = f.read(BLOCK)
+                    yield pd.DataFrame({"block": [i], "bytes": [len(data)], "md5": [hashlib.md5(data).hexdigest()]})
+
+    return spark.range(-(-size // BLOCK)).mapInPandas(run, "block long, bytes long, md5 string")
+
+
+def _blocks(sql: str, column: str) -> str:
+    """The same of the one row of ``sql``."""
+    return f"""SELECT block, octet_length(b)::BIGINT AS bytes, md5(b) AS md5 FROM (SELECT i AS block, array_slice(e, i * {BLOCK} + 1, (i + 1) * {BLOCK}) AS b
+FROM (SELECT e, unnest(range(0, (octet_length(e) + {BLOCK - 1}) // {BLOCK})) AS i FROM (SELECT encode({column}) AS e FROM ({sql}))))"""
 
 
-on_md("merge_file", SQL["merge_documents"], lambda d: _file(merge.merge_rows(d, order="path"), "merged", "\n\n"))
-on_pages("llms_file", SQL["llms_txt"], lambda p: _file(llms.render_rows(llms.page_rows(p)), "report"))
+on_md("merge_file", _blocks(SQL["merge_documents"], "merged"), lambda d: _file(merge.merge_rows(d, order="path"), "\n\n"))
+on_pages("llms_file", _blocks(SQL["llms_txt"], "report"), lambda p: _file(llms.render_rows(llms.page_rows(p))))
 
 
 def _image(url: str) -> dict:
