@@ -53,7 +53,7 @@ def _chunks(store, at: str) -> Iterator[bytes]:
 
 
 def _place(uri: str, target: str, separator: bytes):
-    """Copies parts to their offsets in a file that is there already."""
+    """Moves parts to their offsets in a file that is there already; a part in place is marked so and deleted, so the whole and its parts are not on disk twice."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         store, folder = open_store(uri)
@@ -61,6 +61,8 @@ def _place(uri: str, target: str, separator: bytes):
             out = os.open(target, os.O_WRONLY)
             try:
                 for name, offset in zip(pdf["name"], pdf["offset"], strict=True):
+                    if store.get_file_info(f"{folder}/{name}.placed").is_file:
+                        continue
                     at = int(offset)
                     if at:
                         os.pwrite(out, separator, at - len(separator))
@@ -68,6 +70,9 @@ def _place(uri: str, target: str, separator: bytes):
                         while data:
                             done = os.pwrite(out, data, at)
                             at, data = at + done, data[done:]
+                    os.fsync(out)
+                    store.open_output_stream(f"{folder}/{name}.placed").close()  # from here on the part isn't needed
+                    store.delete_file(f"{folder}/{name}")
             finally:
                 os.close(out)
             yield pdf[["name"]]
