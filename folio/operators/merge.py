@@ -109,9 +109,9 @@ def merge(docs: DataFrame, shift: int = 0, file_as_title: bool = False, order: s
 def merge_rows(docs: DataFrame, shift: int = 0, file_as_title: bool = False, order: str = "ord", content: str = "content", path: str = "path", sanitised: int = 1) -> DataFrame:
     """``ord, text`` in order: the rows that ``merge`` puts into one, for merged documents beyond one task; null content gives none.
 
-    They are dealt by ranges, so written as text with two line feeds as ``lineSep`` the parts are the merged document, which then ends in two more.
+    They are dealt by ranges of the order, whose sample holds no text, so written as text with two line feeds as ``lineSep`` the parts are the merged document, which then ends in two more.
     """
-    return _shares(docs, shift, file_as_title, order, content, path, sanitised).where("text IS NOT NULL").orderBy(F.col("ord").asc_nulls_first(), "text")
+    return _shares(docs, shift, file_as_title, order, content, path, sanitised).where("text IS NOT NULL").repartitionByRange(F.col("ord").asc_nulls_first()).sortWithinPartitions(F.col("ord").asc_nulls_first(), "text")
 
 
 def source_dirs(docs: DataFrame, order: str = "ord", path: str = "path") -> DataFrame:
