@@ -1,14 +1,13 @@
-"""Embedding near-dedup by a subspace pigeonhole join.
+"""Embedding near-dedup by a subspace bound, chunk against chunk.
 
-Unit vectors of cosine ``t`` or more are at squared distance ``2 - 2 t`` or less.  They are rotated (a fixed orthogonal
-matrix, so that no coordinate is special) and split into blocks of coordinates; a block's budget is its share, by its number of coordinates, of that
-squared distance.  A linked pair is within the budget in one block at least.  So each block is range-joined by itself: vectors
-are dealt to cells of the width of the block's radius along its first coordinate, and a cell meets itself and the next one.  What is
-within the budget in a block is a candidate; a pair belongs to the first block in which it is one, so the union holds it once, and it is a
-link if the cosine of the two vectors as given, in double precision, reaches the threshold.
+Unit vectors are rotated (a fixed orthogonal matrix, so that no coordinate is special).  The product of two of them is at most the product of their first halves
+plus the product of the lengths of their second halves, so one matrix product over half of the coordinates and that length, in single precision
+with room for its rounding, leaves as candidates every pair that links and few others; where vectors are sorted along the first coordinate, what is too far there is not multiplied.
+A candidate is a link if the cosine of the two vectors as given, in double precision, reaches the threshold.  With ``block_dims`` the rotated coordinates
+are split into blocks, of which a linked pair is near in one at least, and it belongs to the first such block.
 
-Equal vectors are one, with a weight.  A cell of more than ``chunk`` vectors is dealt into chunks which meet in pairs, so a task
-holds two chunks at most, and never their links, which are added up a tile at a time.  Tasks return, per vector, the weight it is linked to, and only those links that join components;
+Equal vectors are one, with a weight.  Vectors are dealt to chunks, each a file of the shared folder, and tasks read two chunks at a time, so no vector is shuffled more than once and
+a task holds two chunks at most, and never their links, which are added up a tile at a time.  Tasks return, per vector, the weight it is linked to, and only those links that join components;
 pairs are never rows.
 
 Defined cases: vectors that are null, empty, zero, or hold null or non-finite components link with nothing and are kept; so do
@@ -24,13 +23,18 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from folio.llm.components import components
+from folio.llm.files import open_store, put, take
 from folio.llm.scratch import Scratch, partitions
 
 NO_ID = (1 << 63) - 1
-#: Vectors of a chunk, and the sides of a tile of distances.
+#: Vectors of a chunk, and the sides of a tile of products.
 CHUNK, TILE = 32_768, 2_048
+#: Chunks of fewer vectors, as long as there are no more than this, so that small tables are work for several tasks too.
+SPREAD = 8
 #: Room for rounding in filters, which only admit candidates; far above the error of the sums it covers.
 SLACK = 1e-9
+#: The same for products in single precision, a term of the sum.
+ROUNDING = 4e-7
 
 
 def rotation(dim: int, seed: int = 7) -> np.ndarray:
@@ -58,57 +62,64 @@ def unit(x: np.ndarray) -> np.ndarray:
     return x / np.sqrt((x * x).sum(axis=1))[:, None]
 
 
-def cells(vectors: DataFrame, block_dims: int, threshold: float) -> DataFrame:
-    """``node, dim, block, cell`` of each vector, a row for each block."""
-
-    def run(batches):
-        import pyarrow as pa
-
-        for batch in batches:
-            dims = batch.column(1).to_numpy()
-            for dim in np.unique(dims):
-                part = batch.filter(pa.array(dims == dim))
-                z = unit(unpack(part.column(2).to_pylist(), int(dim))) @ rotation(int(dim))
-                node = part.column(0).to_numpy()
-                for k, (s, b) in enumerate(zip(splits(int(dim), block_dims), budgets(int(dim), block_dims, threshold), strict=True)):
-                    cell = np.floor(z[:, s.start] / np.sqrt(b)).astype(np.int64)
-                    yield pa.RecordBatch.from_arrays([pa.array(node), pa.array(np.full(len(node), dim, np.int64)), pa.array(np.full(len(node), k, np.int64)), pa.array(cell)], names=["node", "dim", "block", "cell"])
-
-    return vectors.select("node", "dim", "raw").mapInArrow(run, "node long, dim long, block long, cell long")
+class Side:
+    """Vectors prepared for one block, in the order of its first coordinate."""
+
+    def __init__(self, x: np.ndarray, block: int, block_dims: int, threshold: float):
+        dim = x.shape[1]
+        u = unit(x)
+        z = u @ rotation(dim)
+        self.parts, self.limits = splits(dim, block_dims), budgets(dim, block_dims, threshold)
+        first = z[:, self.parts[block].start]
+        self.order = np.argsort(first, kind="stable")
+        self.u, self.first = u[self.order], first[self.order]
+        self.z = z[self.order] if len(self.parts) > 1 else None  # else the cosine decides by itself
+        own = z[self.order, self.parts[block]]
+        half = (own.shape[1] + 1) // 2
+        square, rest, one = (own * own).sum(axis=1), np.sqrt((own[:, half:] ** 2).sum(axis=1)), np.ones(len(x))
+        # left @ right.T is at least minus half of the squared distance in the block
+        self.left = np.column_stack([own[:, :half], rest, square, one]).astype(np.float32)
+        self.right = np.column_stack([own[:, :half], rest, -0.5 * one, -0.5 * square]).astype(np.float32)
+
+
+def links_between(x: Side, y: Side, block: int, threshold: float):
+    """Linked index pairs of two sides that belong to ``block``, in batches ``(a, b)``; of a side with itself, each pair once."""
+    limit, same = x.limits[block], x is y
+    least, r = -limit / 2 - ROUNDING * (x.left.shape[1] + 8), np.sqrt(limit)
+    for lo in range(0, len(x.u), TILE):
+        hi = min(lo + TILE, len(x.u))
+        # beyond these the first coordinate alone is too far
+        begin = lo if same else int(np.searchsorted(y.first, x.first[lo] - r, side="left"))
+        end = int(np.searchsorted(y.first, x.first[hi - 1] + r, side="right"))
+        for at in range(begin, end, TILE):
+            product = x.left[lo:hi] @ y.right[at : min(at + TILE, end)].T
+            some = np.flatnonzero(product.max(axis=1) >= least)
+            if not len(some):
+                continue
+            a, b = np.nonzero(product[some] >= least)
+            a, b = some[a] + lo, b + at
+            if same:
+                a, b = a[a < b], b[a < b]
+            for k in range(0, len(a), 1 << 16):
+                p, q = a[k : k + (1 << 16)], b[k : k + (1 << 16)]
+                if x.z is not None:
+                    d = (x.z[p] - y.z[q]) ** 2
+                    mine = d[:, x.parts[block]].sum(axis=1) <= limit
+                    for e in range(block):
+                        mine &= d[:, x.parts[e]].sum(axis=1) > x.limits[e]
+                    p, q = p[mine], q[mine]
+                hit = (x.u[p] * y.u[q]).sum(axis=1) >= threshold
+                if hit.any():
+                    yield x.order[p[hit]], y.order[q[hit]]
 
 
 def links_of(x: np.ndarray, block: int, block_dims: int, threshold: float, role: np.ndarray):
     """Linked index pairs that belong to ``block``, in batches ``(a, b)``; roles 0 (home) meet home and guests (1), guests not each other."""
-    dim = x.shape[1]
-    u = unit(x)
-    z = u @ rotation(dim)
-    parts, limit = splits(dim, block_dims), budgets(dim, block_dims, threshold)
-    own = z[:, parts[block]]
-    order = np.argsort(own[:, 0], kind="stable")
-    u, z, own, role = u[order], z[order], own[order], role[order]
-    first, r = own[:, 0], np.sqrt(limit[block])
-    norms = (own * own).sum(axis=1)
-    for lo in range(0, len(u), TILE):
-        hi = min(lo + TILE, len(u))
-        end = int(np.searchsorted(first, first[hi - 1] + r, side="right"))  # beyond it the first coordinate alone is too far
-        for at in range(lo, end, TILE):
-            to = min(at + TILE, end)
-            near = norms[lo:hi, None] + norms[None, at:to] - 2 * own[lo:hi] @ own[at:to].T <= limit[block] + SLACK
-            a, b = np.nonzero(near)
-            a, b = a + lo, b + at
-            keep = (a < b) & ((role[a] == 0) | (role[b] == 0))
-            a, b = a[keep], b[keep]
-            for k in range(0, len(a), 1 << 16):
-                p, q = a[k : k + (1 << 16)], b[k : k + (1 << 16)]
-                d = (z[p] - z[q]) ** 2
-                mine = np.ones(len(p), bool)
-                for e in range(block):
-                    mine &= d[:, parts[e]].sum(axis=1) > limit[e]
-                mine &= d[:, parts[block]].sum(axis=1) <= limit[block]
-                p, q = p[mine], q[mine]
-                hit = (u[p] * u[q]).sum(axis=1) >= threshold
-                if hit.any():
-                    yield order[p[hit]], order[q[hit]]
+    side = Side(x, block, block_dims, threshold)
+    for a, b in links_between(side, side, block, threshold):
+        meet = (role[a] == 0) | (role[b] == 0)
+        if meet.any():
+            yield a[meet], b[meet]
 
 
 def hook(root: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -126,74 +137,76 @@ def hook(root: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
 FOUND = "node long, linked long, other long"
 
 
-def join_cells(dealt: DataFrame, block_dims: int, threshold: float, parts: int) -> DataFrame:
-    """Per vector and group: the weight it is linked to there, and a link into its component (null if it is the root)."""
-    group = ["dim", "block", "cell", "p", "q"]
+def write_chunks(dealt: DataFrame, uri: str, parts: int) -> DataFrame:
+    """``dim, sub, n`` of the files that hold the vectors of each chunk."""
 
     def run(batches):
         import pyarrow as pa
 
-        key, node, weight, role, raw = None, [], [], [], []
+        store, root = open_store(uri, create=True)
+        key, held = None, []
 
         def flush():
-            if len(node) < 2 or key is None:
-                return None
-            x, w, r, ids = unpack(raw, key[0]), np.array(weight, np.int64), np.array(role, np.int8), np.array(node, np.int64)
-            n, root = np.zeros(len(ids), np.int64), np.arange(len(ids))
-            for a, b in links_of(x, key[1], block_dims, threshold, r):  # links are many where vectors are dense, so each batch is added up at once
-                if key[3] != key[4]:  # two chunks: what is inside one of them belongs to its own group
-                    apart = (r[a] >= 2) != (r[b] >= 2)
-                    a, b = a[apart], b[apart]
-                np.add.at(n, a, w[b])
-                np.add.at(n, b, w[a])
-                root = hook(root, a, b)
-            some = np.flatnonzero(n)
-            if not len(some):
-                return None
-            other = pa.array(ids[root[some]], mask=root[some] == some)
-            return pa.RecordBatch.from_arrays([pa.array(ids[some]), pa.array(n[some]), other], names=["node", "linked", "other"])
+            node, weight = (np.concatenate([h[k] for h in held]).astype("<i8") for k in (0, 1))
+            put(store, f"{root}/{key[0]}-{key[1]}", len(node).to_bytes(8, "little"), node.tobytes(), weight.tobytes(), *(r for h in held for r in h[2]))
+            return pa.RecordBatch.from_arrays([pa.array([v], pa.int64()) for v in (*key, len(node))], names=["dim", "sub", "n"])
+
+        for batch in batches:
+            dim, sub, node, weight = (batch.column(i).to_numpy() for i in range(4))
+            cuts = [0, *(np.flatnonzero((np.diff(dim) != 0) | (np.diff(sub) != 0)) + 1).tolist(), len(dim)]
+            for lo, hi in zip(cuts[:-1], cuts[1:], strict=True):
+                if lo == hi:
+                    continue
+                if held and key != (dim[lo], sub[lo]):
+                    yield flush()
+                    held = []
+                key = (int(dim[lo]), int(sub[lo]))
+                held.append((node[lo:hi].copy(), weight[lo:hi].copy(), batch.column(4).slice(lo, hi - lo).to_pylist()))
+        if held:
+            yield flush()
+
+    return dealt.select("dim", "sub", "node", "weight", "raw").repartition(parts, "dim", "sub").sortWithinPartitions("dim", "sub").mapInArrow(run, "dim long, sub long, n long")
+
+
+def join_chunks(pairs: DataFrame, uri: str, block_dims: int | None, threshold: float) -> DataFrame:
+    """Per vector and pair of chunks: the weight it is linked to there, and a link into its component (null if it is the root)."""
+
+    def run(batches):
+        import pyarrow as pa
+
+        store, root_dir = open_store(uri)
+
+        def read(dim: int, sub: int):
+            data = take(store, f"{root_dir}/{dim}-{sub}")
+            n = int.from_bytes(data[:8], "little")
+            ids = np.frombuffer(data, "<i8", 2 * n, 8)
+            return ids[:n], ids[n:], np.frombuffer(data, "<f8", n * dim, 8 + 16 * n).reshape(n, dim)
 
         for batch in batches:
-            columns = [batch.column(i).to_pylist() for i in range(batch.num_columns)]
-            for d, b, c, p, q, ro, no, we, ra in zip(*columns, strict=True):
-                if (d, b, c, p, q) != key:
-                    if (out := flush()) is not None:
-                        yield out
-                    key = (d, b, c, p, q)
-                    node, weight, role, raw = [], [], [], []
-                node.append(no)
-                weight.append(we)
-                role.append(ro)
-                raw.append(ra)
-        if (out := flush()) is not None:
-            yield out
-
-    return dealt.select(*group, "role", "node", "weight", "raw").repartition(parts, *group).sortWithinPartitions(*group, "role", "node").mapInArrow(run, FOUND)
-
-
-def meetings(cells: DataFrame) -> DataFrame:
-    """Which chunk of which cell goes to which groups: rows ``dim, block, cell, sub, g_cell, p, q, role`` from ``dim, block, cell, subs``.
-
-    A cell and the next one make one group if each fits in a chunk; else the chunks of both meet in pairs that hold
-    one of the cell's own, the second chunk of a pair marked by 2 in the role.
-    """
-    after = cells.select("dim", "block", (F.col("cell") - 1).alias("cell"), F.col("subs").alias("guests"))
-    every = cells.join(after, ["dim", "block", "cell"], "left").withColumn("guests", F.coalesce("guests", F.lit(0).cast("long")))
-    n = lambda x: F.lit(x).cast("long")
-    place = lambda cell, sub, p, q, role: F.struct(cell.alias("cell"), sub.alias("sub"), F.col("g_cell"), p.alias("p"), q.alias("q"), role.alias("role"))
-    every = every.withColumnRenamed("cell", "g_cell")
-    own, next_ = F.col("g_cell"), F.col("g_cell") + 1
-    whole = (F.col("subs") == 1) & (F.col("guests") <= 1)
-    together = F.when(F.col("guests") == 1, F.array(place(own, n(0), n(0), n(0), n(0)), place(next_, n(0), n(0), n(0), n(1)))).otherwise(F.array(place(own, n(0), n(0), n(0), n(0))))
-    one = every.where(whole).select("dim", "block", F.explode(together).alias("g"))
-    p, q = F.col("p"), F.col("q")
-    second = F.when(q < F.col("subs"), place(own, q, p, q, n(2))).otherwise(place(next_, q - F.col("subs"), p, q, n(3)))
-    pairs = every.where(~whole).withColumn("p", F.explode(F.sequence(n(0), F.col("subs") - 1))).withColumn("q", F.explode(F.sequence(p, F.col("subs") + F.col("guests") - 1)))
-    two = pairs.select("dim", "block", F.explode(F.when(q == p, F.array(place(own, p, p, q, n(0)))).otherwise(F.array(place(own, p, p, q, n(0)), second))).alias("g"))
-    return one.unionByName(two).select("dim", "block", "g.*")
-
-
-def near_dedup(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", threshold: float = 0.95, block_dims: int = 16, chunk: int = CHUNK, scratch: Scratch | None = None) -> DataFrame:
+            for dim, p, q in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
+                node, w, x = read(dim, p)
+                here = len(node)
+                if p != q:
+                    node_q, w_q, y = read(dim, q)
+                    node, w = np.concatenate([node, node_q]), np.concatenate([w, w_q])
+                n, root, width = np.zeros(len(node), np.int64), np.arange(len(node)), block_dims or dim
+                for block in range(len(splits(dim, width))):
+                    left = Side(x, block, width, threshold)
+                    right = left if p == q else Side(y, block, width, threshold)
+                    for a, b in links_between(left, right, block, threshold):  # links are many where vectors are dense, so each batch is added up at once
+                        if p != q:
+                            b = b + here
+                        np.add.at(n, a, w[b])
+                        np.add.at(n, b, w[a])
+                        root = hook(root, a, b)
+                some = np.flatnonzero(n)
+                if len(some):
+                    yield pa.RecordBatch.from_arrays([pa.array(node[some]), pa.array(n[some]), pa.array(node[root[some]], mask=root[some] == some)], names=["node", "linked", "other"])
+
+    return pairs.select("dim", "p", "q").mapInArrow(run, FOUND)
+
+
+def near_dedup(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", threshold: float = 0.95, block_dims: int | None = None, chunk: int = CHUNK, scratch: Scratch | None = None) -> DataFrame:
     """``vec_id, n_links, component_id, kept`` for each row."""
     spark = vectors.sparkSession
     scratch, parts = scratch or Scratch(spark, "vectors"), partitions(spark)
@@ -217,13 +230,16 @@ def near_dedup(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "em
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), pa.array(raw, pa.binary())], names=["node", "dim", "weight", "raw"])
 
     packed = scratch.keep(classes.select("node", "dim", "weight", "v").mapInArrow(to_bytes, "node long, dim long, weight long, raw binary"), "packed")
-    placed = scratch.keep(cells(packed, block_dims, threshold), "cells")
-    counts = placed.groupBy("dim", "block", "cell").agg(F.count(F.lit(1)).alias("n"))
-    subs = scratch.keep(counts.select("dim", "block", "cell", F.ceil(F.col("n") / F.lit(chunk)).cast("long").alias("subs")), "subs")
-    dealt = placed.join(subs, ["dim", "block", "cell"]).withColumn("sub", F.pmod(F.xxhash64("node"), F.col("subs"))).drop("subs")
-    dealt = dealt.join(meetings(subs), ["dim", "block", "cell", "sub"]).select("node", "dim", "block", F.col("g_cell").alias("cell"), "p", "q", "role")
-    dealt = dealt.join(packed.drop("dim").hint("merge"), "node")
-    found = scratch.keep(join_cells(dealt, block_dims, threshold, parts), "found")
+    counts = packed.groupBy("dim").agg(F.count(F.lit(1)).alias("n"))
+    few = F.least(F.lit(SPREAD), F.ceil(F.col("n") / F.lit(TILE)))
+    subs = counts.select("dim", F.greatest(F.ceil(F.col("n") / F.lit(chunk)), few).cast("long").alias("subs"))
+    dealt = packed.join(F.broadcast(subs), "dim").withColumn("sub", F.pmod(F.xxhash64("node"), F.col("subs")))  # a row for each length of vectors is sent
+    uri = scratch.path("chunks")
+    chunks = scratch.keep(write_chunks(dealt, uri, parts), "written")
+    scratch.drop("packed")
+    ends = chunks.select("dim", F.col("sub").alias("p")).join(chunks.select("dim", F.col("sub").alias("q")), "dim").where("p <= q")
+    pairs = scratch.keep(ends.coalesce(1), "pairs")  # three numbers for two chunks
+    found = scratch.keep(join_chunks(pairs.coalesce(1).repartition(max(1, min(pairs.count(), 8 * parts))), uri, block_dims, threshold), "found")
     linked = found.groupBy("node").agg(F.sum("linked").alias("linked"))
     reached = components(found.where("other IS NOT NULL").select(F.col("node").alias("a"), F.col("other").alias("b")), scratch)
     ids = classes.join(linked, "node", "left").join(reached, "node", "left").withColumn("component", F.coalesce("component", "node"))

@@ -256,3 +256,36 @@ def test_conversations_view(spark, sf_dir):
             assert r["valid"] == ((size % 5 > 0) if call["name"] == "rewrite" else size % 7 <= 5)
             reply = source.get((r["conv_id"], r["turn"] + 1))
             assert r["link"] == ("linked" if reply and reply["role"] == "assistant" else "unanswered")
+
+
+# -- vectors at size --------------------------------------------------------------------------------------------------------------
+def test_half_of_the_coordinates_leaves_few_candidates_and_every_link():
+    rng = np.random.default_rng(5)
+    x = rng.standard_normal((3000, 64))
+    x[1::10] = x[::10] + rng.standard_normal((300, 64)) * 0.25  # about the threshold
+    side = vectors.Side(x, 0, 64, 0.95)
+    u = vectors.unit(x)[side.order]
+    links = np.triu(u @ u.T >= 0.95, 1)
+    least = -side.limits[0] / 2 - vectors.ROUNDING * (side.left.shape[1] + 8)
+    near = np.triu(side.left @ side.right.T >= least, 1)
+    assert 50 < links.sum() < 300 and not (links & ~near).any()
+    assert near.sum() < 400  # of 4.5 million pairs
+    got = {tuple(sorted(map(int, p))) for a, b in vectors.links_between(side, side, 0, 0.95) for p in zip(a, b, strict=True)}
+    assert got == {tuple(sorted(map(int, side.order[list(p)]))) for p in zip(*np.nonzero(links), strict=True)}
+
+
+def test_a_vector_lies_in_one_chunk(spark):
+    """However many chunks it meets, it is written once; before, it was sent to two groups of every block and to each pair of chunks there."""
+    from pathlib import Path
+    from urllib.parse import urlparse
+
+    from folio.llm.scratch import Scratch
+
+    rng, scratch = np.random.default_rng(6), Scratch(spark, "one_chunk")
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(rng.standard_normal((60, 8)))], "vec_id long, embedding array<double>")
+    vectors.near_dedup(df, chunk=10, scratch=scratch).collect()
+    nodes = []
+    for f in Path(urlparse(scratch.path("chunks")).path).iterdir():
+        data = f.read_bytes()
+        nodes += np.frombuffer(data, "<i8", int.from_bytes(data[:8], "little"), 8).tolist()
+    assert len(nodes) == len(set(nodes)) == 60
