@@ -183,3 +183,33 @@ def test_command(spark):
     report, errors = llms_txt(spark, bodies, "m", get)
     assert report.first()["report"].count("- [") == 2
     assert [(r["url"], r["error"]) for r in errors.collect()] == [("https://x/a/2", "status 404")]
+
+
+CUT = '<title>A&amp;B &notit; &lt &#65 &amp</title><article><h1>A&amp;&amp</h1><p>&copy; &copy</article>'
+
+
+def test_references_without_semicolon(spark):
+    """As browsers read them, or, as the SQL of the queries does, only those that are closed."""
+    assert [x[0] for x in html.read(pa.array([CUT]), "title", "content")] == ["A&B ¬it; < A &", "# A&&\n\n© ©\n\n"]
+    assert [x[0] for x in html.read(pa.array([CUT]), "title", "content", closed=True)] == ["A&B &notit; &lt &#65 &amp", "# A&&amp\n\n© &copy\n\n"]
+
+
+@pytest.mark.parametrize("name", ["page_title", "page_content", "page_rows", "llms_rows", "llms_txt_full"])
+def test_cut_titles_as_in_sql(spark, tmp_path, name):
+    import duckdb
+
+    from folio.queries import QUERIES, SQL
+
+    pages = [(i, f"https://x/{i % 3}/p{i}", f"<title>t{i} &amp;&amp</title><article><h1>t{i} &amp;&amp</h1><p>w &amp; {'&amp' * (i % 2)}</p></article>") for i in range(1, 9)]
+    spark.createDataFrame(pages, "page_id long, url string, html string").write.parquet(str(tmp_path / "pages.parquet"))
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW pages AS SELECT * FROM '{tmp_path}/pages.parquet/*.parquet'")
+    df = QUERIES[name](spark, str(tmp_path))
+    picked = ", ".join(f'"{c}"' for c in df.columns)
+    text = lambda rows: sorted(tuple(map(str, r)) for r in rows)
+    assert text(df.collect()) == text(con.execute(f"SELECT {picked} FROM ({SQL[name]})").fetchall())
+
+
+def test_a_piece_holds_its_own_bytes():
+    pages = pa.array([f"<title>{i}</title>" + "x" * 1000 for i in range(50)])
+    assert len(html.Index(pages.slice(10, 3)).bytes) == sum(len(p) for p in pages.slice(10, 3).to_pylist())
