@@ -105,3 +105,30 @@ def test_a_failing_job_is_aborted(spark, tmp_path):
     with pytest.raises(Exception, match="no row"):
         objects.write_objects(bad, tmp_path.as_uri())
     assert held(tmp_path) == {}
+
+
+def test_manifests_and_folders_are_read_piece_by_piece(spark, tmp_path, monkeypatch):
+    """Neither the lines of an attempt nor the entries of a folder are held as one list."""
+    from itertools import islice
+
+    staged, written = [], []
+    real, n = objects.write_file, 500
+
+    def watch(store, at, chunks, metadata=None):
+        chunks = list(chunks) if not at.endswith(objects.MANIFEST) else (written.append(len(staged)) or c for c in chunks)
+        staged.append(at)
+        return real(store, at, chunks, metadata)
+
+    monkeypatch.setattr(objects, "write_file", watch)
+    message = writer(tmp_path).write(iter(rows(n)))
+    assert written[0] < n and len(written) == n  # the first line is written while most objects are to come
+    writer(tmp_path).commit([message])
+    publishing = objects.publish_attempt(tmp_path.as_uri(), "j", message.attempt)
+    assert len(list(islice(publishing, 3))) == 3
+    publishing.close()
+    assert objects.recover(spark, tmp_path.as_uri()) == ["j"]
+    store, root = objects.open_store(tmp_path.as_uri())
+    found = objects.entries(store, f"{root}/k1")
+    assert iter(found) is found and sum(name.endswith(".meta") for name, *_ in found) == len([i for i in range(n) if i % 3 == 1])
+    assert list(objects.entries(store, f"{root}/none")) == []
+    assert objects.listed(spark, tmp_path.as_uri()).count() == n
