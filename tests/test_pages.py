@@ -213,3 +213,15 @@ def test_cut_titles_as_in_sql(spark, tmp_path, name):
 def test_a_piece_holds_its_own_bytes():
     pages = pa.array([f"<title>{i}</title>" + "x" * 1000 for i in range(50)])
     assert len(html.Index(pages.slice(10, 3)).bytes) == sum(len(p) for p in pages.slice(10, 3).to_pylist())
+
+
+def test_few_pages_are_handed_over_at_once(spark):
+    """Whatever the number of pages, a worker holds no more than 1,000 of them."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    try:
+        spark.conf.set(key, 10_000)
+        llms.page_rows(spark.createDataFrame([(1, "https://x/a", "<p>x")], "page_id long, url string, html string"))
+        assert int(spark.conf.get(key)) == 1_000
+    finally:
+        spark.conf.set(key, before)
