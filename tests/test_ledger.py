@@ -219,3 +219,30 @@ def test_an_attempt_whose_claim_is_taken_stops(spark, tmp_path):
 
     with pytest.raises(Exception, match="has taken over"):
         Ledger(spark, "answer string", at.as_uri()).settle(spark.createDataFrame([("a",)], "key string"), steal)
+
+
+def test_what_is_asked_goes_out_in_waves(spark, tmp_path, monkeypatch):
+    """However much is asked, a task is handed a bounded part of it at once; repeated keys are asked once over all waves, failing ones too, and with ``stop`` waves follow the order."""
+    from folio.sources import ledger
+
+    seen = tmp_path / "seen"
+    seen.mkdir()
+
+    def effect(k):
+        (seen / uuid.uuid4().hex).write_text(k)
+        if int(k[1:].split("-")[0]) % 7 == 3:
+            raise OSError("no")
+        return {"answer": k}
+
+    sizes, real = [], ledger._waves
+    monkeypatch.setattr(ledger, "WAVE_BYTES", 1)
+    monkeypatch.setattr(ledger, "_waves", lambda files, most: sizes.append([len(w) for w in real(files, most)]) or real(files, most))
+    df = spark.range(80).selectExpr("concat('k', lpad(id % 40, 3, '0'), '-', repeat('x', 200)) AS key").repartition(4)
+    got = Ledger(spark, "answer string", (tmp_path / "l").as_uri()).settle(df, effect, buckets=2).collect()
+    assert len(sizes[0]) > 1 and set(sizes[0]) == {1}
+    assert len(got) == 80 and {r["key"]: r["error"] for r in got} == {f"k{i:03d}-" + "x" * 200: "OSError: no" if i % 7 == 3 else None for i in range(40)}
+    assert sorted(p.read_text() for p in seen.iterdir()) == sorted({r["key"] for r in got})
+    for p in seen.iterdir():
+        p.unlink()
+    Ledger(spark, "answer string", (tmp_path / "m").as_uri()).settle(df, effect, lane=F.lit("one"), order="key", buckets=1, stop=True).collect()
+    assert sorted(p.read_text()[:4] for p in seen.iterdir()) == ["k000", "k001", "k002", "k003"]
